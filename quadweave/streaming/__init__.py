@@ -1,0 +1 @@
+"""Intentionally empty: every operator of the library is a batch operator (see README)."""
