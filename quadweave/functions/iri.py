@@ -109,36 +109,37 @@ def link_id(source_a, iri_a, source_b, iri_b) -> Column:
     return F.sha2(node_pair_key(source_a, iri_a, source_b, iri_b), 256)
 
 
-# Categories of XSD datatypes, by local name.
+# Categories of XSD datatypes, by local name; any other datatype is LITERAL.
 DATATYPE_CATEGORIES = {
-    "STRING": ["string", "normalizedString", "token", "language", "Name", "NCName", "NMTOKEN"],
+    "STRING": ["string"],
     "BOOLEAN": ["boolean"],
     "INTEGER": [
-        "integer", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger",
-        "nonPositiveInteger", "negativeInteger", "unsignedInt", "unsignedLong", "unsignedShort",
+        "integer", "int", "long", "short", "byte", "positiveInteger", "nonNegativeInteger",
+        "negativeInteger", "nonPositiveInteger", "unsignedInt", "unsignedLong", "unsignedShort",
         "unsignedByte",
     ],
     "DECIMAL": ["decimal"],
     "FLOAT": ["float", "double"],
     "DATETIME": [
-        "date", "dateTime", "time", "gYear", "gYearMonth", "gMonth", "gDay", "gMonthDay",
-        "duration", "dateTimeStamp",
+        "date", "time", "dateTime", "dateTimeStamp", "gYear", "gMonth", "gDay", "gYearMonth",
+        "gMonthDay", "duration", "yearMonthDuration", "dayTimeDuration",
     ],
-    "BINARY": ["base64Binary", "hexBinary"],
+    "BINARY": ["hexBinary", "base64Binary"],
     "URI": ["anyURI"],
 }
 
 
-def datatype_category(range_iri) -> Column:
-    """Category of a property range that is a datatype; null when it is not one."""
+def is_datatype(range_iri) -> Column:
     c = _c(range_iri)
+    return c.startswith(XSD) | c.isin(RDFS + "Literal", RDF + "langString")
+
+
+def datatype_category(range_iri) -> Column:
+    """Category of the datatype a property takes; LITERAL when unknown or absent."""
     pairs = {XSD + n: cat for cat, names in DATATYPE_CATEGORIES.items() for n in names}
     pairs[RDF + "langString"] = "STRING"
-    pairs[RDFS + "Literal"] = "LITERAL"
     table = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
-    return F.coalesce(
-        F.try_element_at(table, c), F.when(c.startswith(XSD), F.lit("STRING"))
-    )
+    return F.coalesce(F.try_element_at(table, _c(range_iri)), F.lit("LITERAL"))
 
 
 def value_kind(o_kind="o_kind", o_datatype="o_datatype", o_lang="o_lang") -> Column:

@@ -1,7 +1,7 @@
 """Helpers about the running session: lineage cuts, sized broadcasts, skew-safe joins."""
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -9,26 +9,28 @@ from pyspark.sql import DataFrame, functions as F
 PAIRS_PER_TASK = 4_000_000
 
 
-def ensure_checkpoint_dir(spark):
-    """Use the cluster's shared folder; fall back to a temporary one in local runs only."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        spark.sparkContext.setCheckpointDir(shared)
-    elif spark.sparkContext.master.startswith("local"):
-        spark.sparkContext.setCheckpointDir(
-            os.path.join(tempfile.gettempdir(), "quadweave-checkpoints")
-        )
-    else:
-        raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
+def shared_folder(spark):
+    """The cluster's shared folder; a temporary one in local runs without the setting only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="quadweave-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+        return folder
+    raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder and forget how it was computed."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    A written table survives lost executors, prunes columns when read, and has real size
+    statistics, which the plans built on it use to choose join strategies.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/quadweave/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows=100_000) -> DataFrame:

@@ -1,7 +1,14 @@
 import scenario as S
+from pyspark.sql import functions as F
+
+from quadweave.operators import links as L
+from quadweave.operators.clusters import build_clusters, inference_chain, same_as
+from quadweave.operators.patterns import identical_iris
 
 from quadweave.plans.config import load_config
 from quadweave.plans import matching as M
+from quadweave.runtime import cut_lineage
+from quadweave.vocab import RICO
 
 
 def test_expected_proposals_and_counts(spark):
@@ -21,3 +28,115 @@ def test_expected_proposals_and_counts(spark):
     assert (s.excluded_matched_a, s.excluded_matched_b) == (2, 2)
     assert s.proposals == 3 and s.insufficient_evidence > 0
     assert s.compared_pairs == s.below_threshold + s.insufficient_evidence + 3
+
+
+def _run(spark, state, a, b):
+    cfg = load_config(S.CONFIG)
+    quads, links = state["quads"], state["links"]
+    run = M.run_matching(quads, links, cfg, a, b)
+    pair = spark.createDataFrame([tuple(sorted([a, b]))], "source_a string, source_b string")
+    state["links"] = cut_lineage(M.merge_proposals(links, M.as_links(run.proposals, run.entities), pair, run.entities))
+
+
+def _act(spark, state, key, action):
+    rows = state["links"].collect()
+    lid = next(r.id for r in rows if S.local(r.iri_a) + "|" + S.local(r.iri_b) == key)
+    identical = identical_iris(state["quads"])
+    d = spark.createDataFrame([(1, lid, action)], "ord int, id string, action string")
+    out = L.dry_run(state["links"], lambda x: L.apply_decisions(x, d, identical), identical)
+    return lid, out
+
+
+def _commit(state, out):
+    state["links"] = cut_lineage(out["links"])
+
+
+def _keys(state, status):
+    return {S.local(r.iri_a) + "|" + S.local(r.iri_b) for r in state["links"].where(f"status = '{status}'").collect()}
+
+
+def test_transitivity_undo_and_same_as(spark):
+    state = {"quads": S.quads(spark), "links": S.links(spark)}
+    identical = identical_iris(state["quads"])
+    _run(spark, state, "gramps", "tropy")
+    _, out = _act(spark, state, "P002|item2", "ACCEPT")
+    _commit(state, out)
+    _run(spark, state, "archive", "gramps")
+    score = [r.score for r in state["links"].collect() if S.local(r.iri_a) == "A1"]
+    assert score == [0.94]
+    lid, out = _act(spark, state, "A1|P002", "ACCEPT")
+    added = out["inferred_added"].collect()
+    assert [S.local(r.iri_a) + "|" + S.local(r.iri_b) for r in added] == ["A1|item2"]
+    assert added[0].status == "INFERRED" and len(added[0].inferred_from) == 2
+    _commit(state, out)
+    assert same_as(build_clusters(state["links"], identical)).count() == 8
+    _run(spark, state, "archive", "tropy")
+    assert not any("A1" in k or "item2" in k for k in _keys(state, "PROPOSED"))
+    # an inferred link cannot be acted on
+    _, refused = _act(spark, state, "A1|item2", "REJECT")
+    assert refused["report"].collect()[0].reason == "INFERRED"
+    chain = inference_chain(state["links"], build_clusters(state["links"], identical), identical).orderBy("step").collect()
+    assert [c.kind for c in chain] == ["link", "link"]
+    # undo
+    _, out = _act(spark, state, "A1|P002", "UNDO")
+    assert out["revoked"] and out["inferred_removed"].count() == 1
+    _commit(state, out)
+    assert _keys(state, "INFERRED") == set()
+    assert same_as(build_clusters(state["links"], identical)).count() == 4
+
+
+def test_rejection_cannot_be_bypassed(spark):
+    state = {"quads": S.quads(spark), "links": S.links(spark)}
+    identical = identical_iris(state["quads"])
+    _run(spark, state, "gramps", "tropy")
+    _, out = _act(spark, state, "PL002|item4", "REJECT")
+    _commit(state, out)
+    _run(spark, state, "gramps", "tropy")
+    assert "PL002|item4" not in _keys(state, "PROPOSED")
+    _run(spark, state, "archive", "gramps")
+    _run(spark, state, "archive", "tropy")
+    _, out = _act(spark, state, "A2|PL002", "ACCEPT")
+    _commit(state, out)
+    lid, out = _act(spark, state, "A2|item4", "ACCEPT")
+    assert out["report"].collect()[0].reason == "REJECTED"
+    flags = L.link_flags(state["links"], build_clusters(state["links"], identical), state["quads"])
+    assert {r.id: r.superseded for r in flags.collect()}[lid]
+
+
+def test_manual_links(spark):
+    state = {"quads": S.quads(spark), "links": S.links(spark)}
+    identical = identical_iris(state["quads"])
+    cfg = load_config(S.CONFIG)
+    req = spark.createDataFrame(
+        [(1, "tropy", S.T + "item6", "gramps", S.G + "P003"),
+         (2, "tropy", S.T + "item2", "gramps", S.G + "P003"),
+         (3, "tropy", S.T + "nobody", "gramps", S.G + "P002")],
+        "ord int, source_a string, iri_a string, source_b string, iri_b string")
+    out = L.add_manual_links(state["links"], req, state["quads"], identical, cfg)
+    rep = {r.ord: (r.result, r.reason) for r in out.report.collect()}
+    assert rep == {1: ("applied", None), 2: ("refused", "TWO_IN_SOURCE"), 3: ("refused", "NO_STATEMENT")}
+    made = out.links.where("status = 'MANUAL'").collect()
+    assert len(made) == 1 and made[0].source_a == "gramps" and made[0].group_id == "person"
+    one = spark.createDataFrame([(1, made[0].id)], "ord int, id string")
+    assert L.undo(out.links, one, identical).links.where("status = 'MANUAL'").count() == 0
+
+
+def test_orphans_are_flagged_then_removed(spark):
+    state = {"quads": S.quads(spark), "links": S.links(spark)}
+    _run(spark, state, "gramps", "tropy")
+    lid, out = _act(spark, state, "P002|item2", "ACCEPT")
+    _commit(state, out)
+    without = state["quads"].where(F.col("s") != S.G + "P002")
+    assert {r.id: r.orphan_a for r in L.orphans(state["links"], without).collect()}[lid]
+    left, removed, revoked = L.remove_orphans(state["links"], without, ("gramps", "tropy"))
+    assert revoked and lid in {r.id for r in removed.collect()} and lid not in {r.id for r in left.collect()}
+
+
+def test_compare_pair_explains_the_score(spark):
+    cfg = load_config(S.CONFIG)
+    pair = spark.createDataFrame([("tropy", S.T + "item2", "gramps", S.G + "P002")],
+                                 "source_a string, iri_a string, source_b string, iri_b string")
+    c = L.compare_pairs(pair, S.quads(spark), S.links(spark), cfg).collect()[0]
+    assert c.group_id == "person" and c.outcome == "PROPOSABLE" and c.blocking is None
+    assert c.evidence[0].value_a == "Marie Lefebvre"
+    assert [x.p for x in c.predicates_a if x.concept == "name"] == [RICO + "name"]
