@@ -91,7 +91,7 @@ def match_tables(a, b, groups, threshold=75, rejected=None) -> DataFrame:
         .when(F.col("kind") == "number", F.transform("z", number))
         .otherwise(F.transform("z", date))
     )
-    met = met.withColumn("best", F.array_max(scores)).where("best is not null")
+    met = met.withColumn("best", F.array_max(scores))
     return met.groupBy("entity_a", "entity_b").agg(F.avg("best").alias("score")).where(F.col("score") >= threshold).select(
         F.col("entity_a").alias("source_entity"), F.col("entity_b").alias("target_entity"), "score")
 

@@ -409,15 +409,6 @@ def match_tables(spark, d):
 # --- links and clusters ---------------------------------------------------------------------
 
 
-def _copies(spark, d):
-    """Links between documents of equal size in two sources: decided by their keys."""
-    t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", "n_chars", F.md5("text").alias("h"))
-    return t
-
-
-COPY_LINKS = ("e AS (SELECT source, 'urn:d:' || doc_id AS iri, md5(text) AS h FROM documents), m AS (SELECT h, min(source || '~' || iri) AS c FROM e GROUP BY h HAVING count(DISTINCT source) > 1) ")
-
-
 def _copy_links(spark, d, status="ACCEPTED"):
     """A chain of links from each copy of a text to the smallest one, in another source."""
     e = spark.read.parquet(f"{d}/documents.parquet").select("source", F.concat(F.lit("urn:d:"), "doc_id").alias("iri"), F.md5("text").alias("h"))
@@ -546,8 +537,9 @@ def extract_hierarchy(spark, d):
     return X.extract_hierarchy(onto(spark, d))
 
 
-@query("WITH w AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) SELECT CAST(user_word AS VARCHAR) AS query_id, 'urn:k:p' || p_partkey AS term, 3.0::DOUBLE AS score "
-       "FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS user_word FROM part) u JOIN w ON w.word = u.user_word")
+@query("WITH w AS (SELECT p_partkey, word, max(wt) AS wt FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, 3.0::DOUBLE AS wt FROM part "
+       "UNION ALL SELECT p_partkey, lower(p_type), 1.0::DOUBLE FROM part) GROUP BY ALL) SELECT u.q AS query_id, 'urn:k:p' || p_partkey AS term, w.wt AS score "
+       "FROM (SELECT DISTINCT split_part(p_name, ' ', 1) AS q FROM part) u JOIN w ON w.word = u.q")
 def search_terms(spark, d):
     idx = Q.term_index(onto(spark, d))
     qs = spark.read.parquet(f"{d}/part.parquet").select(F.substring_index("p_name", " ", 1).alias("query_id")).distinct().withColumn("text", F.col("query_id"))
@@ -574,9 +566,9 @@ def _history(spark, d):
                     F.timestamp_seconds(F.col("conv_id") * 1000 + F.col("turn")).alias("at"))
 
 
-HIST = ("WITH h AS (SELECT conv_id || '-' || turn AS id, conv_id * 1000 + turn AS at, " + WORDS.format("text") + " AS w FROM conversations WHERE role = 'user'), "
+HIST = ("WITH h AS (SELECT conv_id || '-' || turn AS id, conv_id * 1000 + turn AS ts, " + WORDS.format("text") + " AS w FROM conversations WHERE role = 'user'), "
         "qs AS (SELECT item_id AS query_id, " + WORDS.format("text") + " AS w FROM benchmark), "
-        "sm AS (SELECT query_id, id, round(len(list_intersect(h.w, qs.w))::DOUBLE / (len(h.w) + len(qs.w) - len(list_intersect(h.w, qs.w))) + 0.01 + CASE WHEN at = (SELECT max(at) FROM h) THEN 0.01 ELSE 0 END, 9) AS score, at FROM h, qs WHERE len(list_intersect(h.w, qs.w)) > 0) ")
+        "sm AS (SELECT query_id, id, round(len(list_intersect(h.w, qs.w))::DOUBLE / (len(h.w) + len(qs.w) - len(list_intersect(h.w, qs.w))) + 0.01 + CASE WHEN ts = (SELECT max(ts) FROM h) THEN 0.01 ELSE 0 END, 9) AS score FROM h, qs WHERE len(list_intersect(h.w, qs.w)) > 0) ")
 
 
 @query(HIST + "SELECT query_id, id, score FROM sm")
