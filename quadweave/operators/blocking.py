@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quadweave.functions.text import fold, normalize_folded, tokens_of_normalized
 from quadweave.operators.closures import shared_group
 from quadweave.plans.config import is_keyed_group, per_group
-from quadweave.runtime import broadcast_if_small, skew_safe_join
+from quadweave.runtime import broadcast_if_small, cut_lineage, skew_safe_join
 
 MAX_YEARS = 10
 
@@ -112,22 +112,20 @@ def class_pairs(classes, keys, modes, cfg, order_of_rank) -> DataFrame:
     b = lambda df: df.withColumnRenamed("class_id", "class_b").withColumnRenamed("source", "source_b")
     cols = ["class_a", "source_a", "class_b", "source_b", "rank"]
 
+    parts = []
     # 1. Groups small enough, or without blocking concepts: every pair of the group.
     whole = modes.where("not blocked").select("source_a", "source_b", "rank")
-    left = a(member).join(broadcast_if_small(whole), ["source_a", "rank"])
-    product = skew_safe_join(left, b(member), ["source_b", "rank"], ["class_a"], ["class_b"]).select(*cols)
+    if _any(whole):
+        left = a(member).join(broadcast_if_small(whole), ["source_a", "rank"])
+        parts.append(skew_safe_join(left, b(member), ["source_b", "rank"], ["class_a"], ["class_b"]).select(*cols))
 
     # 2. Large groups: pairs sharing a key.
     cut = modes.where("blocked").select("source_a", "source_b", "rank")
-    if any(is_keyed_group(g) for g in cfg.groups):
+    if _any(cut):
         cut = broadcast_if_small(cut)
-        blocked_keys = keys.join(
-            broadcast_if_small(
-                modes.where("blocked").select(F.explode(F.array("source_a", "source_b")).alias("source"), "rank").distinct()
-            ),
-            ["source", "rank"], "left_semi",
-        )
-        shared = (
+        blocked_sources = modes.where("blocked").select(F.explode(F.array("source_a", "source_b")).alias("source"), "rank").distinct()
+        blocked_keys = keys.join(broadcast_if_small(blocked_sources), ["source", "rank"], "left_semi")
+        parts.append(
             skew_safe_join(a(blocked_keys), b(blocked_keys), ["rank", "key"], ["class_a"], ["class_b"])
             .where("source_a < source_b")
             .select(*cols)
@@ -135,13 +133,14 @@ def class_pairs(classes, keys, modes, cfg, order_of_rank) -> DataFrame:
             .distinct()
         )
         # 3. An entity without any key meets everyone of a blocked group.
-        keyless = member.join(keys.select("class_id", "rank").distinct(), ["class_id", "rank"], "left_anti")
-        kl = a(keyless).join(cut, ["source_a", "rank"])
-        one = skew_safe_join(kl, b(member), ["source_b", "rank"], ["class_a"], ["class_b"]).select(*cols)
-        kr = b(keyless).join(cut, ["source_b", "rank"])
-        keyed_a = a(member.join(keys.select("class_id", "rank").distinct(), ["class_id", "rank"], "left_semi"))
-        two = skew_safe_join(keyed_a, kr, ["source_a", "rank"], ["class_a"], ["class_b"]).select(*cols)
-        product = product.unionByName(shared).unionByName(one).unionByName(two)
+        keyed = keys.select("class_id", "rank").distinct()
+        keyless = cut_lineage(member.join(keyed, ["class_id", "rank"], "left_anti"))
+        if _any(keyless):
+            kl = a(keyless).join(cut, ["source_a", "rank"])
+            parts.append(skew_safe_join(kl, b(member), ["source_b", "rank"], ["class_a"], ["class_b"]).select(*cols))
+            kr = b(keyless).join(cut, ["source_b", "rank"])
+            keyed_a = a(member.join(keyed, ["class_id", "rank"], "left_semi"))
+            parts.append(skew_safe_join(keyed_a, kr, ["source_a", "rank"], ["class_a"], ["class_b"]).select(*cols))
 
     # 4. Option: untyped entities against the typed ones, under the typed side's own group.
     if cfg.compare_untyped:
@@ -153,8 +152,18 @@ def class_pairs(classes, keys, modes, cfg, order_of_rank) -> DataFrame:
         )
         for x, y in ((a(free), b(typed)), (a(typed), b(free))):
             met = skew_safe_join(x, y, ["rank"], ["class_a"], ["class_b"]).where("source_a < source_b")
-            product = product.unionByName(met.select(*cols))
-    return product
+            parts.append(met.select(*cols))
+    if not parts:
+        return a(member).join(b(member).drop("rank").limit(0), F.lit(True)).select(*cols)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _any(df):
+    """Whether a written frame has rows."""
+    return df.limit(1).count() > 0
 
 
 def examine_pairs(pairs, classes, rejected, cfg, order_of_rank) -> DataFrame:

@@ -85,20 +85,15 @@ def concept_values(quads, cfg) -> DataFrame:
     )
 
 
-def resolve_values(values, quads) -> DataFrame:
-    """Add ``cv`` (kind, text, date, number, iri, display), dropping values that do not resolve.
+def has_linked_values(quads, cfg) -> bool:
+    """Whether a compared predicate has IRI values: a pruned scan that stops at the first one."""
+    hit = data_quads(quads).where(F.col("p").isin(cfg.predicates()) & (F.col("o_kind") == "iri"))
+    return hit.select("p").limit(1).count() > 0
 
-    Linked entities are looked up once per distinct IRI, and only when some value is an IRI.
-    """
-    is_lit, is_iri = F.col("o_kind") == "literal", F.col("o_kind") == "iri"
-    comparator = F.col("comparator")
-    wants_date = (comparator == "date") | (
-        (comparator == "auto") & is_lit & F.coalesce("o_datatype", F.lit("")).isin(DATE_TYPES)
-    )
-    wants_number = (comparator == "number") | (
-        (comparator == "auto") & is_lit & F.coalesce("o_datatype", F.lit("")).isin(NUMBER_TYPES)
-    )
-    targets = values.where(is_iri).select(F.col("o").alias("iri")).distinct()
+
+def _looked_up(values, quads):
+    """(o, o_kind, l_text, l_date): text and date of the distinct linked entities."""
+    targets = values.where("o_kind = 'iri'").select(F.col("o").alias("iri")).distinct()
     reach = data_quads(quads)
     text = linked_text(reach.join(targets.withColumnRenamed("iri", "s"), "s", "left_semi"))
     one_hop = reach.where(
@@ -106,13 +101,32 @@ def resolve_values(values, quads) -> DataFrame:
     ).join(targets.withColumnRenamed("iri", "s"), "s", "left_semi")
     dated = targets.unionByName(one_hop.select(F.col("o").alias("iri"))).distinct()
     date = linked_date(reach.join(dated.withColumnRenamed("iri", "s"), "s", "left_semi"))
-    looked = (
+    return (
         targets.join(text, "iri", "left")
         .join(date, "iri", "left")
         .select(F.col("iri").alias("o"), F.lit("iri").alias("o_kind"), F.col("text").alias("l_text"),
                 F.col("date").alias("l_date"))
     )
-    v = values.join(looked, ["o", "o_kind"], "left")
+
+
+def resolve_values(values, quads, linked=True) -> DataFrame:
+    """Add ``cv`` (kind, text, date, number, iri, display), dropping values that do not resolve.
+
+    Linked entities are looked up once per distinct IRI; ``linked=False`` skips the look-up when no
+    value is an IRI.
+    """
+    is_lit, is_iri = F.col("o_kind") == "literal", F.col("o_kind") == "iri"
+    comparator = F.col("comparator")
+    wants_date = (comparator == "date") | (
+        (comparator == "auto") & is_lit & F.coalesce("o_datatype", F.lit("")).isin(DATE_TYPES)
+    )
+    wants_number = (comparator == "number") | (
+        (comparator == "auto") & is_lit & F.coalesce("o_datatype", F.lit("")).isin(NUMBER_TYPES)
+    )
+    if linked:
+        v = values.join(_looked_up(values, quads), ["o", "o_kind"], "left")
+    else:
+        v = values.withColumn("l_text", F.lit(None).cast("string")).withColumn("l_date", F.lit(None).cast(INTERVAL_TYPE))
     v = v.withColumn("date", F.when(wants_date & is_lit, parse_partial_date("o")).when(wants_date, F.col("l_date")))
     kind = (
         F.when(wants_date, F.lit("DATE"))

@@ -14,7 +14,7 @@ from quadweave.operators.clusters import build_clusters
 from quadweave.operators.compare import score_pairs, with_features
 from quadweave.operators.patterns import identical_iris
 from quadweave.operators.profiles import (
-    MAX_VALUES_PER_SIDE, concept_values, first_values, profiles, resolve_values,
+    MAX_VALUES_PER_SIDE, concept_values, first_values, has_linked_values, profiles, resolve_values,
 )
 from quadweave.plans.config import is_keyed_group, per_group
 from quadweave.runtime import broadcast_if_small, cut_lineage
@@ -71,7 +71,8 @@ def ranked_values(quads, cfg, expanded, sources=None) -> DataFrame:
     own = quads if sources is None else quads.where(F.col("source").isin(sources))
     ranks = expanded.select("group_order", "rank").distinct()
     # One row per configured group.
-    return resolve_values(concept_values(own, cfg), quads).join(F.broadcast(ranks), "group_order")
+    values = resolve_values(concept_values(own, cfg), quads, has_linked_values(own, cfg))
+    return values.join(F.broadcast(ranks), "group_order")
 
 
 def entity_classes(entities, values, clusters, rejected, cfg):
@@ -102,9 +103,11 @@ def entity_classes(entities, values, clusters, rejected, cfg):
 
     linked = any(c.comparator in ("linkedEntity", "auto") for g in cfg.groups for c in g.concepts)
     by_iri = clusters.groupBy("iri").agg(F.min("cluster_id").alias("cluster_id")) if linked else None
+    # A literal decides its resolved value; what a linked entity stands for is added.
+    linked_cv = F.when(F.col("o_kind") == "iri", F.col("cv")).alias("cv")
     feats = (
         with_features(first_values(values), by_iri)
-        .withColumn("digest", F.sha2(F.to_json(F.struct("o", "o_kind", "o_datatype", "o_lang", "cv", "feature.cluster")), 256))
+        .withColumn("digest", F.sha2(F.to_json(F.struct("o", "o_kind", "o_datatype", "o_lang", linked_cv, "feature.cluster")), 256))
         .groupBy("source", "iri")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "concept_no", "pos", "digest", "feature"))).alias("vals"))
     )
@@ -238,6 +241,7 @@ def run_all_pairs(quads, links, cfg, edges=None, sources=None) -> MatchingRun:
         per_group(cfg, is_keyed_group) & (F.col("pairs") > cfg.blocking_minimum_pairs),
     )
     modes = cut_lineage(modes)
+    keys = cut_lineage(keys)
     pairs = blocking.class_pairs(classes, keys, modes, cfg, order_of_rank)
     examined = cut_lineage(blocking.examine_pairs(pairs, classes, rejected, cfg, order_of_rank))
     scored = cut_lineage(score_classes(examined, classes, cfg))
