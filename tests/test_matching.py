@@ -30,77 +30,63 @@ def test_expected_proposals_and_counts(spark):
     assert s.compared_pairs == s.below_threshold + s.insufficient_evidence + 3
 
 
-def _run(spark, state, a, b):
-    cfg = load_config(S.CONFIG)
-    quads, links = state["quads"], state["links"]
-    run = M.run_matching(quads, links, cfg, a, b)
-    pair = spark.createDataFrame([tuple(sorted([a, b]))], "source_a string, source_b string")
-    state["links"] = cut_lineage(M.merge_proposals(links, M.as_links(run.proposals, run.entities), pair, run.entities))
-
-
-def _act(spark, state, key, action):
-    rows = state["links"].collect()
-    lid = next(r.id for r in rows if S.local(r.iri_a) + "|" + S.local(r.iri_b) == key)
-    identical = identical_iris(state["quads"])
-    d = spark.createDataFrame([(1, lid, action)], "ord int, id string, action string")
-    out = L.dry_run(state["links"], lambda x: L.apply_decisions(x, d, identical), identical)
-    return lid, out
-
+def _proposals(spark):
+    rows = S.PAST + [
+        S.link("p-i2", "gramps", S.G + "P002", "tropy", S.T + "item2", "PROPOSED", score=0.9178),
+        S.link("a1-p", "archive", S.A + "A1", "gramps", S.G + "P002", "PROPOSED", score=0.94),
+        S.link("pl-i4", "gramps", S.G + "PL002", "tropy", S.T + "item4", "PROPOSED", score=1.0),
+        S.link("a2-pl", "archive", S.A + "A2", "gramps", S.G + "PL002", "PROPOSED", score=1.0),
+        S.link("a2-i4", "archive", S.A + "A2", "tropy", S.T + "item4", "PROPOSED", score=1.0),
+    ]
+    return S.links(spark, rows)
 
-def _commit(state, out):
-    state["links"] = cut_lineage(out["links"])
 
-
-def _keys(state, status):
-    return {S.local(r.iri_a) + "|" + S.local(r.iri_b) for r in state["links"].where(f"status = '{status}'").collect()}
+def _decide(spark, *rows):
+    return spark.createDataFrame([(n, i, a) for n, (i, a) in enumerate(rows)], "ord int, id string, action string")
 
 
 def test_transitivity_undo_and_same_as(spark):
-    state = {"quads": S.quads(spark), "links": S.links(spark)}
-    identical = identical_iris(state["quads"])
-    _run(spark, state, "gramps", "tropy")
-    _, out = _act(spark, state, "P002|item2", "ACCEPT")
-    _commit(state, out)
-    _run(spark, state, "archive", "gramps")
-    score = [r.score for r in state["links"].collect() if S.local(r.iri_a) == "A1"]
-    assert score == [0.94]
-    lid, out = _act(spark, state, "A1|P002", "ACCEPT")
+    quads, links = S.quads(spark), _proposals(spark)
+    identical = identical_iris(quads)
+    d = _decide(spark, ("p-i2", "ACCEPT"), ("a1-p", "ACCEPT"))
+    out = L.dry_run(links, lambda x: L.apply_decisions(x, d, identical), identical)
     added = out["inferred_added"].collect()
     assert [S.local(r.iri_a) + "|" + S.local(r.iri_b) for r in added] == ["A1|item2"]
-    assert added[0].status == "INFERRED" and len(added[0].inferred_from) == 2
-    _commit(state, out)
-    assert same_as(build_clusters(state["links"], identical)).count() == 8
-    _run(spark, state, "archive", "tropy")
-    assert not any("A1" in k or "item2" in k for k in _keys(state, "PROPOSED"))
-    # an inferred link cannot be acted on
-    _, refused = _act(spark, state, "A1|item2", "REJECT")
-    assert refused["report"].collect()[0].reason == "INFERRED"
-    chain = inference_chain(state["links"], build_clusters(state["links"], identical), identical).orderBy("step").collect()
-    assert [c.kind for c in chain] == ["link", "link"]
-    # undo
-    _, out = _act(spark, state, "A1|P002", "UNDO")
+    assert added[0].status == "INFERRED" and added[0].inferred_from == ["a1-p", "p-i2"]
+    links = cut_lineage(out["links"])
+    clusters = build_clusters(links, identical)
+    assert same_as(clusters).count() == 8
+    chain = inference_chain(links, clusters, identical).orderBy("step").collect()
+    assert [(c.kind, c.link_id) for c in chain] == [("link", "a1-p"), ("link", "p-i2")]
+    run = M.run_matching(quads, links, load_config(S.CONFIG), "archive", "tropy")
+    keys = {S.local(r.iri_a) + "|" + S.local(r.iri_b) for r in run.proposals.collect()}
+    assert keys == {"A2|item4"}
+    # an inferred link cannot be acted on; undoing a step removes it
+    d = _decide(spark, (added[0].id, "REJECT"), ("a1-p", "UNDO"))
+    out = L.dry_run(links, lambda x: L.apply_decisions(x, d, identical), identical)
+    assert {r.ord: r.reason for r in out["report"].collect()} == {0: "INFERRED", 1: None}
     assert out["revoked"] and out["inferred_removed"].count() == 1
-    _commit(state, out)
-    assert _keys(state, "INFERRED") == set()
-    assert same_as(build_clusters(state["links"], identical)).count() == 4
+    assert same_as(build_clusters(out["links"], identical)).count() == 4
 
 
 def test_rejection_cannot_be_bypassed(spark):
-    state = {"quads": S.quads(spark), "links": S.links(spark)}
-    identical = identical_iris(state["quads"])
-    _run(spark, state, "gramps", "tropy")
-    _, out = _act(spark, state, "PL002|item4", "REJECT")
-    _commit(state, out)
-    _run(spark, state, "gramps", "tropy")
-    assert "PL002|item4" not in _keys(state, "PROPOSED")
-    _run(spark, state, "archive", "gramps")
-    _run(spark, state, "archive", "tropy")
-    _, out = _act(spark, state, "A2|PL002", "ACCEPT")
-    _commit(state, out)
-    lid, out = _act(spark, state, "A2|item4", "ACCEPT")
-    assert out["report"].collect()[0].reason == "REJECTED"
-    flags = L.link_flags(state["links"], build_clusters(state["links"], identical), state["quads"])
-    assert {r.id: r.superseded for r in flags.collect()}[lid]
+    quads, links = S.quads(spark), _proposals(spark)
+    identical = identical_iris(quads)
+    d = _decide(spark, ("pl-i4", "REJECT"), ("a2-pl", "ACCEPT"), ("a2-i4", "ACCEPT"), ("nothing", "ACCEPT"))
+    out = L.apply_decisions(links, d, identical)
+    assert {r.ord: r.reason for r in out.report.collect()} == {0: None, 1: None, 2: "REJECTED", 3: "NOT_FOUND"}
+    flags = L.link_flags(out.links, build_clusters(out.links, identical), quads)
+    assert {r.id for r in flags.where("superseded").collect()} == {"a2-i4"}
+    run = M.run_matching(quads, out.links, load_config(S.CONFIG), "gramps", "tropy")
+    assert "PL002" not in {S.local(r.iri_a) for r in run.proposals.collect()}
+
+
+def test_orphans_are_flagged_then_removed(spark):
+    quads, links = S.quads(spark), _proposals(spark)
+    without = quads.where(F.col("s") != S.G + "P001")
+    assert {r.id for r in L.orphans(links, without).where("orphan_a").collect()} == {"fixture-confirmed"}
+    left, removed, revoked = L.remove_orphans(links, without, ("gramps", "tropy"))
+    assert revoked and [r.id for r in removed.collect()] == ["fixture-confirmed"] and left.count() == 6
 
 
 def test_manual_links(spark):
@@ -121,17 +107,6 @@ def test_manual_links(spark):
     assert L.undo(out.links, one, identical).links.where("status = 'MANUAL'").count() == 0
 
 
-def test_orphans_are_flagged_then_removed(spark):
-    state = {"quads": S.quads(spark), "links": S.links(spark)}
-    _run(spark, state, "gramps", "tropy")
-    lid, out = _act(spark, state, "P002|item2", "ACCEPT")
-    _commit(state, out)
-    without = state["quads"].where(F.col("s") != S.G + "P002")
-    assert {r.id: r.orphan_a for r in L.orphans(state["links"], without).collect()}[lid]
-    left, removed, revoked = L.remove_orphans(state["links"], without, ("gramps", "tropy"))
-    assert revoked and lid in {r.id for r in removed.collect()} and lid not in {r.id for r in left.collect()}
-
-
 def test_compare_pair_explains_the_score(spark):
     cfg = load_config(S.CONFIG)
     pair = spark.createDataFrame([("tropy", S.T + "item2", "gramps", S.G + "P002")],
