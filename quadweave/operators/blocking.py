@@ -101,7 +101,7 @@ def _sided(classes, side):
     return classes.select(*[F.col(c).alias(f"{c}_{side}") for c in keep])
 
 
-def class_pairs(classes, keys, modes, cfg, order_of_rank) -> DataFrame:
+def class_pairs(classes, keys, modes, cfg) -> DataFrame:
     """Candidate class pairs (class_a, class_b, rank), source_a < source_b, before exclusions.
 
     ``classes`` carry groups as ranks, ``keys`` is (class_id, source, rank, key), ``modes`` is the
@@ -144,9 +144,8 @@ def class_pairs(classes, keys, modes, cfg, order_of_rank) -> DataFrame:
 
     # 4. Option: untyped entities against the typed ones, under the typed side's own group.
     if cfg.compare_untyped:
-        free = classes.where("untyped").select("class_id", "source").join(
-            F.broadcast(order_of_rank.select("rank"))
-        )
+        ranks = F.explode(F.sequence(F.lit(1), F.lit(len(cfg.groups)))).alias("rank")
+        free = classes.where("untyped").select("class_id", "source", ranks)
         typed = classes.where(~F.col("untyped") & (F.size("groups") > 0)).select(
             "class_id", "source", F.array_min("primary").alias("rank")
         )
@@ -154,7 +153,8 @@ def class_pairs(classes, keys, modes, cfg, order_of_rank) -> DataFrame:
             met = skew_safe_join(x, y, ["rank"], ["class_a"], ["class_b"]).where("source_a < source_b")
             parts.append(met.select(*cols))
     if not parts:
-        return a(member).join(b(member).drop("rank").limit(0), F.lit(True)).select(*cols)
+        none = a(member).where(F.lit(False))
+        return none.withColumn("class_b", F.col("class_a")).withColumn("source_b", F.col("source_a")).select(*cols)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -11,12 +11,63 @@ from quadweave.vocab import LABEL_PREDICATES, OWL, RDF_TYPE, RDFS, RDFS_LABEL, S
 MIN_SCORE = 0.75
 
 
+# A label scores 0.75 only if some word of the query is at least this similar to one of its words:
+# all query words occur, or 0.85 x the mean of their best similarities reaches 0.75.
+WORD_SCORE = MIN_SCORE / 0.85
+
+
+def _edits(length):
+    """Edits allowed between two words the longer of which has this length."""
+    return F.floor((1 - WORD_SCORE) * length + 1e-9).cast("int")
+
+
+def _own_keys(w):
+    """Join keys of a label word: itself; its length with its first and its last letter; its length."""
+    n = F.char_length(w).cast("string")
+    return F.array_distinct(F.array(
+        F.concat(F.lit("="), w), F.concat(F.lit("f"), n, F.substring(w, 1, 1)),
+        F.concat(F.lit("l"), n, F.substring(w, -1, 1)), F.concat(F.lit("n"), n)))
+
+
+def _partner_keys(w):
+    """Keys of every label word within the allowed edits of a query word.
+
+    No edit: the word. One edit: a length with the first or the last letter, as one edit cannot
+    change both ends. More: a length.
+    """
+    n = F.char_length(w)
+    # d <= share x (n + d) bounds the lengths worth trying.
+    reach = F.floor(n * ((1 - WORD_SCORE) / WORD_SCORE)).cast("int") + 1
+
+    def at(other):
+        d = _edits(F.greatest(n, other))
+        near = (F.abs(n - other) <= d) & (d >= 1)
+        size = other.cast("string")
+        return F.array(
+            F.when(near & (d == 1), F.concat(F.lit("f"), size, F.substring(w, 1, 1))),
+            F.when(near & (d == 1), F.concat(F.lit("l"), size, F.substring(w, -1, 1))),
+            F.when(near & (d >= 2), F.concat(F.lit("n"), size)),
+        )
+
+    lengths = F.sequence(F.greatest(n - reach, F.lit(1)), n + reach)
+    near = F.array_compact(F.flatten(F.transform(lengths, at)))
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("="), w)), near))
+
+
+def similar_words(query_words, label_words) -> DataFrame:
+    """(q, w): distinct words of queries and labels similar enough to matter, by an equi-join."""
+    q = query_words.select("q").distinct().withColumn("key", F.explode(_partner_keys(F.col("q"))))
+    w = label_words.select("w").distinct().withColumn("key", F.explode(_own_keys(F.col("w"))))
+    longest = F.greatest(F.char_length("q"), F.char_length("w"))
+    return q.join(w, "key").where(F.levenshtein("q", "w") <= _edits(longest)).select("q", "w").distinct()
+
+
 def search_labels(quads, queries, types=None, k=None, internal_source=None) -> DataFrame:
     """Best entities for each query (query_id, text): label score of at least 0.75.
 
     (query_id, iri, label, score, types, origin, source), best label per entity, ``k`` best per
-    query, ties by IRI. The queries, typed by people, are the small side and are broadcast when
-    their number is proven small; labels are scored once per distinct text.
+    query, ties by IRI. Candidates come from shared or similar words, which loses nothing; labels are
+    scored once per distinct text.
     """
     names = iri_subjects(data_quads(quads)).where(F.col("p").isin(LABEL_PREDICATES) & (F.col("o_kind") == "literal")).select(
         F.col("s").alias("iri"), F.col("o").alias("label")).distinct()
@@ -26,7 +77,12 @@ def search_labels(quads, queries, types=None, k=None, internal_source=None) -> D
         names = names.join(t.select(F.col("s").alias("iri")).distinct(), "iri", "left_semi")
     q = queries.select("query_id", F.array_distinct(tokens("text")).alias("qw")).where(F.size("qw") > 0)
     texts = names.select("label").distinct().select("label", tokens("label").alias("lw")).where(F.size("lw") > 0)
-    scored = texts.join(broadcast_if_small(q, 10_000)).withColumn("raw", label_score(F.col("qw"), F.col("lw"))).where(
+    qw = q.select("query_id", F.explode("qw").alias("q"))
+    lw = texts.select("label", F.explode(F.array_distinct("lw")).alias("w"))
+    # Words first, then the labels containing them: a query meets only labels that may reach 0.75.
+    by_word = qw.join(similar_words(qw, lw), "q").select("query_id", "w").distinct()
+    met = skew_safe_join(by_word, lw, ["w"], ["query_id"], ["label"]).select("query_id", "label").distinct()
+    scored = met.join(texts, "label").join(q, "query_id").withColumn("raw", label_score(F.col("qw"), F.col("lw"))).where(
         F.col("raw") >= MIN_SCORE).select("query_id", "label", "raw")
     hit = scored.join(names, "label").groupBy("query_id", "iri").agg(
         F.max(F.struct("raw", "label")).alias("b")).select("query_id", "iri", "b.raw", "b.label")
@@ -166,17 +222,17 @@ def similar_questions(history, queries, n=None) -> DataFrame:
     History columns: id, question, edited, decided, use_count, at. Pairs are formed through shared
     words only; word sets are compared afterwards, once per pair.
     """
-    newest = history.agg(F.max("at").alias("newest"))
+    newest = F.lit(history.agg(F.max("at")).first()[0])
     h = history.select("id", "edited", "decided", "use_count", "at", content_words("question").alias("hw"))
     q = queries.select("query_id", content_words("text").alias("qw"))
     met = skew_safe_join(
         h.select("id", F.explode("hw").alias("w")), q.select("query_id", F.explode("qw").alias("w")), ["w"], ["id"], ["query_id"]
     ).groupBy("id", "query_id").agg(F.count(F.lit(1)).alias("common"))
     sized = met.join(h.select("id", "edited", "decided", "use_count", "at", F.size("hw").alias("nh")), "id").join(
-        q.select("query_id", F.size("qw").alias("nq")), "query_id").crossJoin(F.broadcast(newest))  # one row
+        q.select("query_id", F.size("qw").alias("nq")), "query_id")
     s = F.col("common") / (F.col("nh") + F.col("nq") - F.col("common"))
     s = s + F.when(F.col("edited") | F.col("decided"), 0.15).otherwise(0.0) + F.least(F.lit(0.05), 0.01 * F.col("use_count"))
-    s = s + F.when(F.col("at") == F.col("newest"), 0.01).otherwise(0.0)
+    s = s + F.when(F.col("at") == newest, 0.01).otherwise(0.0)
     out = sized.select("query_id", "id", s.alias("score"))
     return out if n is None else top_k_per_group(out, ["query_id"], [F.desc("score"), "id"], n).drop("rank")
 
@@ -186,8 +242,11 @@ def examples(history, queries, n) -> DataFrame:
     sim = top_k_per_group(similar_questions(history, queries), ["query_id"], [F.desc("score"), "id"], n)
     want = min(n, 3)
     # n + 3 most recent questions are enough to complete any list.
-    recent = history.orderBy(F.desc("at"), "id").limit(n + 3).select("id", "at")
-    more = queries.select("query_id").join(F.broadcast(recent)).join(sim.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    recent = history.orderBy(F.desc("at"), "id").limit(n + 3).select("id", "at").collect()
+    if not recent:
+        return sim.select("query_id", "id", "rank")
+    latest = F.explode(F.array(*[F.struct(F.lit(r.id).alias("id"), F.lit(r.at).alias("at")) for r in recent])).alias("r")
+    more = queries.select("query_id", latest).select("query_id", "r.id", "r.at").join(sim.select("query_id", "id"), ["query_id", "id"], "left_anti")
     both = sim.select("query_id", "id", F.lit(0).alias("late"), F.col("rank").alias("o"), F.lit(None).cast("timestamp").alias("at")).unionByName(
         more.select("query_id", "id", F.lit(1).alias("late"), F.lit(0).alias("o"), F.col("at").cast("timestamp").alias("at")))
     ranked = top_k_per_group(both, ["query_id"], ["late", "o", F.desc("at"), "id"], max(n, 3))

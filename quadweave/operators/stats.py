@@ -134,8 +134,7 @@ def coverage(quads, group, types=None) -> DataFrame:
         .join(ent, ["source", "s"], "left_semi").join(F.broadcast(preds), "p")
         .groupBy("source", "concept").agg(F.countDistinct("s").alias("with_value"))
     )
-    concepts = spark.createDataFrame([(c.key,) for c in group.concepts], "concept string")
-    grid = n.crossJoin(F.broadcast(concepts))  # sources x concepts of one group
+    grid = n.withColumn("concept", F.explode(F.array(*[F.lit(c.key) for c in group.concepts])))
     v = F.coalesce("with_value", F.lit(0))
     return grid.join(have, ["source", "concept"], "left").select(
         "source", "concept", "entities", v.alias("entities_with_value"),

@@ -242,7 +242,7 @@ def run_all_pairs(quads, links, cfg, edges=None, sources=None) -> MatchingRun:
     )
     modes = cut_lineage(modes)
     keys = cut_lineage(keys)
-    pairs = blocking.class_pairs(classes, keys, modes, cfg, order_of_rank)
+    pairs = blocking.class_pairs(classes, keys, modes, cfg)
     examined = cut_lineage(blocking.examine_pairs(pairs, classes, rejected, cfg, order_of_rank))
     scored = cut_lineage(score_classes(examined, classes, cfg))
     best = keep_best_proposals(scored.where("outcome = 'PROPOSABLE'"), members, cfg.max_proposals)
