@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from quadweave.functions.iri import local_name
 from quadweave.functions.text import collapse_ws, content_words, label_score, normalize, split_local_name, tokens
 from quadweave.operators.patterns import best_label, data_quads, iri_subjects, top_k_per_group
-from quadweave.runtime import broadcast_if_small, skew_safe_join
+from quadweave.runtime import broadcast_if_small, cut_lineage, skew_safe_join
 from quadweave.vocab import LABEL_PREDICATES, OWL, RDF_TYPE, RDFS, RDFS_LABEL, SKOS
 
 MIN_SCORE = 0.75
@@ -76,11 +76,13 @@ def search_labels(quads, queries, types=None, k=None, internal_source=None) -> D
         t = t.join(broadcast_if_small(types.select(F.col("type").alias("o")).distinct()), "o", "left_semi") if isinstance(types, DataFrame) else t.where(F.col("o").isin(list(types)))
         names = names.join(t.select(F.col("s").alias("iri")).distinct(), "iri", "left_semi")
     q = queries.select("query_id", F.array_distinct(tokens("text")).alias("qw")).where(F.size("qw") > 0)
-    texts = names.select("label").distinct().select("label", tokens("label").alias("lw")).where(F.size("lw") > 0)
+    # The words of labels are used for candidates and for scores: written once.
+    texts = cut_lineage(names.select("label").distinct().select("label", tokens("label").alias("lw")).where(F.size("lw") > 0))
+    q = cut_lineage(q)
     qw = q.select("query_id", F.explode("qw").alias("q"))
     lw = texts.select("label", F.explode(F.array_distinct("lw")).alias("w"))
     # Words first, then the labels containing them: a query meets only labels that may reach 0.75.
-    by_word = qw.join(similar_words(qw, lw), "q").select("query_id", "w").distinct()
+    by_word = cut_lineage(qw.join(similar_words(qw, lw), "q").select("query_id", "w").distinct())
     met = skew_safe_join(by_word, lw, ["w"], ["query_id"], ["label"]).select("query_id", "label").distinct()
     scored = met.join(texts, "label").join(q, "query_id").withColumn("raw", label_score(F.col("qw"), F.col("lw"))).where(
         F.col("raw") >= MIN_SCORE).select("query_id", "label", "raw")
@@ -88,6 +90,7 @@ def search_labels(quads, queries, types=None, k=None, internal_source=None) -> D
         F.max(F.struct("raw", "label")).alias("b")).select("query_id", "iri", "b.raw", "b.label")
     if k is not None:
         hit = top_k_per_group(hit, ["query_id"], [F.desc("raw"), "iri"], k).drop("rank")
+    hit = cut_lineage(hit)
     found = hit.select("iri").distinct()
     facts = data_quads(quads).join(broadcast_if_small(found.withColumnRenamed("iri", "s")), "s", "left_semi")
     inside = F.lit(False) if internal_source is None else F.col("source") == internal_source
