@@ -126,13 +126,10 @@ def apply_decisions(links, decisions, identical, now=None, max_rounds=1000) -> D
 
 
 def _same_action(ids, action):
-    return ids.select("ord" if "ord" in ids.columns else F.row_number().over(_by_id()).alias("ord"), "id", F.lit(action).alias("action"))
-
-
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.orderBy("id")
+    """One action for all ids; without ``ord`` they are taken in the order of their id."""
+    if "ord" not in ids.columns:
+        ids = ids.select("id").distinct().orderBy("id").withColumn("ord", F.monotonically_increasing_id())
+    return ids.select("ord", "id", F.lit(action).alias("action"))
 
 
 def accept(links, ids, identical, now=None) -> Decided:

@@ -605,3 +605,70 @@ def touched_subjects(spark, d):
     q = star(spark, d)
     after = q.where(~((F.col("p") == P + "balance") & F.col("o").startswith("-")))
     return U.touched_subjects(q, after, "crm")
+
+
+@query(SQ + "SELECT 'crm' AS source, count(*) + 2 * (SELECT count(*) FROM region) AS n FROM q WHERE source = 'crm'")
+def create_entities(spark, d):
+    new = spark.read.parquet(f"{d}/region.parquet").select(
+        F.concat(F.lit("urn:new:"), "r_regionkey").alias("s"), F.lit(RDF_TYPE).alias("p"), F.lit("urn:t:Region").alias("o"), F.lit("iri").alias("o_kind"))
+    out = U.create_entities(star(spark, d), new, "crm", "2026-01-01T00:00:00Z")
+    return out.where("source = 'crm'").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(SQ + f"SELECT DISTINCT s, 'http://purl.org/dc/terms/modified' AS p, '2026-01-01T00:00:00Z' AS o FROM q WHERE p = '{P}balance' AND source = 'crm' AND o LIKE '-%'")
+def stamp_changes(spark, d):
+    q = star(spark, d)
+    after = q.where(~((F.col("p") == P + "balance") & F.col("o").startswith("-")))
+    return U.stamp_changes(q, after, "crm", "2026-01-01T00:00:00Z").where(F.col("p").startswith("http://purl.org/dc/terms/")).select("s", "p", "o")
+
+
+@query(SQ + "SELECT s, p, o, 'OUTSIDE_INTERNAL_SOURCE' AS violation FROM q WHERE source = 'erp'")
+def check_writes(spark, d):
+    q = star(spark, d)
+    return U.check_writes(q.where("source in ('crm', 'erp')"), q, "crm")
+
+
+@query(SQ + f"SELECT s FROM q WHERE p = '{P}balance' AND s NOT IN (SELECT s FROM q WHERE p = '{P}segment')")
+def not_exists_pattern(spark, d):
+    q = star(spark, d)
+    return Pt.not_exists(Pt.pattern(q, "?s", P + "balance", "?b"), Pt.pattern(q, "?s", P + "segment", "?x")).select("s")
+
+
+@query(SQ + f"SELECT DISTINCT s FROM q WHERE p = '{P}balance' AND s NOT IN (SELECT s FROM q WHERE p = '{P}segment')")
+def drop_common_entities(spark, d):
+    q = star(spark, d)
+    a, _ = Pt.drop_common_entities(q.where(F.col("p") == P + "balance"), q.where(F.col("p") == P + "segment"), "s")
+    return a.select("s").distinct()
+
+
+@query("SELECT 'urn:t:Nation' AS type, count(*) AS n FROM nation UNION ALL SELECT 'urn:t:Supplier', count(*) FROM supplier")
+def group_by_matched_type(spark, d):
+    e = Pt.list_by_types(star(spark, d), ["urn:t:Nation", "urn:t:Supplier"])
+    return A.group_by_matched_type(e).select("type", F.size("entities").cast("long").alias("n"))
+
+
+@query("WITH " + LINKS_SQL + "SELECT CASE WHEN source_b = 'src1' THEN 'removed' ELSE 'unchanged' END AS change, count(*) AS pairs FROM l GROUP BY ALL")
+def proposal_diff(spark, d):
+    lk = _copy_links(spark, d, "PROPOSED")
+    return M.proposal_diff(lk, lk.where("source_b <> 'src1'"))[0]
+
+
+@query("SELECT 'urn:k:p' || p_partkey AS term, 'urn:k:n' || p_size AS domains, 'urn:k:r' || (p_size % 5) AS ranges, false AS functional FROM part")
+def term_details(spark, d):
+    t = Q.term_details(onto(spark, d))
+    return t.select("term", F.array_join("domains", "|").alias("domains"), F.array_join("ranges", "|").alias("ranges"), "functional")
+
+
+@query("WITH n AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS w FROM part), o AS (SELECT min('urn:k:p' || p_partkey) AS iri, p_name FROM part GROUP BY p_name) SELECT p_name AS query_id, iri FROM o")
+def resolve_terms(spark, d):
+    q = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("query_id"), F.col("p_name").alias("text")).distinct()
+    used = spark.createDataFrame([], "iri string, n long")
+    return Q.resolve_terms(q, used, onto(spark, d), ["OBJECT_PROPERTY"])
+
+
+@query("WITH " + LINKS_SQL + "SELECT source_a, iri_a, source_b, iri_b FROM l WHERE source_a = 'src0' AND source_b <> 'src1'")
+def filter_links(spark, d):
+    lk = _copy_links(spark, d, "PROPOSED")
+    fl = lk.select("id", (F.col("source_b") == "src1").alias("superseded"), F.lit(False).alias("orphan_a"), F.lit(False).alias("orphan_b"))
+    out = L.filter_links(lk.where("source_a = 'src0'"), fl, statuses=["PROPOSED"], min_score=0.5, q="URN:D:")
+    return out.select("source_a", "iri_a", "source_b", "iri_b")
