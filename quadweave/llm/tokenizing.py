@@ -26,6 +26,17 @@ PLAIN = rf"[{_LETTER}]++{_ENDS}|[^{_SPACE}]+"
 KEPT_WORDS = 200_000
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letters by which byte-level vocabularies write bytes: visible ones stand for themselves."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+_LETTERS = re.compile(f" ?[{_LETTER}]+").fullmatch
+
+
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit integers; memory is bounded by two generations of words."""
 
@@ -36,6 +47,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cut = re.compile(pattern).findall
+        # The vocabulary that keeps blanks keeps case too; the other folds it before it cuts.
+        self.keeps_case = pattern == SPACED
         self.kept_words = kept_words
         self.known, self.older = {}, {}
 
@@ -48,14 +61,25 @@ class WordEncoder:
                 self.known, self.older = {}, self.known
             again = new.intersection(self.older)
             self.known.update((w, self.older[w]) for w in again)
-            new = list(new.difference(again))
-            for i in range(0, len(new), 5_000):
-                part = new[i : i + 5_000]
-                found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found))
+            self._learn(new.difference(again))
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cuts]
 
+    def _learn(self, words):
+        """Runs of letters need no cutting: the library's model takes them as bytes. Others go the whole way."""
+        others, tokenize = [], self.tokenizer.model.tokenize
+        for w in words:
+            if _LETTERS(w):
+                plain = w.encode() if self.keeps_case else w.lower().encode()
+                tokens = tokenize(plain.decode("latin-1").translate(_BYTE_LETTERS))
+                self.known[w] = array("I", [t.id for t in tokens]).tobytes()
+            else:
+                others.append(w)
+        for i in range(0, len(others), 5_000):
+            part = others[i : i + 5_000]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found))
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> WordEncoder:
