@@ -235,7 +235,8 @@ def _taken(docs, ident, text, source, weights, block_words, shard_slots, max_rep
         "_id", "_hash", "_start", "_size", "_index",
         F.explode(F.sequence(F.floor(F.col("_start") / b), F.floor((F.col("_start") + F.col("_size") - 1) / b))).alias("_block"),
     )
-    slots = _slots(spark, plan, shard_slots, seed)
+    # Written, so that the join knows how many slots there are: a plan would take them for a handful.
+    slots = written(_slots(spark, plan, shard_slots, seed), "slots")
     # A block's end within its document, cut where the last slot of a source stops early.
     end = F.least(
         F.col("_start") + F.col("_size"),
