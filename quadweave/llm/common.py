@@ -2,6 +2,7 @@
 
 import re
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,6 +11,8 @@ from quadweave.runtime import shared_folder
 
 # A word: a run of anything but the six ASCII white-space characters.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Bytes of text a task hands to Python at once.
+BATCH_BYTES = "8m"
 SPACES = "\t\n\x0b\x0c\r "
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
@@ -19,10 +22,23 @@ def work_folder(spark, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/quadweave/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def bounded_batches(spark):
+    """Arrow batches of at most ``BATCH_BYTES`` for the jobs that run inside."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage is cut, sizes are known."""
     path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with bounded_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

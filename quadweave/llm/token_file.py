@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quadweave.llm.common import slices
+from quadweave.llm.common import bounded_batches, slices
 from quadweave.llm.tokenizing import SPACED, encoder
 
 END_ID = 0
@@ -132,12 +132,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, ident="doc_id", tex
             yield flush()[1]
 
     order = [F.col("_id"), F.xxhash64("_text")]
-    (
-        docs.select(F.col(ident).alias("_id"), F.col(text).alias("_text"))
-        .repartitionByRange(*order).sortWithinPartitions(*order)
-        .mapInArrow(segments, f"part int, seq int, first long, n_tokens long, doc_ids array<{id_type}>, starts array<long>, levels {_LEVELS}")
-        .write.option("compression", "none").parquet(f"{path}/segments")
-    )
+    rows = docs.select(F.col(ident).alias("_id"), F.col(text).alias("_text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    with bounded_batches(spark):
+        rows.mapInArrow(
+            segments, f"part int, seq int, first long, n_tokens long, doc_ids array<{id_type}>, starts array<long>, levels {_LEVELS}"
+        ).write.option("compression", "none").parquet(f"{path}/segments")
     parts = (
         read_segments(spark, path, id_type).groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).orderBy("part").collect()
     )  # one row per task that wrote

@@ -23,7 +23,7 @@ SPACED = rf" ?[{_LETTER}]++{_ENDS}| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_
 #: Words alone, for a vocabulary that drops white space.
 PLAIN = rf"[{_LETTER}]++{_ENDS}|[^{_SPACE}]+"
 
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 
 
 def _byte_letters() -> dict[int, int]:
