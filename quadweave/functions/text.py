@@ -130,6 +130,11 @@ def slug(col) -> Column:
     return F.when(s == "", F.lit("group")).otherwise(s)
 
 
+def not_blank(c) -> Column:
+    """Whether a text has a character that is not white space of any kind."""
+    return (F.col(c) if isinstance(c, str) else c).rlike(r"\P{javaWhitespace}")
+
+
 def collapse_ws(col) -> Column:
     """Whitespace runs as one space, trimmed."""
     c = F.col(col) if isinstance(col, str) else col

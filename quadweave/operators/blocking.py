@@ -13,19 +13,18 @@ from quadweave.operators.closures import shared_group
 from quadweave.plans.config import is_keyed_group, per_group
 from quadweave.runtime import broadcast_if_small, cut_lineage, skew_safe_join
 
-MAX_YEARS = 10
 
-
-def value_keys(comparator, cv) -> Column:
+def value_keys(comparator, cv, prefix=4) -> Column:
     """Blocking keys of one resolved value.
 
-    ``e:`` the normalised exact value; ``y:`` each year from the start, ten further at most;
-    ``t:`` each word of three letters or more and ``p:`` its first four.
+    ``e:`` the normalised exact value; ``y:`` each year of the interval; ``t:`` each word, and
+    ``p:`` the first ``prefix`` letters of words that have as many (0: no such keys).
     """
     norm = normalize_folded(fold(cv["text"]))
     first = F.year(cv["date"]["start"])
-    last = F.least(F.year(cv["date"]["end"]), first + MAX_YEARS)
-    words = F.filter(tokens_of_normalized(norm), lambda t: F.char_length(t) >= 3)
+    last = F.year(cv["date"]["end"])
+    words = tokens_of_normalized(norm)
+    stems = F.filter(words, lambda t: F.char_length(t) >= prefix) if prefix else F.array().cast("array<string>")
     none = F.array().cast("array<string>")
     return F.coalesce(
         F.when(
@@ -40,18 +39,18 @@ def value_keys(comparator, cv) -> Column:
             cv["text"].isNotNull(),
             F.array_union(
                 F.transform(words, lambda t: F.concat(F.lit("t:"), t)),
-                F.transform(words, lambda t: F.concat(F.lit("p:"), F.substring(t, 1, 4))),
+                F.transform(stems, lambda t: F.concat(F.lit("p:"), F.substring(t, 1, prefix))),
             ),
         ),
         none,
     )
 
 
-def blocking_keys(resolved) -> DataFrame:
+def blocking_keys(resolved, prefix=4) -> DataFrame:
     """(source, iri, rank, key): distinct keys of the values of keyed concepts."""
     return (
         resolved.where("keyed")
-        .select("source", "iri", "rank", F.explode(value_keys(F.col("comparator"), F.col("cv"))).alias("key"))
+        .select("source", "iri", "rank", F.explode(value_keys(F.col("comparator"), F.col("cv"), prefix)).alias("key"))
         .distinct()
     )
 
@@ -113,13 +112,13 @@ def class_pairs(classes, keys, modes, cfg) -> DataFrame:
     cols = ["class_a", "source_a", "class_b", "source_b", "rank"]
 
     parts = []
-    # 1. Groups small enough, or without blocking concepts: every pair of the group.
+    # 1. Groups to be compared whole, or without blocking concepts: every pair of the group.
     whole = modes.where("not blocked").select("source_a", "source_b", "rank")
     if _any(whole):
         left = a(member).join(broadcast_if_small(whole), ["source_a", "rank"])
         parts.append(skew_safe_join(left, b(member), ["source_b", "rank"], ["class_a"], ["class_b"]).select(*cols))
 
-    # 2. Large groups: pairs sharing a key.
+    # 2. Groups with keys: pairs sharing one.
     cut = modes.where("blocked").select("source_a", "source_b", "rank")
     if _any(cut):
         cut = broadcast_if_small(cut)

@@ -6,8 +6,6 @@ from quadweave.plans.config import group_types
 from quadweave.runtime import cut_lineage
 from quadweave.vocab import SUBCLASS_OF
 
-MAX_ROUNDS = 64
-
 
 def subclass_edges(quads: DataFrame) -> DataFrame:
     """(sub, super) pairs stated between named classes."""
@@ -32,17 +30,16 @@ def _reach(edges, src, dst, start=None):
         known = step
     known = cut_lineage(known)
     size = known.count()
-    for _ in range(MAX_ROUNDS):
+    while True:
         hop = (step if start is not None else known).select(
             F.col("origin").alias("reached"), F.col("reached").alias("next")
         )
         more = known.join(hop, "reached").select("origin", F.col("next").alias("reached"))
-        known = cut_lineage(known.unionByName(more).distinct())
+        known = cut_lineage(known.unionByName(more).distinct(), replaces=known)
         grown = known.count()
         if grown == size:
             return known
         size = grown
-    raise RuntimeError(f"closure not reached after {MAX_ROUNDS} rounds")
 
 
 def subclass_closure(edges: DataFrame, roots: DataFrame = None) -> DataFrame:
@@ -77,24 +74,41 @@ def type_subclasses(edges: DataFrame, root: str) -> DataFrame:
 def class_depth(edges: DataFrame) -> DataFrame:
     """(type, depth): length of the longest chain of superclasses above a class.
 
-    Classes on or below a cycle have no longest chain; their depth stops at the number of rounds
-    after which only cyclic chains keep growing.
+    Classes that are above each other form one level: edges inside a cycle add nothing, so a chain
+    ends where it would meet a class again.
     """
+    edges = cut_lineage(edges.select("sub", "super").where("sub <> super").distinct())
     nodes = edges.select(F.explode(F.array("sub", "super")).alias("type")).distinct()
-    depth = cut_lineage(nodes.withColumn("depth", F.lit(0)))
-    for _ in range(MAX_ROUNDS):
-        above = edges.join(depth.withColumnRenamed("type", "super"), "super")
-        lifted = above.groupBy(F.col("sub").alias("type")).agg((F.max("depth") + 1).alias("up"))
-        new = depth.join(lifted, "type", "left").select(
-            "type",
-            F.greatest("depth", F.coalesce("up", F.lit(0))).cast("int").alias("depth"),
-            (F.coalesce("up", F.lit(0)) > F.col("depth")).alias("changed"),
+    reach = _reach(edges, "sub", "super")
+    if reach.where("origin = reached").limit(1).count():
+        # Classes that reach each other share a level, named by the smallest of them.
+        mutual = reach.join(reach.select(F.col("reached").alias("origin"), F.col("origin").alias("reached")), ["origin", "reached"])
+        level = mutual.groupBy("origin").agg(F.min("reached").alias("low"))
+        level = nodes.join(level, F.col("type") == F.col("origin"), "left").select("type", F.least("type", F.coalesce("low", "type")).alias("level"))
+    else:
+        level = nodes.select("type", F.col("type").alias("level"))
+    level = cut_lineage(level)
+    up = (
+        edges.join(level.select(F.col("type").alias("sub"), F.col("level").alias("a")), "sub")
+        .join(level.select(F.col("type").alias("super"), F.col("level").alias("b")), "super")
+        .where("a <> b").select("a", "b").distinct()
+    )
+    up = cut_lineage(up)
+    depth = cut_lineage(level.select("level").distinct().withColumn("depth", F.lit(0)))
+    while True:
+        lifted = up.join(depth.withColumnRenamed("level", "b"), "b").groupBy(F.col("a").alias("level")).agg((F.max("depth") + 1).alias("up"))
+        new = cut_lineage(
+            depth.join(lifted, "level", "left").select(
+                "level", F.greatest("depth", F.coalesce("up", F.lit(0))).cast("int").alias("depth"),
+                (F.coalesce("up", F.lit(0)) > F.col("depth")).alias("changed"),
+            ),
+            replaces=depth,
         )
-        new = cut_lineage(new)
-        depth = new.select("type", "depth")
-        if new.where("changed").limit(1).count() == 0:
-            return depth
-    raise RuntimeError("the class hierarchy has a cycle")
+        done = new.where("changed").limit(1).count() == 0
+        depth = new.select("level", "depth")
+        depth._written_at = new._written_at
+        if done:
+            return level.join(depth, "level").select("type", "depth")
 
 
 def expanded_groups(spark, cfg, edges: DataFrame = None) -> DataFrame:

@@ -7,7 +7,6 @@ pairs within clusters are bounded by (number of sources)^2 per cluster.
 from pyspark.sql import DataFrame, functions as F
 
 from quadweave.functions.iri import link_id, node_key
-from quadweave.operators.closures import MAX_ROUNDS
 from quadweave.runtime import cut_lineage
 from quadweave.vocab import CONFIRMED, MATCHING_GRAPH, SAME_AS
 
@@ -48,7 +47,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     seen = fingerprint(e)
-    for _ in range(MAX_ROUNDS):
+    while True:
         # Large star: every neighbour larger than u points to the smallest of u and its neighbours.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -61,14 +60,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .unionByName(least.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct()
         )
-        e = cut_lineage(small)
+        e = cut_lineage(small, replaces=e)
         now = fingerprint(e)
         if now == seen:
             members = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
             roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             return members.unionByName(roots)
         seen = now
-    raise RuntimeError(f"components not stable after {MAX_ROUNDS} rounds")
 
 
 def build_clusters(links, identical) -> DataFrame:
@@ -237,7 +235,7 @@ def shortest_paths(edges, pairs) -> DataFrame:
         asked.select("start").distinct().select("start", F.col("start").alias("at"), none.alias("path"), F.array("start").alias("nodes"))
     )
     front = known
-    for _ in range(MAX_ROUNDS):
+    while True:
         hop = (
             front.join(step, front["at"] == step["x"])
             .select("start", F.col("y").alias("at"),
@@ -251,8 +249,7 @@ def shortest_paths(edges, pairs) -> DataFrame:
             return asked.join(known, (asked["goal"] == known["at"]) & (asked["start"] == known["start"])).select(
                 "source_a", "iri_a", "source_b", "iri_b", "path", "nodes"
             )
-        known = cut_lineage(known.unionByName(front))
-    raise RuntimeError(f"paths longer than {MAX_ROUNDS} edges")
+        known = cut_lineage(known.unionByName(front), replaces=known)
 
 
 def reconcile(links, clusters, identical, now=None) -> DataFrame:

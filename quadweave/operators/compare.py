@@ -2,7 +2,7 @@
 
 A value ready for comparison is a *feature*: a small struct with its normalised text, sorted words,
 content words, date, number and linked IRI, prepared once per value. A pair row carries the
-features of both sides (at most 20 per concept), so scoring is a row-local expression: no shuffle
+features of both sides, so scoring is a row-local expression: no shuffle
 gathers a pair's values, and hot entities can be split freely between tasks.
 """
 
@@ -15,8 +15,6 @@ from quadweave.functions.text import (
 )
 from quadweave.plans.config import concepts_of_group, per_group
 
-LONG_TEXT = 200
-
 
 # --- single comparators, as columns over two values ----------------------------------------
 
@@ -27,10 +25,12 @@ def cmp_text(a, b) -> Column:
     return F.when((F.size(wa) > 0) & (F.size(wb) > 0), jaccard(wa, wb))
 
 
-def cmp_string(a, b) -> Column:
-    """Indel ratio of normalised texts; over 200 characters the jaccard of content words."""
+def cmp_string(a, b, long_text=None) -> Column:
+    """Indel ratio of normalised texts; above ``long_text`` characters, if given, the jaccard of content words."""
     na, nb = normalize(a), normalize(b)
-    long = (F.char_length(na) > LONG_TEXT) | (F.char_length(nb) > LONG_TEXT)
+    if long_text is None:
+        return F.when((na != "") & (nb != ""), indel_ratio(na, nb))
+    long = (F.char_length(na) > long_text) | (F.char_length(nb) > long_text)
     short_ratio = indel_ratio(F.when(~long, na), F.when(~long, nb))
     return F.when((na != "") & (nb != ""), F.when(long, cmp_text(a, b)).otherwise(short_ratio))
 
@@ -71,13 +71,15 @@ def cmp_linked(iri_a, text_a, iri_b, text_b, cluster_a=None, cluster_b=None, fac
 # --- features -------------------------------------------------------------------------------
 
 
-def with_features(values, cluster_of_iri=None) -> DataFrame:
+def with_features(values, cluster_of_iri=None, long_text=None) -> DataFrame:
     """Add ``feature`` to resolved values (columns ``comparator``, ``cv``, ``rank``, ``pos``)."""
     cv, comparator = F.col("cv"), F.col("comparator")
     v = values
     if cluster_of_iri is not None:
         ids = cluster_of_iri.select(F.col("iri").alias("_iri"), F.col("cluster_id").alias("_cluster"))
-        v = v.join(ids, cv["iri"] == F.col("_iri"), "left").drop("_iri")
+        # Only linked entities are looked up: literals have no key and stay where they are.
+        links = v.where(cv["iri"].isNotNull()).join(ids, cv["iri"] == F.col("_iri"), "left").drop("_iri")
+        v = links.unionByName(v.where(cv["iri"].isNull()).withColumn("_cluster", F.lit(None).cast("string")))
     else:
         v = v.withColumn("_cluster", F.lit(None).cast("string"))
     has_text = cv["text"].isNotNull()
@@ -85,7 +87,7 @@ def with_features(values, cluster_of_iri=None) -> DataFrame:
     v = v.withColumn("_tokens", F.when(has_text, tokens_of_normalized(F.col("_norm"))))
     by_words = comparator.isin("text", "string") | ((comparator == "auto") & (cv["kind"] == "TEXT"))
     by_sorted = (comparator.isin("name", "linkedEntity")) | (cv["kind"] == "ENTITY") | (comparator == "auto")
-    is_long = by_words & (F.char_length("_norm") > LONG_TEXT)
+    is_long = by_words & (F.char_length("_norm") > long_text) if long_text is not None else F.lit(False)
     return v.withColumn(
         "feature",
         F.struct(

@@ -26,7 +26,7 @@ class Decided:
     revoked: bool
 
 
-def apply_decisions(links, decisions, identical, now=None, max_rounds=1000) -> Decided:
+def apply_decisions(links, decisions, identical, now=None) -> Decided:
     """Apply decisions (ord, id, action[, note]) with the result of applying them one by one.
 
     Actions: ACCEPT, REJECT, UNDO, LINK. Order matters only between decisions that touch a common
@@ -43,7 +43,7 @@ def apply_decisions(links, decisions, identical, now=None, max_rounds=1000) -> D
     pending = cut_lineage(known)
     links = cut_lineage(links)
     revoked = False
-    for _ in range(max_rounds):
+    while True:
         if pending.limit(1).count() == 0:
             report = reports[0]
             for r in reports[1:]:
@@ -436,7 +436,7 @@ def search_matchable(profiles, source, clusters, q=None, group_members=None, unm
         held = clusters.where(F.col("source") == unmatched_with).select("cluster_id").distinct()
         p = p.join(held, "cluster_id", "left_anti")
     page = p.orderBy(F.when(F.col("label").isNull(), 1).otherwise(0), fold("label"), "iri").limit(limit)
-    mates = clusters.join(broadcast_if_small(page.select("cluster_id", F.col("iri").alias("own")).where("cluster_id is not null"), limit + 1), "cluster_id").where(
+    mates = clusters.join(F.broadcast(page.select("cluster_id", F.col("iri").alias("own")).where("cluster_id is not null")), "cluster_id").where(
         ~((F.col("source") == source) & (F.col("iri") == F.col("own"))))
     mates = mates.groupBy(F.col("own").alias("iri")).agg(F.array_sort(F.collect_set(F.struct("source", "iri"))).alias("matched_with"))
     return page.join(mates, "iri", "left").select("source", "iri", "types", "label", "matched_with").orderBy(

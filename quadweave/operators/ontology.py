@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame, functions as F
 
 from quadweave.functions.iri import datatype_category, is_datatype, ontology_local_name
-from quadweave.operators.closures import MAX_ROUNDS
 from quadweave.runtime import cut_lineage
 from quadweave.vocab import OWL, RDF, RDF_TYPE, RDFS, RDFS_LABEL, SUBCLASS_OF
 
@@ -37,38 +36,56 @@ def extract_hierarchy(quads, namespace=None) -> DataFrame:
     return _within(h.select(F.col("s").alias("sub"), F.col("o").alias("super")).distinct(), "sub", namespace)
 
 
+def _list_cells(heads, rest) -> DataFrame:
+    """(node, cell, at): every cell of the list that starts at ``cell`` of ``heads`` (node, cell).
+
+    Pointer doubling: each round knows the cell 2^k further on and adds to the cells found so far
+    those 2^k behind them, so a list of n cells takes log n rounds. A cell that comes up again, in a
+    list that runs into itself, counts at its first place.
+    """
+    jump = cut_lineage(rest.select("cell", "next"))
+    cells = cut_lineage(heads.select("node", "cell", F.lit(0).cast("long").alias("at")))
+    size, reach = cells.count(), 1
+    while True:
+        further = cells.join(jump, "cell").select("node", F.col("next").alias("cell"), (F.col("at") + reach).alias("at"))
+        cells = cut_lineage(cells.unionByName(further).groupBy("node", "cell").agg(F.min("at").alias("at")), replaces=cells)
+        grown = cells.count()
+        if grown == size:
+            return cells
+        size, reach = grown, 2 * reach
+        ahead = jump.select(F.col("cell").alias("next"), F.col("next").alias("then"))
+        jump = cut_lineage(jump.join(ahead, "next").select("cell", F.col("then").alias("next")), replaces=jump)
+
+
 def flatten_lists(quads) -> DataFrame:
     """(node, pos, member): IRIs of every node that is a named class or a union, unions flattened.
 
-    ``node`` is any subject of owl:unionOf; nested unions are replaced by their members. Lists are
-    followed one cell per round for all lists at once; a cell already seen in its list ends it.
+    ``node`` is any subject of owl:unionOf; nested unions are replaced by their members. Lists of
+    any length are followed; a union that contains itself is an error.
     """
     first = quads.where((F.col("p") == RDF + "first") & (F.col("o_kind") != "literal")).groupBy("s").agg(
         F.min(F.struct("o", "o_kind")).alias("f")).select(F.col("s").alias("cell"), "f.o", "f.o_kind")
     rest = quads.where((F.col("p") == RDF + "rest") & (F.col("o_kind") != "literal") & (F.col("o") != RDF + "nil")).groupBy("s").agg(
         F.min("o").alias("next")).withColumnRenamed("s", "cell")
     unions = quads.where((F.col("p") == OWL + "unionOf") & (F.col("o_kind") != "literal")).groupBy("s").agg(F.min("o").alias("cell"))
-    front = cut_lineage(unions.where(F.col("cell") != RDF + "nil").select(F.col("s").alias("node"), "cell", F.lit(0).alias("at")))
-    seen = front
-    for _ in range(10_000):
-        step = front.join(rest, "cell").select("node", F.col("next").alias("cell"), (F.col("at") + 1).alias("at"))
-        front = cut_lineage(step.join(seen.select("node", "cell"), ["node", "cell"], "left_anti"))
-        if front.limit(1).count() == 0:
-            break
-        seen = cut_lineage(seen.unionByName(front))
-    items = seen.join(first, "cell").select("node", F.array("at").alias("pos"), F.col("o").alias("member"), F.col("o_kind").alias("kind"))
-    items = cut_lineage(items)
+    cells = _list_cells(unions.where(F.col("cell") != RDF + "nil").select(F.col("s").alias("node"), "cell"), rest)
+    items = cut_lineage(cells.join(first, "cell").select(
+        "node", F.array(F.col("at").cast("int")).alias("pos"), F.col("o").alias("member"), F.col("o_kind").alias("kind")))
     known = items.select(F.col("node").alias("inner"), F.col("pos").alias("ipos"), F.col("member").alias("imember"), F.col("kind").alias("ikind"))
+    inner = known.select("inner").distinct()
+    depth, deepest = 0, inner.count()
     out = items
-    for _ in range(MAX_ROUNDS):
-        nested = out.join(known.select("inner").distinct(), out["member"] == F.col("inner"), "left_semi")
+    while True:
+        nested = out.join(inner, out["member"] == F.col("inner"), "left_semi")
         if nested.limit(1).count() == 0:
             return out.where("kind = 'iri'").select("node", "pos", "member")
+        if depth > deepest:
+            raise ValueError("a union contains itself")
         deeper = nested.join(known, nested["member"] == known["inner"]).select(
             "node", F.concat("pos", "ipos").alias("pos"), F.col("imember").alias("member"), F.col("ikind").alias("kind"))
-        plain = out.join(known.select("inner").distinct(), out["member"] == F.col("inner"), "left_anti")
-        out = cut_lineage(plain.unionByName(deeper))
-    raise RuntimeError("unions nested too deeply or in a cycle")
+        plain = out.join(inner, out["member"] == F.col("inner"), "left_anti")
+        out = cut_lineage(plain.unionByName(deeper), replaces=out if depth else None)
+        depth += 1
 
 
 def resolve_members(df, quads, column, lists=None) -> DataFrame:
@@ -148,10 +165,10 @@ def extract_properties(quads, namespace=None) -> DataFrame:
     )
     none = F.array().cast("array<string>")
     first = F.try_element_at(F.coalesce("global_ranges", none), F.lit(1))
-    kind = F.when(F.col("k") == 1, "OBJECT_PROPERTY").when(F.col("k") == 2, "DATA_PROPERTY").when(
-        F.coalesce(is_datatype(first), F.lit(False)), "DATA_PROPERTY").otherwise("OBJECT_PROPERTY")
+    kind = F.when(F.col("k") == 1, "OBJECT_PROPERTY").when(F.col("k") == 2, "DATATYPE_PROPERTY").when(
+        F.coalesce(is_datatype(first), F.lit(False)), "DATATYPE_PROPERTY").otherwise("OBJECT_PROPERTY")
     out = out.withColumn("kind", kind).withColumn("ranges", F.coalesce("own_ranges", "global_ranges", none))
-    data = F.col("kind") == "DATA_PROPERTY"
+    data = F.col("kind") == "DATATYPE_PROPERTY"
     datatype = F.when(data, F.try_element_at("ranges", F.lit(1)))
     low, high = merge_cardinality(F.coalesce("functional", F.lit(False)), F.col("min"), F.col("max"))
     return out.select(

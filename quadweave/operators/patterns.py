@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quadweave.functions.text import fold
+from quadweave.functions.text import fold, not_blank
 from quadweave.runtime import broadcast_if_small
 from quadweave.vocab import CREATED, LABEL_PREDICATES, MODIFIED, RDF_TYPE, XSD
 
@@ -143,7 +143,7 @@ def first_by_priority(quads, predicates, keys=("s",)) -> DataFrame:
     map side, so a subject with many values costs nothing in the shuffle.
     """
     lit = quads.where(
-        F.col("p").isin(list(predicates)) & (F.col("o_kind") == "literal") & (F.trim("o") != "")
+        F.col("p").isin(list(predicates)) & (F.col("o_kind") == "literal") & not_blank("o")
     )
     order = F.struct(_priority(predicates).alias("rank"), F.col("o").alias("value"))
     return lit.groupBy(*keys).agg(F.min(order)["value"].alias("value"))
@@ -152,7 +152,7 @@ def first_by_priority(quads, predicates, keys=("s",)) -> DataFrame:
 def best_label(quads) -> DataFrame:
     """(s, label): label predicate, else any literal that is not a dateTime, else the IRI."""
     is_label = F.col("p").isin(LABEL_PREDICATES)
-    usable = (F.col("o_kind") == "literal") & (F.trim("o") != "")
+    usable = (F.col("o_kind") == "literal") & not_blank("o")
     fallback = usable & (F.coalesce("o_datatype", F.lit("")) != XSD + "dateTime")
     rank = F.when(usable & is_label, _priority(LABEL_PREDICATES)).when(
         fallback, F.lit(len(LABEL_PREDICATES))
@@ -225,7 +225,7 @@ def _capped(df, limit) -> DataFrame:
     return ordered if limit is None else ordered.limit(limit)
 
 
-def name_contains(quads, type_iri, text, limit=200) -> DataFrame:
+def name_contains(quads, type_iri, text, limit=None) -> DataFrame:
     """(s, name): entities of a type one of whose names contains the text, ordered by name."""
     hit = _names(quads).where(F.lower("name").contains(text.lower()))
     return _capped(
@@ -234,7 +234,7 @@ def name_contains(quads, type_iri, text, limit=200) -> DataFrame:
     )
 
 
-def property_contains(quads, type_iri, predicate, text, limit=200, name_predicate=LABEL_PREDICATES[0]) -> DataFrame:
+def property_contains(quads, type_iri, predicate, text, limit=None, name_predicate=LABEL_PREDICATES[0]) -> DataFrame:
     """(s, name, value): the same on a property's value, or on the name of the linked entity."""
     values = quads.where(F.col("p") == predicate).select("s", "o")
     linked = quads.where(F.col("p") == name_predicate).select(F.col("s").alias("o"), F.col("o").alias("oname"))
@@ -251,7 +251,7 @@ def property_contains(quads, type_iri, predicate, text, limit=200, name_predicat
     return _capped(hit.join(names, "s", "left").select("s", "name", "value"), limit)
 
 
-def list_by_type(quads, type_iri, limit=200) -> DataFrame:
+def list_by_type(quads, type_iri, limit=None) -> DataFrame:
     """(s, name): entities of a type with their smallest name, ordered by name."""
     names = _names(quads).groupBy("s").agg(F.min("name").alias("name"))
     return _capped(instances(quads, [type_iri]).join(names, "s", "left"), limit)
@@ -318,9 +318,10 @@ def filter_sort_page(df, term, search_columns, order_column, ascending=True, pag
     return sort_entities(df, order_column, ascending).offset(page * page_size).limit(page_size)
 
 
-def limit_default(df, n=None, default=50) -> DataFrame:
-    """Bounded result when no limit was given."""
-    return df.limit(default if n is None else n)
+def limit_default(df, n=None, default=None) -> DataFrame:
+    """``n`` rows, else ``default`` rows, else all."""
+    bound = default if n is None else n
+    return df if bound is None else df.limit(bound)
 
 
 def common_entities(a, b, key="iri") -> DataFrame:
@@ -336,6 +337,7 @@ def drop_common_entities(a, b, key="entity"):
 
 
 def top_k_per_group(df, keys, order, k, rank="rank") -> DataFrame:
-    """Best ``k`` rows per group. The rank filter is pushed below the shuffle by Spark."""
+    """Best ``k`` rows per group, all for ``None``. Spark pushes the rank filter below the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col(rank) <= k)

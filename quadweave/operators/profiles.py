@@ -3,12 +3,11 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quadweave.functions.dates import INTERVAL_TYPE, interval, parse_number, parse_partial_date, show_interval
+from quadweave.functions.text import not_blank
 from quadweave.operators.patterns import data_quads, first_by_priority, iri_subjects, profile_label, typed, wanted_quads
 from quadweave.plans.config import concept_predicates
 from quadweave.vocab import DATE_TYPES, NUMBER_TYPES, RICO, TEXT_PREDICATES
 
-MAX_VALUES_PER_SIDE = 20
-
 
 def linked_text(quads) -> DataFrame:
     """(iri, text): what a linked IRI is called, in any data graph."""
@@ -30,7 +29,7 @@ def linked_date(quads) -> DataFrame:
         "begin": RICO + "beginningDate",
         "end": RICO + "endDate",
     }
-    literal = (F.col("o_kind") == "literal") & (F.trim("o") != "")
+    literal = (F.col("o_kind") == "literal") & not_blank("o")
     first = (
         data.where(F.col("p").isin(list(names.values())) & literal)
         .groupBy("s")
@@ -124,7 +123,9 @@ def resolve_values(values, quads, linked=True) -> DataFrame:
         (comparator == "auto") & is_lit & F.coalesce("o_datatype", F.lit("")).isin(NUMBER_TYPES)
     )
     if linked:
-        v = values.join(_looked_up(values, quads), ["o", "o_kind"], "left")
+        # Literals are not looked up: a frequent one would send all its rows to one task.
+        found = values.where(is_iri).join(_looked_up(values, quads), ["o", "o_kind"], "left")
+        v = found.unionByName(values.where(~is_iri), allowMissingColumns=True)
     else:
         v = values.withColumn("l_text", F.lit(None).cast("string")).withColumn("l_date", F.lit(None).cast(INTERVAL_TYPE))
     v = v.withColumn("date", F.when(wants_date & is_lit, parse_partial_date("o")).when(wants_date, F.col("l_date")))
@@ -160,17 +161,17 @@ def resolve_values(values, quads, linked=True) -> DataFrame:
     )
 
 
-def first_values(resolved, n=MAX_VALUES_PER_SIDE) -> DataFrame:
-    """The ``n`` first values per entity and concept, with their position ``pos``."""
+def numbered_values(resolved) -> DataFrame:
+    """Every value with its position ``pos`` among those of its entity and concept."""
     w = Window.partitionBy("source", "iri", "group_order", "concept_no").orderBy(
         "predicate_pos", "o", "o_kind", F.coalesce("o_datatype", F.lit("")), F.coalesce("o_lang", F.lit(""))
     )
-    return resolved.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n)
+    return resolved.withColumn("pos", F.row_number().over(w))
 
 
 def profile_values(quads, cfg) -> DataFrame:
     """Long table of resolved values; see the contract in the survey."""
-    return first_values(resolve_values(concept_values(quads, cfg), quads))
+    return numbered_values(resolve_values(concept_values(quads, cfg), quads))
 
 
 def profiles(quads, cfg) -> DataFrame:

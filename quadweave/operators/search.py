@@ -103,9 +103,9 @@ def search_labels(quads, queries, types=None, k=None, internal_source=None) -> D
 def resolve_names(quads, names, types=None) -> DataFrame:
     """(query_id, status, iri, candidates): the one entity a name denotes, else the candidates.
 
-    Resolved with a single match, or when only the first of the eight best scores 0.9 or more.
+    Resolved with a single match, or when only the first of all hits scores 0.9 or more.
     """
-    hits = search_labels(quads, names, types, k=8)
+    hits = search_labels(quads, names, types)
     per = hits.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= 0.9).alias("strong"),
         F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), F.col("iri").alias("iri")))).alias("c"))
@@ -240,19 +240,22 @@ def similar_questions(history, queries, n=None) -> DataFrame:
     return out if n is None else top_k_per_group(out, ["query_id"], [F.desc("score"), "id"], n).drop("rank")
 
 
-def examples(history, queries, n) -> DataFrame:
-    """(query_id, id, rank): similar questions, completed up to three with the most recent ones."""
+def examples(history, queries, n, fill=None) -> DataFrame:
+    """(query_id, id, rank): the ``n`` most similar questions, completed up to ``fill`` with the most recent ones.
+
+    ``fill`` is ``n`` by default.
+    """
     sim = top_k_per_group(similar_questions(history, queries), ["query_id"], [F.desc("score"), "id"], n)
-    want = min(n, 3)
-    # n + 3 most recent questions are enough to complete any list.
-    recent = history.orderBy(F.desc("at"), "id").limit(n + 3).select("id", "at").collect()
+    want = n if fill is None else min(n, fill)
+    # As many of the most recent questions are enough to complete any list.
+    recent = history.orderBy(F.desc("at"), "id").limit(n + want).select("id", "at").collect()
     if not recent:
         return sim.select("query_id", "id", "rank")
     latest = F.explode(F.array(*[F.struct(F.lit(r.id).alias("id"), F.lit(r.at).alias("at")) for r in recent])).alias("r")
     more = queries.select("query_id", latest).select("query_id", "r.id", "r.at").join(sim.select("query_id", "id"), ["query_id", "id"], "left_anti")
     both = sim.select("query_id", "id", F.lit(0).alias("late"), F.col("rank").alias("o"), F.lit(None).cast("timestamp").alias("at")).unionByName(
         more.select("query_id", "id", F.lit(1).alias("late"), F.lit(0).alias("o"), F.col("at").cast("timestamp").alias("at")))
-    ranked = top_k_per_group(both, ["query_id"], ["late", "o", F.desc("at"), "id"], max(n, 3))
+    ranked = top_k_per_group(both, ["query_id"], ["late", "o", F.desc("at"), "id"], n)
     return ranked.where((F.col("late") == 0) | (F.col("rank") <= want)).select("query_id", "id", "rank")
 
 

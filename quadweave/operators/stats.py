@@ -52,11 +52,11 @@ def predicate_usage(quads, types) -> DataFrame:
     return rows.groupBy("p", "source").agg(F.countDistinct("s").alias("subjects"))
 
 
-def predicate_profile(quads, types, properties=None, edges=None, prefixes=None, samples=3) -> DataFrame:
+def predicate_profile(quads, types, properties=None, edges=None, prefixes=None, samples=None, shown_chars=None) -> DataFrame:
     """(p, total, kind, average_length, samples, defined, label, comparator) for the given types.
 
-    ``kind`` is the dominant value kind, ties by name; ``samples`` are the smallest distinct values,
-    80 characters shown. ``properties`` (uri, label, kind, domain, datatype) adds those declared on
+    ``kind`` is the dominant value kind, ties by name; ``samples`` are the distinct values, or the
+    ``samples`` smallest of them, ``shown_chars`` characters of each if given. ``properties`` (uri, label, kind, domain, datatype) adds those declared on
     the types or their superclasses.
     """
     rows = _of_types(quads, types).where(F.col("p") != RDF_TYPE)
@@ -73,7 +73,8 @@ def predicate_profile(quads, types, properties=None, edges=None, prefixes=None,
         F.min(F.struct((-F.col("n")).alias("n"), F.col("kind").alias("kind")))["kind"].alias("kind"),
         (F.sum("chars") / F.nullif(F.sum("literals"), F.lit(0))).alias("average_length"),
     )
-    shown = F.when(F.char_length("o") > 80, F.concat(F.substring("o", 1, 80), F.lit("…"))).otherwise(F.col("o"))
+    shown = F.col("o") if shown_chars is None else F.when(
+        F.char_length("o") > shown_chars, F.concat(F.substring("o", 1, shown_chars), F.lit("…"))).otherwise(F.col("o"))
     some = top_k_per_group(rows.select("p", "o").distinct(), ["p"], ["o"], samples).groupBy("p").agg(
         F.array_sort(F.collect_list(shown)).alias("samples"))
     out = total.join(dominant, "p").join(some, "p")
@@ -216,38 +217,43 @@ def vocabulary_types(onto_edges, configured=None) -> DataFrame:
     return type_subclasses(onto_edges, RICO + "Type").unionByName(extra).distinct()
 
 
-def usage_profile(quads, vocabulary=None, max_types=30, max_predicates=25, max_values=8, only_predicates=None):
+def usage_profile(quads, vocabulary=None, max_types=None, max_predicates=None, max_values=None, max_targets=None, max_chars=None, only_predicates=None):
     """Aggregate picture of the data: dict of frames.
 
     ``types`` (type, entities): the largest types; ``predicates`` (type, p, subjects, sources,
     kinds); ``values`` (type, p, o, o_kind, n, label): recurring short values, then vocabulary
-    entries. Only literals under 40 characters are shown, so free text never appears.
+    entries. All of them by default; each bound is an argument. ``max_chars`` leaves out longer
+    literals, so that free text does not appear.
     """
     data = data_quads(quads)
     # Triples of the union of graphs are a set; the type may be stated in any graph.
     t = quads.where((F.col("p") == RDF_TYPE)).select("s", F.col("o").alias("type")).distinct()
     sized = _type_rows(quads).groupBy("type").agg(F.countDistinct("s").alias("entities"))
-    types = sized.orderBy(F.desc("entities"), "type").limit(max_types)
-    t = t.join(F.broadcast(types.select("type")), "type", "left_semi")  # max_types rows
+    types = sized.orderBy(F.desc("entities"), "type")
+    if max_types is not None:
+        types = types.limit(max_types)
+        t = t.join(types.select("type"), "type", "left_semi")
     facts = exclude_bookkeeping(data)
     if only_predicates is not None:
         facts = facts.join(broadcast_if_small(only_predicates.select("p").distinct()), "p", "left_semi")
     base = facts.join(t, "s")
     per = base.groupBy("type", "p").agg(F.countDistinct("s").alias("subjects"), F.array_sort(F.collect_set("source")).alias("sources"))
     preds = top_k_per_group(per, ["type"], [F.desc("subjects"), "p"], max_predicates).drop("rank")
-    keep = F.broadcast(preds.select("type", "p"))  # max_types x max_predicates rows
-    base = base.join(keep, ["type", "p"], "left_semi")
+    if max_predicates is not None:
+        base = base.join(preds.select("type", "p"), ["type", "p"], "left_semi")
     text = F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("text@"), "o_lang")).when(
         F.coalesce("o_datatype", F.lit(XSD + "string")).endswith("#string"), F.lit("text")).otherwise(compact_iri("o_datatype"))
     lit_kinds = base.where("o_kind = 'literal'").groupBy("type", "p", text.alias("kind")).agg(F.count(F.lit(1)).alias("n")).withColumn("after", F.lit(0))
     targets = base.where("o_kind = 'iri'").select("type", "p", "o").distinct().join(
         quads.where(F.col("p") == RDF_TYPE).select(F.col("s").alias("o"), F.col("o").alias("ot")).distinct(), "o")
-    linked = top_k_per_group(targets.groupBy("type", "p", "ot").agg(F.count(F.lit(1)).alias("n")), ["type", "p"], [F.desc("n"), "ot"], 3)
+    linked = top_k_per_group(targets.groupBy("type", "p", "ot").agg(F.count(F.lit(1)).alias("n")), ["type", "p"], [F.desc("n"), "ot"], max_targets)
     linked = linked.select("type", "p", F.concat(F.lit("→ "), compact_iri("ot")).alias("kind"), "n", F.lit(1).alias("after"))
     kinds = lit_kinds.unionByName(linked).groupBy("type", "p").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("after", (-F.col("n")).alias("n"), "kind"))), lambda x: x["kind"]).alias("kinds"))
     preds = preds.join(kinds, ["type", "p"], "left").withColumn("kinds", F.coalesce("kinds", F.array(F.lit("→ entity"))))
-    shown = (F.col("o_kind") == "iri") | ((F.col("o_kind") == "literal") & (F.char_length("o") < 40))
+    shown = F.col("o_kind") != "bnode"
+    if max_chars is not None:
+        shown = (F.col("o_kind") == "iri") | ((F.col("o_kind") == "literal") & (F.char_length("o") <= max_chars))
     counts = base.where(shown).groupBy("type", "p", "o", "o_kind").agg(F.count(F.lit(1)).alias("n"))
     again = counts.where("n >= 2").withColumn("late", F.lit(0))
     if vocabulary is not None:
@@ -261,7 +267,7 @@ def usage_profile(quads, vocabulary=None, max_types=30, max_predicates=25, max_v
     return {"types": types, "predicates": preds, "values": values.join(names, "o", "left")}
 
 
-def find_usage(quads, text, type_iri=None, term_hits=None, max_predicates=6, max_types=4):
+def find_usage(quads, text, type_iri=None, term_hits=None, max_predicates=None, max_types=None):
     """(p, type, entities, subjects): use of the predicates a phrase may mean, on their main types.
 
     A predicate matches when a word of its local name equals a word of the phrase, or is similar
@@ -276,11 +282,12 @@ def find_usage(quads, text, type_iri=None, term_hits=None, max_predicates=6, max
     cand = hit.select("p").distinct().withColumn("order", F.lit(0))
     if term_hits is not None:
         cand = cand.unionByName(term_hits.select("p", F.col("hit_rank").alias("order")).join(cand, "p", "left_anti"))
-    cand = cand.orderBy("order", "p").limit(max_predicates)
+    if max_predicates is not None:
+        cand = cand.orderBy("order", "p").limit(max_predicates)
     t = quads.where(F.col("p") == RDF_TYPE).select("s", F.col("o").alias("type")).distinct()
     if type_iri is not None:
         t = t.where(F.col("type") == type_iri)
-    use = data_quads(quads).join(F.broadcast(cand.select("p")), "p").select("p", "s").distinct().join(t, "s")
+    use = data_quads(quads).join(cand.select("p"), "p").select("p", "s").distinct().join(t, "s")
     per = use.groupBy("p", "type").agg(F.count(F.lit(1)).alias("subjects"))
     top = top_k_per_group(per, ["p"], [F.desc("subjects"), "type"], max_types).drop("rank")
     size = t.groupBy("type").agg(F.count(F.lit(1)).alias("entities"))

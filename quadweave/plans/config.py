@@ -49,6 +49,8 @@ class Group:
     minimum_weight: float
     own_threshold: float = None
     own_minimum_weight: float = None
+    # "keys": entities meet through blocking keys; "all": every pair of the group.
+    candidates: str = "keys"
 
 
 @dataclass
@@ -60,7 +62,10 @@ class Config:
     max_proposals: int = 5
     compare_untyped: bool = False
     include_subclasses: bool = True
-    blocking_minimum_pairs: int = 250_000
+    # Characters beyond which "string" compares words instead of letters; None: never.
+    long_text: int | None = None
+    # Letters of the prefix keys beside the word keys; 0: none.
+    prefix_key: int = 4
 
     def predicates(self):
         """Concept predicates in configuration order, without duplicates."""
@@ -124,7 +129,8 @@ def load_config(document):
         int(given.get("maxProposalsPerEntity", 5)),
         bool(given.get("compareUntypedEntities", False)),
         bool(given.get("includeSubclasses", True)),
-        int(given.get("blockingMinimumPairs", 250_000)),
+        int(given["longText"]) if "longText" in given else None,
+        int(given.get("prefixKey", 4)),
     )
     nodes = [g for g in doc.get("equivalentGroups") or [] if isinstance(g, dict)]
     taken = {g["id"] for g in nodes if (g.get("id") or "").strip()}
@@ -148,6 +154,7 @@ def load_config(document):
                 cfg.minimum_weight if own_w is None else float(own_w),
                 own_t,
                 own_w,
+                g.get("candidates") or "keys",
             )
         )
     return cfg
@@ -163,7 +170,8 @@ def as_document(cfg):
             "maxProposalsPerEntity": cfg.max_proposals,
             "compareUntypedEntities": cfg.compare_untyped,
             "includeSubclasses": cfg.include_subclasses,
-            "blockingMinimumPairs": cfg.blocking_minimum_pairs,
+            "longText": cfg.long_text,
+            "prefixKey": cfg.prefix_key,
         },
         "equivalentGroups": [
             {
@@ -172,6 +180,7 @@ def as_document(cfg):
                 "equivalentTypes": g.types,
                 "threshold": g.own_threshold,
                 "minimumComparedWeight": g.own_minimum_weight,
+                "candidates": g.candidates,
                 "requiredConcepts": g.required,
                 "properties": {
                     c.key: {
@@ -217,8 +226,10 @@ def validate_config(cfg):
         error("defaults.minimumComparedWeight", "OUT_OF_RANGE")
     if not 1 <= cfg.max_proposals <= 50:
         error("defaults.maxProposalsPerEntity", "OUT_OF_RANGE")
-    if cfg.blocking_minimum_pairs < 0:
-        error("defaults.blockingMinimumPairs", "OUT_OF_RANGE")
+    if cfg.long_text is not None and cfg.long_text < 1:
+        error("defaults.longText", "OUT_OF_RANGE")
+    if cfg.prefix_key < 0:
+        error("defaults.prefixKey", "OUT_OF_RANGE")
     seen = set()
     for i, g in enumerate(cfg.groups):
         at = f"equivalentGroups[{i}]"
@@ -231,6 +242,8 @@ def validate_config(cfg):
             error(at + ".groupLabel", "REQUIRED")
         if not g.types:
             error(at + ".equivalentTypes", "REQUIRED")
+        if g.candidates not in ("keys", "all"):
+            error(at + ".candidates", "UNKNOWN_VALUE")
         for t in g.types:
             if "://" not in t and not t.startswith("urn:"):
                 error(at + ".equivalentTypes", "INVALID_IRI")
@@ -333,4 +346,5 @@ def per_group(cfg, value, group_order="group_order"):
 
 
 def is_keyed_group(group):
-    return any(c.blocking and c.comparator in BLOCKING_COMPARATORS for c in group.concepts)
+    """Whether entities of the group meet through keys: a stated setting, whatever the group's size."""
+    return group.candidates == "keys" and any(c.blocking and c.comparator in BLOCKING_COMPARATORS for c in group.concepts)

@@ -14,7 +14,7 @@ from quadweave.operators.clusters import build_clusters
 from quadweave.operators.compare import score_pairs, with_features
 from quadweave.operators.patterns import identical_iris
 from quadweave.operators.profiles import (
-    MAX_VALUES_PER_SIDE, concept_values, first_values, has_linked_values, profiles, resolve_values,
+    concept_values, has_linked_values, numbered_values, profiles, resolve_values,
 )
 from quadweave.plans.config import is_keyed_group, per_group
 from quadweave.runtime import broadcast_if_small, cut_lineage
@@ -80,7 +80,7 @@ def entity_classes(entities, values, clusters, rejected, cfg):
 
     Everything that decides candidates and scores is part of the class digest: groups, the compared
     values in order, the sources of the entity's cluster, and the entity itself when it takes part
-    in a rejected link or has more values than are compared.
+    in a rejected link.
     """
     grouped = F.size("groups") > 0
     eligible = entities.where(grouped | F.col("untyped") if cfg.compare_untyped else grouped)
@@ -98,23 +98,20 @@ def entity_classes(entities, values, clusters, rejected, cfg):
     else:
         e = e.withColumn("special", F.lit(None).cast("boolean"))
 
-    counted = values.groupBy("source", "iri", "rank", "concept_no").agg(F.count(F.lit(1)).alias("n_values"))
-    crowded = counted.where(F.col("n_values") > MAX_VALUES_PER_SIDE).select("source", "iri").distinct().withColumn("crowded", F.lit(True))
-
     linked = any(c.comparator in ("linkedEntity", "auto") for g in cfg.groups for c in g.concepts)
     by_iri = clusters.groupBy("iri").agg(F.min("cluster_id").alias("cluster_id")) if linked else None
     # A literal decides its resolved value; what a linked entity stands for is added.
     linked_cv = F.when(F.col("o_kind") == "iri", F.col("cv")).alias("cv")
     feats = (
-        with_features(first_values(values), by_iri)
+        with_features(numbered_values(values), by_iri, cfg.long_text)
         .withColumn("digest", F.sha2(F.to_json(F.struct("o", "o_kind", "o_datatype", "o_lang", linked_cv, "feature.cluster")), 256))
         .groupBy("source", "iri")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "concept_no", "pos", "digest", "feature"))).alias("vals"))
     )
-    e = e.join(feats, ["source", "iri"], "left").join(crowded, ["source", "iri"], "left")
+    e = e.join(feats, ["source", "iri"], "left")
     usable = F.filter(F.coalesce("vals", F.array()), lambda v: F.col("untyped") | F.array_contains("groups", v["rank"]))
     e = e.withColumn("vals", usable)
-    alone = F.coalesce("special", F.lit(False)) | F.coalesce("crowded", F.lit(False))
+    alone = F.coalesce("special", F.lit(False))
     digest = F.sha2(
         F.to_json(
             F.struct(
@@ -145,7 +142,7 @@ def entity_classes(entities, values, clusters, rejected, cfg):
     )
     reps = classes.select("source", F.col("rep").alias("iri"), "class_id", "groups", "untyped")
     keys = (
-        blocking.blocking_keys(values)
+        blocking.blocking_keys(values, cfg.prefix_key)
         .join(reps, ["source", "iri"])
         .where(F.col("untyped") | F.array_contains("groups", F.col("rank")))
         .select("class_id", "source", "rank", "key")
@@ -194,7 +191,7 @@ def keep_best_proposals(scored, members, k) -> DataFrame:
 def with_displays(proposals, values) -> DataFrame:
     """Replace value positions in the evidence by the values shown to a reader."""
     shown = (
-        first_values(values)
+        numbered_values(values)
         .select("source", "iri", "rank", "concept_no", "pos", F.col("cv")["display"].alias("display"))
         .groupBy("source", "iri")
         .agg(F.collect_list(F.struct("rank", "concept_no", "pos", "display")).alias("shown"))
@@ -238,7 +235,7 @@ def run_all_pairs(quads, links, cfg, edges=None, sources=None) -> MatchingRun:
     classes, members, keys = entity_classes(entities, values, clusters, rejected, cfg)
     modes = blocking.group_sizes(classes, cfg).join(F.broadcast(order_of_rank), "rank").withColumn(
         "blocked",
-        per_group(cfg, is_keyed_group) & (F.col("pairs") > cfg.blocking_minimum_pairs),
+        per_group(cfg, is_keyed_group),
     )
     modes = cut_lineage(modes)
     keys = cut_lineage(keys)
@@ -409,7 +406,7 @@ def score_given_pairs(pairs, quads, cfg, clusters, edges=None) -> DataFrame:
     ranks = F.broadcast(order_of_rank)
     values = resolve_values(concept_values(own, cfg), data).join(ranks, "group_order")
     by_iri = clusters.groupBy("iri").agg(F.min("cluster_id").alias("cluster_id"))
-    feats = with_features(first_values(values), by_iri).groupBy("source", "iri").agg(
+    feats = with_features(numbered_values(values), by_iri, cfg.long_text).groupBy("source", "iri").agg(
         F.array_sort(F.collect_list(F.struct("rank", "concept_no", "pos", "feature"))).alias("v"))
     p = pairs.select(*keys).distinct()
     for s in "ab":

@@ -140,13 +140,13 @@ def list_by_types(spark, d):
     return Pt.list_by_types(star(spark, d), ["urn:t:Nation", "urn:t:Supplier"], "erp").select("s", joined(F.col("matched_types")).alias("types"), "origin", "label")
 
 
-@query(SQ + f"SELECT s, min(o) AS name FROM q WHERE p IN ({LABELS}) AND s LIKE 'urn:c:%' AND lower(o) LIKE '%99%' GROUP BY s ORDER BY name, s LIMIT 200")
+@query(SQ + f"SELECT s, min(o) AS name FROM q WHERE p IN ({LABELS}) AND s LIKE 'urn:c:%' AND lower(o) LIKE '%99%' GROUP BY s")
 def name_contains(spark, d):
     return Pt.name_contains(star(spark, d), "urn:t:Customer", "99")
 
 
 @query(SQ + f"SELECT a.s, min(n.o) AS name, min(r.o) AS value FROM q a JOIN q r ON r.s = a.o AND r.p = '{RDFS_LABEL}' LEFT JOIN q n ON n.s = a.s AND n.p IN ({LABELS}) "
-       f"WHERE a.p = '{P}nation' AND a.s LIKE 'urn:c:%' AND lower(r.o) LIKE '%nation_1%' GROUP BY a.s ORDER BY name, a.s LIMIT 200")
+       f"WHERE a.p = '{P}nation' AND a.s LIKE 'urn:c:%' AND lower(r.o) LIKE '%nation_1%' GROUP BY a.s")
 def property_contains(spark, d):
     return Pt.property_contains(star(spark, d), "urn:t:Customer", P + "nation", "nation_1", name_predicate=RDFS_LABEL)
 
@@ -204,7 +204,7 @@ def predicate_usage(spark, d):
     return A.predicate_usage(star(spark, d), ["urn:t:Customer", "urn:t:Supplier"])
 
 
-@query(SQ + f", b AS (SELECT * FROM q WHERE source IN ('crm', 'erp') AND p <> '{RDF_TYPE}'), smp AS (SELECT p, string_agg(o, '|' ORDER BY o) AS samples FROM (SELECT p, o, row_number() OVER (PARTITION BY p ORDER BY o) AS r FROM (SELECT DISTINCT p, o FROM b)) WHERE r <= 3 GROUP BY p) "
+@query(SQ + f", b AS (SELECT * FROM q WHERE source IN ('crm', 'erp') AND p <> '{RDF_TYPE}'), smp AS (SELECT p, string_agg(o, '|' ORDER BY o) AS samples FROM (SELECT DISTINCT p, o FROM b) GROUP BY p) "
        "SELECT b.p, count(*) AS total, round(avg(CASE WHEN o_kind = 'literal' THEN length(o) END), 6) AS average_length, max(CASE WHEN o_kind = 'iri' THEN 'linkedEntity' "
        f"WHEN o_datatype LIKE '%#decimal' THEN 'number' WHEN b.p IN ({LABELS}) THEN 'name' ELSE 'string' END) AS comparator, max(samples) AS samples FROM b JOIN smp USING (p) GROUP BY b.p")
 def predicate_profile(spark, d):
@@ -213,7 +213,7 @@ def predicate_profile(spark, d):
 
 
 DOC_CONFIG = {
-    "defaults": {"threshold": 0.75, "minimumComparedWeight": 2.0, "maxProposalsPerEntity": 5, "blockingMinimumPairs": 0},
+    "defaults": {"threshold": 0.75, "minimumComparedWeight": 2.0, "maxProposalsPerEntity": 5},
     "equivalentGroups": [{
         "id": "document", "groupLabel": "Document", "equivalentTypes": ["urn:t:Document"], "requiredConcepts": ["text"],
         "properties": {
@@ -240,7 +240,7 @@ def count_by_type(spark, d):
     return A.count_by_type(star(spark, d), "urn:t:Customer")
 
 
-@query("SELECT 'urn:part:' || p_partkey AS s, p_name AS name FROM part ORDER BY p_name, s LIMIT 200")
+@query("SELECT 'urn:part:' || p_partkey AS s, p_name AS name FROM part")
 def list_by_type(spark, d):
     return Pt.list_by_type(star(spark, d), "urn:t:Part")
 
@@ -255,13 +255,13 @@ def types_by_namespace(spark, d):
     return A.types_by_namespace(events(spark, d)).select("namespace", F.array_join("used", "|").alias("used"))
 
 
-@query("SELECT 'urn:t:Document' AS type, min('urn:d:' || doc_id) AS s, 4 AS triples FROM documents")
+@query("WITH k AS (SELECT 'urn:d:' || doc_id AS s, 1 + count(text) + count(lang) + count(n_chars) AS n FROM documents GROUP BY doc_id) SELECT 'urn:t:Document' AS type, s, n::INT AS triples FROM k ORDER BY n DESC, s LIMIT 1")
 def richest_entity(spark, d):
     return A.richest_entity(docs(spark, d)).select("type", "s", F.col("triples").cast("int").alias("triples"))
 
 
 @query(SQ + f", b AS (SELECT t.o AS type, q.p, q.o, q.s, q.o_kind FROM q JOIN q t ON t.s = q.s AND t.p = '{RDF_TYPE}' WHERE q.p <> '{RDF_TYPE}') "
-       "SELECT type, p, o, n, r AS position FROM (SELECT type, p, o, n, row_number() OVER (PARTITION BY type, p ORDER BY n DESC, o) AS r FROM (SELECT type, p, o, count(*) AS n FROM b WHERE o_kind = 'iri' OR length(o) < 40 GROUP BY type, p, o HAVING count(*) >= 2)) WHERE r <= 8")
+       "SELECT type, p, o, n, r AS position FROM (SELECT type, p, o, n, row_number() OVER (PARTITION BY type, p ORDER BY n DESC, o) AS r FROM (SELECT type, p, o, count(*) AS n FROM b GROUP BY type, p, o HAVING count(*) >= 2))")
 def recurring_values(spark, d):
     v = A.usage_profile(star(spark, d))["values"]
     return v.select("type", "p", "o", "n", F.col("position").cast("long").alias("position"))
@@ -310,13 +310,6 @@ def edit_similarity(spark, d):
     return m.select("x", "y", F.round(T.edit_similarity(F.col("x"), F.col("y")), 9).alias("similarity"))
 
 
-@query()
-def name_similarity(spark, d):
-    n = spark.read.parquet(f"{d}/part.parquet").select("p_name").distinct().withColumn("k", F.substring_index("p_name", " ", 1))
-    m = n.select("k", F.col("p_name").alias("x")).join(n.select("k", F.col("p_name").alias("y")), "k")
-    return m.select("x", "y", compare.cmp_name(F.col("x"), F.col("y")).alias("score"))
-
-
 @query("SELECT o_orderkey, CAST(make_date(year(o_orderdate)::BIGINT, month(o_orderdate)::BIGINT, 1::BIGINT) AS VARCHAR) AS first_day, CAST(last_day(o_orderdate) AS VARCHAR) AS last_day FROM orders")
 def partial_dates(spark, d):
     t = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", parse_partial_date(F.date_format("o_orderdate", "yyyy-MM")).alias("i"))
@@ -365,7 +358,7 @@ def score_histogram(spark, d):
 
 
 PART_CONFIG = {
-    "defaults": {"maxProposalsPerEntity": 2, "blockingMinimumPairs": 1000},
+    "defaults": {"maxProposalsPerEntity": 2},
     "equivalentGroups": [{
         "id": "part", "groupLabel": "Part", "equivalentTypes": ["urn:t:Part"], "requiredConcepts": ["name"],
         "properties": {"name": {"predicates": [NAME], "comparator": "name", "weight": 3, "blocking": True}}}],
@@ -492,10 +485,11 @@ def page_links(spark, d):
     return L.page_links(lk, 0, 50)[0].select("source_a", "iri_a", "source_b", "iri_b")
 
 
-@query("WITH " + LINKS_SQL + "SELECT source_a, iri_a, source_b, iri_b FROM l WHERE source_b = 'src1'")
+@query("WITH " + LINKS_SQL + "SELECT source_a, iri_a, source_b, iri_b FROM l WHERE source_b = (SELECT max(source_b) FROM l)")
 def orphans(spark, d):
     lk = _copy_links(spark, d)
-    o = L.orphans(lk, docs(spark, d).where("source <> 'src1'")).where("orphan_b").select("id")
+    gone = lk.agg(F.max("source_b")).first()[0]
+    o = L.orphans(lk, docs(spark, d).where(F.col("source") != gone)).where("orphan_b").select("id")
     return lk.join(o, "id", "left_semi").select("source_a", "iri_a", "source_b", "iri_b")
 
 
@@ -571,17 +565,17 @@ HIST = ("WITH h AS (SELECT conv_id || '-' || turn AS id, conv_id * 1000 + turn A
         "sm AS (SELECT query_id, id, round(len(list_intersect(h.w, qs.w))::DOUBLE / (len(h.w) + len(qs.w) - len(list_intersect(h.w, qs.w))) + 0.01 + CASE WHEN ts = (SELECT max(ts) FROM h) THEN 0.01 ELSE 0 END, 9) AS score FROM h, qs WHERE len(list_intersect(h.w, qs.w)) > 0) ")
 
 
-@query(HIST + "SELECT query_id, id, score FROM sm")
+@query(HIST + "SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM sm) WHERE r <= 5")
 def similar_questions(spark, d):
     q = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
-    return Q.similar_questions(_history(spark, d), q).select("query_id", "id", F.round("score", 9).alias("score"))
+    return Q.similar_questions(_history(spark, d), q, n=5).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
-@query("SELECT count(*) AS rows, sum(n) AS uses FROM (SELECT count(*) AS n FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY array_to_string(" + TOKENS.format("text") + ", ' '))")
+@query("SELECT array_to_string(" + TOKENS.format("text") + ", ' ') AS words, count(*) AS use_count FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY 1")
 def merge_history(spark, d):
     new = _history(spark, d).select("id", "question", F.lit("q").alias("query"), F.lit(None).cast("string").alias("generated"), "at")
     old = spark.createDataFrame([], "id string, question string, query string, edited boolean, use_count long, at timestamp")
-    return Q.merge_history(old, new).agg(F.count(F.lit(1)).alias("rows"), F.sum("use_count").alias("uses"))
+    return Q.merge_history(old, new).select(F.array_join(T.tokens_of_normalized(T.normalize("question")), " ").alias("words"), "use_count")
 
 
 # --- updates --------------------------------------------------------------------------------
@@ -594,10 +588,10 @@ def replace_properties(spark, d):
     return U.replace_properties(q, ch, "crm", "2026-01-01T00:00:00Z").where("source = 'crm'").select("s", "p", "o")
 
 
-@query(SQ + "SELECT source, count(*) AS n FROM q WHERE NOT (source = 'geo' AND (s LIKE 'urn:r:%' OR o LIKE 'urn:r:%')) GROUP BY source")
+@query(SQ + "SELECT source, s, p, o FROM q WHERE NOT (source = 'geo' AND (s LIKE 'urn:r:%' OR o LIKE 'urn:r:%'))")
 def delete_entities(spark, d):
     q = star(spark, d)
-    return U.delete_entities(q, q.where(F.col("s").startswith("urn:r:")).select("s"), "geo")[0].groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return U.delete_entities(q, q.where(F.col("s").startswith("urn:r:")).select("s"), "geo")[0].select("source", "s", "p", "o")
 
 
 @query(SQ + f"SELECT DISTINCT s FROM q WHERE p = '{P}balance' AND source = 'crm' AND o LIKE '-%'")
@@ -647,10 +641,11 @@ def group_by_matched_type(spark, d):
     return A.group_by_matched_type(e).select("type", F.size("entities").cast("long").alias("n"))
 
 
-@query("WITH " + LINKS_SQL + "SELECT CASE WHEN source_b = 'src1' THEN 'removed' ELSE 'unchanged' END AS change, count(*) AS pairs FROM l GROUP BY ALL")
+@query("WITH " + LINKS_SQL + "SELECT CASE WHEN source_b = (SELECT max(source_b) FROM l) THEN 'removed' ELSE 'unchanged' END AS change, count(*) AS pairs FROM l GROUP BY ALL")
 def proposal_diff(spark, d):
     lk = _copy_links(spark, d, "PROPOSED")
-    return M.proposal_diff(lk, lk.where("source_b <> 'src1'"))[0]
+    gone = lk.agg(F.max("source_b")).first()[0]
+    return M.proposal_diff(lk, lk.where(F.col("source_b") != gone))[0]
 
 
 @query("SELECT 'urn:k:p' || p_partkey AS term, 'urn:k:n' || p_size AS domains, 'urn:k:r' || (p_size % 5) AS ranges, false AS functional FROM part")
@@ -666,9 +661,10 @@ def resolve_terms(spark, d):
     return Q.resolve_terms(q, used, onto(spark, d), ["OBJECT_PROPERTY"])
 
 
-@query("WITH " + LINKS_SQL + "SELECT source_a, iri_a, source_b, iri_b FROM l WHERE source_a = 'src0' AND source_b <> 'src1'")
+@query("WITH " + LINKS_SQL + "SELECT source_a, iri_a, source_b, iri_b FROM l WHERE source_a = 'src0' AND source_b <> (SELECT max(source_b) FROM l)")
 def filter_links(spark, d):
     lk = _copy_links(spark, d, "PROPOSED")
-    fl = lk.select("id", (F.col("source_b") == "src1").alias("superseded"), F.lit(False).alias("orphan_a"), F.lit(False).alias("orphan_b"))
+    gone = lk.agg(F.max("source_b")).first()[0]
+    fl = lk.select("id", (F.col("source_b") == gone).alias("superseded"), F.lit(False).alias("orphan_a"), F.lit(False).alias("orphan_b"))
     out = L.filter_links(lk.where("source_a = 'src0'"), fl, statuses=["PROPOSED"], min_score=0.5, q="URN:D:")
     return out.select("source_a", "iri_a", "source_b", "iri_b")

@@ -1,45 +1,65 @@
 """Helpers about the running session: lineage cuts, sized broadcasts, skew-safe joins."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
 # Rows one join task may produce for a single key before the key is spread over a grid.
 PAIRS_PER_TASK = 4_000_000
+# Bytes of a written table up to which it is broadcast.
+BROADCAST_BYTES = 8_000_000
 
 
 def shared_folder(spark):
-    """The cluster's shared folder; a temporary one in local runs without the setting only."""
+    """The folder for intermediate tables: ``spark.checkpoint.dir``, else one below the warehouse.
+
+    One rule for every master; both are shared by driver and executors.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="quadweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+
 
+def _files(spark, path):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+
+def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     A written table survives lost executors, prunes columns when read, and has real size
-    statistics, which the plans built on it use to choose join strategies.
+    statistics, which the plans built on it use to choose join strategies. ``replaces`` is an
+    earlier result that nothing reads any more once this one is written; its files are deleted.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/quadweave/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    if replaces is not None:
+        release(replaces)
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files behind a result of :func:`cut_lineage`; nothing may read it afterwards."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        fs, hadoop = _files(df.sparkSession, path)
+        fs.delete(hadoop, True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows=100_000) -> DataFrame:
-    """Broadcast ``df`` only when it is proven to hold at most ``max_rows`` rows.
+def broadcast_if_small(df: DataFrame, max_bytes=BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a written table whose files are proven small; other frames are left as they are.
 
-    Beyond that the plain frame is returned and the join shuffles.
+    Nothing is executed while a plan is built: adaptive execution knows the size of any other
+    frame when it comes to the join.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
+    path = getattr(df, "_written_at", None)
+    if path:
+        fs, hadoop = _files(df.sparkSession, path)
+        if fs.getContentSummary(hadoop).getLength() <= max_bytes:
+            return F.broadcast(df)
     return df
 
 

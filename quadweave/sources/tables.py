@@ -38,31 +38,37 @@ def csv_to_quads(df, source, decision_prefix=None):
 
 
 # One statement of N-Triples or N-Quads: subject, predicate, object, optional graph.
+_IRI = r'<(?:[^<>"{}|^`\\\s]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*>'
 STATEMENT = (
-    r'^\s*(<[^<>"{}|^`\\\s]*>|_:\S+)\s+(<[^<>"{}|^`\\\s]*>)\s+'
-    r'(<[^<>"{}|^`\\\s]*>|_:[^\s.]\S*|"(?:[^"\\]|\\.)*"(?:\^\^<[^<>\s]*>|@[A-Za-z0-9-]+)?)'
-    r'\s*(<[^<>"{}|^`\\\s]*>|_:\S+)?\s*\.\s*(?:#.*)?$'
+    rf'^\s*({_IRI}|_:\S+)\s+({_IRI})\s+'
+    rf'({_IRI}|_:[^\s.]\S*|"(?:[^"\\]|\\.)*"(?:\^\^{_IRI}|@[A-Za-z0-9-]+)?)'
+    rf'\s*({_IRI}|_:\S+)?\s*\.\s*(?:#.*)?$'
 )
+# The one-letter escapes of the format.
+ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
 
 
 def _unescape(c):
-    for raw, plain in (("\\\\t", "\t"), ("\\\\n", "\n"), ("\\\\r", "\r"), ('\\\\"', '"')):
-        c = F.regexp_replace(c, rf"(?<!\\)((?:\\\\)*){raw}", "$1" + plain)
-    unicode = F.regexp_replace(c, r"\\u([0-9A-Fa-f]{4})", "\\\\u$1")
-    # \uXXXX escapes are turned into characters piece by piece.
-    pieces = F.split(unicode, r"(?=\\u[0-9A-Fa-f]{4})")
-    done = F.array_join(F.transform(pieces, lambda x: F.when(
-        x.rlike(r"^\\u[0-9A-Fa-f]{4}"),
-        F.concat(F.decode(F.unhex(F.substring(x, 3, 4)), "UTF-16BE"), F.substring(x, F.lit(7), F.char_length(x)))).otherwise(x)), "")
-    c = F.when(c.contains("\\u"), done).otherwise(c)
-    return F.regexp_replace(c, r"\\\\", "\\\\")
+    """Escapes decoded in one pass from left to right: what an escape yields is not read again."""
+    pieces = F.regexp_extract_all(c, F.lit(r"(?s)([^\\]+|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.)"), F.lit(1))
+    letters = F.create_map(*[F.lit(x) for kv in ESCAPES.items() for x in kv])
+
+    def plain(x):
+        hexadecimal = F.lpad(F.substring(x, F.lit(3), F.char_length(x)), 8, "0")
+        return (
+            F.when(~x.startswith("\\"), x)
+            .when(x.rlike(r"^\\[uU][0-9A-Fa-f]"), F.decode(F.unhex(hexadecimal), "UTF-32"))
+            .otherwise(F.coalesce(letters[F.substring(x, 2, 1)], x))
+        )
+
+    return F.when(c.contains("\\"), F.array_join(F.transform(pieces, plain), "")).otherwise(c)
 
 
 def stage_nquads(spark, path) -> DataFrame:
     """Parsed lines (line, ok, s, p, o, ...) of N-Triples or N-Quads files; comments left out."""
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
     g = lambda i: F.regexp_extract("value", STATEMENT, i)
-    bare = lambda c: F.regexp_replace(c, "^<|>$", "")
+    bare = lambda c: F.when(c.startswith("<"), _unescape(F.regexp_replace(c, "^<|>$", ""))).otherwise(c)
     t = lines.select(F.col("value").alias("line"), F.col("value").rlike(STATEMENT).alias("ok"), g(1).alias("s"), g(2).alias("p"), g(3).alias("o"), g(4).alias("g"))
     lit = F.col("o").startswith('"')
     lang = F.regexp_extract("o", r'"@([A-Za-z0-9-]+)$', 1)
@@ -76,18 +82,34 @@ def stage_nquads(spark, path) -> DataFrame:
         F.when(lit & (lang != ""), lang).alias("o_lang"), F.nullif(bare(F.col("g")), F.lit("")).alias("file_graph"))
 
 
-def read_nquads(spark, path, source) -> DataFrame:
-    """Statements of a file in the source's own graph, whatever graph the file names."""
-    return stage_nquads(spark, path).where("ok").select(
+def read_nquads(spark, path, source, on_error="fail") -> DataFrame:
+    """Statements of a file in the source's own graph, whatever graph the file names.
+
+    A malformed line stops the job that reads it (``on_error="fail"``), or is left out (``"skip"``);
+    :func:`import_report` lists such lines.
+    """
+    if on_error not in ("fail", "skip"):
+        raise ValueError("on_error is 'fail' or 'skip'")
+    staged = stage_nquads(spark, path)
+    if on_error == "fail":
+        bad = F.raise_error(F.concat(F.lit("malformed statement: "), F.col("line")))
+        staged = staged.withColumn("s", F.when(F.col("ok"), F.col("s")).otherwise(bad))
+    else:
+        staged = staged.where("ok")
+    return staged.select(
         F.lit(source).alias("source"), F.lit(data_graph(source)).alias("graph"), F.lit("data").alias("graph_kind"),
         "s", "s_kind", "p", "o", "o_kind", "o_datatype", "o_lang").distinct()
 
 
-def import_report(staged, shown=200):
-    """(counts, warnings): statements and malformed lines; the first malformed lines."""
-    counts = staged.agg(F.count_if("ok").alias("statements"), F.count_if(~F.col("ok")).alias("malformed")).withColumn(
-        "more", F.greatest(F.col("malformed") - shown, F.lit(0)))
-    return counts, staged.where(~F.col("ok")).select("line").limit(shown)
+def import_report(staged, shown=None):
+    """(counts, warnings): statements and malformed lines; all malformed lines, or ``shown`` of them.
+
+    ``more`` counts the malformed lines that are not shown.
+    """
+    more = F.lit(0).cast("long") if shown is None else F.greatest(F.col("malformed") - shown, F.lit(0))
+    counts = staged.agg(F.count_if("ok").alias("statements"), F.count_if(~F.col("ok")).alias("malformed")).withColumn("more", more)
+    bad = staged.where(~F.col("ok")).select("line")
+    return counts, bad if shown is None else bad.limit(shown)
 
 
 def write_quads(quads, path, mode="overwrite"):
@@ -108,13 +130,22 @@ def replace_source(quads, new, source) -> DataFrame:
 def store_source(new, path, source):
     """Overwrite one source's partition on disk; nothing is touched when staging ``new`` fails.
 
-    The new statements are staged as a table first, so a failing import leaves the partition alone;
-    the overwrite then replaces that partition only.
+    All statements of ``new`` become the source's. They are staged as a table first, so a failing
+    import leaves the partition alone; the overwrite then replaces that partition only. A source
+    left without statements loses its partition.
     """
-    from quadweave.runtime import cut_lineage
+    from quadweave.runtime import _files, cut_lineage, release
 
-    staged = cut_lineage(new.where(F.col("source") == source).where("graph_kind = 'data'").distinct())
-    staged.select(*QUAD_COLUMNS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_kind", "source").parquet(path)
+    spark = new.sparkSession
+    mine = new.withColumn("source", F.lit(source)).withColumn("graph", F.lit(data_graph(source))).withColumn("graph_kind", F.lit("data"))
+    staged = cut_lineage(mine.select(*QUAD_COLUMNS).distinct())
+    if staged.limit(1).count() == 0:
+        escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        fs, folder = _files(spark, f"{path}/graph_kind=data/source={escape(source)}")
+        fs.delete(folder, True)
+    else:
+        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_kind", "source").parquet(path)
+    release(staged)
 
 
 def append_to_source(quads, new, source) -> DataFrame:
@@ -137,8 +168,8 @@ def _term(value, kind, datatype=None, lang=None):
 
 
 def as_triples(quads, source) -> DataFrame:
-    """(value): one source as N-Triples lines, each statement once."""
-    q = data_quads(quads).where(F.col("source") == source)
+    """(value): one source as N-Triples lines, each statement once; rows without a term are left out."""
+    q = data_quads(quads).where(F.col("source") == source).dropna(subset=["s", "p", "o"])
     return q.select(F.concat_ws(" ", _term("s", "s_kind"), F.concat(F.lit("<"), "p", F.lit(">")), _term("o", "o_kind", "o_datatype", "o_lang"), F.lit(".")).alias("value")).distinct()
 
 
@@ -200,15 +231,18 @@ def catalog_quads(sources, meta=META) -> DataFrame:
         "kv.p", "kv.o", F.lit("literal").alias("o_kind"), none.alias("o_datatype"), none.alias("o_lang"))
 
 
-def delete_source(quads, sources, name, internal_source=None):
+def delete_source(quads, sources, name, internal_source=None, meta=META):
     """(quads, sources) without a source: its graph, its catalogue row, references to its graph."""
     if name == internal_source:
         raise ValueError("the internal source cannot be deleted")
     graph = data_graph(name)
-    described = quads.where("graph_kind = 'meta'").where((F.col("o") == graph) | (F.col("o") == name)).select("s").distinct()
+    about = ((F.col("p") == meta + "graph") & (F.col("o") == graph)) | ((F.col("p") == meta + "shortName") & (F.col("o") == name))
+    described = quads.where("graph_kind = 'meta'").where(about).select("s").distinct()
     left = quads.where(~((F.col("graph_kind") == "data") & (F.col("source") == name)))
-    meta = left.where("graph_kind = 'meta'").join(described, "s", "left_anti").select(*QUAD_COLUMNS)
-    return left.where("graph_kind <> 'meta'").unionByName(meta), sources.where(F.col("short_name") != name)
+    # Its description, and statements of others that point to it.
+    kept = left.where("graph_kind = 'meta'").join(described, "s", "left_anti").join(
+        described.select(F.col("s").alias("o")), "o", "left_anti").select(*QUAD_COLUMNS)
+    return left.where("graph_kind <> 'meta'").unionByName(kept), sources.where(F.col("short_name") != name)
 
 
 def upsert_catalogue(sources, changes, key="short_name"):

@@ -17,28 +17,89 @@ def test_nquads_round_trip(spark, tmp_path):
                  '<urn:a> <urn:n> "3"^^<http://www.w3.org/2001/XMLSchema#integer> .\nnot a statement\n', encoding="utf-8")
     counts, bad = T.import_report(T.stage_nquads(spark, str(f)))
     assert tuple(counts.first()) == (3, 1, 0) and bad.first().line == "not a statement"
-    rows = {r.p + r.o_kind: r for r in T.read_nquads(spark, str(f), "src").collect()}
+    read = lambda path: T.read_nquads(spark, str(path), "src", on_error="skip")
+    with pytest.raises(Exception, match="malformed statement"):
+        T.read_nquads(spark, str(f), "src").collect()
+    rows = {r.p + r.o_kind: r for r in read(f).collect()}
     lit = rows["urn:pliteral"]
     assert (lit.o, lit.o_lang, lit.graph) == ('x "y" é \\n', "fr", "urn:datasource:src")
     assert rows["urn:nliteral"].o_datatype == XSD + "integer" and rows["urn:piri"].s_kind == "bnode"
     out = tmp_path / "out"
-    T.export_triples(T.read_nquads(spark, str(f), "src"), "src", str(out))
+    T.export_triples(read(f), "src", str(out))
     again = T.read_nquads(spark, str(out), "src")
-    assert again.exceptAll(T.read_nquads(spark, str(f), "src")).count() == 0 and again.count() == 3
+    assert again.exceptAll(read(f)).count() == 0 and again.count() == 3
 
 
 def test_store_source_replaces_one_partition(spark, tmp_path):
     path = str(tmp_path / "quads")
     quads = S.quads(spark)
     T.write_quads(quads, path)
-    T.store_source(S.quads(spark, [S.typ("archive", "urn:new", "urn:T")]), path, "archive")
+    T.store_source(S.quads(spark, [S.typ("diary", "urn:new", "urn:T")]), path, "diary")
     back = T.read_quads(spark, path)
-    assert back.where("source = 'archive'").count() == 1
-    assert back.where("source = 'tropy'").count() == quads.where("source = 'tropy'").count()
-    broken = quads.where("source = 'tropy'").withColumn("o", F.expr("cast(raise_error('bad input') as string)"))
+    assert back.where("source = 'diary'").count() == 1
+    assert back.where("source = 'shelf'").count() == quads.where("source = 'shelf'").count()
+    broken = quads.where("source = 'shelf'").withColumn("o", F.expr("cast(raise_error('bad input') as string)"))
     with pytest.raises(Exception):
-        T.store_source(broken, path, "tropy")
-    assert T.read_quads(spark, path).where("source = 'tropy'").count() == quads.where("source = 'tropy'").count()
+        T.store_source(broken, path, "shelf")
+    assert T.read_quads(spark, path).where("source = 'shelf'").count() == quads.where("source = 'shelf'").count()
+
+
+def test_escapes_are_read_in_one_pass(spark, tmp_path):
+    f = tmp_path / "in.nt"
+    f.write_text('<urn:a\\u00e9> <urn:p> "back\\\\u0041 \\U0001F600 tab\\t b\\b f\\f \\u00E9 \\\\n \\\\\\" end" .\n', encoding="utf-8")
+    row = T.read_nquads(spark, str(f), "src").first()
+    assert row.s == "urn:aé"
+    assert row.o == 'back\\u0041 \U0001F600 tab\t b\b f\f é \\n \\" end'
+
+
+def test_storing_nothing_empties_a_source(spark, tmp_path):
+    path = str(tmp_path / "quads")
+    quads = S.quads(spark)
+    T.write_quads(quads, path)
+    T.store_source(quads.limit(0), path, "diary")
+    assert T.read_quads(spark, path).where("source = 'diary'").count() == 0
+    # Whatever source the rows name, they become the given source's.
+    T.store_source(quads.where("source = 'card'"), path, "diary")
+    back = T.read_quads(spark, path)
+    assert back.where("source = 'diary'").count() == back.where("source = 'card'").count() > 0
+
+
+def test_lines_need_all_their_terms(spark):
+    rows = [S.quad("x", "urn:s", "urn:p", None), S.quad("x", "urn:s", "urn:p", "v")]
+    assert [r.value for r in T.as_triples(S.quads(spark, rows), "x").collect()] == ['<urn:s> <urn:p> "v" .']
+
+
+def test_deleting_a_source_leaves_others_with_its_name_as_label(spark):
+    cols = "short_name string, long_name string, type string, graph string, last_change timestamp"
+    sources = spark.createDataFrame([("card", "Cards", "t", "urn:datasource:card", None), ("other", "card", "t", "urn:datasource:other", None)], cols)
+    quads = S.quads(spark).unionByName(T.catalog_quads(sources))
+    left, rows = T.delete_source(quads, sources, "card")
+    assert [r.short_name for r in T.source_catalog(left).collect()] == ["other"] and rows.count() == 1
+    assert left.where("source = 'card'").count() == 0
+
+
+def test_blank_literals_lose(spark):
+    rows = [S.quad("x", "urn:s", S.NAME, "\t\n\u2003"), S.quad("x", "urn:s", S.TITLE, "real")]
+    from quadweave.operators.patterns import best_label
+
+    assert best_label(S.quads(spark, rows)).first().label == "real"
+
+
+def test_long_lists_and_deep_hierarchies(spark):
+    from quadweave.operators import closures
+
+    n = 150
+    q = [("", "urn:g", "ontology", "urn:u", "iri", OWL + "unionOf", "_:c0", "bnode", None, None)]
+    for i in range(n):
+        q.append(("", "urn:g", "ontology", f"_:c{i}", "bnode", RDF + "first", f"urn:m{i}", "iri", None, None))
+        q.append(("", "urn:g", "ontology", f"_:c{i}", "bnode", RDF + "rest", f"_:c{i + 1}" if i < n - 1 else RDF + "nil", "bnode", None, None))
+    got = X.flatten_lists(spark.createDataFrame(q, QUAD_SCHEMA)).orderBy("pos").collect()
+    assert [r.member for r in got] == [f"urn:m{i}" for i in range(n)]
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(70)]
+    edges = spark.createDataFrame(chain, "sub string, super string")
+    assert closures.superclass_closure(edges, spark.createDataFrame([("c0",)], "node string")).count() == 71
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "a"), ("c", "top")], "sub string, super string")
+    assert {r.type: r.depth for r in closures.class_depth(ring).collect()} == {"top": 0, "a": 1, "b": 1, "c": 1, "x": 2}
 
 
 def test_csv(spark, tmp_path):
@@ -68,7 +129,7 @@ def test_ontology_properties(spark):
     ], QUAD_SCHEMA)
     rows = {r.uri: r for r in X.extract_properties(q).collect()}
     assert rows["urn:p"].ranges == ["urn:B", "urn:C"] and (rows["urn:p"].min, rows["urn:p"].max) == (1, 1)
-    assert rows["urn:f"].kind == "DATA_PROPERTY" and rows["urn:f"].category == "DATETIME"
+    assert rows["urn:f"].kind == "DATATYPE_PROPERTY" and rows["urn:f"].category == "DATETIME"
 
 
 @pytest.mark.parametrize("name", ["graph_pattern", "type_usage", "recurring_values", "fold_and_tokens", "infer_links", "class_depth", "search_terms", "similar_questions", "replace_properties"])
