@@ -65,6 +65,13 @@ def superclass_closure(edges: DataFrame, types: DataFrame = None) -> DataFrame:
     )
 
 
+def with_subclasses(types, edges: DataFrame) -> DataFrame:
+    """(type): the given types (a list, or a frame with ``type``) and everything below them."""
+    if not isinstance(types, DataFrame):
+        types = edges.sparkSession.createDataFrame([(t,) for t in types], "type string")
+    return subclass_closure(edges, types.select(F.col("type").alias("node"))).select("type").distinct()
+
+
 def type_subclasses(edges: DataFrame, root: str) -> DataFrame:
     """(type): the root and everything below it."""
     start = edges.sparkSession.createDataFrame([(root,)], "node string")

@@ -180,12 +180,15 @@ def shared_source_label(df, sources, column="graph") -> DataFrame:
 # --- entity lists ---------------------------------------------------------------------------
 
 
-def list_by_types(quads, types, internal_source=None) -> DataFrame:
+def list_by_types(quads, types, internal_source=None, edges=None) -> DataFrame:
     """Entities of any listed type, once each, with matched types, origin, label and dates.
 
-    ``types`` is a list or a frame with a ``type`` column, already closed over subclasses when
-    subtypes are wanted.
+    ``types`` is a list or a frame with a ``type`` column; ``edges`` (sub, super) adds their subclasses.
     """
+    if edges is not None:
+        from quadweave.operators.closures import with_subclasses
+
+        types = with_subclasses(types, edges)
     data = iri_subjects(data_quads(quads))
     hit = data.where((F.col("p") == RDF_TYPE) & (F.col("o_kind") == "iri"))
     if isinstance(types, DataFrame):

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quadweave.functions.iri import local_name
 from quadweave.functions.text import collapse_ws, content_words, label_score, normalize, split_local_name, tokens
+from quadweave.operators.closures import with_subclasses
 from quadweave.operators.patterns import best_label, data_quads, iri_subjects, top_k_per_group
 from quadweave.runtime import broadcast_if_small, cut_lineage, skew_safe_join
 from quadweave.vocab import LABEL_PREDICATES, OWL, RDF_TYPE, RDFS, RDFS_LABEL, SKOS
@@ -62,13 +63,15 @@ def similar_words(query_words, label_words) -> DataFrame:
     return q.join(w, "key").where(F.levenshtein("q", "w") <= _edits(longest)).select("q", "w").distinct()
 
 
-def search_labels(quads, queries, types=None, k=None, internal_source=None) -> DataFrame:
+def search_labels(quads, queries, types=None, k=None, internal_source=None, edges=None) -> DataFrame:
     """Best entities for each query (query_id, text): label score of at least 0.75.
 
     (query_id, iri, label, score, types, origin, source), best label per entity, ``k`` best per
     query, ties by IRI. Candidates come from shared or similar words, which loses nothing; labels are
-    scored once per distinct text.
+    scored once per distinct text. ``edges`` (sub, super) adds the subclasses of ``types``.
     """
+    if types is not None and edges is not None:
+        types = with_subclasses(types, edges)
     names = iri_subjects(data_quads(quads)).where(F.col("p").isin(LABEL_PREDICATES) & (F.col("o_kind") == "literal")).select(
         F.col("s").alias("iri"), F.col("o").alias("label")).distinct()
     if types is not None:
@@ -100,12 +103,12 @@ def search_labels(quads, queries, types=None, k=None, internal_source=None) -> D
     return hit.join(info, "iri").select("query_id", "iri", "label", (F.floor(F.col("raw") * 100 + 0.5) / 100).alias("score"), "types", "origin", "source")
 
 
-def resolve_names(quads, names, types=None) -> DataFrame:
+def resolve_names(quads, names, types=None, edges=None) -> DataFrame:
     """(query_id, status, iri, candidates): the one entity a name denotes, else the candidates.
 
     Resolved with a single match, or when only the first of all hits scores 0.9 or more.
     """
-    hits = search_labels(quads, names, types)
+    hits = search_labels(quads, names, types, edges=edges)
     per = hits.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= 0.9).alias("strong"),
         F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), F.col("iri").alias("iri")))).alias("c"))

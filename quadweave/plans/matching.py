@@ -16,7 +16,7 @@ from quadweave.operators.patterns import identical_iris
 from quadweave.operators.profiles import (
     concept_values, has_linked_values, numbered_values, profiles, resolve_values,
 )
-from quadweave.plans.config import is_keyed_group, per_group
+from quadweave.plans.config import config_hash, is_keyed_group, per_group
 from quadweave.runtime import broadcast_if_small, cut_lineage
 from quadweave.vocab import CONFIRMED, EVIDENCE_TYPE
 
@@ -313,6 +313,17 @@ def run_summary(run: MatchingRun) -> DataFrame:
     )
 
 
+def run_record(run: MatchingRun, started_at, finished_at) -> DataFrame:
+    """The summary of a run with its start, its duration in milliseconds and its configuration's hash.
+
+    These are the ``runs`` rows that :func:`quadweave.operators.links.overview` and ``stale_reasons`` read.
+    """
+    start, end = F.lit(started_at).cast("timestamp"), F.lit(finished_at).cast("timestamp")
+    return run_summary(run).select(
+        "*", start.alias("started_at"), (F.unix_millis(end) - F.unix_millis(start)).alias("duration_ms"), F.lit(config_hash(run.cfg)).alias("configuration_hash")
+    )
+
+
 def proposals_by_group(run: MatchingRun) -> DataFrame:
     return run.proposals.groupBy("source_a", "source_b", "group_id").agg(F.count(F.lit(1)).alias("proposals"))
 

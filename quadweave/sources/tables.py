@@ -257,6 +257,13 @@ def upsert_catalogue(sources, changes, key="short_name"):
     return old.select(*cols), dup
 
 
+def record_import(sources, source, at) -> DataFrame:
+    """The catalogue after an import into ``source``: its ``last_change`` is ``at``, or later if it was."""
+    here = F.col("short_name") == source
+    at = F.lit(at).cast("timestamp")
+    return sources.withColumn("last_change", F.when(here, F.greatest("last_change", at)).otherwise(F.col("last_change")))
+
+
 def load_ontology_once(quads, new) -> DataFrame:
     """Add ontology graphs that are not there yet."""
     there = quads.select("graph").distinct()

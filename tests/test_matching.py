@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 
 from quadweave.operators import links as L
 from quadweave.operators.clusters import build_clusters, inference_chain, same_as
-from quadweave.operators.patterns import identical_iris
+from quadweave.operators.patterns import identical_iris, list_by_types
+from quadweave.operators.search import resolve_names
 from quadweave.plans import matching as M
-from quadweave.plans.config import load_config
+from quadweave.plans.config import config_hash, load_config
 from quadweave.runtime import cut_lineage
+from quadweave.sources.tables import record_import
+from quadweave.vocab import RICO
+
+RICO_PERSON = RICO + "Person"
 
 
 def plain(s):
@@ -166,3 +171,27 @@ def test_every_value_of_a_concept_is_compared(spark):
         "n": {"predicates": ["urn:n"], "comparator": "name", "weight": 1, "blocking": True}}}]}
     run = M.run_matching(S.quads(spark, rows), S.links(spark, []), load_config(cfg), "a", "b")
     assert {f"{r.iri_a}|{r.iri_b}": r.score for r in run.proposals.collect()} == {"urn:a|urn:b": 1.0, "urn:x|urn:c": 1.0}
+
+
+def test_run_records_tell_what_is_stale(spark):
+    cfg = load_config(S.CONFIG)
+    run = M.run_matching(S.quads(spark), S.links(spark), cfg, "shelf", "card")
+    runs = M.run_record(run, "2026-01-02 03:04:05", "2026-01-02 03:04:07.5")
+    row = runs.first()
+    assert (row.duration_ms, row.configuration_hash, row.proposals) == (2500, config_hash(cfg), 3)
+    sources = spark.createDataFrame([("card", None), ("shelf", None)], "short_name string, last_change timestamp")
+    pairs = runs.select("source_a", "source_b", "started_at", "configuration_hash")
+    stale = lambda s: L.stale_reasons(pairs, s, config_hash(cfg), None).first().stale
+    assert stale(sources) == [] and stale(record_import(sources, "card", "2026-01-01 00:00:00")) == []
+    assert stale(record_import(sources, "card", "2026-02-01 00:00:00")) == ["dataChanged"]
+
+
+def test_types_with_their_subclasses(spark):
+    edges = spark.createDataFrame([("urn:Author", RICO_PERSON), ("urn:Poet", "urn:Author")], "sub string, super string")
+    rows = S.entity("x", "urn:1", "urn:Poet", (S.NAME, "Ada Verse", "string")) + S.entity("x", "urn:2", "urn:Town", (S.NAME, "Ada Verse", "string"))
+    quads = S.quads(spark, rows)
+    assert list_by_types(quads, [RICO_PERSON]).count() == 0
+    assert [r.s for r in list_by_types(quads, [RICO_PERSON], edges=edges).collect()] == ["urn:1"]
+    q = spark.createDataFrame([("q", "ada verse")], "query_id string, text string")
+    found = resolve_names(quads, q, [RICO_PERSON], edges).first()
+    assert (found.status, found.iri) == ("resolved", "urn:1")
