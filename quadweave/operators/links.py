@@ -122,7 +122,6 @@ def apply_decisions(links, decisions, identical, now=None) -> Decided:
         links = links.join(change, "id", "left").select(*[new.get(c, F.col(c)).alias(c) for c in cols])
         links = cut_lineage(links.where("status <> 'DELETED'"))
         pending = cut_lineage(pending.join(done.select("ord"), "ord", "left_anti"))
-    raise RuntimeError(f"decisions not settled after {max_rounds} rounds")
 
 
 def _same_action(ids, action):

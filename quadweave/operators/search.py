@@ -22,37 +22,53 @@ def _edits(length):
     return F.floor((1 - WORD_SCORE) * length + 1e-9).cast("int")
 
 
+def _reach(length):
+    """Edits allowed at most between a word of this length and any other: d <= share x (length + d)."""
+    return F.floor(length * ((1 - WORD_SCORE) / WORD_SCORE) + 1e-9).cast("int")
+
+
+def _segment(length, i):
+    """(start, size) of segment ``i`` of a word that is cut into one segment more than it may have edits."""
+    cut = lambda k: F.floor(k * length / (_reach(length) + 1)).cast("int")
+    return cut(i), cut(i + 1) - cut(i)
+
+
+def _segment_key(length, i, text):
+    return F.concat_ws(":", length.cast("string"), i.cast("string"), text)
+
+
 def _own_keys(w):
-    """Join keys of a label word: itself; its length with its first and its last letter; its length."""
-    n = F.char_length(w).cast("string")
-    return F.array_distinct(F.array(
-        F.concat(F.lit("="), w), F.concat(F.lit("f"), n, F.substring(w, 1, 1)),
-        F.concat(F.lit("l"), n, F.substring(w, -1, 1)), F.concat(F.lit("n"), n)))
+    """Keys of a label word: its segments with their number and the word's length.
+
+    There are more segments than edits, so one of them is left whole in any similar word.
+    """
+    n = F.char_length(w)
+
+    def key(i):
+        start, size = _segment(n, i)
+        return _segment_key(n, i, F.substring(w, start + 1, size))
+
+    return F.transform(F.sequence(F.lit(0), _reach(n)), key)
 
 
 def _partner_keys(w):
     """Keys of every label word within the allowed edits of a query word.
 
-    No edit: the word. One edit: a length with the first or the last letter, as one edit cannot
-    change both ends. More: a length.
+    For each length and segment in reach: the query's letters at the places to which that many edits
+    may have moved the segment.
     """
     n = F.char_length(w)
-    # d <= share x (n + d) bounds the lengths worth trying.
-    reach = F.floor(n * ((1 - WORD_SCORE) / WORD_SCORE)).cast("int") + 1
-
-    def at(other):
-        d = _edits(F.greatest(n, other))
-        near = (F.abs(n - other) <= d) & (d >= 1)
-        size = other.cast("string")
-        return F.array(
-            F.when(near & (d == 1), F.concat(F.lit("f"), size, F.substring(w, 1, 1))),
-            F.when(near & (d == 1), F.concat(F.lit("l"), size, F.substring(w, -1, 1))),
-            F.when(near & (d >= 2), F.concat(F.lit("n"), size)),
-        )
 
-    lengths = F.sequence(F.greatest(n - reach, F.lit(1)), n + reach)
-    near = F.array_compact(F.flatten(F.transform(lengths, at)))
-    return F.array_distinct(F.concat(F.array(F.concat(F.lit("="), w)), near))
+    def of_length(length):
+        def of_segment(i):
+            start, size = _segment(length, i)
+            places = F.filter(F.sequence(start - _reach(length), start + _reach(length)), lambda p: (p >= 0) & (p + size <= n))
+            return F.transform(places, lambda p: _segment_key(length, i, F.substring(w, p + 1, size)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), _reach(length)), of_segment))
+
+    lengths = F.sequence(F.greatest(n - _reach(n), F.lit(1)), n + _reach(n))
+    return F.array_distinct(F.flatten(F.transform(lengths, of_length)))
 
 
 def similar_words(query_words, label_words) -> DataFrame:

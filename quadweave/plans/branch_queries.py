@@ -1,17 +1,21 @@
 """Registered queries for operators and branches that the main list does not reach, with SQL twins."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quadweave.functions import dates as D, iri as I, text as T
-from quadweave.operators import clusters as C, closures, compare, links as L, patterns as Pt, stats as A, updates as U
+from quadweave.operators import clusters as C, closures, compare, links as L, ontology as X, patterns as Pt, profiles as Pr
+from quadweave.operators import search as Q, stats as A, updates as U
+from quadweave.plans import matching as M
 from quadweave.plans.config import load_config
-from quadweave.plans.datasets import P
+from quadweave.plans.datasets import ONTOLOGY, P, quads_of, quads_sql
 from quadweave.plans.queries import (
-    EDGES, LINKS_SQL, NAME, SQ, TOKENS, _copy_links, _no_identical, docs, onto, query, star,
+    EDGES, LABELS, LINKS_SQL, NAME, PART_CONFIG, SQ, TOKENS, _copy_links, _no_identical, _no_links, docs, onto, query, star,
 )
 from quadweave.runtime import cut_lineage, shared_folder
 from quadweave.sources import tables as S
-from quadweave.vocab import FOAF, OWL, RDF_TYPE, RDFS_LABEL, RICO, XSD
+from quadweave.vocab import FOAF, OWL, RDF, RDF_TYPE, RDFS_LABEL, RICO, SUBCLASS_OF, XSD
 
 
 def read(spark, d, table):
@@ -234,8 +238,6 @@ def nquads_round_trip(spark, d):
         F.lit("x").alias("source"), F.lit("urn:datasource:x").alias("graph"), F.lit("data").alias("graph_kind"), F.concat(F.lit("urn:part:"), "p_partkey").alias("s"), F.lit("iri").alias("s_kind"),
         F.lit(P + "text").alias("p"), F.concat(F.lit('a"b\\c\t'), "p_name", F.lit("\né")).alias("o"), F.lit("literal").alias("o_kind"),
         F.when(F.col("p_partkey") % 2 != 0, F.lit(XSD + "string")).alias("o_datatype"), F.when(F.col("p_partkey") % 2 == 0, F.lit("fr")).otherwise(none).alias("o_lang"))
-    import uuid
-
     path = f"{shared_folder(spark).rstrip('/')}/quadweave/lines-{uuid.uuid4().hex}"
     S.export_triples(q, "x", path)
     return S.read_nquads(spark, path, "x").select("s", "p", "o", "o_lang")
@@ -243,9 +245,199 @@ def nquads_round_trip(spark, d):
 
 @query(f"SELECT 'urn:part:' || p_partkey AS s, CASE WHEN k = 1 THEN '{RDF_TYPE}' ELSE 'urn:size' END AS p, CASE WHEN k = 1 THEN 'urn:t:Part' ELSE p_size::VARCHAR END AS o, CASE WHEN k = 2 THEN '{XSD}integer' END AS o_datatype FROM part, (VALUES (1), (2)) v(k)")
 def csv_round_trip(spark, d):
-    import uuid
-
     rows = read(spark, d, "part").selectExpr("concat(' urn:part:', p_partkey) as entity", "stack(2, 'rdf:type', 'urn:t:Part', 'iri', 'urn:size', cast(p_size as string), 'number') as (property, value, typevalue)")
     path = f"{shared_folder(spark).rstrip('/')}/quadweave/csv-{uuid.uuid4().hex}"
     rows.write.csv(path, header=True)
     return S.csv_to_quads(S.read_entity_csv(spark, path), "x")[0].select("s", "p", "o", "o_datatype")
+
+
+# --- files of quads and links ---------------------------------------------------------------
+
+
+def _folder(spark, name):
+    return f"{shared_folder(spark).rstrip('/')}/quadweave/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT 'line ' || p_partkey || ' is no statement' AS line FROM part WHERE p_partkey % 10 = 0")
+def import_warnings(spark, d):
+    """Statements of which every tenth is malformed: the malformed lines, all of them."""
+    path = _folder(spark, "report")
+    read(spark, d, "part").select(F.expr("CASE WHEN p_partkey % 10 = 0 THEN concat('line ', p_partkey, ' is no statement') ELSE concat('<urn:p:', p_partkey, '> <urn:n> \"', p_name, '\" .') END").alias("value")).write.text(path)
+    return S.import_report(S.stage_nquads(spark, path))[1]
+
+
+@query(SQ + "SELECT source, s, p, o FROM q WHERE source IN ('crm', 'geo')")
+def restored_quads(spark, d):
+    path = _folder(spark, "graphs")
+    S.export_quads(star(spark, d), ["urn:datasource:crm", "urn:datasource:geo"], path)
+    return S.restore_quads(spark, path).select("source", "s", "p", "o")
+
+
+@query("WITH " + LINKS_SQL + "SELECT source_a, iri_a, source_b, iri_b FROM l WHERE source_a <> 'src0'")
+def reloaded_links(spark, d):
+    """Links saved and loaded; those without a status are dropped."""
+    path = _folder(spark, "links")
+    S.save_links(_copy_links(spark, d).withColumn("status", F.when(F.col("source_a") != "src0", F.col("status"))), path)
+    return S.load_links(spark, path).select("source_a", "iri_a", "source_b", "iri_b")
+
+
+@query("WITH " + LINKS_SQL + "SELECT DISTINCT a.iri AS s, b.iri AS o FROM n a JOIN n b USING (c) WHERE a.iri <> b.iri")
+def same_as_graph(spark, d):
+    c = C.build_clusters(_copy_links(spark, d), _no_identical(spark))
+    return S.write_same_as(docs(spark, d), c).where("graph_kind = 'matching'").select("s", "o")
+
+
+@query("SELECT DISTINCT s, p, o FROM (" + quads_sql(ONTOLOGY) + ")")
+def ontology_loaded_once(spark, d):
+    once = S.load_ontology_once(star(spark, d), onto(spark, d))
+    return S.load_ontology_once(once, onto(spark, d).limit(5)).where("graph_kind = 'ontology'").select("s", "p", "o")
+
+
+@query("WITH n AS (SELECT DISTINCT regexp_extract(url, '^(.*[#/])', 1) AS namespace FROM pages) SELECT namespace, 'ns' || row_number() OVER (ORDER BY namespace) AS prefix FROM n UNION ALL SELECT '" + FOAF + "', 'foaf'")
+def namespace_prefixes(spark, d):
+    n = read(spark, d, "pages").select(I.namespace_of("url").alias("namespace"))
+    return I.prefixes_for(n.unionByName(n.limit(1).select(F.lit(FOAF).alias("namespace"))))
+
+
+# --- ontology details -----------------------------------------------------------------------
+
+INVERSES = [("part", "ontology", "''", "concat('urn:k:p', p_partkey)", [(OWL + "inverseOf", "concat('urn:k:q', p_size)", "iri", None)])]
+RESTRICTIONS = [
+    ("nation", "ontology", "''", "concat('urn:r:', n_nationkey)", [
+        (RDF_TYPE, f"'{OWL}Restriction'", "iri", None), (OWL + "onProperty", "'urn:prop'", "iri", None),
+        (OWL + "minCardinality", "'1'", "literal", "integer"), (OWL + "maxCardinality", "cast(n_regionkey + 1 as string)", "literal", "integer")]),
+    ("nation", "ontology", "''", "concat('urn:k:n', n_nationkey)", [(SUBCLASS_OF, "concat('urn:r:', n_nationkey)", "iri", None)]),
+]
+# Every part's list runs from its own cell to the end of its block of fifty.
+LISTS = [
+    ("part", "ontology", "''", "concat('urn:cell:', p_partkey)", [
+        (RDF + "first", "concat('urn:m:', p_partkey)", "iri", None),
+        (RDF + "rest", f"CASE WHEN p_partkey % 50 = 49 THEN '{RDF}nil' ELSE concat('urn:cell:', p_partkey + 1) END", "iri", None)]),
+    ("part", "ontology", "''", "concat('urn:u:', p_partkey)", [(OWL + "unionOf", "concat('urn:cell:', p_partkey)", "iri", None)]),
+]
+
+
+@query("SELECT DISTINCT 'urn:k:p' || p_partkey AS property, 'urn:k:q' || p_size AS inverse FROM part UNION SELECT DISTINCT 'urn:k:q' || p_size, 'urn:k:p' || p_partkey FROM part")
+def inverse_properties(spark, d):
+    return X.inverse_properties(quads_of(spark, d, INVERSES))
+
+
+@query("SELECT 'urn:prop' AS property, 'urn:k:n' || n_nationkey AS class, 1 AS min, (n_regionkey + 1)::INT AS max FROM nation")
+def restrictions(spark, d):
+    return X.extract_restrictions(quads_of(spark, d, RESTRICTIONS)).select("property", "class", "min", "max")
+
+
+@query("SELECT 'urn:u:' || a.p_partkey AS node, (b.p_partkey - a.p_partkey)::INT AS pos, 'urn:m:' || b.p_partkey AS member FROM part a JOIN part b ON b.p_partkey >= a.p_partkey AND b.p_partkey // 50 = a.p_partkey // 50")
+def flattened_lists(spark, d):
+    return X.flatten_lists(quads_of(spark, d, LISTS)).select("node", F.col("pos")[0].alias("pos"), "member")
+
+
+# --- linked dates, names, texts -------------------------------------------------------------
+
+SPANS = [("orders", "data", "'o'", "concat('urn:o:', o_orderkey)", [
+    (RICO + "beginningDate", "cast(cast(o_orderdate as date) as string)", "literal", "date"), (RICO + "endDate", "cast(cast(o_orderdate as date) + 10 as string)", "literal", "date")])]
+
+
+@query("SELECT 'urn:o:' || o_orderkey AS iri, CAST(o_orderdate::DATE AS VARCHAR) AS first_day, CAST(o_orderdate::DATE + 10 AS VARCHAR) AS last_day FROM orders")
+def linked_dates(spark, d):
+    t = Pr.linked_date(quads_of(spark, d, SPANS))
+    return t.select("iri", F.col("date.start").cast("string").alias("first_day"), F.col("date.end").cast("string").alias("last_day"))
+
+
+@query("SELECT n_nationkey AS text_id, 'urn:n:' || n_nationkey AS iri, n_name AS label FROM nation UNION ALL SELECT n_nationkey, 'urn:gone:' || n_regionkey, 'urn:gone:' || n_regionkey FROM nation")
+def entities_in_text(spark, d):
+    t = read(spark, d, "nation").select(F.col("n_nationkey").alias("text_id"), F.expr("concat('see <urn:n:', n_nationkey, '> or <urn:gone:', n_regionkey, '> of <urn:t:Nation>, <urn:n:', n_nationkey, '>')").alias("text"))
+    return Q.entities_in_text(t, star(spark, d), ["urn:t:"])
+
+
+NAMES_SQL = "n AS (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) AS k, " + TOKENS.format("p_name") + " AS w FROM part), "
+SIMILAR = "1 - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b}))"
+
+
+@query("WITH " + NAMES_SQL + "p AS (SELECT a.p_name AS x, b.p_name AS y, a.w AS aw, b.w AS bw FROM n a JOIN n b ON a.k = b.k) SELECT x, y, aw = bw OR (len(aw) = len(bw) AND len(aw) > 0 AND len(list_filter(list_zip(aw, bw), lambda z: "
+       + SIMILAR.format(a="z[1]", b="z[2]") + " < 0.75)) = 0) AS same FROM p")
+def same_names(spark, d):
+    n = read(spark, d, "part").select("p_name").distinct().withColumn("k", F.substring_index("p_name", " ", 1)).withColumn("w", T.tokens("p_name"))
+    m = n.select("k", F.col("p_name").alias("x"), F.col("w").alias("aw")).join(n.select("k", F.col("p_name").alias("y"), F.col("w").alias("bw")), "k")
+    return m.select("x", "y", T.same_name(F.col("aw"), F.col("bw")).alias("same"))
+
+
+@query(SQ + ", lb AS (SELECT DISTINCT s, o, " + TOKENS.format("o") + f" AS lw FROM q WHERE p IN ({LABELS})), "
+       "qs AS (SELECT n_nationkey AS query_id, list_distinct(" + TOKENS.format("n_name") + ") AS qd, " + TOKENS.format("n_name") + " AS qw FROM nation), "
+       "raw AS (SELECT query_id, s, CASE WHEN qw = lw THEN 1.0 WHEN len(list_filter(qd, lambda w: NOT list_contains(lw, w))) = 0 THEN 0.9 ELSE "
+       "0.85 * list_sum(list_transform(qd, lambda a: list_max(list_transform(lw, lambda b: " + SIMILAR.format(a="a", b="b") + ")))) / len(qd) END AS r FROM qs, lb WHERE len(qd) > 0 AND len(lw) > 0), "
+       "h AS (SELECT query_id, s, floor(max(r) * 100 + 0.5) / 100 AS sc FROM raw WHERE r >= 0.75 GROUP BY query_id, s), "
+       "a AS (SELECT query_id, count(*) AS n, count(*) FILTER (sc >= 0.9) AS st, string_agg(s, '|' ORDER BY sc DESC, s) AS c, min_by(s, (-sc, s)) AS b FROM h GROUP BY query_id) "
+       "SELECT qs.query_id, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 OR st = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 OR st = 1 THEN b END AS iri, CASE WHEN NOT (n = 1 OR st = 1) THEN c END AS candidates FROM qs LEFT JOIN a USING (query_id)")
+def resolve_names(spark, d):
+    q = read(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.col("n_name").alias("text"))
+    return Q.resolve_names(star(spark, d), q).select("query_id", "status", "iri", F.array_join("candidates", "|").alias("candidates"))
+
+
+@query("WITH " + NAMES_SQL + "c AS (SELECT a.p_name AS x, b.p_name AS y FROM n a JOIN n b ON len(list_intersect(list_concat(a.w, list_transform(list_filter(a.w, lambda t: len(t) >= 4), lambda t: 'p:' || t[1:4])), list_concat(b.w, list_transform(list_filter(b.w, lambda t: len(t) >= 4), lambda t: 'p:' || t[1:4])))) > 0), "
+       "w AS (SELECT x, y, " + PLAIN.format("x") + " AS nx, " + PLAIN.format("y") + " AS ny, " + SORTED.format("x") + " AS sx, " + SORTED.format("y") + " AS sy FROM c), "
+       "sc AS (SELECT x, y, floor(greatest(2.0 * " + LCS.format(a="nx", b="ny") + " / (len(nx) + len(ny)), 2.0 * " + LCS.format(a="sx", b="sy") + " / (len(sx) + len(sy)))::DOUBLE * 10000 + 0.5) / 10000.0 AS score FROM w), "
+       "e AS (SELECT p_type AS source, 'urn:part:' || p_partkey AS iri, p_name FROM part), "
+       "p AS (SELECT a.source AS source_a, a.iri AS iri_a, b.source AS source_b, b.iri AS iri_b, score FROM e a JOIN sc ON sc.x = a.p_name JOIN e b ON b.p_name = sc.y AND a.source < b.source WHERE score >= 0.75), "
+       "r AS (SELECT *, row_number() OVER (PARTITION BY source_a, iri_a, source_b ORDER BY score DESC, iri_b) AS ra, row_number() OVER (PARTITION BY source_b, iri_b, source_a ORDER BY score DESC, iri_a) AS rb FROM p) "
+       "SELECT source_a, iri_a, source_b, iri_b, score FROM r WHERE ra <= 2 OR rb <= 2")
+def match_names(spark, d):
+    """Parts of each kind, as one source per kind, matched by name."""
+    q = star(spark, d).where("source = 'catalog'")
+    kind = q.where(F.col("p") == P + "kind").select("s", F.col("o").alias("k"))
+    q = q.join(kind, "s").withColumn("source", F.col("k")).drop("k")
+    run = M.run_all_pairs(q, _no_links(spark), load_config(PART_CONFIG))
+    return run.proposals.select("source_a", "iri_a", "source_b", "iri_b", "score")
+
+
+# --- whole groups, linked entities ----------------------------------------------------------
+
+NEIGHBOUR_CONFIG = {
+    "defaults": {"maxProposalsPerEntity": 2},
+    "equivalentGroups": [{
+        "id": "partner", "groupLabel": "Partner", "equivalentTypes": ["urn:t:Customer", "urn:t:Supplier"], "candidates": "all", "requiredConcepts": ["nation"],
+        "properties": {"nation": {"predicates": [P + "nation"], "comparator": "linkedEntity", "weight": 3, "blocking": True}}}],
+}
+
+
+@query("WITH t AS (SELECT n_nationkey AS k, " + PLAIN.format("n_name") + " AS n, " + SORTED.format("n_name") + " AS s FROM nation), "
+       "m AS (SELECT a.k AS ka, b.k AS kb, CASE WHEN a.k = b.k THEN 1.0::DOUBLE ELSE floor(0.9::DOUBLE * greatest(2.0 * " + LCS.format(a="a.n", b="b.n") + " / (len(a.n) + len(b.n)), 2.0 * " + LCS.format(a="a.s", b="b.s") + " / (len(a.s) + len(b.s))) * 10000 + 0.5) / 10000.0 END AS score FROM t a, t b), "
+       "p AS (SELECT 'urn:c:' || c_custkey AS iri_a, 'urn:s:' || s_suppkey AS iri_b, score FROM customer JOIN m ON ka = c_nationkey JOIN supplier ON kb = s_nationkey WHERE score >= 0.75), "
+       "r AS (SELECT *, row_number() OVER (PARTITION BY iri_a ORDER BY score DESC, iri_b) AS ra, row_number() OVER (PARTITION BY iri_b ORDER BY score DESC, iri_a) AS rb FROM p) SELECT iri_a, iri_b, score FROM r WHERE ra <= 2 OR rb <= 2")
+def match_neighbours(spark, d):
+    """Customers and suppliers by the nation they are linked to: a group compared whole."""
+    run = M.run_matching(star(spark, d), _no_links(spark), load_config(NEIGHBOUR_CONFIG), "crm", "erp")
+    return run.proposals.select("iri_a", "iri_b", "score")
+
+
+@query("WITH s AS (SELECT DISTINCT source, source <> 'src1' AS known, make_timestamp(2026, 1, 1 + length(source), 0, 0, 0.0) AS change FROM documents), p AS (SELECT a.source AS source_a, b.source AS source_b, a.known AND b.known AS ok, greatest(a.change, b.change) AS change FROM s a JOIN s b ON a.source < b.source) "
+       "SELECT source_a, source_b, CASE WHEN NOT ok THEN '' WHEN source_a = 'src0' THEN 'neverRun' ELSE concat_ws('|', CASE WHEN change > make_timestamp(2026, 1, 5, 12, 0, 0.0) THEN 'dataChanged' END, CASE WHEN source_b < 'src4' THEN 'configurationChanged' END, 'decisionsRevoked') END AS stale FROM p")
+def stale_runs(spark, d):
+    s = read(spark, d, "documents").select(F.col("source").alias("short_name")).distinct().withColumn("last_change", F.make_timestamp(F.lit(2026), F.lit(1), F.char_length("short_name") + 1, F.lit(0), F.lit(0), F.lit(0)))
+    pairs = s.select(F.col("short_name").alias("source_a")).join(s.select(F.col("short_name").alias("source_b")), F.col("source_a") < F.col("source_b"))
+    never = F.col("source_a") == "src0"
+    pairs = pairs.withColumn("started_at", F.when(~never, F.lit("2026-01-05 12:00:00").cast("timestamp"))).withColumn(
+        "configuration_hash", F.when(~never, F.when(F.col("source_b") < "src4", "old").otherwise("new")))
+    return L.stale_reasons(pairs, s.where("short_name <> 'src1'"), "new", "2026-02-01 00:00:00").select("source_a", "source_b", F.array_join("stale", "|").alias("stale"))
+
+
+@query(SQ + f"SELECT p, source, count(DISTINCT s) AS subjects FROM q WHERE source IN ('crm', 'erp') AND p NOT IN ('{RDF_TYPE}', '{P}nation') GROUP BY p, source")
+def uncompared_predicates(spark, d):
+    usage = A.predicate_usage(star(spark, d), ["urn:t:Customer", "urn:t:Supplier"])
+    return A.uncompared_predicates(usage, load_config(NEIGHBOUR_CONFIG).groups[0])
+
+
+@query("SELECT 'urn:d:' || doc_id AS s, CASE WHEN source <> 'src0' THEN upper(source) END AS source_name FROM documents")
+def source_names(spark, d):
+    names = read(spark, d, "documents").where("source <> 'src0'").select(F.concat(F.lit("urn:datasource:"), "source").alias("graph"), F.upper("source").alias("short_name")).distinct()
+    return Pt.shared_source_label(docs(spark, d).where(F.col("p") == RDF_TYPE), names).select("s", "source_name")
+
+
+@query("WITH " + LINKS_SQL + ", t AS (SELECT *, source_b < 'src2' AS ran FROM l) SELECT source_a, iri_a, source_b, iri_b, 'PROPOSED' AS status FROM t WHERE NOT ran UNION ALL SELECT source_b, iri_b, source_a, iri_a, 'PROPOSED' FROM t WHERE false "
+       "UNION ALL SELECT source_a, 'urn:new', source_b, iri_b, 'PROPOSED' FROM t WHERE ran")
+def merged_proposals(spark, d):
+    """Links after a run over some pairs of sources: their old proposals go, the run's come."""
+    lk = cut_lineage(_copy_links(spark, d, "PROPOSED"))
+    ran = lk.where("source_b < 'src2'").select("source_a", "source_b").distinct()
+    new = lk.where("source_b < 'src2'").withColumn("iri_a", F.lit("urn:new")).withColumn("id", I.link_id("source_a", "iri_a", "source_b", "iri_b"))
+    return M.merge_proposals(lk, new, ran).select("source_a", "iri_a", "source_b", "iri_b", "status")

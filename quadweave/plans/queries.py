@@ -365,16 +365,6 @@ PART_CONFIG = {
 }
 
 
-@query()
-def match_names(spark, d):
-    """Parts of each kind, as one source per kind, matched by name."""
-    q = star(spark, d).where("source = 'catalog'")
-    kind = q.where(F.col("p") == P + "kind").select("s", F.col("o").alias("k"))
-    q = q.join(kind, "s").withColumn("source", F.col("k")).drop("k")
-    run = M.run_all_pairs(q, _no_links(spark), load_config(PART_CONFIG))
-    return run.proposals.select("source_a", "iri_a", "source_b", "iri_b", "score")
-
-
 @query("WITH k AS (SELECT source, 'urn:d:' || doc_id AS iri, 'e:' || n_chars AS key FROM documents) SELECT source, iri, key FROM k")
 def blocking_keys(spark, d):
     q, cfg = docs(spark, d), load_config(DOC_CONFIG)
@@ -547,11 +537,6 @@ def search_labels(spark, d):
     return hits.where("score >= 0.9").select("query_id", "iri", "score")
 
 
-@query()
-def resolve_names(spark, d):
-    q = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("query_id"), F.col("n_name").alias("text"))
-    return Q.resolve_names(star(spark, d), q).select("query_id", "status", "iri", F.array_join("candidates", "|").alias("candidates"))
-
 
 def _history(spark, d):
     t = spark.read.parquet(f"{d}/conversations.parquet").where("role = 'user'")
