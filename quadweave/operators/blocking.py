@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quadweave.functions.text import fold, normalize_folded, tokens_of_normalized
 from quadweave.operators.closures import shared_group
-from quadweave.plans.config import is_keyed_group, per_group
 from quadweave.runtime import broadcast_if_small, cut_lineage, skew_safe_join
 
 

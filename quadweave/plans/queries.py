@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 from quadweave.functions import iri as I
 from quadweave.functions import text as T
 from quadweave.functions.dates import parse_partial_date
-from quadweave.operators import blocking, clusters as C, closures, compare, links as L, ontology as X, patterns as Pt
+from quadweave.operators import blocking, clusters as C, closures, links as L, ontology as X, patterns as Pt
 from quadweave.operators import profiles as Pr, search as Q, stats as A, tabular, updates as U
 from quadweave.plans import matching as M
 from quadweave.plans.config import load_config
 from quadweave.plans.datasets import DOCS, EVENTS, ONTOLOGY, P, STAR, quads_of, quads_sql
 from quadweave.runtime import cut_lineage
 from quadweave.sources import tables as S
-from quadweave.vocab import FOAF, LINK_SCHEMA, RDF_TYPE, RDFS, RDFS_LABEL, RICO, SUBCLASS_OF
+from quadweave.vocab import FOAF, LINK_SCHEMA, RDF_TYPE, RDFS_LABEL, RICO, SUBCLASS_OF
 
 QUERIES, ORACLES = {}, {}
 NAME = RICO + "name"
