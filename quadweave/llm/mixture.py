@@ -33,6 +33,8 @@ SEED = 20
 #: Buckets of a source's documents at least, and documents of the table per bucket beyond that.
 BUCKETS = 64
 BUCKET_ROWS = 100_000
+#: Sources up to which their table, which the driver holds anyway, is broadcast.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text):
@@ -153,13 +155,18 @@ def _hypergeometric(draw, counts, n):
     return left
 
 
+def _row_key(seed, ident, source, text):
+    """A keyed hash of a row's id, source and text: its place in its stream, and the key of its text."""
+    return F.xxhash64(F.lit(seed), F.col(ident), F.col(source), F.col(text))
+
+
 def _streams(docs, ident, text, source, block_words, seed):
     """(row columns, source name, size, words of the source before the document).
 
     The order of a source's documents is that of a keyed hash. Sources are cut into hash buckets, so
     a large source is summed by many tasks: within buckets first, then over the buckets' totals.
     """
-    rows = docs.select(F.col(ident).alias("_id"), F.col(source).alias("_source"), word_count(F.col(text)).alias("_size"), F.xxhash64(F.lit(seed), F.col(ident), F.col(text)).alias("_hash"))
+    rows = docs.select(F.col(ident).alias("_id"), F.col(source).alias("_source"), word_count(F.col(text)).alias("_size"), _row_key(seed, ident, source, text).alias("_hash"))
     rows = written(rows, "sizes")
     buckets = max(BUCKETS, rows.count() // BUCKET_ROWS)
     rows = rows.withColumn("_bucket", F.pmod("_hash", F.lit(buckets)).cast("int"))
@@ -229,6 +236,8 @@ def _taken(docs, ident, text, source, weights, block_words, shard_slots, max_rep
     names = spark.createDataFrame(
         [(p["source"], p["index"], p["size"], p["target"]) for p in plan], f"_plan_source {docs.schema[source].dataType.simpleString()}, _index long, _source_size long, _target double"
     )
+    if len(plan) <= BROADCAST_SOURCES:
+        names = F.broadcast(names)
     streams = streams.join(names, F.col("_source").eqNullSafe(F.col("_plan_source"))).drop("_plan_source")
     b = F.lit(block_words)
     parts = streams.where("_size > 0").select(
@@ -291,21 +300,18 @@ def mix_documents(docs: DataFrame, ident="doc_id", text="text", source="source",
     """
     streams, pieces = _taken(docs, ident, text, source, weights, block_words, shard_slots, max_repeats, seed)
     spans = pieces.groupBy("_index", "_start", "_pass").agg(F.sort_array(F.collect_list(F.struct("_from", "_to"))).alias("_spans"))
-    # Rows alike in id, text and source are told apart by number.
-    alike = ["_mix_id", "_mix_hash", "_mix_source"]
+    # Rows with one key are numbered alike on both sides: by id and source, repeated rows in any order.
+    number = lambda *order: F.row_number().over(Window.partitionBy("_mix_key").orderBy(*order))
     taken = (
-        streams.where("_size > 0")
-        .select(F.col("_id").alias("_mix_id"), F.col("_hash").alias("_mix_hash"), F.col("_source").alias("_mix_source"), "_index", "_start")
-        .withColumn("_mix_n", F.row_number().over(Window.partitionBy(*alike).orderBy("_start")))
-        .join(spans, ["_index", "_start"]).select(*alike, "_mix_n", "_spans")
+        streams.select("_id", F.col("_hash").alias("_mix_key"), "_source", "_index", "_start")
+        .withColumn("_mix_n", number("_id", "_source", "_start"))
+        .join(spans, ["_index", "_start"]).select("_mix_key", "_mix_n", "_spans")
     )
-    rows = docs.select(
-        *docs.columns, F.col(ident).alias("_mix_id"), F.xxhash64(F.lit(seed), F.col(ident), F.col(text)).alias("_mix_hash"), F.col(source).alias("_mix_source")
-    ).withColumn("_mix_n", F.row_number().over(Window.partitionBy(*alike).orderBy(F.lit(0))))
-    a, b = rows.alias("a"), taken.alias("b")
-    same = F.col("a._mix_n") == F.col("b._mix_n")
-    for c in alike:
-        same &= F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    rows = docs.select(*docs.columns, _row_key(seed, ident, source, text).alias("_mix_key")).withColumn("_mix_n", number(ident, source))
+    a, b = rows.alias("a"), taken.hint("merge").alias("b")
+    # The texts are shuffled and sorted once, by the key that the numbers are dealt by: so the join
+    # has no other key, and the numbers are compared by their difference.
+    same = (F.col("a._mix_key") == F.col("b._mix_key")) & (F.col("a._mix_n") - F.col("b._mix_n") == 0)
     mixed = a.join(b, same).select(*[F.col(f"a.`{c}`") for c in docs.columns], F.col("b._spans"))
     mixed = mixed.withColumn(text, _cut_text(F.col(text), F.col("_spans"))).drop("_spans")
     if chars in docs.columns:

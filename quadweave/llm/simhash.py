@@ -239,7 +239,8 @@ def drop_near_duplicates(docs: DataFrame, ident="doc_id", text="text", distance=
         "kept-ids",
     )
     same = F.col(ident) == F.col("_near_id")
-    result = docs.join(kept.where("_near_n = 1"), same).select(*docs.columns)
+    # Texts are shuffled at every size: a plan that broadcasts the ids of small inputs only does not tell how it grows.
+    result = docs.join(kept.where("_near_n = 1").hint("merge"), same).select(*docs.columns)
     if kept.where("_near_n > 1 or _near_id is null").limit(1).count():
         # Repeated or missing ids: the class of each such row decides.
         again = docs.join(kept.where("_near_n > 1"), same).select(*docs.columns)
