@@ -139,7 +139,8 @@ def training_rows(docs, labels, ident="doc_id", text="text", label="toxic", trai
         .orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
     )
     # At most ``train_rows`` pairs of numbers.
-    return docs.join(F.broadcast(picked), F.col(ident) == F.col("_id")).select(F.col(text).alias("text"), F.col("_toxic").cast("int").alias("toxic"))
+    texts = docs.select(F.col(ident).alias("_id"), F.col(text).alias("text"))
+    return texts.join(F.broadcast(picked), "_id").select("text", F.col("_toxic").cast("int").alias("toxic"))
 
 
 def learn(rows: DataFrame, exceptions=EXCEPTIONS) -> Lexicon:
