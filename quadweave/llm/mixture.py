@@ -303,9 +303,10 @@ def mix_documents(docs: DataFrame, ident="doc_id", text="text", source="source",
     # Rows with one key are numbered alike on both sides: by id and source, repeated rows in any order.
     number = lambda *order: F.row_number().over(Window.partitionBy("_mix_key").orderBy(*order))
     taken = (
-        streams.select("_id", F.col("_hash").alias("_mix_key"), "_source", "_index", "_start")
+        streams.select("_id", F.col("_hash").alias("_mix_key"), "_source", "_index", "_start", "_size")
         .withColumn("_mix_n", number("_id", "_source", "_start"))
-        .join(spans, ["_index", "_start"]).select("_mix_key", "_mix_n", "_spans")
+        # A wordless document starts where the next one does.
+        .where("_size > 0").join(spans, ["_index", "_start"]).select("_mix_key", "_mix_n", "_spans")
     )
     rows = docs.select(*docs.columns, _row_key(seed, ident, source, text).alias("_mix_key")).withColumn("_mix_n", number(ident, source))
     a, b = rows.alias("a"), taken.hint("merge").alias("b")
