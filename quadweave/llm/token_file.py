@@ -30,6 +30,8 @@ END_ID = 0
 CHUNK = 8
 RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 18
+#: Words whose ids a writing task keeps at hand; about 160 MB.
+KEPT_WORDS = 400_000
 _LEVELS = "array<struct<chunks: binary, marks: binary, ranks: binary>>"
 
 
@@ -99,7 +101,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, ident="doc_id", tex
 
     def segments(batches):
         part, tail = TaskContext.get().partitionId(), np.uint32(end_id).tobytes()
-        enc, first, seq, held = encoder(tokenizer, SPACED), 0, 0, []
+        enc, first, seq, held = encoder(tokenizer, SPACED, KEPT_WORDS), 0, 0, []
         schema = None
 
         def flush():

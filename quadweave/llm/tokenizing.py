@@ -34,6 +34,7 @@ def _byte_letters() -> dict[int, int]:
 
 
 _BYTE_LETTERS = _byte_letters()
+_BLANK = chr(_BYTE_LETTERS[0x20])
 _LETTERS = re.compile(f" ?[{_LETTER}]+").fullmatch
 
 
@@ -69,7 +70,11 @@ class WordEncoder:
         """Runs of letters need no cutting: the library's model takes them as bytes. Others go the whole way."""
         others, tokenize = [], self.tokenizer.model.tokenize
         for w in words:
-            if _LETTERS(w):
+            if w.isascii() and w.lstrip(" ").isalpha():
+                # ASCII letters stand for themselves; the blank before them has a letter of its own.
+                plain = w.replace(" ", _BLANK) if self.keeps_case else w.lower()
+                self.known[w] = array("I", [t.id for t in tokenize(plain)]).tobytes()
+            elif _LETTERS(w):
                 plain = w.encode() if self.keeps_case else w.lower().encode()
                 tokens = tokenize(plain.decode("latin-1").translate(_BYTE_LETTERS))
                 self.known[w] = array("I", [t.id for t in tokens]).tobytes()
@@ -82,6 +87,6 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, pattern: str) -> WordEncoder:
+def encoder(path: str, pattern: str, kept_words: int = KEPT_WORDS) -> WordEncoder:
     """One encoder per Python worker and vocabulary."""
-    return WordEncoder(path, pattern)
+    return WordEncoder(path, pattern, kept_words)
