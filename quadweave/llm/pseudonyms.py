@@ -7,6 +7,10 @@ in every document, different values different ones, and the holder of the key ca
 
 Texts: null stays null, empty stays empty; texts without personal data come back unchanged; texts of
 any length are read whole. All other columns pass through. Values that fail validation stay.
+
+Cards, IBANs and phones are read to each place where they may end, so that a number or a word after
+one is no part of it. Where a number is valid at two ends the shorter one is taken (for IBANs that of
+the country's length first). A phone ends at the length of its country, or at a stop or comma.
 """
 
 import calendar
@@ -101,32 +105,114 @@ def _digits(text):
 # --- kinds ------------------------------------------------------------------------------------
 
 
-def card(m, permuter):
-    digits = _digits(m[0])
-    if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1:
+def _prefixes(digits):
+    """At which lengths below its own a number would pass for a card."""
+    return [n for n in range(13, len(digits)) if luhn_digit(digits[: n - 1]) == int(digits[n - 1])]
+
+
+def card_ends(m):
+    """Every end between 13 and 19 digits that is no place inside a run, shortest first."""
+    n = 0
+    for i, c in enumerate(m[0]):
+        n += c.isdigit()
+        if n > 19:
+            return
+        if n >= 13 and c.isdigit() and _ends(m.string, m.start() + i + 1):
+            yield m.start() + i + 1
+
+
+def _ends(text, at):
+    return at == len(text) or not (text[at].isalnum() or text[at] == "_")
+
+
+def card(m, end, permuter):
+    text = m.string[m.start() : end]
+    digits = _digits(text)
+    if luhn_digit(digits[:-1]) != int(digits[-1]) or len(set(digits[:-1])) == 1:
         return None
-    n = len(digits) - 1
-    body = str(permuter(int(digits[:-1]), 10**n, f"card{n}", lambda v: len(set(str(v))) > 1)).zfill(n)
-    return _with_digits(m[0], body + str(luhn_digit(body)))
+    n, short = len(digits) - 1, _prefixes(digits)
+
+    def allowed(v):
+        # An image passes at the same shorter lengths, so that reading it back ends at the same place.
+        body = str(v).zfill(n)
+        return len(set(body)) > 1 and _prefixes(body + str(luhn_digit(body))) == short
 
+    body = str(permuter(int(digits[:-1]), 10**n, f"card{n}", allowed)).zfill(n)
+    return _with_digits(text, body + str(luhn_digit(body)))
 
-def iban(m, permuter):
-    text = m[0].replace(" ", "")
-    if not 15 <= len(text) <= 34 or _mod97(text[4:] + text[:4]) != 1:
+
+#: Letters and digits of an IBAN by country.
+IBAN_CHARS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 "
+        "GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 "
+        "PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+    ).split()
+}
+
+
+def iban_ends(m):
+    """The end at the country's length, then every other end, shortest first."""
+    ends, n = [], 0
+    for i, c in enumerate(m[0]):
+        n += c != " "
+        if c != " " and 15 <= n <= 34 and _ends(m.string, m.start() + i + 1):
+            ends.append((n != IBAN_CHARS.get(m[0][:2]), m.start() + i + 1))
+    return [end for _, end in sorted(ends)]
+
+
+def iban(m, end, permuter):
+    own = m.string[m.start() : end]
+    text = own.replace(" ", "")
+    if _mod97(text[4:] + text[:4]) != 1:
         return None
     body = permute_text(text[4:], f"iban{text[:2]}", permuter)
     check = 98 - _mod97(body + text[:2] + "00")
     new = iter(f"{text[:2]}{check:02d}{body}")
-    return "".join(c if c == " " else next(new) for c in m[0])
+    return "".join(c if c == " " else next(new) for c in own)
 
 
-def phone(m, permuter):
+#: Fewest and most digits after the country's, where a plan of numbers tells.
+PHONE_DIGITS = {
+    "1": (10, 10), "7": (10, 10), "20": (8, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "36": (8, 9),
+    "39": (6, 11), "40": (9, 9), "41": (9, 9), "43": (7, 13), "44": (9, 10), "45": (8, 8), "46": (7, 9), "47": (8, 8), "48": (9, 9), "49": (6, 11),
+    "52": (10, 10), "54": (10, 11), "55": (10, 11), "61": (9, 9), "64": (8, 10), "65": (8, 8), "81": (9, 10), "82": (8, 10), "86": (10, 11), "90": (10, 10),
+    "91": (10, 10), "351": (9, 9), "352": (6, 9), "353": (7, 9), "358": (6, 10), "420": (9, 9), "421": (9, 9),
+}
+_PART = re.compile(r"[0-9]+")
+_STOP = re.compile(r"[^\w\n]*?[.,;]\s")
+
+
+def phone_ends(m):
+    """The one end of a phone: at its country's length, else at the first stop or comma, else the last."""
+    if not m["country"]:
+        return [m.end()]
+    text, have = m.string, len(m["country"]) - 1
+    low, high = PHONE_DIGITS.get(m["country"][1:], (max(6, 7 - have), 15 - have))
+    n, ends = 0, []
+    for part in _PART.finditer(text, m.end("country"), m.end()):
+        n += len(part[0])
+        if _ends(text, part.end()):
+            ends.append((n, part.end(), _STOP.match(text, part.end())))
+    # Numbers outside the plan are read by what every phone must have.
+    for least, most in ((low, high), (max(6, 7 - have), 15 - have)):
+        last = None
+        for n, end, stop in ends:
+            if least <= n <= most:
+                last = end
+                if stop:
+                    break
+        if last is not None:
+            return [last]
+    return []
+
+
+def phone(m, end, permuter):
     """International numbers keep their country digits, domestic ones are permuted whole."""
-    text = m[0]
+    text = m.string[m.start() : end]
     head = m["country"] or ""
     digits = _digits(text[len(head):])
-    if not 7 <= len(digits) + len(_digits(head)) <= 15 or len(digits) < 6:
-        return None
     n = len(digits)
     return head + _with_digits(text[len(head):], str(permuter(int(digits), 10**n, f"phone{head}{n}")).zfill(n))
 
@@ -210,22 +296,33 @@ def assigned(m, permuter):
 _GAP = r"[^\w\n+@]{1,6}"
 KINDS = {
     "email": (email, r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    "iban": (iban, r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![0-9A-Za-z])"),
+    "iban": (iban, r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?"),
     "secret": (secret, r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|(?:sk|ghp|xox[bp])[-_][0-9A-Za-z-]{16,})(?![0-9A-Za-z])"),
     "assigned": (assigned, r"(?P<name>\b(?i:passw(?:or)?d|pwd|secret|api[_-]?key|access[_-]?token|token)\b\s*[=:]\s*[\"']?)(?P<value>[^\s\"']{6,})(?=[\"'\s]|$)"),
     "iso_date": (iso_date, r"(?<![\w./-])(?P<y>[0-9]{4})(?P<s>[-/.])(?P<m>[0-9]{2})(?P=s)(?P<d>[0-9]{2})(?![\w/-]|\.[0-9])"),
     "short_date": (short_date, r"(?<![\w./-])(?P<a>[0-9]{1,2})(?P<t>[-/.])(?P<b>[0-9]{1,2})(?P=t)(?P<yy>[0-9]{4})(?![\w/-]|\.[0-9])"),
     "ssn": (ssn, r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     "ipv4": (ipv4, r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])"),
-    "card": (card, r"(?<![\w+-])[0-9]{4}(?:[ -]?[0-9]{2,7}){2,4}(?![\w-])"),
-    "phone": (phone, rf"(?<![\w+-])(?:(?P<country>\+[0-9]{{1,3}})(?:{_GAP}[0-9]{{1,5}}){{2,6}}|\+[0-9]{{8,15}}|\([0-9]{{3}}\)[ .-]{{0,2}}[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}})(?![\w-])"),
+    "card": (card, r"(?<![\w+-])(?=[0-9]{4}(?:[ -]?[0-9]){9})[0-9]{4,}+(?:[ -][0-9]{2,}+){0,8}+"),
+    "phone": (phone, rf"(?<![\w+-])(?:(?P<country>\+[0-9]{{1,3}})(?:{_GAP}[0-9]{{1,5}}){{2,6}}|(?:\+[0-9]{{8,15}}|\([0-9]{{3}}\)[ .-]{{0,2}}[0-9]{{3}}[ .-][0-9]{{4}}|[0-9]{{3}}[.-][0-9]{{3}}[.-][0-9]{{4}})(?![\w-]))"),
 }
+#: Kinds that are tried at several ends.
+ENDS = {"card": card_ends, "iban": iban_ends, "phone": phone_ends}
 _FIND = re.compile("|".join(f"(?P<{k}>{p})" for k, (_, p) in KINDS.items()))
 _ALONE = {k: re.compile(p) for k, (_, p) in KINDS.items()}
 # A text without any of these holds nothing to look for.
 _HINT = re.compile(r"[0-9@]|(?i:passw|pwd|secret|key|token)")
 
 
+def _read(kind, m, permuter):
+    """(pseudonym, end) of the value of a kind at a match, or None."""
+    change = KINDS[kind][0]
+    if kind not in ENDS:
+        new = change(m, permuter)
+        return None if new is None else (new, m.end())
+    return next(((new, end) for end in ENDS[kind](m) if (new := change(m, end, permuter)) is not None), None)
+
+
 def pseudonymise(text: str, permuter: Permuter) -> tuple[str, int]:
     """The text with its personal values replaced, and how many there were."""
     if not text or not _HINT.search(text):
@@ -233,16 +330,16 @@ def pseudonymise(text: str, permuter: Permuter) -> tuple[str, int]:
     out, at, count = [], 0, 0
     pos = 0
     while (m := _FIND.search(text, pos)) is not None:
-        end, new = m.start() + 1, None
+        found = None
         # The first kind that validates at this place wins.
-        for kind, (change, _) in KINDS.items():
+        for kind in KINDS:
             own = m if kind == m.lastgroup else _ALONE[kind].match(text, m.start())
-            if own and (new := change(own, permuter)) is not None:
-                end = own.end()
+            if own and (found := _read(kind, own, permuter)) is not None:
                 break
-        if new is None:
+        if found is None:
             pos = _skip(text, m.start())
             continue
+        new, end = found
         out += [text[at : m.start()], new]
         at = pos = end
         count += 1

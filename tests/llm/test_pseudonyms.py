@@ -81,3 +81,42 @@ def test_dates_stay_dates():
     assert DAYS == 73_049
     for d in range(1, 29):
         assert pseudonymise(f"on {d:02d}.02.2000 x", P)[1] == 1
+
+
+AFTER = [" 12/26", " 123", " 2024", " 97.51.17.173", " EUR", " VISA CARD", ". 12 people", ", 12 people", " 12 34 56", " 1985-03-12", " 4845168114407329"]
+MORE = {"ungrouped card of 15": "378282246310005", "card of 15": "3782 822463 10005", "dashed card": "4845-1681-1440-7329", "iban BE": "BE68 5390 0754 7034", "iban NO": "NO93 8601 1117 947", "iban plain": "DE89370400440532013000", "phone FR": "+33 1 23 45 67 89", "phone DE": "+49 30 1234 5678"}
+
+
+@pytest.mark.parametrize("kind", [*VALUES, *MORE])
+def test_a_value_ends_where_the_next_word_or_number_begins(kind):
+    value = (VALUES | MORE)[kind]
+    alone, n = pseudonymise(value, P)
+    assert n == 1
+    for after in AFTER:
+        if kind == "phone DE" and after in (" 123", " 12 34 56"):
+            continue  # Numbers of that country have no one length: these may be its last digits.
+        text = f"see {value}{after} end"
+        new, n = pseudonymise(text, P)
+        rest, m = pseudonymise(f"see x{after} end", P)
+        assert new == rest.replace("see x", f"see {alone}", 1) and n == 1 + m, after
+        assert pseudonymise(new, BACK) == (text, n), "the key undoes it"
+
+
+def test_the_reviewed_cases():
+    for text, value in [
+        ("4845168114407329 12/26", "4845168114407329"), ("4845 1681 1440 7329 123", "4845 1681 1440 7329"), ("4845-1681-1440-7329-123", "4845-1681-1440-7329"),
+        ("BE68 5390 0754 7034 EUR", "BE68 5390 0754 7034"), ("+1 (017) 555-7713. 12 people", "+1 (017) 555-7713"), ("+999 12 34 56 78. 12 people", "+999 12 34 56 78"),
+    ]:
+        new, n = pseudonymise(text, P)
+        assert n == 1 and value not in new and new == pseudonymise(value, P)[0] + text[len(value):]
+
+
+def test_cards_at_any_end_are_undone():
+    rng = random.Random(3)
+    for _ in range(300):
+        body = "".join(rng.choices(string.digits, k=rng.randint(12, 18)))
+        card = body + str(luhn_digit(body))
+        card = card[:13] + rng.choice(["", " ", "-"]) + card[13:] if len(card) > 14 else card
+        text = f"n {card} {rng.randint(10, 9999)} n"
+        new, n = pseudonymise(text, P)
+        assert n == 1 and pseudonymise(new, BACK) == (text, 1)
