@@ -6,7 +6,8 @@ table of labelled blocks (``html_examples``), says which blocks are text of the
 
 Pages: null and empty html gives an empty text. Character references are decoded. White space
 inside a block becomes one space, blocks are joined in page order by one space; nothing is capped.
-Unclosed and stray tags are tolerated. Repeated rows are read each. Empty tables give empty results.
+Unclosed and stray tags are tolerated; a head, select or drawing without its end tag ends at the first
+tag that it cannot hold, a head also at the first text. Repeated rows are read each. Empty tables give empty results.
 """
 
 import re
@@ -21,6 +22,11 @@ from pyspark.sql import DataFrame, functions as F
 from quadweave.llm.common import slices
 
 _SILENT = {"script", "style", "noscript", "template", "svg", "iframe", "object", "head", "title", "select", "textarea", "canvas", "audio", "video", "math", "map"}
+# What a head, a title and a select hold, and what ends a drawing; other silent elements may hold anything.
+_IN_HEAD = {"html", "head", "title", "base", "basefont", "bgsound", "link", "meta", "style", "script", "noscript", "noframes", "template"}
+_IN_SELECT = {"option", "optgroup", "hr", "button", "div", "legend", "script", "style", "template", "noscript", "svg", "datalist", "selectedcontent"}
+_ENDS_DRAWING = set("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 head hr li listing menu ol p pre table ul article main section".split())
+_DRAWN_HTML = {"foreignobject", "desc", "title", "annotation-xml"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd",
     "label", "mark", "meta", "link", "q", "ruby", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br", "button", "picture", "source",
@@ -61,7 +67,7 @@ class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks, self.parts = [], []
-        self.open = []  # (tag, boiler, inside, silent, label)
+        self.open = []  # (tag, boiler, inside, silent: place of the outermost silent element plus one, label)
         self.links = 0
         self.linked = 0
         self.heading = False
@@ -76,7 +82,25 @@ class _Blocks(HTMLParser):
             self.blocks.append(Block(" ".join(words), len(words), self.linked, boiler > 0, inside, self.heading, label))
         self.parts, self.linked = [], 0
 
+    def _end_silent(self, tag):
+        """Close the silent elements that cannot hold ``tag``."""
+        at = self._state()[2] - 1
+        first = self.open[at][0]
+        if first == "head":
+            ends = tag == "body" or self.open[-1][0] == "head" and tag not in _IN_HEAD
+        elif first == "select":
+            ends = tag not in _INLINE and tag not in _IN_SELECT
+        elif first in ("svg", "math"):
+            ends = tag in _ENDS_DRAWING and not any(o[0] in _DRAWN_HTML for o in self.open[at:])
+        else:
+            ends = False
+        if ends:
+            self.flush()
+            del self.open[at:]
+
     def handle_starttag(self, tag, attrs):
+        if self._state()[2]:
+            self._end_silent(tag)
         if tag == "br":
             self.parts.append("\n")
             return
@@ -114,7 +138,7 @@ class _Blocks(HTMLParser):
                 boiler = max(boiler, 1)
             inside = inside or bool(names & _TEXT_NAMES)
         label = int(attrs["data-keep"]) if attrs.get("data-keep") in ("0", "1") else label
-        return boiler, inside, silent or tag in _SILENT, label
+        return boiler, inside, silent or (tag in _SILENT and len(self.open) + 1), label
 
     def handle_endtag(self, tag):
         if tag == "a":
@@ -131,6 +155,8 @@ class _Blocks(HTMLParser):
                 break
 
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.open.pop()
         if self._state()[2]:
             return
         self.parts.append(data)

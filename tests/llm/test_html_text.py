@@ -73,3 +73,19 @@ def test_pages_of_every_kind(spark):
     assert by_id[5]["text"] == " ".join(["many words here"] * 20_000) and by_id[5]["n_chars"] == len(by_id[5]["text"])
     assert by_id[None]["text"] == "no id" and by_id[8]["text"] == "x y"
     assert extract_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("head", [
+    "<head><title>t</title><meta charset=utf-8><body>", "<html><head><script>x()</script><style>p{}</style>", "<head><title>t</title><noscript><link href=x></noscript><body>",
+    "<head><noscript><img src=x><body>", "<body><select><option>One<option>Two", "<body><svg><g><path>", "<head><body><header class=head><a href=/>Top</a></header>",
+])
+def test_pages_whose_silent_elements_are_left_open(head):
+    article = "<article><h1>A title</h1><p>One paragraph that is long enough to be text of it.</p></article>"
+    assert text(head + article) == "A title One paragraph that is long enough to be text of it."
+
+
+def test_silent_elements_that_are_closed_stay_silent():
+    article = "<article><p>One paragraph that is long enough to be text of it.</p></article>"
+    for part in ("<head><title>no</title></head>", "<select><optgroup><option>no</option></optgroup></select>", "<svg><foreignObject><div>no</div></foreignObject></svg>", "<noscript><p>no</p></noscript>", "<video><p>no</p></video>"):
+        assert text(part + article) == "One paragraph that is long enough to be text of it."
+    assert [b.text for b in blocks_of("<head><title>t</title> Plain words")] == ["Plain words"]
