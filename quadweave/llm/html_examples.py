@@ -44,4 +44,8 @@ PAGES = [
     # Page header, search box, notice and pager.
     f"""<body><header data-keep="0"><a href="/">River Press</a><p>{_MID}</p></header><div role="search" data-keep="0"><p>Search</p></div><div class="alert" data-keep="0"><p>{_MID}</p></div>
     <div class="post" data-keep="1"><h1>Eels</h1><p>{_SHORT}</p><p>{_LONG}</p><pre>one two three</pre></div><div class="pagination" data-keep="0"><a href="/2">2</a> <a href="/3">3</a></div><div class="newsletter" data-keep="0"><p>{_MID}</p></div></body>""",
+    # One form around the whole page, and wrappers whose names merely hold a listed word.
+    f"""<body><form id="aspnetForm">{_NAV}<main><article data-keep="1"><h1>Sluices</h1><p>{_LONG}</p><p>{_SHORT}</p><p>{_MID}</p></article></main>{_FOOT}</form></body>""",
+    f"""<body class="no-ads"><div class="has-comments related-topic">{_NAV}<article data-keep="1"><h1>Locks</h1><p>{_SHORT}</p><p>{_LONG}</p></article>
+    <div class="comments" data-keep="0"><article><p>{_LONG}</p></article><article><p>{_SHORT}</p></article></div></div>{_FOOT}</body>""",
 ]

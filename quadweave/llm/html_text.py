@@ -33,6 +33,7 @@ _INLINE = {
 }
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BOILER_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset"}
+_FORM_TAGS = {"form", "fieldset"}
 _TEXT_TAGS = {"article", "main"}
 # Fixed lists: words in class and id names that tell what an element is for.
 _BOILER_NAMES = set(
@@ -45,6 +46,10 @@ _STRONG_NAMES = set("ad ads advert advertisement sponsored comment comments comm
 _TITLE_NAMES = {"header", "banner", "head"}
 _TEXT_NAMES = set("article articlebody post entry content story main maintext".split())
 _NAME = re.compile(r"[a-z]+")
+# Marks of boilerplate in rising order. An article resets all but the last.
+_LAYOUT, _FORM, _CLASS, _FIXED = 1, 2, 3, 4
+# How far inside the text: in an element named so, in a main element, in an article.
+_NAMED, _MAIN, _ARTICLE = 1, 2, 3
 _ROLES = {"navigation": True, "banner": True, "contentinfo": True, "complementary": True, "search": True, "dialog": True, "alert": True, "main": False, "article": False}
 
 
@@ -71,15 +76,17 @@ class _Blocks(HTMLParser):
         self.links = 0
         self.linked = 0
         self.heading = False
+        self.found = False  # Text of an article or main element, titles aside.
 
     def _state(self):
-        return self.open[-1][1:] if self.open else (0, False, False, None)
+        return self.open[-1][1:] if self.open else (0, 0, 0, None)
 
     def flush(self):
         words = "".join(self.parts).split()
         if words:
             boiler, inside, _, label = self._state()
-            self.blocks.append(Block(" ".join(words), len(words), self.linked, boiler > 0, inside, self.heading, label))
+            self.blocks.append(Block(" ".join(words), len(words), self.linked, boiler > 0, inside > 0, self.heading, label))
+            self.found = self.found or inside >= _MAIN and not boiler and not self.heading
         self.parts, self.linked = [], 0
 
     def _end_silent(self, tag):
@@ -122,21 +129,44 @@ class _Blocks(HTMLParser):
             self.open.pop()
 
     def _inherit(self, tag, attrs):
-        """State inside an element. ``boiler``: 2 for elements that stay so, 1 for layout names an article resets."""
+        """State inside an element.
+
+        An article or main element resets the marks of layout names and forms around it, and of class
+        names as long as no text of an article was found: a page's wrapper, not a list of comments or
+        of related articles after the text. Marks set inside an article stay.
+        """
         boiler, inside, silent, label = self._state()
-        names = set(_NAME.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
+        given = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
+        names, whole = set(_NAME.findall(given)), set(given.split())
         role = _ROLES.get((attrs.get("role") or "").lower())
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "")
+        strong = whole & _STRONG_NAMES
         if tag in _TEXT_TAGS or role is False:
-            boiler = 2 if hidden or names & _STRONG_NAMES else boiler if boiler == 2 else 0
-            inside = True
+            level = _MAIN if "main" in (tag, (attrs.get("role") or "").lower()) else _ARTICLE
+            if hidden:
+                boiler = _FIXED
+            elif strong:
+                boiler = max(boiler, _CLASS)
+            elif boiler == _LAYOUT or boiler in (_FORM, _CLASS) and inside < _ARTICLE and not (boiler == _CLASS and self.found):
+                if boiler == _CLASS:
+                    # The wrapper is the page's: its further articles are text, too.
+                    self.open[:] = [(t, 0 if mark == _CLASS else mark, *rest) for t, mark, *rest in self.open]
+                boiler = 0
+            inside = max(inside, level)
         elif tag != "body":
             named = names & (_BOILER_NAMES - _TITLE_NAMES if inside else _BOILER_NAMES)
-            if tag in _BOILER_TAGS or role is True or hidden or names & _STRONG_NAMES:
-                boiler = 2
+            if tag in _BOILER_TAGS - _FORM_TAGS or role is True or hidden:
+                boiler = _FIXED
+            elif strong:
+                boiler = max(boiler, _CLASS)
+            elif tag in _FORM_TAGS:
+                boiler = max(boiler, _FORM)
+            elif boiler == _FORM and inside < _NAMED and whole & _TEXT_NAMES and not named:
+                # A form around the whole page, its text in a box named so.
+                boiler = 0
             elif named or tag == "header" and not inside:
-                boiler = max(boiler, 1)
-            inside = inside or bool(names & _TEXT_NAMES)
+                boiler = max(boiler, _LAYOUT)
+            inside = max(inside, _NAMED if names & _TEXT_NAMES else 0)
         label = int(attrs["data-keep"]) if attrs.get("data-keep") in ("0", "1") else label
         return boiler, inside, silent or (tag in _SILENT and len(self.open) + 1), label
 

@@ -89,3 +89,25 @@ def test_silent_elements_that_are_closed_stay_silent():
     for part in ("<head><title>no</title></head>", "<select><optgroup><option>no</option></optgroup></select>", "<svg><foreignObject><div>no</div></foreignObject></svg>", "<noscript><p>no</p></noscript>", "<video><p>no</p></video>"):
         assert text(part + article) == "One paragraph that is long enough to be text of it."
     assert [b.text for b in blocks_of("<head><title>t</title> Plain words")] == ["Plain words"]
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<form id="aspnetForm">', "<form><fieldset>", '<main><form>', '<div id="main"><form>', '<div class="has-comments">', '<div class="page comments-open">', '<div id="no-ads">',
+    '<div class="related-topic">', '<div class="page ads">', '<form class="has-comments"><div class="related-topic">', '<div class="content ads">',
+])
+@pytest.mark.parametrize("tag", ["article", "main", 'div role="main"', 'article class="no-comments"'])
+def test_articles_inside_wrappers_come_out(wrapper, tag):
+    inner = f"<{tag}><h1>A title</h1><p>One paragraph that is long enough to be text of it.</p><p>Of.</p><div class=ad>Buy one now and get a second one for half.</div><form><p>Sign up to our letter now and read more of it.</p></form><p>Last words of the text.</p></{tag.split()[0]}>"
+    closing = "".join(f"</{t[1:].split()[0].rstrip('>')}>" for t in reversed(wrapper.replace("><", ">|<").split("|")))
+    comments = '<section id="comments"><article><p>I do not agree with a single word of this, sorry to say.</p></article></section>'
+    for page in (inner, PARTS["menu"] + inner + comments + PARTS["footer"]):
+        assert text(f"<body>{wrapper}{page}{closing}</body>") == "A title One paragraph that is long enough to be text of it. Of. Last words of the text."
+
+
+def test_a_form_around_a_page_without_article_tags():
+    assert text('<body><form><div id="content"><h1>A title</h1><p>One paragraph that is long enough to be text.</p></div></form></body>') == "A title One paragraph that is long enough to be text."
+
+
+def test_several_articles_in_one_wrapper():
+    articles = "".join(f"<article><p>Paragraph {n} is long enough to be text of an article.</p></article>" for n in ("one", "two"))
+    assert text(f"<body><div class='page ads'>{articles}</div></body>") == "Paragraph one is long enough to be text of an article. Paragraph two is long enough to be text of an article."
