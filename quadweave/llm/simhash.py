@@ -234,8 +234,10 @@ def drop_near_duplicates(docs: DataFrame, ident="doc_id", text="text", distance=
     """
     prints, names = _classes(docs, ident, text, distance)
     kept = written(
-        prints.join(names, "fp").where(F.col(ident).eqNullSafe(F.col("component_id")))
-        .groupBy(F.col(ident).alias("_near_id")).agg(F.count(F.lit(1)).alias("_near_n")),
+        # An id's rows in classes of other ids count as well: the id alone does not tell which of its rows stays.
+        prints.join(names, "fp").groupBy(F.col(ident).alias("_near_id"))
+        .agg(F.count(F.lit(1)).alias("_near_n"), F.max(F.col(ident).eqNullSafe(F.col("component_id"))).alias("_near_low"))
+        .where("_near_low").drop("_near_low"),
         "kept-ids",
     )
     same = F.col(ident) == F.col("_near_id")

@@ -108,3 +108,10 @@ def test_classes_and_survivors(docs_of, hard_texts):
 def test_empty_table(docs_of):
     docs = docs_of([(1, "a")]).limit(0)
     assert simhash.near_duplicate_classes(docs).count() == 0 and simhash.drop_near_duplicates(docs).count() == 0
+
+
+def test_an_id_with_texts_of_several_classes_keeps_one_row_of_each(docs_of):
+    x, y, z = ("one two three four five six seven", "entirely other words stand in this line here", "and a third text that is like neither of them")
+    docs = docs_of([(3, x), (7, x), (7, y), (9, y), (9, z), (9, z), (11, x)])
+    kept = simhash.drop_near_duplicates(docs).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept)) == sorted([(3, x), (7, y), (9, z)])
