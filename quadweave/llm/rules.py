@@ -10,6 +10,7 @@ columns named in the call are read; all others pass through ``quality_filter`` u
 """
 
 import time
+import unicodedata
 from collections import Counter
 from functools import cached_property
 
@@ -79,7 +80,9 @@ class Text:
 
     @cached_property
     def n_letters(self):
-        return sum(map(str.isalpha, self.text))
+        """Letters and the combining marks written with them, such as the vowel signs of Indic scripts."""
+        marks = () if self.text.isascii() else [c for c in set(self.text) if unicodedata.category(c)[0] == "M"]
+        return sum(map(str.isalpha, self.text)) + sum(map(self.text.count, marks))
 
 
 def few_words(t):

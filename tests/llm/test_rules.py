@@ -78,3 +78,11 @@ def test_estimates_and_empty_tables(docs_of):
 def test_repeated_rows_and_null_ids(docs_of):
     rows = rules.quality_report(docs_of([(1, "a b"), (1, "a b"), (None, None)])).collect()
     assert sorted((r["doc_id"] or 0, r["n_words"]) for r in rows) == [(0, 0), (1, 2), (1, 2)]
+
+
+def test_vowel_signs_are_letters():
+    for text in ("हिन्दी में लिखी हुई किताबें और कविताएँ", "বাংলা ভাষায় লেখা কবিতা ও গল্প", "e\u0301te\u0301"):
+        t = rules.Text(text)
+        assert t.n_letters == t.word_chars and not rules.few_letters(t)
+    for symbols in ("\u0915\u093f 1234 5678", "%%% ### 12"):
+        assert rules.few_letters(rules.Text(symbols))
