@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 # Rows one join task may produce for a single key before the key is spread over a grid.
 PAIRS_PER_TASK = 4_000_000
@@ -63,6 +63,56 @@ def broadcast_if_small(df: DataFrame, max_bytes=BROADCAST_BYTES) -> DataFrame:
     return df
 
 
+def free_name(wanted: str, *frames: DataFrame) -> str:
+    """``wanted``, or it with underscores after it, so that no column of the frames is called so."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def in_order(df: DataFrame, order, tag: str, partitions=None) -> DataFrame:
+    """``df`` dealt out by ranges of ``order`` and sorted within them.
+
+    The new column ``tag`` ascends in that order: the number of the range in the upper bits, the
+    row's number within it in the lower 33. Rows that ``order`` does not tell apart are spread over
+    ranges as well, so that a run of them is no single task.
+    """
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = df.withColumn(tag, F.monotonically_increasing_id())
+    dealt = keyed.repartitionByRange(partitions, *order, tag).sortWithinPartitions(*order, tag)
+    return dealt.withColumn(tag, F.monotonically_increasing_id())
+
+
+def placed(rows: DataFrame, tag: str, name: str, weight: str | None = None) -> DataFrame:
+    """A written result of :func:`in_order` with ``name`` for ``tag``: how many rows, or how much ``weight``, come before.
+
+    Only the table of ranges, one row each, is summed in one place.
+    """
+    part, inside = F.shiftright(tag, 33), F.col(tag).bitwiseAND(F.lit((1 << 33) - 1))
+    amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    sizes = rows.groupBy(part.alias("_part")).agg(amount.alias("_sum"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    if weight is not None:
+        within = Window.partitionBy(part).orderBy(tag).rowsBetween(Window.unboundedPreceding, -1)
+        inside = F.coalesce(F.sum(weight).over(within), F.lit(0))
+    rows = rows.withColumn(tag, F.struct(part.alias("p"), inside.alias("i")))
+    # One row per range, as many as the session's setting says: bounded, whatever the input.
+    joined = rows.join(F.broadcast(offsets), F.col(f"`{tag}`.p") == F.col("_part"))
+    own = [F.col(f"`{c}`") for c in rows.columns if c != tag]
+    return joined.select(*own, (F.col("_before") + F.col(f"`{tag}`.i")).alias(name))
+
+
+def with_positions(df: DataFrame, order, name="position", weight=None, partitions=None) -> DataFrame:
+    """``df`` with each row's place (from 0) in the total order of ``order``, and nothing in one task.
+
+    With ``weight``, the sum of that column over the rows before instead of their number.
+    """
+    tag = free_name("_tag", df)
+    return placed(cut_lineage(in_order(df, order, tag, partitions)), tag, name, weight)
+
+
 def skew_safe_join(left, right, keys, left_id, right_id, target=PAIRS_PER_TASK):
     """Inner many-to-many join on ``keys`` whose hot keys are cut into a grid of tasks.
 
