@@ -4,8 +4,10 @@ import re
 import uuid
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from quadweave.runtime import shared_folder
 
@@ -49,6 +51,23 @@ def slices(batches, rows=512):
             yield batch.slice(i, rows)
 
 
+def text_slices(batches, column, max_bytes=1_000_000, rows=512):
+    """Arrow batches in slices whose texts hold about ``max_bytes`` together; one longer text is a slice."""
+    for batch in batches:
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), "i8")
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, min(int(np.searchsorted(ends, before + max_bytes, "right")), at + rows))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def quoted(name: str):
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 

@@ -4,7 +4,9 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quadweave.llm import chat, html_text, mixture, neighbors, packing, pseudonyms, rules, simhash, token_file, toxicity
+from quadweave.llm import (
+    alignment, chat, curve, html_text, importance, mixture, neighbors, packing, pseudonyms, rules, simhash, token_file, toxicity,
+)
 from quadweave.llm.common import work_folder
 
 CHAT_PROBE = "</s>[INST] ok [/INST]"
@@ -59,6 +61,21 @@ def op10_simhash(spark, sf_dir):
     return simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark, sf_dir):
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.alignment_report(table(spark, sf_dir, "documents"), *paths)
+
+
+def op12_curve_shards(spark, sf_dir):
+    path = work_folder(spark, "shards")
+    curve.write_shards(table(spark, sf_dir, "documents"), path)
+    return curve.shard_report(curve.read_shards(spark, path))
+
+
+def op13_resampling(spark, sf_dir):
+    return importance.resampling_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -67,7 +84,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_token_codes, op3_page_text, op4_pseudonyms, op5_nearest, op6_packing, op7_chat, op8_toxicity,
-        op9_mixture, op10_simhash, pipeline,
+        op9_mixture, op10_simhash, op11_alignment, op12_curve_shards, op13_resampling, pipeline,
     )
 }
 
