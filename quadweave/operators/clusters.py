@@ -42,6 +42,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = cut_lineage(e)
+    if e.limit(1).count() == 0:
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
     def fingerprint(df):
         return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -1,15 +1,12 @@
 """The life of links: decisions in bulk, manual links, orphans, flags, lists, overviews."""
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, functions as F
 
-from quadweave.functions.iri import link_id, node_key, node_pair_key, source_pair_key
+from quadweave.functions.iri import link_id, node_pair_key, source_pair_key
 from quadweave.functions.text import fold
 from quadweave.operators import closures
-from quadweave.operators.clusters import (
-    build_clusters, cluster_edges, conflicts, connected_components, merge_violations, reconcile, with_clusters,
-)
+from quadweave.operators.clusters import build_clusters, conflicts, merge_violations, reconcile
+from quadweave.operators.decisions import Decided, apply_decisions
 from quadweave.operators.patterns import data_quads
 from quadweave.runtime import cut_lineage
 from quadweave.vocab import CONFIRMED, RDF_TYPE, STATUSES
@@ -17,113 +14,6 @@ from quadweave.vocab import CONFIRMED, RDF_TYPE, STATUSES
 PAIR = ["source_a", "iri_a", "source_b", "iri_b"]
 
 
-@dataclass
-class Decided:
-    """Links after a batch of decisions, what became of each, and whether confirmed links were revoked."""
-
-    links: DataFrame
-    report: DataFrame
-    revoked: bool
-
-
-def apply_decisions(links, decisions, identical, now=None) -> Decided:
-    """Apply decisions (ord, id, action[, note]) with the result of applying them one by one.
-
-    Actions: ACCEPT, REJECT, UNDO, LINK. Order matters only between decisions that touch a common
-    cluster, so each round applies, all at once, the decisions that come first in both clusters of
-    their link, then rebuilds the clusters. The number of rounds is the longest queue of decisions
-    on one cluster. Refused decisions are reported with their reason and change nothing.
-    """
-    at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
-    cols = links.columns
-    pending = decisions.select("ord", "id", "action", *(["note"] if "note" in decisions.columns else [F.lit(None).cast("string").alias("note")]))
-    pending = cut_lineage(pending)
-    known = pending.join(links.select("id"), "id", "left_semi")
-    reports = [pending.join(links.select("id"), "id", "left_anti").select("ord", "id", "action", F.lit("refused").alias("result"), F.lit("NOT_FOUND").alias("reason"))]
-    pending = cut_lineage(known)
-    links = cut_lineage(links)
-    revoked = False
-    while True:
-        if pending.limit(1).count() == 0:
-            report = reports[0]
-            for r in reports[1:]:
-                report = report.unionByName(r)
-            return Decided(links, report, revoked)
-        clusters = build_clusters(links, identical)
-        d = pending.withColumnRenamed("note", "new_note").join(links, "id", "left")
-        d = cut_lineage(with_clusters(d, clusters))
-        first = d.select("ord", F.explode(F.array("cluster_a", "cluster_b")).alias("c")).groupBy("c").agg(F.min("ord").alias("m"))
-        for s in "ab":
-            d = d.join(first.select(F.col("c").alias(f"cluster_{s}"), F.col("m").alias(f"m_{s}")), f"cluster_{s}", "left")
-        # A link deleted by an earlier decision leaves later ones without an object.
-        gone = F.col("status").isNull()
-        ready = cut_lineage(d.where(gone | ((F.col("ord") == F.col("m_a")) & (F.col("ord") == F.col("m_b")))).drop("m_a", "m_b"))
-
-        checked = merge_violations(ready.where("status is not null and action in ('ACCEPT', 'LINK')").select("ord", "id", *PAIR), clusters, links)
-        # Rejecting a confirmed link: is there another way between its ends? Only the clusters
-        # concerned are rebuilt; each holds one ready decision at most.
-        cut = ready.where((F.col("action") == "REJECT") & F.col("status").isin(*CONFIRMED))
-        still = None
-        if cut.limit(1).count() > 0:
-            left = cluster_edges(links, identical).join(cut.select(F.col("id").alias("edge_id")), "edge_id", "left_anti")
-            touched = cut.select(F.col("cluster_a").alias("cluster_id")).join(clusters, "cluster_id").select(
-                F.col("source").alias("source_a"), F.col("iri").alias("iri_a"))
-            left = left.join(touched, ["source_a", "iri_a"], "left_semi")
-            parts = connected_components(left.select(node_key("source_a", "iri_a").alias("u"), node_key("source_b", "iri_b").alias("v")))
-            ends = cut.select("ord", node_key("source_a", "iri_a").alias("x"), node_key("source_b", "iri_b").alias("y"))
-            still = (
-                ends.join(parts.select(F.col("node").alias("x"), F.col("component").alias("cx")), "x")
-                .join(parts.select(F.col("node").alias("y"), F.col("component").alias("cy")), "y")
-                .where("cx = cy").select("ord", F.lit(True).alias("still"))
-            )
-        d = ready.join(checked.select("ord", "violation"), "ord", "left")
-        d = d.join(still, "ord", "left") if still is not None else d.withColumn("still", F.lit(None).cast("boolean"))
-        confirmed = F.col("status").isin(*CONFIRMED)
-        act, status = F.col("action"), F.col("status")
-        reason = (
-            F.when(status.isNull(), "NOT_FOUND")
-            .when((status == "INFERRED"), "INFERRED")
-            .when((act == "ACCEPT") & ~confirmed, F.col("violation"))
-            .when((act == "LINK") & confirmed, "ALREADY_LINKED")
-            .when(act == "LINK", F.col("violation"))
-            .when((act == "REJECT") & confirmed & F.coalesce("still", F.lit(False)), "STILL_LINKED")
-            .when((act == "UNDO") & (status == "PROPOSED"), "NOT_REVIEWED")
-        )
-        noop = ((act == "ACCEPT") & confirmed) | ((act == "REJECT") & (status == "REJECTED"))
-        result = F.when(F.col("reason").isNotNull(), "refused").when(noop, "unchanged").otherwise("applied")
-        by_user = F.col("origin") == "USER"
-        new_status = (
-            F.when(act == "ACCEPT", F.when(by_user, "MANUAL").otherwise("ACCEPTED"))
-            .when((act == "LINK") & (status == "PROPOSED"), F.when(by_user, "MANUAL").otherwise("ACCEPTED"))
-            .when(act == "LINK", "MANUAL")
-            .when(act == "REJECT", "REJECTED")
-            .when(act == "UNDO", F.when(by_user, "DELETED").otherwise("PROPOSED"))
-        )
-        d = d.withColumn("reason", reason).withColumn("result", result)
-        done = cut_lineage(
-            d.select(
-                "ord", "id", "action", "result", "reason", "new_note",
-                F.when(F.col("result") == "applied", new_status).alias("new_status"),
-                ((F.col("result") == "applied") & confirmed & act.isin("REJECT", "UNDO")).alias("revokes"),
-                ((act == "LINK") & (status != "PROPOSED")).alias("by_hand"),
-            )
-        )
-        revoked = revoked or done.where("revokes").limit(1).count() > 0
-        reports.append(done.select("ord", "id", "action", "result", "reason"))
-        change = done.where("result = 'applied' or new_note is not null").select("id", "new_status", "new_note", "by_hand", F.col("action").alias("act"))
-        undo = F.col("act") == "UNDO"
-        changed = F.col("new_status").isNotNull()
-        new = {
-            "status": F.coalesce("new_status", "status"),
-            "origin": F.when(changed & undo, "ALGORITHM").when(changed & F.col("by_hand"), "USER").otherwise(F.col("origin")),
-            "decided_at": F.when(changed & undo, F.lit(None).cast("timestamp")).when(changed, at).otherwise(F.col("decided_at")),
-            "note": F.when(F.col("new_note").isNotNull(), F.nullif(F.trim("new_note"), F.lit(""))).otherwise(F.col("note")),
-        }
-        links = links.join(change, "id", "left").select(*[new.get(c, F.col(c)).alias(c) for c in cols])
-        links = cut_lineage(links.where("status <> 'DELETED'"))
-        pending = cut_lineage(pending.join(done.select("ord"), "ord", "left_anti"))
-
-
 def _same_action(ids, action):
     """One action for all ids; without ``ord`` they are taken in the order of their id."""
     if "ord" not in ids.columns:
@@ -201,7 +91,7 @@ def add_manual_links(links, requests, quads, identical, cfg=None, edges=None, no
     )
     refused = r.where("bad is not null").select(
         "ord", link_id(*PAIR).alias("id"), F.lit("LINK").alias("action"), F.lit("refused").alias("result"), F.col("bad").alias("reason"))
-    return Decided(decided.links.where("status <> 'NEW'"), decided.report.unionByName(refused), decided.revoked)
+    return Decided(decided.links.where("status <> 'NEW'"), decided.report.unionByName(refused), decided.revoked, decided.clusters, decided.revocations)
 
 
 def annotate(links, notes) -> DataFrame:
@@ -354,7 +244,7 @@ def dry_run(links, change, identical, now=None) -> dict:
     ``inferred_removed``, ``conflicts``.
     """
     decided = change(links)
-    after = build_clusters(decided.links, identical)
+    after = build_clusters(decided.links, identical) if decided.clusters is None else decided.clusters
     r = cut_lineage(reconcile(decided.links, after, identical, now))
     result = r.where("change is null or change <> 'removed'").drop("change")
     applied = decided.report.where("result = 'applied'").select("id")
@@ -372,6 +262,12 @@ def dry_run(links, change, identical, now=None) -> dict:
 # --- overview -------------------------------------------------------------------------------
 
 
+def last_revocation(*revocations):
+    """The latest time in tables of revocations (see :class:`Decided`), for :func:`stale_reasons`; None without any."""
+    times = [r.agg(F.max("revoked_at")).first()[0] for r in revocations]
+    return max((t for t in times if t is not None), default=None)
+
+
 def stale_reasons(pairs, sources, configuration_hash, revoked_at) -> DataFrame:
     """Add ``stale`` to (source_a, source_b, started_at, configuration_hash) rows.
 

@@ -1,9 +1,9 @@
 import random
 
-import scenario as S
+import worlds as W
 from pyspark.sql import functions as F
 
-from quadweave.operators import closures, clusters as C, links as L
+from quadweave.operators import closures, clusters as C
 from quadweave.operators.patterns import identical_iris
 from quadweave.plans import matching as M
 from quadweave.plans.config import config_hash, load_config, validate_config
@@ -31,61 +31,6 @@ def test_components_against_union_find(spark):
     assert {r.node: r.component for r in got} == want and len(got) == len(want)
 
 
-def _replay(links, decisions):
-    """Decisions applied one after the other on plain Python structures."""
-    state = {x[0]: dict(a=(x[1], x[2]), b=(x[5], x[6]), status=x[9]) for x in links}
-
-    def clusters():
-        parent = {}
-
-        def find(x):
-            while parent.setdefault(x, x) != x:
-                x = parent[x]
-            return x
-
-        for x in state.values():
-            find(x["a"]), find(x["b"])
-            if x["status"] in ("ACCEPTED", "MANUAL"):
-                parent[find(x["a"])] = find(x["b"])
-        return parent, find
-
-    for lid, action in decisions:
-        x = state[lid]
-        parent, find = clusters()
-        if action == "ACCEPT" and x["status"] != "ACCEPTED":
-            ca, cb = ([n for n in list(parent) if find(n) == find(e)] for e in (x["a"], x["b"]))
-            bad = find(x["a"]) != find(x["b"]) and (
-                any(p[0] == q[0] and p[1] != q[1] for p in ca for q in cb)
-                or any(y["status"] == "REJECTED" and k != lid and {find(y["a"]), find(y["b"])} == {find(x["a"]), find(x["b"])} for k, y in state.items()))
-            if not bad:
-                x["status"] = "ACCEPTED"
-        elif action == "REJECT" and x["status"] != "REJECTED":
-            before, x["status"] = x["status"], "REJECTED"
-            if before == "ACCEPTED":
-                _, find = clusters()
-                if find(x["a"]) == find(x["b"]):
-                    x["status"] = before
-        elif action == "UNDO" and x["status"] != "PROPOSED":
-            x["status"] = "PROPOSED"
-    return {k: x["status"] for k, x in state.items()}
-
-
-def test_decisions_equal_sequential_replay(spark):
-    rnd = random.Random(11)
-    rows, seen = [], set()
-    while len(rows) < 40:
-        (s, i), (t, j) = sorted([(rnd.choice("abc"), f"e{rnd.randrange(4)}{c}") for c in [rnd.randrange(4)] * 2])
-        if s != t and (s, i, t, j) not in seen:
-            seen.add((s, i, t, j))
-            rows.append(S.link(f"l{len(rows)}", s, s + i, t, t + j, rnd.choice(["PROPOSED", "PROPOSED", "REJECTED"])))
-    todo = [(f"l{rnd.randrange(40)}", rnd.choice(["ACCEPT", "ACCEPT", "ACCEPT", "REJECT", "UNDO"])) for _ in range(45)]
-    d = spark.createDataFrame([(n, i, a) for n, (i, a) in enumerate(todo)], "ord int, id string, action string")
-    none = spark.createDataFrame([], "iri string, sources array<string>")
-    out = L.apply_decisions(S.links(spark, rows), d, none)
-    assert {r.id: r.status for r in out.links.collect()} == _replay(rows, todo)
-    assert out.report.count() == len(todo)
-
-
 def test_type_groups(spark):
     cfg = load_config({"equivalentGroups": [
         {"id": "agent", "groupLabel": "Agent", "equivalentTypes": ["urn:Agent"], "properties": {"n": ["urn:n"]}},
@@ -112,17 +57,17 @@ def test_classes_and_blocking_against_brute_force(spark):
             s = f"urn:{src}{n:02d}"
             code = rnd.choice(["hot", "hot", "hot", "k1", "k2", None])
             num = rnd.choice(["1", "1", "2", None])
-            rows.append(S.typ(src, s, "urn:T"))
+            rows.append(W.typed(src, s, "urn:T"))
             if code:
-                rows.append(S.quad(src, s, "urn:code", code))
+                rows.append(W.quad(src, s, "urn:code", code))
             if num:
-                rows.append(S.quad(src, s, "urn:num", num))
+                rows.append(W.quad(src, s, "urn:num", num))
             ent[src, s] = (code, num)
     doc = {"defaults": {"threshold": 0.5, "minimumComparedWeight": 1.0, "maxProposalsPerEntity": 2},
            "equivalentGroups": [{"id": "t", "groupLabel": "T", "equivalentTypes": ["urn:T"], "properties": {
                "code": {"predicates": ["urn:code"], "comparator": "exact", "weight": 2, "blocking": True},
                "num": {"predicates": ["urn:num"], "comparator": "number", "weight": 1}}}]}
-    rejected = S.link("r", "a", "urn:a00", "b", "urn:b00", "REJECTED")
+    rejected = W.link("r", ("a", "urn:a00"), ("b", "urn:b00"), "REJECTED")
     scored = []
     for (sa, ia), (ca, na) in ent.items():
         for (sb, ib), (cb, nb) in ent.items():
@@ -137,7 +82,7 @@ def test_classes_and_blocking_against_brute_force(spark):
         ra[ia], rb[ib] = ra.get(ia, 0) + 1, rb.get(ib, 0) + 1
         if ra[ia] <= 2 or rb[ib] <= 2:
             want.add((ia, ib, -s))
-    run = M.run_matching(S.quads(spark, rows), S.links(spark, [rejected]), load_config(doc), "a", "b")
+    run = M.run_matching(W.quads(spark, rows), W.links(spark, [rejected]), load_config(doc), "a", "b")
     assert {(r.iri_a, r.iri_b, r.score) for r in run.proposals.collect()} == want
     assert run.classes.count() < 40
 
@@ -164,4 +109,5 @@ def test_configuration():
 
 
 def test_identical_iris(spark):
-    assert [r.iri for r in identical_iris(S.quads(spark)).collect()] == [S.S + "writer-2"]
+    world = W.World(2, sources=4, shared=5)
+    assert {r.iri: sorted(r.sources) for r in identical_iris(world.quads(spark)).collect()} == world.identical()

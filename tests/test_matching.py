@@ -1,197 +1,120 @@
-"""A small project of three sources; expected scores are worked out here from the definitions."""
+"""Matching runs over random worlds, against scores and rankings worked out from their definitions."""
 
-import unicodedata
-from itertools import combinations
-
-import scenario as S
-from pyspark.sql import functions as F
+import pytest
+import worlds as W
 
 from quadweave.operators import links as L
-from quadweave.operators.clusters import build_clusters, inference_chain, same_as
+from quadweave.operators.clusters import build_clusters
 from quadweave.operators.patterns import identical_iris, list_by_types
 from quadweave.operators.search import resolve_names
 from quadweave.plans import matching as M
 from quadweave.plans.config import config_hash, load_config
 from quadweave.runtime import cut_lineage
 from quadweave.sources.tables import record_import
-from quadweave.vocab import RICO
-
-RICO_PERSON = RICO + "Person"
-
-
-def plain(s):
-    nfd = unicodedata.normalize("NFD", s.lower())
-    return " ".join("".join(c if c.isalnum() else " " for c in nfd if unicodedata.category(c)[0] != "M").split())
-
-
-def ratio(a, b):
-    """Twice the longest common subsequence over both lengths."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
-
-
-def name_score(a, b):
-    a, b = plain(a), plain(b)
-    return max(ratio(a, b), ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split()))))
-
-
-def mean(*parts):
-    return round(sum(w * s for w, s in parts) / sum(w for w, _ in parts), 4)
-
-
-def pairs_of(run):
-    return {S.local(r.iri_a) + "|" + S.local(r.iri_b): r for r in run.proposals.collect()}
-
-
-def test_proposals_and_counts(spark):
-    cfg = load_config(S.CONFIG)
-    run = M.run_matching(S.quads(spark), S.links(spark), cfg, "shelf", "card")
-    rows = pairs_of(run)
-    holm = name_score("Agnes Holme", "Agnes Holm")
-    # A year against a day of that year counts 0.85.
-    want = {"p10|writer-1": mean((4, holm), (2, 0.85)), "t20|town-1": 1.0, "o30|press-1": 1.0}
-    assert {k: r.score for k, r in rows.items()} == want
-    ev = rows["p10|writer-1"].evidence
-    assert [(e.concept, e.value_a, e.value_b) for e in ev] == [("called", "Agnes Holme", "Agnes Holm"), ("born", "1902-05-17", "1902")]
-    assert [e.score for e in ev] == [round(holm, 4), 0.85]
-    assert rows["t20|town-1"].evidence[0].value_b == "Norrby"
-    s = M.run_summary(run).collect()[0]
-    assert (s.source_a, s.source_b, s.identical_iris) == ("card", "shelf", 1)
-    # writer-2 is in both sources, and the accepted link takes one more entity of each.
-    assert (s.excluded_matched_a, s.excluded_matched_b) == (2, 2)
-    assert s.proposals == 3 and s.compared_pairs == s.below_threshold + s.insufficient_evidence + 3
-
-
-def _proposals(spark):
-    rows = S.PAST + [
-        S.link("p-w", "card", S.C + "p10", "shelf", S.S + "writer-1", "PROPOSED", score=0.9),
-        S.link("p-d", "card", S.C + "p10", "diary", S.D + "d1", "PROPOSED", score=0.9),
-        S.link("t-t", "card", S.C + "t20", "shelf", S.S + "town-1", "PROPOSED", score=1.0),
-        S.link("t-d", "card", S.C + "t20", "diary", S.D + "d2", "PROPOSED", score=1.0),
-        S.link("d-t", "diary", S.D + "d2", "shelf", S.S + "town-1", "PROPOSED", score=1.0),
-    ]
-    return S.links(spark, rows)
-
-
-def _decide(spark, *rows):
-    return spark.createDataFrame([(n, i, a) for n, (i, a) in enumerate(rows)], "ord int, id string, action string")
-
-
-def test_transitivity_undo_and_same_as(spark):
-    quads, links = S.quads(spark), _proposals(spark)
-    identical = identical_iris(quads)
-    d = _decide(spark, ("p-w", "ACCEPT"), ("p-d", "ACCEPT"))
-    out = L.dry_run(links, lambda x: L.apply_decisions(x, d, identical), identical)
-    added = out["inferred_added"].collect()
-    assert [S.local(r.iri_a) + "|" + S.local(r.iri_b) for r in added] == ["d1|writer-1"]
-    assert added[0].status == "INFERRED" and sorted(added[0].inferred_from) == ["p-d", "p-w"]
-    links = cut_lineage(out["links"])
-    clusters = build_clusters(links, identical)
-    # Clusters by IRI: three people, and the pair accepted earlier; sameAs holds both directions.
-    sizes = [3, 2]
-    assert same_as(clusters).count() == sum(2 * len(list(combinations(range(n), 2))) for n in sizes)
-    chain = inference_chain(links, clusters, identical).orderBy("step").collect()
-    assert sorted(c.link_id for c in chain) == ["p-d", "p-w"] and {c.kind for c in chain} == {"link"}
-    run = M.run_matching(quads, links, load_config(S.CONFIG), "diary", "shelf")
-    assert set(pairs_of(run)) == {"d2|town-1"}
-    # An inferred link cannot be acted on; undoing a step removes it.
-    d = _decide(spark, (added[0].id, "REJECT"), ("p-d", "UNDO"))
-    out = L.dry_run(links, lambda x: L.apply_decisions(x, d, identical), identical)
-    assert {r.ord: r.reason for r in out["report"].collect()} == {0: "INFERRED", 1: None}
-    assert out["revoked"] and out["inferred_removed"].count() == 1
-    assert same_as(build_clusters(out["links"], identical)).count() == 4
-
-
-def test_rejection_cannot_be_bypassed(spark):
-    quads, links = S.quads(spark), _proposals(spark)
-    identical = identical_iris(quads)
-    d = _decide(spark, ("t-t", "REJECT"), ("t-d", "ACCEPT"), ("d-t", "ACCEPT"), ("nothing", "ACCEPT"))
-    out = L.apply_decisions(links, d, identical)
-    assert {r.ord: r.reason for r in out.report.collect()} == {0: None, 1: None, 2: "REJECTED", 3: "NOT_FOUND"}
-    flags = L.link_flags(out.links, build_clusters(out.links, identical), quads)
-    assert {r.id for r in flags.where("superseded").collect()} == {"d-t"}
-    run = M.run_matching(quads, out.links, load_config(S.CONFIG), "card", "shelf")
-    assert "t20" not in {S.local(r.iri_a) for r in run.proposals.collect()}
-
-
-def test_a_hub_is_settled_whatever_its_size(spark):
-    """More decisions on one cluster than any round limit once allowed would take."""
-    rows = [S.link(f"h{i:02d}", "a", "urn:hub", f"s{i:02d}", f"urn:e{i}", "PROPOSED") for i in range(12)]
-    none = spark.createDataFrame([], "iri string, sources array<string>")
-    out = L.apply_decisions(S.links(spark, rows), _decide(spark, *[(r[0], "ACCEPT") for r in rows]), none)
-    assert out.links.where("status = 'ACCEPTED'").count() == 12
-
-
-def test_orphans_are_flagged_then_removed(spark):
-    quads, links = S.quads(spark), _proposals(spark)
-    without = quads.where(F.col("s") != S.C + "p11")
-    assert {r.id for r in L.orphans(links, without).where("orphan_a").collect()} == {"was-accepted"}
-    left, removed, revoked = L.remove_orphans(links, without, ("card", "shelf"))
-    assert revoked and [r.id for r in removed.collect()] == ["was-accepted"] and left.count() == 6
-
-
-def test_manual_links(spark):
-    quads, links = S.quads(spark), S.links(spark)
-    identical = identical_iris(quads)
-    cfg = load_config(S.CONFIG)
-    req = spark.createDataFrame(
-        [(1, "shelf", S.S + "writer-3", "card", S.C + "p12"),
-         (2, "shelf", S.S + "writer-1", "card", S.C + "p12"),
-         (3, "shelf", S.S + "nobody", "card", S.C + "p10")],
-        "ord int, source_a string, iri_a string, source_b string, iri_b string")
-    out = L.add_manual_links(links, req, quads, identical, cfg)
-    rep = {r.ord: (r.result, r.reason) for r in out.report.collect()}
-    assert rep == {1: ("applied", None), 2: ("refused", "TWO_IN_SOURCE"), 3: ("refused", "NO_STATEMENT")}
-    made = out.links.where("status = 'MANUAL'").collect()
-    assert len(made) == 1 and made[0].source_a == "card" and made[0].group_id == "human"
-    one = spark.createDataFrame([(1, made[0].id)], "ord int, id string")
-    assert L.undo(out.links, one, identical).links.where("status = 'MANUAL'").count() == 0
-
-
-def test_compare_pair_explains_the_score(spark):
-    cfg = load_config(S.CONFIG)
-    pair = spark.createDataFrame([("shelf", S.S + "writer-1", "card", S.C + "p10")],
-                                 "source_a string, iri_a string, source_b string, iri_b string")
-    c = L.compare_pairs(pair, S.quads(spark), S.links(spark), cfg).collect()[0]
-    assert c.group_id == "human" and c.outcome == "PROPOSABLE" and c.blocking is None
-    assert c.evidence[0].value_a == "Agnes Holm"
-    assert [x.p for x in c.predicates_a if x.concept == "called"] == [S.NAME]
+
+
+@pytest.fixture(scope="module")
+def run(spark):
+    world = W.World(41, sources=2, entities=30)
+    links = world.random_links(12, ["ACCEPTED", "REJECTED", "REJECTED", "PROPOSED"])
+    return world, links, M.run_matching(world.quads(spark), W.links(spark, links), load_config(world.config()), "src1", "src0")
+
+
+def test_proposals_equal_the_exhaustive_ranking(run):
+    world, links, found = run
+    assert {(r.iri_a, r.iri_b): r.score for r in found.proposals.collect()} == W.proposals(world, "src0", "src1", links)
+    for r in found.proposals.collect():
+        f, g = world.facts["src0", r.iri_a], world.facts["src1", r.iri_b]
+        for e in r.evidence:
+            key = {"label": W.LABEL, "year": W.YEAR, "code": W.CODE}[e.concept]
+            shown = lambda facts: [v if isinstance(v, str) else v[0] for v in facts[key]]
+            assert e.value_a in shown(f) and e.value_b in shown(g)
+        assert abs(sum(e.weight * e.score for e in r.evidence) / sum(e.weight for e in r.evidence) - r.score) < 2e-4
+
+
+def test_counters_add_up(run):
+    world, links, found = run
+    row = M.run_summary(found).first()
+    typed = lambda s, t: [k for k, f in world.facts.items() if k[0] == s and f["type"] == t]
+    possible = sum(len(typed("src0", t)) * len(typed("src1", t)) for t in ("urn:t:0", "urn:t:1"))
+    matched = W.components(world.facts, [((x[1], x[2]), (x[5], x[6])) for x in links if x[9] == "ACCEPTED"] + [(("src0", i), ("src1", i)) for i in world.identical()])
+    crossing = [n for n, g in matched.items() if len({s for s, _ in g}) > 1]
+    assert row.identical_iris == len(world.identical())
+    assert (row.excluded_matched_a, row.excluded_matched_b) == tuple(sum(n[0] == s for n in crossing) for s in ("src0", "src1"))
+    assert row.compared_pairs <= possible and row.compared_pairs >= row.below_threshold + row.insufficient_evidence + row.proposals
+    assert row.proposals == len(W.proposals(world, "src0", "src1", links))
+
+
+def test_compare_pair_explains_every_proposal(spark, run):
+    world, links, found = run
+    pairs = cut_lineage(found.proposals.orderBy("iri_a", "iri_b").limit(4).select("source_a", "iri_a", "source_b", "iri_b"))
+    out = cut_lineage(L.compare_pairs(pairs, world.quads(spark), W.links(spark, links), load_config(world.config())))
+    scores = {(r.iri_a, r.iri_b): r.score for r in out.collect()}
+    want = W.proposals(world, "src0", "src1", links)
+    assert scores == {k: want[k] for k in sorted(want)[:4]} and {r.blocking for r in out.collect()} == {None}
+
+
+def test_agreement_with_decisions(spark):
+    """Decided links by the side of the threshold on which their present score lies."""
+    world = W.World(43, sources=2, entities=25, types=1)
+    links = world.random_links(30, ["ACCEPTED", "REJECTED"])
+    quads = world.quads(spark)
+    clusters = build_clusters(W.links(spark, links), identical_iris(quads))
+    counts, rows = M.decision_agreement(W.links(spark, links), quads, load_config(world.config()), clusters)
+    scored = {x[0]: W.score(world.facts[x[1], x[2]], world.facts[x[5], x[6]]) for x in links}
+    above = {k for k, s in scored.items() if s and s[1] >= 2.0 and s[0] >= 0.6}
+    surprising = {x[0] for x in links if (x[9] == "ACCEPTED") != (x[0] in above)}
+    got = rows.collect()
+    known = {r.id for r in got}
+    assert {r.id for r in got if r.surprising} == surprising & known and known >= above
+    assert sum(r.links for r in counts.collect()) == len(got)
 
 
 def test_every_value_of_a_concept_is_compared(spark):
     """The 25th of 25 names decides, and so does a year deep inside a long interval."""
-    rows = S.entity("a", "urn:a", "urn:T", *[("urn:n", f"name number {i}", "string") for i in range(24)], ("urn:n", "zz the very one", "string"), ("urn:d", "1950", "gYear"))
-    rows += S.entity("b", "urn:b", "urn:T", ("urn:n", "zz the very one", "string"), ("urn:d", "1930/1980", "string"))
-    rows += S.entity("b", "urn:c", "urn:T", ("urn:n", "ab cd", "string")) + S.entity("a", "urn:x", "urn:T", ("urn:n", "cd ab", "string"))
+    entity = lambda source, iri, *facts: [W.typed(source, iri, "urn:T"), *(W.quad(source, iri, p, o, dtype=d) for p, o, d in facts)]
+    rows = entity("a", "urn:a", *[("urn:n", f"name number {i}", "string") for i in range(24)], ("urn:n", "zz the very one", "string"), ("urn:d", "1950", "gYear"))
+    rows += entity("b", "urn:b", ("urn:n", "zz the very one", "string"), ("urn:d", "1930/1980", "string"))
+    rows += entity("b", "urn:c", ("urn:n", "ab cd", "string")) + entity("a", "urn:x", ("urn:n", "cd ab", "string"))
     cfg = {"defaults": {"minimumComparedWeight": 1.0}, "equivalentGroups": [{"id": "t", "groupLabel": "T", "equivalentTypes": ["urn:T"], "properties": {
         "n": {"predicates": ["urn:n"], "comparator": "name", "weight": 1, "blocking": True}}}]}
-    run = M.run_matching(S.quads(spark, rows), S.links(spark, []), load_config(cfg), "a", "b")
+    run = M.run_matching(W.quads(spark, rows), W.links(spark, []), load_config(cfg), "a", "b")
     assert {f"{r.iri_a}|{r.iri_b}": r.score for r in run.proposals.collect()} == {"urn:a|urn:b": 1.0, "urn:x|urn:c": 1.0}
 
 
-def test_run_records_tell_what_is_stale(spark):
-    cfg = load_config(S.CONFIG)
-    run = M.run_matching(S.quads(spark), S.links(spark), cfg, "shelf", "card")
-    runs = M.run_record(run, "2026-01-02 03:04:05", "2026-01-02 03:04:07.5")
+def test_run_records_tell_what_is_stale(spark, run):
+    world, links, found = run
+    cfg = load_config(world.config())
+    runs = M.run_record(found, "2026-01-02 03:04:05", "2026-01-02 03:04:07.5")
     row = runs.first()
-    assert (row.duration_ms, row.configuration_hash, row.proposals) == (2500, config_hash(cfg), 3)
-    sources = spark.createDataFrame([("card", None), ("shelf", None)], "short_name string, last_change timestamp")
+    assert (row.duration_ms, row.configuration_hash, row.proposals) == (2500, config_hash(cfg), len(W.proposals(world, "src0", "src1", links)))
+    sources = spark.createDataFrame([("src0", None), ("src1", None)], "short_name string, last_change timestamp")
     pairs = runs.select("source_a", "source_b", "started_at", "configuration_hash")
-    stale = lambda s: L.stale_reasons(pairs, s, config_hash(cfg), None).first().stale
-    assert stale(sources) == [] and stale(record_import(sources, "card", "2026-01-01 00:00:00")) == []
-    assert stale(record_import(sources, "card", "2026-02-01 00:00:00")) == ["dataChanged"]
+    stale = lambda s, at=None: L.stale_reasons(pairs, s, config_hash(cfg), at).first().stale
+    assert stale(sources) == [] and stale(record_import(sources, "src0", "2026-01-01 00:00:00")) == []
+    assert stale(record_import(sources, "src0", "2026-02-01 00:00:00")) == ["dataChanged"]
+
+
+def test_a_revoked_decision_makes_runs_stale(spark, run):
+    """From the decision to the reason: the time of the last revocation is a row of the outcome."""
+    world, links, found = run
+    cfg, table = load_config(world.config()), W.links(spark, links)
+    pairs = M.run_record(found, "2026-01-02 03:04:05", "2026-01-02 03:04:06").select("source_a", "source_b", "started_at", "configuration_hash")
+    sources = spark.createDataFrame([("src0", None), ("src1", None)], "short_name string, last_change timestamp")
+    stale = lambda when: L.stale_reasons(pairs, sources, config_hash(cfg), when).first().stale
+    identical = identical_iris(world.quads(spark))
+    undone = L.undo(table, table.where("status = 'ACCEPTED'").select("id"), identical, now="2026-01-03 00:00:00")
+    assert stale(L.last_revocation(undone.revocations)) == ["decisionsRevoked"]
+    kept = L.undo(table, table.where("status = 'REJECTED'").select("id"), identical, now="2026-01-03 00:00:00")
+    assert stale(L.last_revocation(kept.revocations)) == []
 
 
 def test_types_with_their_subclasses(spark):
-    edges = spark.createDataFrame([("urn:Author", RICO_PERSON), ("urn:Poet", "urn:Author")], "sub string, super string")
-    rows = S.entity("x", "urn:1", "urn:Poet", (S.NAME, "Ada Verse", "string")) + S.entity("x", "urn:2", "urn:Town", (S.NAME, "Ada Verse", "string"))
-    quads = S.quads(spark, rows)
-    assert list_by_types(quads, [RICO_PERSON]).count() == 0
-    assert [r.s for r in list_by_types(quads, [RICO_PERSON], edges=edges).collect()] == ["urn:1"]
+    edges = spark.createDataFrame([("urn:Author", "urn:Human"), ("urn:Poet", "urn:Author")], "sub string, super string")
+    rows = [W.typed("x", "urn:1", "urn:Poet"), W.quad("x", "urn:1", W.LABEL, "Ada Verse"), W.typed("x", "urn:2", "urn:Town"), W.quad("x", "urn:2", W.LABEL, "Ada Verse")]
+    quads = W.quads(spark, rows)
+    assert list_by_types(quads, ["urn:Human"]).count() == 0
+    assert [r.s for r in list_by_types(quads, ["urn:Human"], edges=edges).collect()] == ["urn:1"]
     q = spark.createDataFrame([("q", "ada verse")], "query_id string, text string")
-    found = resolve_names(quads, q, [RICO_PERSON], edges).first()
+    found = resolve_names(quads, q, ["urn:Human"], edges).first()
     assert (found.status, found.iri) == ("resolved", "urn:1")

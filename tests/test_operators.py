@@ -1,60 +1,60 @@
-import scenario as S
+import worlds as W
 from pyspark.sql import functions as F
 
 from quadweave.operators import clusters as C, links as L, patterns as P, search as Q, stats as A, tabular, updates as U
 from quadweave.plans import matching as M
 from quadweave.plans.config import load_config
-from quadweave.vocab import RICO
 
 
-def _more(spark):
-    return S.links(spark, S.PAST + [S.link("d-t", "diary", S.D + "d2", "shelf", S.S + "town-1", "PROPOSED", score=1.0)])
-
-
-def test_refresh_fills_labels_and_accepts_in_bulk(spark):
-    quads, links = S.quads(spark), _more(spark)
-    identical = P.identical_iris(quads)
-    out = L.accept_above(links, identical, 0.95)
-    assert out.links.where("id = 'd-t'").first().status == "ACCEPTED"
-    filled = {r.id: r for r in L.fill_snapshots(out.links, quads).collect()}
-    assert filled["d-t"].label_a == "Norrby" and filled["d-t"].types_b == [RICO + "Place"]
-    links, same = C.refresh_links(out.links, quads)
-    assert same.count() == 4 and links.count() == 3
-    noted = L.annotate(links, spark.createDataFrame([("d-t", " ok ")], "id string, note string"))
-    assert noted.where("id = 'd-t'").first().note == "ok"
-
-
-def test_preview_agreement(spark):
-    cfg = load_config(S.CONFIG)
-    quads, links = S.quads(spark), S.links(spark)
-    clusters = C.build_clusters(links, P.identical_iris(quads))
-    counts, rows = M.decision_agreement(links, quads, cfg, clusters)
-    assert {(r.decision, r.side): r.links for r in counts.collect()} == {("confirmed", "below"): 1, ("rejected", "below"): 1}
-    assert [r.id for r in rows.where("surprising").collect()] == ["was-accepted"]
+def test_refresh_fills_labels_and_removes_what_is_unsupported(spark):
+    world = W.World(51, sources=3, entities=8)
+    rows = world.random_links(25, ["PROPOSED", "ACCEPTED", "INFERRED"])
+    quads, links = world.quads(spark), W.links(spark, rows)
+    held = {}
+    for (_, iri), f in world.facts.items():
+        held.setdefault(iri, []).extend(f[W.LABEL])
+    for r in L.fill_snapshots(links, quads).collect():
+        for source, iri, label, types in ((r.source_a, r.iri_a, r.label_a, r.types_a), (r.source_b, r.iri_b, r.label_b, r.types_b)):
+            assert types == [world.facts[source, iri]["type"]]
+            assert label in held[iri] if held[iri] else label is None
+    after, same = C.refresh_links(links, quads)
+    chains = [((s, iri), (t, iri)) for iri, sources in world.identical().items() for s, t in zip(sources, sources[1:])]
+    groups = set(W.components([], chains + [((r[1], r[2]), (r[5], r[6])) for r in rows if r[9] == "ACCEPTED"]).values())
+    assert {(r.s, r.o) for r in same.collect()} == {(a[1], b[1]) for g in groups for a in g for b in g if a[1] != b[1]}
+    linked = [((r.source_a, r.iri_a), (r.source_b, r.iri_b)) for r in after.where("status in ('ACCEPTED', 'INFERRED')").collect()]
+    assert sorted(linked) == sorted({tuple(sorted((a, b))) for g in groups for a in g for b in g if a[0] != b[0] and a[1] != b[1]})
 
 
 def test_picker_and_texts(spark):
-    cfg = load_config(S.CONFIG)
-    quads = S.quads(spark)
-    clusters = C.build_clusters(S.links(spark), P.identical_iris(quads))
-    prof = M.profiles(quads, cfg)
-    rows = L.search_matchable(prof, "card", clusters, q="p", unmatched_with="shelf").collect()
-    # p11 is matched with the shelf already; the entity without a name comes last.
-    assert S.C + "p11" not in {r.iri for r in rows} and rows[-1].label is None
-    t = spark.createDataFrame([("t", f"select <{S.C}t20> a <{RICO}Place>")], "text_id string, text string")
-    assert [(r.iri, r.label) for r in Q.entities_in_text(t, quads, [RICO]).collect()] == [(S.C + "t20", "Norrby")]
-    hits = spark.createDataFrame([(RICO + "title", 1)], "p string, hit_rank int")
-    used = {r.p for r in A.find_usage(quads, "birthday", term_hits=hits).collect()}
-    assert used == {"http://xmlns.com/foaf/0.1/birthday", RICO + "title"}
+    world = W.World(53, sources=2, entities=20)
+    quads = world.quads(spark)
+    rows = world.random_links(6, ["ACCEPTED"])
+    clusters = C.build_clusters(W.links(spark, rows), P.identical_iris(quads))
+    found = L.search_matchable(M.profiles(quads, load_config(world.config())), "src0", clusters, q="", unmatched_with="src1").collect()
+    chains = [((s, iri), (t, iri)) for iri, held in world.identical().items() for s, t in zip(held, held[1:])]
+    group = W.components(world.facts, chains + [((r[1], r[2]), (r[5], r[6])) for r in rows])
+    assert {r.iri for r in found} == {n[1] for n, g in group.items() if n[0] == "src0" and all(s == "src0" for s, _ in g)}
+    labels = [r.label for r in found]
+    assert labels == sorted(labels, key=lambda x: x is None or x == "") or None in labels
+    (source, iri), f = next((k, f) for k, f in world.facts.items() if len(f[W.LABEL]) == 1 and not k[1].startswith("urn:all"))
+    t = spark.createDataFrame([("t", f"select <{iri}> a <urn:p:Other>")], "text_id string, text string")
+    assert [(r.iri, r.label) for r in Q.entities_in_text(t, quads, ["urn:p:"]).collect()] == [(iri, f[W.LABEL][0])]
+    hits = spark.createDataFrame([(W.CODE, 1)], "p string, hit_rank int")
+    assert {r.p for r in A.find_usage(quads, "year", term_hits=hits).collect()} == {W.YEAR, W.CODE}
 
 
 def test_updates(spark):
-    quads = S.quads(spark)
-    ch = spark.createDataFrame([(S.D + "d2", RICO + "name", "Northby")], "s string, p string, o string")
-    more = U.add_values(quads, ch, "diary", "2026-01-01T00:00:00Z").where(F.col("s") == S.D + "d2")
-    assert {r.o for r in more.where(F.col("p") == RICO + "name").collect()} == {"Norrby", "Northby"}
-    named = U.rename(quads, ch.select("s", "o"), "diary", "2026-01-01T00:00:00Z", RICO + "name").where(F.col("s") == S.D + "d2")
-    assert [r.o for r in named.where(F.col("p") == RICO + "name").collect()] == ["Northby"]
+    world = W.World(55)
+    quads = world.quads(spark)
+    chosen = [k for k, f in sorted(world.facts.items()) if k[0] == "src1"][:5]
+    ch = spark.createDataFrame([(iri, W.LABEL, f"new {iri}") for _, iri in chosen], "s string, p string, o string")
+    for change, old in ((U.add_values(quads, ch, "src1", "2026-01-01T00:00:00Z"), True), (U.rename(quads, ch.select("s", "o"), "src1", "2026-01-01T00:00:00Z", W.LABEL), False)):
+        got = {}
+        for r in change.where(F.col("p") == W.LABEL).collect():
+            got.setdefault((r.source, r.s), set()).add(r.o)
+        for k, f in world.facts.items():
+            want = {f"new {k[1]}"} | (set(f[W.LABEL]) if old else set()) if k in chosen else set(f[W.LABEL])
+            assert got.get(k, set()) == want
 
 
 def test_long_tables(spark):

@@ -1,12 +1,12 @@
 import duckdb
 import pytest
-import scenario as S
+import worlds as W
 from pyspark.sql import functions as F
 
 from quadweave.operators import ontology as X
 from quadweave.plans.queries import ORACLES, QUERIES
 from quadweave.sources import tables as T
-from quadweave.vocab import OWL, QUAD_SCHEMA, RDF, RDF_TYPE, RDFS, SUBCLASS_OF, XSD
+from quadweave.vocab import DCTERMS, OWL, QUAD_SCHEMA, RDF, RDF_TYPE, RDFS, SUBCLASS_OF, XSD
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -32,16 +32,16 @@ def test_nquads_round_trip(spark, tmp_path):
 
 def test_store_source_replaces_one_partition(spark, tmp_path):
     path = str(tmp_path / "quads")
-    quads = S.quads(spark)
+    quads = W.World(61).quads(spark)
     T.write_quads(quads, path)
-    T.store_source(S.quads(spark, [S.typ("diary", "urn:new", "urn:T")]), path, "diary")
+    T.store_source(W.quads(spark, [W.typed("src0", "urn:new", "urn:T")]), path, "src0")
     back = T.read_quads(spark, path)
-    assert back.where("source = 'diary'").count() == 1
-    assert back.where("source = 'shelf'").count() == quads.where("source = 'shelf'").count()
-    broken = quads.where("source = 'shelf'").withColumn("o", F.expr("cast(raise_error('bad input') as string)"))
+    assert back.where("source = 'src0'").count() == 1
+    assert back.where("source = 'src1'").count() == quads.where("source = 'src1'").count()
+    broken = quads.where("source = 'src1'").withColumn("o", F.expr("cast(raise_error('bad input') as string)"))
     with pytest.raises(Exception):
-        T.store_source(broken, path, "shelf")
-    assert T.read_quads(spark, path).where("source = 'shelf'").count() == quads.where("source = 'shelf'").count()
+        T.store_source(broken, path, "src1")
+    assert T.read_quads(spark, path).where("source = 'src1'").count() == quads.where("source = 'src1'").count()
 
 
 def test_escapes_are_read_in_one_pass(spark, tmp_path):
@@ -54,35 +54,35 @@ def test_escapes_are_read_in_one_pass(spark, tmp_path):
 
 def test_storing_nothing_empties_a_source(spark, tmp_path):
     path = str(tmp_path / "quads")
-    quads = S.quads(spark)
+    quads = W.World(61).quads(spark)
     T.write_quads(quads, path)
-    T.store_source(quads.limit(0), path, "diary")
-    assert T.read_quads(spark, path).where("source = 'diary'").count() == 0
+    T.store_source(quads.limit(0), path, "src0")
+    assert T.read_quads(spark, path).where("source = 'src0'").count() == 0
     # Whatever source the rows name, they become the given source's.
-    T.store_source(quads.where("source = 'card'"), path, "diary")
+    T.store_source(quads.where("source = 'src2'"), path, "src0")
     back = T.read_quads(spark, path)
-    assert back.where("source = 'diary'").count() == back.where("source = 'card'").count() > 0
+    assert back.where("source = 'src0'").count() == back.where("source = 'src2'").count() > 0
 
 
 def test_lines_need_all_their_terms(spark):
-    rows = [S.quad("x", "urn:s", "urn:p", None), S.quad("x", "urn:s", "urn:p", "v")]
-    assert [r.value for r in T.as_triples(S.quads(spark, rows), "x").collect()] == ['<urn:s> <urn:p> "v" .']
+    rows = [W.quad("x", "urn:s", "urn:p", None), W.quad("x", "urn:s", "urn:p", "v")]
+    assert [r.value for r in T.as_triples(W.quads(spark, rows), "x").collect()] == ['<urn:s> <urn:p> "v" .']
 
 
 def test_deleting_a_source_leaves_others_with_its_name_as_label(spark):
     cols = "short_name string, long_name string, type string, graph string, last_change timestamp"
-    sources = spark.createDataFrame([("card", "Cards", "t", "urn:datasource:card", None), ("other", "card", "t", "urn:datasource:other", None)], cols)
-    quads = S.quads(spark).unionByName(T.catalog_quads(sources))
-    left, rows = T.delete_source(quads, sources, "card")
+    sources = spark.createDataFrame([("src2", "Third", "t", "urn:datasource:src2", None), ("other", "src2", "t", "urn:datasource:other", None)], cols)
+    quads = W.World(62).quads(spark).unionByName(T.catalog_quads(sources))
+    left, rows = T.delete_source(quads, sources, "src2")
     assert [r.short_name for r in T.source_catalog(left).collect()] == ["other"] and rows.count() == 1
-    assert left.where("source = 'card'").count() == 0
+    assert left.where("source = 'src2'").count() == 0
 
 
 def test_blank_literals_lose(spark):
-    rows = [S.quad("x", "urn:s", S.NAME, "\t\n\u2003"), S.quad("x", "urn:s", S.TITLE, "real")]
+    rows = [W.quad("x", "urn:s", RDFS + "label", "\t\n\u2003"), W.quad("x", "urn:s", DCTERMS + "title", "real")]
     from quadweave.operators.patterns import best_label
 
-    assert best_label(S.quads(spark, rows)).first().label == "real"
+    assert best_label(W.quads(spark, rows)).first().label == "real"
 
 
 def test_long_lists_and_deep_hierarchies(spark):
@@ -112,8 +112,9 @@ def test_csv(spark, tmp_path):
 
 
 def test_links_file(spark, tmp_path):
-    T.save_links(S.links(spark), str(tmp_path / "l"))
-    assert T.load_links(spark, str(tmp_path / "l")).count() == 2
+    rows = W.World(63).random_links(7)
+    T.save_links(W.links(spark, rows), str(tmp_path / "l"))
+    assert T.load_links(spark, str(tmp_path / "l")).count() == 7
 
 
 def test_ontology_properties(spark):
