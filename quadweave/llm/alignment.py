@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quadweave.llm.common import quoted, text_slices, written
+from quadweave.llm.common import KEPT_BY_WORKERS, quoted, text_slices, written
 from quadweave.llm.tokenizing import _BYTE_LETTERS, _LETTER, SPACED, WordEncoder
 
 #: Pairs in the dictionary of a chunk, beyond which the next slice opens a new chunk.
@@ -134,6 +134,9 @@ def sides(path_a: str, path_b: str):
     return a, b, a.writing + b.writing
 
 
+KEPT_BY_WORKERS.append(sides.cache_clear)
+
+
 def shared_cuts(ends_a, ends_b, bounds_a, bounds_b):
     """(a, b): token numbers at which groups start, in order, and the numbers of tokens at the end.
 

@@ -1,5 +1,6 @@
 """Small helpers of the corpus operators."""
 
+import ctypes
 import re
 import uuid
 from contextlib import contextmanager
@@ -68,6 +69,36 @@ def quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Functions that drop what a Python worker keeps from one task to the next.
+KEPT_BY_WORKERS = []
+
+
+def give_back(keep=False):
+    """End of a task's work on texts: hand free memory back to the system.
+
+    Python workers outlive their tasks and serve other operators next. Unless ``keep`` says that the
+    next task is likely of the same kind, what earlier tasks kept (tokenizers, words) is dropped too.
+    """
+    if not keep:
+        for drop in KEPT_BY_WORKERS:
+            drop()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+# A C library without this function keeps freed pages; nothing else depends on it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def each_slice(texts: pa.Array, change, rows=512) -> list:
+    """``change`` of every value of an array, of which few are held as Python objects at once."""
+    out = []
+    for i in range(0, len(texts), rows):
+        out.append(change(texts.slice(i, rows).to_pylist()))
+    return out
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
-from quadweave.llm.common import WORD, WORD_SQL, written
+from quadweave.llm.common import WORD, WORD_SQL, each_slice, give_back, written
 
 BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
@@ -287,9 +287,12 @@ def _cut(text, spans):
 
 @F.arrow_udf(StringType())
 def _cut_text(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    return pa.array(
-        [_cut(t, [(s["_from"], s["_to"]) for s in ranges]) for t, ranges in zip(texts.to_pylist(), spans.to_pylist())], pa.string()
-    )
+    rows = pa.StructArray.from_arrays([texts, spans], names=["text", "spans"])
+    parts = each_slice(rows, lambda part: pa.array(
+        [_cut(r["text"], [(s["_from"], s["_to"]) for s in r["spans"]]) for r in part], pa.string()
+    ))
+    give_back()
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
 
 def mix_documents(docs: DataFrame, ident="doc_id", text="text", source="source", chars="n_chars", weights=None, block_words=BLOCK_WORDS, shard_slots=SHARD_SLOTS, max_repeats=MAX_REPEATS, seed=SEED) -> DataFrame:

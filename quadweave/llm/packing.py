@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quadweave.llm.common import slices, written
+from quadweave.llm.common import give_back, slices, written
 from quadweave.llm.tokenizing import PLAIN, encoder
 
 CAPACITY = 4096
@@ -128,6 +128,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, ident="doc_id", text="text", capa
                  pa.array(length, pa.int64()), pa.array(part, pa.binary()), pa.array([task] * len(row), pa.int32()), pa.array(rank, pa.int64())],
                 names=[ident, "piece", "start", "length", "ids", "task", "rank"],
             )
+        give_back(keep=True)
 
     return docs.select(F.col(ident), F.col(text)).mapInArrow(
         cut, f"{ident} {id_type}, piece int, start long, length long, ids binary, task int, rank long"

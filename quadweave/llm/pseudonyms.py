@@ -21,6 +21,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quadweave.llm.common import each_slice, give_back
+
 #: For tests and the registered query; a real run takes its key from a secret store.
 DEMO_KEY = b"quadweave demonstration key"
 ROUNDS = 10
@@ -361,10 +363,15 @@ def pseudonymised(docs: DataFrame, key: bytes = DEMO_KEY, text="text", count="n_
 
     @F.arrow_udf("struct<text: string, n: long>")
     def change(texts: pa.Array) -> pa.Array:
-        pairs = [pseudonymise(t, permuter) for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays(
-            [pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.int64())], names=["text", "n"]
-        )
+        def arrays(part):
+            pairs = [pseudonymise(t, permuter) for t in part]
+            return pa.StructArray.from_arrays(
+                [pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.int64())], names=["text", "n"]
+            )
+
+        parts = each_slice(texts, arrays) or [arrays([])]
+        give_back()
+        return pa.concat_arrays(parts)
 
     columns = [c for c in docs.columns if c != count]
     done = docs.select(*[c for c in columns if c != text], change(F.col(text)).alias("_pseudonymised"))

@@ -17,7 +17,7 @@ from functools import cached_property
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quadweave.llm.common import SPACES, batch_of, slices, words_of
+from quadweave.llm.common import SPACES, batch_of, bounded_batches, each_slice, give_back, slices, words_of
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
@@ -141,13 +141,15 @@ def estimate(docs: DataFrame, text="text", rules=RULES, sample_rows=2_000, seed=
                     s[2] += time.perf_counter() - start
                     s[0] += 1
                     s[1] += bool(rejected)
+        give_back()
         yield batch_of(schema, list(range(len(rules))), *zip(*sums))
 
-    rows = (
-        part.mapInArrow(measure, "rule int, rows long, rejected long, seconds double")
-        .groupBy("rule").agg(F.sum("rows").alias("n"), F.sum("rejected").alias("r"), F.sum("seconds").alias("s"))
-        .collect()
-    )
+    with bounded_batches(docs.sparkSession):
+        rows = (
+            part.mapInArrow(measure, "rule int, rows long, rejected long, seconds double")
+            .groupBy("rule").agg(F.sum("rows").alias("n"), F.sum("rejected").alias("r"), F.sum("seconds").alias("s"))
+            .collect()
+        )
     found = {r["rule"]: r for r in rows if r["n"]}
     return [
         {"rule": rule.__name__, "rows": r["n"], "rejected": r["r"] / r["n"], "seconds": r["s"] / r["n"]}
@@ -184,7 +186,9 @@ def quality_filter(docs: DataFrame, text="text", rules=RULES, sample_rows=2_000)
 
     @F.arrow_udf("boolean")
     def passes(texts: pa.Array) -> pa.Array:
-        return pa.array([first_rejection(Text(t), cascade) is None for t in texts.to_pylist()], pa.bool_())
+        parts = each_slice(texts, lambda part: [first_rejection(Text(t), cascade) is None for t in part])
+        give_back()
+        return pa.array([x for part in parts for x in part], pa.bool_())
 
     return docs.where(passes(F.col(text)))
 

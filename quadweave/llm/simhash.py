@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from quadweave.llm.common import slices, written
+from quadweave.llm.common import each_slice, give_back, slices, written
 from quadweave.operators.clusters import connected_components
 
 SHINGLE = 4
@@ -76,6 +76,7 @@ def fingerprints(docs: DataFrame, ident="doc_id", text="text", n=SHINGLE) -> Dat
         for batch in slices(batches):
             found = np.array([fingerprint(t, n) for t in batch.column(1).to_pylist()], "u8").view("i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=[ident, "fp"])
+        give_back()
 
     return docs.select(F.col(ident), F.col(text)).mapInArrow(each, f"{ident} {id_type}, fp long")
 
@@ -224,7 +225,8 @@ def near_duplicate_classes(docs: DataFrame, ident="doc_id", text="text", distanc
 
 @F.arrow_udf(LongType())
 def _fingerprint_of(texts: pa.Array) -> pa.Array:
-    return pa.array(np.array([fingerprint(t) for t in texts.to_pylist()], "u8").view("i8"))
+    parts = each_slice(texts, lambda part: [fingerprint(t) for t in part])
+    return pa.array(np.array([x for part in parts for x in part], "u8").view("i8"))
 
 
 def drop_near_duplicates(docs: DataFrame, ident="doc_id", text="text", distance=DISTANCE) -> DataFrame:

@@ -12,6 +12,8 @@ from array import array
 from functools import lru_cache
 from itertools import chain
 
+from quadweave.llm.common import KEPT_BY_WORKERS
+
 # Unicode white space, and letters that no other character joins or follows from.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _LETTER = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ"
@@ -90,3 +92,6 @@ class WordEncoder:
 def encoder(path: str, pattern: str, kept_words: int = KEPT_WORDS) -> WordEncoder:
     """One encoder per Python worker and vocabulary."""
     return WordEncoder(path, pattern, kept_words)
+
+
+KEPT_BY_WORKERS.append(encoder.cache_clear)
