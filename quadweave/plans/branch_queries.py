@@ -188,6 +188,57 @@ def accepted_and_refused(spark, d):
     return out.links.join(out.report.select("id", "reason"), "id").select("source_a", "iri_a", "source_b", "iri_b", "status", "reason")
 
 
+# The first proposal from a hub to each source is the one that can be confirmed.
+RANKED_SQL = LINKS_SQL + ", k AS (SELECT *, row_number() OVER (PARTITION BY source_a, iri_a, source_b ORDER BY {}) AS r FROM l) "
+_LINK_ID_SQL = "sha256(least(source_a || chr(1) || iri_a, source_b || chr(1) || iri_b) || chr(2) || greatest(source_a || chr(1) || iri_a, source_b || chr(1) || iri_b))"
+
+
+def _in_order(lk):
+    return lk.select(F.struct("source_a", "iri_a", "source_b", "iri_b").alias("ord"), "id", F.lit("ACCEPT").alias("action"))
+
+
+@query("WITH " + RANKED_SQL.format(_LINK_ID_SQL) + "SELECT source_a, iri_a, source_b, iri_b, CASE WHEN r = 1 THEN 'ACCEPTED' ELSE 'PROPOSED' END AS status FROM k")
+def accepted_in_bulk(spark, d):
+    """Every proposal above a score accepted, best first and by id among equals."""
+    out = L.accept_above(cut_lineage(_copy_links(spark, d, "PROPOSED")), _no_identical(spark), 0.95)
+    return out.links.select("source_a", "iri_a", "source_b", "iri_b", "status")
+
+
+@query("WITH " + RANKED_SQL.format("iri_b") + "SELECT 'changed' AS kind, source_a, iri_a, source_b, iri_b FROM k WHERE r = 1 UNION ALL "
+       "SELECT 'added', a.source_b, a.iri_b, b.source_b, b.iri_b FROM k a JOIN k b USING (source_a, iri_a) WHERE a.r = 1 AND b.r = 1 AND a.source_b < b.source_b")
+def dry_run_of_acceptance(spark, d):
+    """What accepting all proposals in order would change, and the links inferred from it."""
+    lk, none = cut_lineage(_copy_links(spark, d, "PROPOSED")), _no_identical(spark)
+    out = L.dry_run(lk, lambda x: L.apply_decisions(x, _in_order(lk), none), none)
+    rows = [out[name].select(F.lit(kind).alias("kind"), "source_a", "iri_a", "source_b", "iri_b") for name, kind in (("changed", "changed"), ("inferred_added", "added"))]
+    return rows[0].unionByName(rows[1])
+
+
+@query("WITH " + RANKED_SQL.format("iri_b") + ", o AS (SELECT max(source_b) AS gone FROM l) SELECT source_a, iri_a, source_b, iri_b, r > 1 AS superseded, "
+       "source_a = gone AS orphan_a, source_b = gone AS orphan_b FROM k, o")
+def flagged_links(spark, d):
+    """Flags of links after acceptance in order, with the quads of one source missing."""
+    lk, none = cut_lineage(_copy_links(spark, d, "PROPOSED")), _no_identical(spark)
+    out = L.apply_decisions(lk, _in_order(lk), none)
+    gone = lk.agg(F.max("source_b")).first()[0]
+    flags = L.link_flags(out.links, out.clusters, docs(spark, d).where(F.col("source") != gone))
+    return out.links.join(flags, "id").select("source_a", "iri_a", "source_b", "iri_b", "superseded", "orphan_a", "orphan_b")
+
+
+@query("WITH " + RANKED_SQL.format("iri_b") + "SELECT source_a, iri_a, source_b, iri_b, CASE WHEN r = 1 THEN 'applied' ELSE 'refused' END AS result, CASE WHEN r > 1 THEN 'TWO_IN_SOURCE' END AS reason FROM k "
+       "UNION ALL SELECT source_a, iri_a, source_b, iri_b || '#', 'refused', 'NO_STATEMENT' FROM k UNION ALL SELECT source_a, iri_a, source_a, iri_b, 'refused', 'SAME_SOURCE' FROM k")
+def manual_requests(spark, d):
+    """Links asked for by hand from an empty table: to copies, to entities that are not there, within a source."""
+    lk = cut_lineage(_copy_links(spark, d))
+    ends = ["source_a", "iri_a", "source_b", "iri_b"]
+    asked = lk.select(*ends).unionByName(lk.select("source_a", "iri_a", "source_b", F.concat("iri_b", F.lit("#")).alias("iri_b")))
+    asked = asked.unionByName(lk.select("source_a", "iri_a", F.col("source_a").alias("source_b"), "iri_b"))
+    # Ends come in either order.
+    turned = asked.select(F.struct(*ends).alias("ord"), F.col("source_b").alias("source_a"), F.col("iri_b").alias("iri_a"), F.col("source_a").alias("source_b"), F.col("iri_a").alias("iri_b"))
+    out = L.add_manual_links(lk.limit(0), turned, docs(spark, d), _no_identical(spark))
+    return out.report.select(*[F.col(f"ord.{c}").alias(c) for c in ends], "result", "reason")
+
+
 @query("WITH " + LINKS_SQL + "SELECT source_a, iri_a, source_b, iri_b, CASE WHEN hash_even THEN 'REJECTED' ELSE 'PROPOSED' END AS status FROM (SELECT *, iri_b[-1] IN ('0', '2', '4', '6', '8') AS hash_even FROM l)")
 def reject_and_undo(spark, d):
     """Accepted links: those to even ids rejected, the others taken back."""
