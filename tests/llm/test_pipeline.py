@@ -117,7 +117,7 @@ def test_sql_twins(spark, name):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(n.split("_")[0] for n in QUERIES) == sorted([*(f"op{i}" for i in range(1, 11)), "pipeline"])
+    assert sorted(n.split("_")[0] for n in QUERIES) == sorted([*(f"op{i}" for i in range(1, 14)), "pipeline"])
     assert QUERIES.items() <= __spark_entry__.queries().items()
 
 
