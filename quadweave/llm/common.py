@@ -69,6 +69,16 @@ def quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def numbered(df: DataFrame, *names):
+    """(``df`` with its columns named c0, c1, ... in order, the new names of ``names``).
+
+    Inside an operator no name of its input can then clash with a working column, whatever it holds;
+    ``toDF(*df.columns)`` gives the names back.
+    """
+    at = df.columns
+    return df.toDF(*[f"c{i}" for i in range(len(at))]), *(f"c{at.index(n)}" for n in names)
+
+
 #: Functions that drop what a Python worker keeps from one task to the next.
 KEPT_BY_WORKERS = []
 

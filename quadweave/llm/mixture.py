@@ -4,13 +4,14 @@
    ``block_words``.
 2. Sources share 100 % of all words by weight, at most ``max_repeats`` times their size each.
 3. Output shards of ``shard_slots`` slots draw their source counts: a multinomial draw conditioned on
-   the totals of the mix (multivariate hypergeometric), so that all shards together meet the targets.
-   Each shard walks down a binary tree of shards whose draws are seeded by their place; it needs no
-   other shard and no driver.
+   the totals of the mix, so that all shards together meet the targets. The draw is made slot by slot
+   through a keyed permutation of all slots; a shard needs no other shard and no driver.
 4. A slot's number within its source goes through a keyed permutation of the source's blocks, a new
    one for each pass over the source; the last slot of a source takes only the words it still needs.
 5. Slots are joined with the blocks by (source, block).
 
+``mix_slots`` is the mix itself, shard by shard; ``mix_report`` and ``mix_documents`` are made of it.
+
 Texts: a null text has no words; wordless documents take nothing. A null source is a source of its
 own, last in order. Rows without an id and repeated rows are documents of their own each. An empty
 table gives an empty result. The tables of sources (one row each) reach the driver; all else stays
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
-from quadweave.llm.common import WORD, WORD_SQL, each_slice, give_back, written
+from quadweave.llm.common import WORD, WORD_SQL, each_slice, give_back, numbered, written
 
 BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
@@ -118,41 +119,18 @@ def slot_plan(size: int, target: float, block_words=BLOCK_WORDS, key=0, max_repe
     return blocks, passes * blocks + k, rest - filled(k - 1)
 
 
-def shard_counts(slots: np.ndarray, shard: int, shards: int, shard_slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(slots of each source in the shard, slots of each source in the shards before it)."""
-    counts, before = np.array(slots, "i8"), np.zeros(len(slots), "i8")
-    lo, hi = 0, shards
-    while hi - lo > 1:
-        mid = (lo + hi) // 2
-        draw = np.random.default_rng([seed, lo, hi])
-        left = _hypergeometric(draw, counts, min((mid - lo) * shard_slots, int(counts.sum())))
-        if shard < mid:
-            counts, hi = left, mid
-        else:
-            counts, before, lo = counts - left, before + left, mid
-    return counts, before
-
-
-def _hypergeometric(draw, counts, n):
-    """Multivariate hypergeometric; totals beyond the generator's range are drawn in proportion."""
-    total = int(counts.sum())
-    if total < 1_000_000_000:
-        return draw.multivariate_hypergeometric(counts, n, method="marginals")
-    share_, left = counts * (n / total), np.zeros(len(counts), "i8")
-    spread = np.sqrt(np.maximum(share_ * (1 - counts / total) * (1 - n / total), 0))
-    left = np.clip(np.rint(share_ + spread * draw.standard_normal(len(counts))).astype("i8"), 0, counts)
-    while (miss := n - int(left.sum())) != 0:
-        room = counts - left if miss > 0 else left
-        step = np.minimum(room, -(-abs(miss) * room // max(1, int(room.sum()))))
-        over = int(step.sum()) - abs(miss)
-        for i in np.argsort(-step)[: len(step)]:
-            if over <= 0:
-                break
-            cut = min(over, int(step[i]))
-            step[i] -= cut
-            over -= cut
-        left += step if miss > 0 else -step
-    return left
+def deal(slots: np.ndarray, shard: int, shard_slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(source, number within the source) of each slot of a shard, drawn without replacement.
+
+    All slots of the mix are numbered source by source; a keyed permutation of these numbers says which
+    ones a shard's places get. A shard's source counts are thereby a multinomial draw conditioned on
+    the totals, for totals of any size, and no slot is drawn twice.
+    """
+    ends = np.cumsum(slots)
+    total = int(ends[-1]) if len(ends) else 0
+    drawn = permute(np.arange(shard * shard_slots, min((shard + 1) * shard_slots, total)), total, _key(seed, "deal"))
+    source = np.searchsorted(ends, drawn, "right")
+    return source, drawn - (ends - slots)[source]
 
 
 def _row_key(seed, ident, source, text):
@@ -198,7 +176,7 @@ def source_plan(totals: DataFrame, weights=None, block_words=BLOCK_WORDS, max_re
 
 
 def _slots(spark, plan, shard_slots, seed):
-    """(source index, block, pass, words or null for all, shard) of every slot of the mix."""
+    """(source index, block, pass, words or -1 for all, shard, slot) of every slot of the mix."""
     slots = np.array([p["slots"] for p in plan], "i8")
     shards = max(1, -(-int(slots.sum()) // shard_slots))
     facts = [(p["blocks"], p["slots"], p["last"]) for p in plan]
@@ -206,26 +184,28 @@ def _slots(spark, plan, shard_slots, seed):
     def draw(batches):
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                counts, before = shard_counts(slots, shard, shards, shard_slots, seed)
-                columns = [[], [], [], [], []]
-                for i in np.flatnonzero(counts):
+                source, number = deal(slots, shard, shard_slots, seed)
+                order = np.argsort(source, kind="stable")
+                columns = [[], [], [], [], [], []]
+                for slot in np.split(order, np.flatnonzero(np.diff(source[order])) + 1) if len(order) else []:
+                    i = int(source[slot[0]])
                     blocks, total, last = facts[i]
-                    k = np.arange(before[i], before[i] + counts[i])
+                    k = number[slot]
                     passes = k // blocks
                     block = np.empty_like(k)
                     for p in np.unique(passes):
                         at = passes == p
                         block[at] = permute(k[at] % blocks, blocks, _key(_key(seed, i), p))
                     words = np.where(k == total - 1, last, -1)
-                    for column, values in zip(columns, (np.full(len(k), i), block, passes, words, np.full(len(k), shard))):
+                    for column, values in zip(columns, (np.full(len(k), i), block, passes, words, np.full(len(k), shard), slot)):
                         column.append(values)
                 if columns[0]:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(c).astype("i8")) for c in columns], names=["_index", "_block", "_pass", "_words", "_shard"]
+                        [pa.array(np.concatenate(c).astype("i8")) for c in columns], names=["_index", "_block", "_pass", "_words", "_shard", "_slot"]
                     )
 
     tasks = max(1, min(shards, spark.sparkContext.defaultParallelism * 8))
-    return spark.range(0, shards, 1, tasks).mapInArrow(draw, "_index long, _block long, _pass long, _words long, _shard long")
+    return spark.range(0, shards, 1, tasks).mapInArrow(draw, "_index long, _block long, _pass long, _words long, _shard long, _slot long")
 
 
 def _taken(docs, ident, text, source, weights, block_words, shard_slots, max_repeats, seed):
@@ -253,11 +233,24 @@ def _taken(docs, ident, text, source, weights, block_words, shard_slots, max_rep
     )
     begin = F.greatest("_start", F.col("_block") * b)
     pieces = parts.join(slots, ["_index", "_block"]).select(
-        "_id", "_hash", "_index", "_start", "_pass", "_shard", (begin - F.col("_start")).alias("_from"), (end - F.col("_start")).alias("_to")
+        "_id", "_hash", "_index", "_start", "_block", "_pass", "_shard", "_slot", (begin - F.col("_start")).alias("_from"), (end - F.col("_start")).alias("_to")
     ).where("_to > _from")
     return streams, pieces
 
 
+def mix_slots(docs: DataFrame, ident="doc_id", text="text", source="source", weights=None, block_words=BLOCK_WORDS, shard_slots=SHARD_SLOTS, max_repeats=MAX_REPEATS, seed=SEED) -> DataFrame:
+    """(shard, slot, source_index, pass, block, place, doc_id, first, end): the mix, a row per slot and document.
+
+    A slot holds the words ``first`` to ``end`` (excluded, from 0) of its documents, in the order of ``place``,
+    the document's start in its source. Sources are numbered in order of code points, null last.
+    """
+    _, pieces = _taken(docs, ident, text, source, weights, block_words, shard_slots, max_repeats, seed)
+    return pieces.select(
+        F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.col("_index").alias("source_index"), F.col("_pass").alias("pass"),
+        F.col("_block").alias("block"), F.col("_start").alias("place"), F.col("_id").alias(ident), F.col("_from").alias("first"), F.col("_to").alias("end"),
+    )
+
+
 def mix_report(docs: DataFrame, ident="doc_id", text="text", source="source", weights=None, block_words=BLOCK_WORDS, shard_slots=SHARD_SLOTS, max_repeats=MAX_REPEATS, seed=SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document."""
     streams, pieces = _taken(docs, ident, text, source, weights, block_words, shard_slots, max_repeats, seed)
@@ -301,6 +294,8 @@ def mix_documents(docs: DataFrame, ident="doc_id", text="text", source="source",
     Columns are those of ``docs``; ``chars``, if there, is the length of the new text. A document
     taken whole keeps its text as it is.
     """
+    columns = docs.columns
+    docs, ident, text, source, *chars = numbered(docs, ident, text, source, *([chars] if chars in columns else []))
     streams, pieces = _taken(docs, ident, text, source, weights, block_words, shard_slots, max_repeats, seed)
     spans = pieces.groupBy("_index", "_start", "_pass").agg(F.sort_array(F.collect_list(F.struct("_from", "_to"))).alias("_spans"))
     # Rows with one key are numbered alike on both sides: by id and source, repeated rows in any order.
@@ -318,6 +313,6 @@ def mix_documents(docs: DataFrame, ident="doc_id", text="text", source="source",
     same = (F.col("a._mix_key") == F.col("b._mix_key")) & (F.col("a._mix_n") - F.col("b._mix_n") == 0)
     mixed = a.join(b, same).select(*[F.col(f"a.`{c}`") for c in docs.columns], F.col("b._spans"))
     mixed = mixed.withColumn(text, _cut_text(F.col(text), F.col("_spans"))).drop("_spans")
-    if chars in docs.columns:
-        mixed = mixed.withColumn(chars, F.length(text).cast(docs.schema[chars].dataType))
-    return mixed.select(*docs.columns)
+    for c in chars:
+        mixed = mixed.withColumn(c, F.length(text).cast(docs.schema[c].dataType))
+    return mixed.select(*docs.columns).toDF(*columns)

@@ -11,14 +11,18 @@ Queries meet all candidates, block by block: rows are dealt into blocks of bound
 and a task holds one block of queries and one of candidates. Each returns its best ``k`` per query,
 and the best of those are ranked. Nothing is sampled; the rotation needs no training.
 
-Vectors that are null, zero, of a length other than the index's, or that hold null or non-finite
-values take no part, nor do rows without an id. An id that repeats counts once, with its smallest
-vector. Ties go to the smaller id. Fewer than ``k`` candidates give as many rows. Empty tables give
-empty results.
+Vectors that are null, zero, or that hold null or non-finite values take no part, nor do rows without
+an id. Vectors meet those of their own length, whatever lengths there are. Every row counts, also where
+an id repeats: each such row is a candidate, and a query with answers of its own (ranked by themselves);
+only the query's own row is no answer. Ties go to the smaller id. Fewer than ``k`` candidates give as
+many rows. Empty tables give empty results.
 """
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quadweave.llm.common import written
@@ -32,6 +36,7 @@ QUERY_BLOCK = 1_024
 CANDIDATE_BLOCK = 8_192
 
 
+@lru_cache(maxsize=4)
 def rotation(dim: int, seed=SEED) -> np.ndarray:
     """A random orthogonal matrix of ``dim`` rounded up to full words of 64 bits."""
     size = -(-dim // 64) * 64
@@ -86,46 +91,42 @@ def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def clean_vectors(df: DataFrame, ident="vec_id", vector="embedding") -> DataFrame:
-    """(id, vector as doubles) of the rows that take part, one per id."""
+    """(row, id, vector as doubles) of the rows that take part; ``row`` holds once the result is written."""
     v = F.col(vector).cast("array<double>")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return (
         df.select(F.col(ident).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null")
-        .where(finite & F.exists("v", lambda x: x != 0)).groupBy("id").agg(F.min("v").alias("v"))
+        .where(finite & F.exists("v", lambda x: x != 0)).select(F.monotonically_increasing_id().alias("row"), "id", "v")
     )
 
 
 def build_index(df: DataFrame, ident="vec_id", vector="embedding", seed=SEED) -> DataFrame:
-    """(id, v, bits, own) of every vector that takes part; written to the shared folder."""
-    rows = written(clean_vectors(df, ident, vector), "vectors")
-    # The length most rows have; one row per length reaches the driver.
-    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = lengths["d"] if lengths else 1
+    """(row, id, v, bits, own) of every vector that takes part; written to the shared folder."""
 
     def run(batches):
-        turn = rotation(dim, seed)
         for batch in batches:
-            if batch.num_rows:
-                v = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, dim)
-                bits, own = codes(v, turn)
+            sizes = pc.list_value_length(batch.column(2))
+            for dim in pc.unique(sizes).to_pylist():
+                part = batch.filter(pc.equal(sizes, dim))
+                bits, own = codes(part.column(2).flatten().to_numpy().reshape(part.num_rows, dim), rotation(dim, seed))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(own)],
-                    names=["id", "v", "bits", "own"],
+                    [*part.columns, pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(own)], names=["row", "id", "v", "bits", "own"]
                 )
 
-    return written(rows.where(F.size("v") == dim).mapInArrow(run, "id long, v array<double>, bits binary, own double"), "index")
+    rows = written(clean_vectors(df, ident, vector), "vectors")
+    return written(rows.mapInArrow(run, "row long, id long, v array<double>, bits binary, own double"), "index")
 
 
 def _best(queries, candidates, dim, k, seed):
-    """(query, id, score): per query the best ``k`` of one block, found through the bounds."""
+    """(query row, query, id, score): per query the best ``k`` of one block, found through the bounds."""
     turn = rotation(dim, seed)
-    qid, q = queries
-    cid, v, bits, own = candidates
+    qrow, qid, q = queries
+    crow, cid, v, bits, own = candidates
     out = []
     for a in range(0, len(qid), 64):
         est, width = estimates(q[a : a + 64], bits, own, turn)
         for i in range(len(est)):
-            other = cid != qid[a + i]
+            other = crow != qrow[a + i]
             lower, upper = est[i] - width[i], est[i] + width[i]
             if other.sum() > k:
                 floor = np.partition(lower[other], -k)[-k]
@@ -136,44 +137,45 @@ def _best(queries, candidates, dim, k, seed):
                 continue
             exact = cosines(q[a + i], v[rerank])
             top = np.lexsort((cid[rerank], -exact))[:k]
-            out += [(int(qid[a + i]), int(cid[rerank[t]]), float(exact[t])) for t in top]
+            out += [(int(qrow[a + i]), int(qid[a + i]), int(cid[rerank[t]]), float(exact[t])) for t in top]
     return out
 
 
 def search(index: DataFrame, queries: DataFrame, k=K, query_block=QUERY_BLOCK, candidate_block=CANDIDATE_BLOCK, seed=SEED) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest rows of the index for each query row.
 
-    ``queries`` are rows of an index too (the query's own id is no answer).
+    ``queries`` are rows of the index (a query's own row is no answer).
     """
     n, m = index.count(), queries.count()
     blocks, groups = max(1, -(-n // candidate_block)), max(1, -(-m // query_block))
-    first = index.select(F.size("v").alias("d")).first()
-    dim = first["d"] if first else 1
+    dim = F.size("v").alias("dim")
     left = index.select(
-        "id", "v", "bits", "own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part")
+        "row", "id", "v", "bits", "own", dim, F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("long").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part")
     )
+    # Own names: a cogroup of frames with common attributes loses columns.
     right = queries.select(
-        "id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(groups)).cast("int").alias("part")
+        F.col("row").alias("query_row"), F.col("id").alias("query_id"), F.col("v").alias("query"), dim, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.pmod(F.xxhash64(F.lit(1), F.col("row")), F.lit(groups)).cast("int").alias("part")
     )
 
     def matrix(table, name):
         column = table.column(name).combine_chunks()
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
     def meet(key, l: pa.Table, r: pa.Table) -> pa.Table:
         rows = []
         if l.num_rows and r.num_rows:
             bits = np.frombuffer(b"".join(l.column("bits").to_pylist()), "u8").reshape(l.num_rows, -1)
             rows = _best(
-                (r.column("id").to_numpy(), matrix(r, "v")),
-                (l.column("id").to_numpy(), matrix(l, "v"), bits, l.column("own").to_numpy()), dim, k, seed,
+                (r.column("query_row").to_numpy(), r.column("query_id").to_numpy(), matrix(r, "query")),
+                (l.column("row").to_numpy(), l.column("id").to_numpy(), matrix(l, "v"), bits, l.column("own").to_numpy()), key[0].as_py(), k, seed,
             )
         return pa.table({
-            "query_id": pa.array([x[0] for x in rows], pa.int64()), "vec_id": pa.array([x[1] for x in rows], pa.int64()), "score": pa.array([x[2] for x in rows], pa.float64()),
+            "query_row": pa.array([x[0] for x in rows], pa.int64()), "query_id": pa.array([x[1] for x in rows], pa.int64()),
+            "vec_id": pa.array([x[2] for x in rows], pa.int64()), "score": pa.array([x[3] for x in rows], pa.float64()),
         })
 
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = left.groupBy("dim", "block", "part").cogroup(right.groupBy("dim", "block", "part")).applyInArrow(meet, "query_row long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 

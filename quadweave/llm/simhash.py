@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from quadweave.llm.common import each_slice, give_back, slices, written
+from quadweave.llm.common import each_slice, give_back, numbered, slices, written
 from quadweave.operators.clusters import connected_components
 
 SHINGLE = 4
@@ -234,6 +234,8 @@ def drop_near_duplicates(docs: DataFrame, ident="doc_id", text="text", distance=
 
     Of rows that repeat that id within the class one stays. A class without any id keeps one row.
     """
+    columns = docs.columns
+    docs, ident, text = numbered(docs, ident, text)
     prints, names = _classes(docs, ident, text, distance)
     kept = written(
         # An id's rows in classes of other ids count as well: the id alone does not tell which of its rows stays.
@@ -255,4 +257,4 @@ def drop_near_duplicates(docs: DataFrame, ident="doc_id", text="text", distance=
             rare.join(names, "_near_fp").where(F.col(ident).eqNullSafe(F.col("_near_low")))
             .dropDuplicates(["_near_class"]).select(*docs.columns)
         )
-    return result
+    return result.toDF(*columns)

@@ -11,7 +11,7 @@ rows say nothing about them. Ids, labels, languages and sources are no input of
 
 Texts: null and empty texts match nothing and get the curve's lowest score for a text without words.
 Texts of any length are read whole. Repeated rows are scored each; a document labelled twice counts
-by the larger label. Without labelled rows of both kinds a fixed curve is used. Empty tables give
+by the larger label, of several rows with a labelled id the smallest text is learned from. Without labelled rows of both kinds a fixed curve is used. Empty tables give
 empty results.
 """
 
@@ -25,14 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quadweave.llm.common import batch_of, slices
+from quadweave.llm.common import batch_of, slices, written
 
 TRAIN_ROWS = 10_000
 THRESHOLD = 0.3
 MIN_TOXIC_TEXTS = 3
 MIN_EVIDENCE = 20.0
 MIN_WEIGHT = 1.0
-MAX_ENTRIES = 5_000
 STEMS = range(3, 9)
 SEED_WEIGHT = 4.0
 #: Fixed starting words; learned weights replace theirs.
@@ -133,19 +132,22 @@ def _fit_curve(rows: list[tuple[float, int, int]], steps=30, ridge=0.1) -> list[
 
 
 def training_rows(docs, labels, ident="doc_id", text="text", label="toxic", train_rows=TRAIN_ROWS) -> DataFrame:
-    """(text, toxic) of the labelled rows to learn from; at most ``train_rows``."""
+    """(text, toxic) of the labelled rows to learn from; at most ``train_rows``, one per id."""
     picked = (
         labels.where(F.col(label).isin(0, 1) & F.col(ident).isNotNull()).groupBy(F.col(ident).alias("_id")).agg(F.max(label).alias("_toxic"))
         .orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
     )
     # At most ``train_rows`` pairs of numbers.
     texts = docs.select(F.col(ident).alias("_id"), F.col(text).alias("text"))
-    return texts.join(F.broadcast(picked), "_id").select("text", F.col("_toxic").cast("int").alias("toxic"))
+    # However many rows an id has, one is learned from.
+    one = texts.join(F.broadcast(picked), "_id").groupBy("_id", "_toxic").agg(F.min("text").alias("text"))
+    return one.select("text", F.col("_toxic").cast("int").alias("toxic"))
 
 
 def learn(rows: DataFrame, exceptions=EXCEPTIONS) -> Lexicon:
     """A lexicon from (text, toxic). Counts are made by the tasks; the driver sees candidate entries."""
-    rows = rows.select("text", "toxic")
+    # Read three times below.
+    rows = written(rows.select("text", "toxic"), "training")
     schema = pa.schema([("entry", pa.string()), ("texts", pa.int64()), ("times", pa.int64()), ("words", pa.int64())])
 
     def count(candidates):
@@ -186,7 +188,7 @@ def learn(rows: DataFrame, exceptions=EXCEPTIONS) -> Lexicon:
     (texts_t, words_t), (texts_c, words_c) = figures(toxic), figures(clean)
     if not texts_t or not texts_c:
         return Lexicon({w: SEED_WEIGHT for w in seeds}, exceptions=exceptions)
-    weights, evidence = {}, {}
+    weights = {}
     for e in candidates:
         nt, ct = (toxic[e]["texts"], toxic[e]["times"]) if e in toxic else (0, 0)
         nc, cc = (clean[e]["texts"], clean[e]["times"]) if e in clean else (0, 0)
@@ -195,11 +197,10 @@ def learn(rows: DataFrame, exceptions=EXCEPTIONS) -> Lexicon:
         share = (nt + nc) / (texts_t + texts_c)
         g = 2 * (nt * np.log(nt / (share * texts_t)) + (nc * np.log(nc / (share * texts_c)) if nc else 0.0)) if nt else 0.0
         if e in seeds and nt + nc < MIN_TOXIC_TEXTS:
-            weights[e], evidence[e] = SEED_WEIGHT, np.inf
+            weights[e] = SEED_WEIGHT
         elif w >= MIN_WEIGHT and (e in seeds or nt >= MIN_TOXIC_TEXTS and g >= MIN_EVIDENCE):
-            weights[e], evidence[e] = w, g
-    top = sorted(weights, key=lambda e: (-evidence[e], e))[:MAX_ENTRIES]
-    lexicon = Lexicon({e: weights[e] for e in top}, exceptions=exceptions)
+            weights[e] = w
+    lexicon = Lexicon(weights, exceptions=exceptions)
     lexicon.curve = _fit_curve([(r["total"], r["words"], r["toxic"]) for r in _sums(rows, lexicon, "toxic").collect()])
     return lexicon
 

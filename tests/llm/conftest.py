@@ -1,5 +1,5 @@
 import pytest
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 DOCS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
@@ -15,8 +15,8 @@ def docs_of(spark):
         rows = [(r[0], r[1], None, r[2] if len(r) > 2 else "s", len(r[1]) if r[1] is not None else None) for r in rows]
         df = spark.createDataFrame(rows, DOCS).repartition(3)
         if extra:
-            for name in ("fp", "start", "ids", "_id", "rank", "component_id", "n_words", "text_", "kept", "size"):
-                df = df.selectExpr("*", f"'x' as `{name}`")
+            for name in ("fp", "start", "ids", "_id", "rank", "component_id", "n_words", "text_", "kept", "size", "_pseudonymised", "_spans", "_mix_key", "_mix_n", "_near_id", "_near_fp", "_near_low", "c0", "changed", "a.b", "x`y"):
+                df = df.withColumn(name, F.lit("x"))
         return df
 
     return make

@@ -39,20 +39,22 @@ def test_slot_plan_meets_its_target_by_counting():
 def test_shards_draw_all_slots_once():
     slots, size = np.array([1_000, 0, 37, 4_321]), 100
     shards = -(-int(slots.sum()) // size)
-    before = np.zeros(4, "i8")
+    drawn, first = Counter(), []
     for i in range(shards):
-        counts, start = mixture.shard_counts(slots, i, shards, size, 5)
-        assert start.tolist() == before.tolist()
-        assert counts.sum() == min(size, slots.sum() - i * size)
-        before += counts
-    assert before.tolist() == slots.tolist()
+        source, number = mixture.deal(slots, i, size, 5)
+        assert len(source) == min(size, slots.sum() - i * size)
+        drawn.update(zip(source.tolist(), number.tolist()))
+        first.append(int((source == 0).sum()))
+    assert drawn == Counter((s, k) for s, n in enumerate(slots) for k in range(n))
+    # Drawn without replacement: mean 18.7, standard deviation 3.9.
+    assert 14 < np.mean(first) < 24 and 2 < np.std(first[:-1]) < 6
 
 
-def test_large_draws_keep_their_total():
-    counts = np.array([3_000_000_000, 5, 2_000_000_000, 0])
-    left = mixture._hypergeometric(np.random.default_rng(1), counts, 2_500_000_001)
-    assert left.sum() == 2_500_000_001 and (left >= 0).all() and (left <= counts).all()
-    assert abs(left[0] / 1_500_000_000 - 1) < 0.001
+def test_draws_of_any_size():
+    slots = np.array([3_000_000_000_000, 5, 2_000_000_000_000, 0])
+    source, number = mixture.deal(slots, 1_000_000_000, 4_000, 1)
+    assert len(set(zip(source.tolist(), number.tolist()))) == 4_000 and (number >= 0).all() and (number < slots[source]).all()
+    assert abs((source == 0).mean() - 0.6) < 0.04
 
 
 def size_of(text):
@@ -89,6 +91,36 @@ def test_report(docs_of, hard_texts):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again)), "reruns agree"
 
 
+def test_slots_hold_the_mix(docs_of, hard_texts):
+    docs = docs_of(corpus(hard_texts))
+    got = mixture.mix_slots(docs, block_words=16, shard_slots=64).collect()
+    streams, totals = mixture._streams(docs, "doc_id", "text", "source", 16, mixture.SEED)
+    plan = mixture.source_plan(totals, None, 16, 3, mixture.SEED)
+    by_slot, by_place = defaultdict(list), Counter()
+    for r in got:
+        by_slot[r["shard"], r["slot"]].append(r)
+        by_place[r["source_index"], r["place"]] += r["end"] - r["first"]
+    slots = np.array([p["slots"] for p in plan])
+    numbers = Counter()
+    for shard in range(-(-int(slots.sum()) // 64)):
+        source, number = mixture.deal(slots, shard, 64, mixture.SEED)
+        for slot, (i, k) in enumerate(zip(source.tolist(), number.tolist())):
+            rows, p = sorted(by_slot.pop((shard, slot)), key=lambda r: r["place"]), plan[i]
+            block = int(mixture.permute(np.array([k % p["blocks"]]), p["blocks"], mixture._key(mixture._key(mixture.SEED, i), k // p["blocks"]))[0])
+            assert {(r["source_index"], r["block"], r["pass"]) for r in rows} == {(i, block, k // p["blocks"])}
+            at = rows[0]["place"] + rows[0]["first"]
+            assert at == 16 * block
+            for r in rows:
+                assert r["place"] + r["first"] == at, "words of a slot follow each other"
+                at = r["place"] + r["end"]
+            assert at - 16 * block == (p["last"] if k == p["slots"] - 1 else min(16, p["size"] - 16 * block))
+            numbers[i] += at - 16 * block
+    assert not by_slot
+    assert [numbers[i] for i in range(len(plan))] == [round(p["target"]) for p in plan]
+    taken = Counter(r["taken"] for r in mixture.mix_report(docs, block_words=16, shard_slots=64).collect() if r["taken"])
+    assert taken == Counter(by_place.values())
+
+
 def test_mixed_documents_hold_the_words_taken(docs_of, hard_texts):
     rows = [r for r in corpus(hard_texts) if r[0] is not None]
     docs = docs_of(rows)

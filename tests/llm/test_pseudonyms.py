@@ -120,3 +120,11 @@ def test_cards_at_any_end_are_undone():
         text = f"n {card} {rng.randint(10, 9999)} n"
         new, n = pseudonymise(text, P)
         assert n == 1 and pseudonymise(new, BACK) == (text, 1)
+
+
+def test_mail_names_beyond_ascii_stay_different():
+    names = ["é1@a.com", "è1@a.com", "x1@a.com", "ж1@a.com", "É1@a.com", "日1@a.com"]
+    change, back = Permuter(b"k"), Permuter(b"k", inverse=True)
+    images = [pseudonymise(f"to {n} now", change)[0] for n in names]
+    assert len(set(images)) == len(names)
+    assert all(pseudonymise(i, back)[0] == f"to {n} now" for i, n in zip(images, names))

@@ -87,3 +87,18 @@ def test_without_labels_known_words_decide(spark, docs_of):
     got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, none).collect()}
     assert got == {1: 1, 2: 0, 3: 0}
     assert toxicity.toxicity(docs.limit(0), none).count() == 0
+
+
+def test_an_id_on_many_rows_is_learned_from_once(spark, docs_of):
+    docs = docs_of([(1, f"text {i}") for i in range(500)] + [(2, None), (2, "b"), (3, None)])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, labels).collect()
+    assert sorted(map(tuple, got), key=str) == [("b", 0), ("text 0", 1), (None, 0)]
+
+
+def test_the_lexicon_has_no_bound_of_its_own(spark):
+    words = [f"{a}{b}{c}{d}zz" for a in "bcdfghjklm" for b in "aeiou" for c in "klmnpqrstv" for d in "abcdefghijkl"]
+    texts = [" ".join(words[i : i + 100]) for i in range(0, len(words), 100)]
+    rows = [(t, 1) for t in texts] * 40 + [("a quiet morning by the river " * 17, 0)] * (40 * len(texts))
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    assert len(words) == 6_000 and all(f" {w} " in lexicon.weights for w in words)
