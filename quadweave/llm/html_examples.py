@@ -49,3 +49,40 @@ PAGES = [
     f"""<body class="no-ads"><div class="has-comments related-topic">{_NAV}<article data-keep="1"><h1>Locks</h1><p>{_SHORT}</p><p>{_LONG}</p></article>
     <div class="comments" data-keep="0"><article><p>{_LONG}</p></article><article><p>{_SHORT}</p></article></div></div>{_FOOT}</body>""",
 ]
+
+# Pages in which no name or tag tells what is text: the same kinds of blocks around texts of other lengths. Short
+# lines without links and lists of links stand around the text; short paragraphs and single links stand inside it.
+_WORDS = (_LONG + " " + _MID).replace(",", "").split()
+
+
+def _run(n, at=0):
+    return " ".join((_WORDS * 4)[at % 40 : at % 40 + n])
+
+
+def _links(n, each=1):
+    return "".join(f'<li><a href="/{i}">{_run(each, 7 * i)}</a></li>' for i in range(n))
+
+
+def _text(lengths, at):
+    return "".join(f"<p>{_run(n, at + i)}</p>" for i, n in enumerate(lengths))
+
+
+_TEXTS = [(45, 4, 60), (38, 52, 7, 41), (70, 2, 33, 90), (25, 6, 30), (55, 3, 48, 1, 64), (31, 9, 47)]
+for _i, _lengths in enumerate(_TEXTS):
+    _whole = f"""<h1>{_run(2 + _i, _i)}</h1>{_text(_lengths, 5 * _i)}<p><a href="/s">{_run(3 + _i, _i)}</a></p>{_text((22 + 9 * _i, 3, 75 - 11 * _i), _i)}"""
+    PAGES += [
+        # A line of the site above a menu; a short line and links after the text.
+        f"""<body><div data-keep="0">{_run(2 + _i)}</div><ul data-keep="0">{_links(3 + _i, 1 + _i % 3)}</ul><div data-keep="1">{_whole}</div>
+        <div data-keep="0">{_run(1 + _i)}</div><ul data-keep="0">{_links(2 + _i)}</ul></body>""",
+        # A short line alone closes the page, or stands between lists of links.
+        f"""<body><ul data-keep="0">{_links(4 + _i, 2)}</ul><div data-keep="1">{_whole}</div><p data-keep="0">{_run(1 + _i)}</p></body>""",
+        f"""<body><div data-keep="1">{_whole}</div><ul data-keep="0">{_links(3, 1 + _i)}</ul><p data-keep="0">{_run(1 + _i)}</p><ul data-keep="0">{_links(2 + _i, 2)}</ul></body>""",
+        # The last paragraph is of the text when it is longer than such lines.
+        f"""<body><div data-keep="1">{_whole}<p>{_run(12 + 3 * _i)}</p></div></body>""",
+        f"""<body><ul data-keep="0">{_links(3)}</ul><div data-keep="1"><p>{_run(12 + 3 * _i)}</p>{_text((40, 12 + _i), 1)}</div><ul data-keep="0">{_links(3)}</ul></body>""",
+        # Pages that are nothing but text, however short.
+        f"""<body><p data-keep="1">{_run((1, 3, 8, 20, 40, 80)[_i])}</p></body>""",
+        f"""<body data-keep="1"><h1>{_run(1 + _i)}</h1>{_text((2 + _i, 1 + _i, 3), 1)}</body>""",
+        f"""<body data-keep="1"><h1>{_run(3 + _i)}</h1>{_text((50 + _i, 12 + _i), 1)}</body>""",
+        f"""<body data-keep="1"><table><tr><td>{_run(1 + _i % 3)}<td>{_run(1)}<tr><td>{_run(2)}<td>{_run(1 + _i % 2)}</table></body>""",
+    ]

@@ -1,12 +1,15 @@
 """Main text of web pages from flat text blocks.
 
 A page is cut into blocks at block-level tags. A block has its words and link density, those of the
-blocks before and after it, and marks of the elements around it. A decision tree, grown from a small
-table of labelled blocks (``html_examples``), says which blocks are text of the article.
+blocks before and after it, and marks of the elements around it. Blocks that the page itself marks are
+taken at its word: text of an article, main or so named element, or menu, footer, form, advert, comment.
+All others are told by a decision tree over words, link density, neighbours and headings, grown from a
+small table of labelled blocks (``html_examples``).
 
 Pages: null and empty html gives an empty text. Character references are decoded. White space
 inside a block becomes one space, blocks are joined in page order by one space; nothing is capped.
-Unclosed and stray tags are tolerated; a head, select or drawing without its end tag ends at the first
+Unclosed and stray tags are tolerated; paragraphs, list items, terms, rows and cells end where HTML ends
+them; a head, select or drawing without its end tag ends at the first
 tag that it cannot hold, a head also at the first text. Repeated rows are read each. Empty tables give empty results.
 """
 
@@ -42,10 +45,24 @@ _BOILER_NAMES = set(
     "comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations subscribe newsletter signup login "
     "search searchbox pagination pager tags tagcloud widget widgets skip toc copyright legal disclaimer feedback".split()
 )
-_STRONG_NAMES = set("ad ads advert advertisement sponsored comment comments commentlist disqus related recommended recommendations cookie cookies".split())
+# Fixed list: names of places for readers' comments, unless with a word that tells a page's state.
+_COMMENT_NAMES = set("comment comments commentlist disqus reply replies respond".split())
+_STATE_NAMES = set("has no open opened closed with without on off enabled disabled allowed count link links".split())
+_STRONG_NAMES = set("ad ads advert advertisement sponsored related recommended recommendations cookie cookies".split())
 _TITLE_NAMES = {"header", "banner", "head"}
 _TEXT_NAMES = set("article articlebody post entry content story main maintext".split())
 _NAME = re.compile(r"[a-z]+")
+# What ends an open paragraph, and what an open element of a list or table ends at: (tags that it ends, tags
+# beyond which it does not reach).
+_ENDS_P = set("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+_P_SCOPE = {"table", "td", "th", "caption", "button", "object", "template"}
+_LIST_SCOPE = {"ul", "ol", "menu", "dl", "table", "td", "th", "article", "section", "main", "aside", "nav", "header", "footer", "form", "blockquote", "button"}
+_ROW_SCOPE = {"table"}
+_CLOSES = {
+    "li": ({"li"}, _LIST_SCOPE), "dt": ({"dt", "dd"}, _LIST_SCOPE), "dd": ({"dt", "dd"}, _LIST_SCOPE), "option": ({"option"}, {"select", "optgroup"}),
+    "tr": ({"tr"}, _ROW_SCOPE), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}),
+    "thead": ({"thead", "tbody", "tfoot"}, _ROW_SCOPE), "tbody": ({"thead", "tbody", "tfoot"}, _ROW_SCOPE), "tfoot": ({"thead", "tbody", "tfoot"}, _ROW_SCOPE),
+}
 # Marks of boilerplate in rising order. An article resets all but the last.
 _LAYOUT, _FORM, _CLASS, _FIXED = 1, 2, 3, 4
 # How far inside the text: in an element named so, in a main element, in an article.
@@ -68,6 +85,16 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
+def _hidden(attrs):
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "")
+
+
+def _for_comments(names):
+    """Whether a class or id names a place for readers' comments."""
+    parts = (set(_NAME.findall(n)) for n in names)
+    return any(p & _COMMENT_NAMES and not p & _STATE_NAMES for p in parts)
+
+
 class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -76,7 +103,7 @@ class _Blocks(HTMLParser):
         self.links = 0
         self.linked = 0
         self.heading = False
-        self.found = False  # Text of an article or main element, titles aside.
+        self.found = False  # Text of an article, a main element or one named so, titles aside.
 
     def _state(self):
         return self.open[-1][1:] if self.open else (0, 0, 0, None)
@@ -86,7 +113,7 @@ class _Blocks(HTMLParser):
         if words:
             boiler, inside, _, label = self._state()
             self.blocks.append(Block(" ".join(words), len(words), self.linked, boiler > 0, inside > 0, self.heading, label))
-            self.found = self.found or inside >= _MAIN and not boiler and not self.heading
+            self.found = self.found or inside >= _NAMED and not boiler and not self.heading
         self.parts, self.linked = [], 0
 
     def _end_silent(self, tag):
@@ -113,33 +140,55 @@ class _Blocks(HTMLParser):
             return
         if tag == "a":
             self.links += 1
-        if tag in _INLINE and tag != "button":
+        attrs = dict(attrs)
+        if tag in _INLINE and tag != "button" and (tag in _VOID or not (self._marked(attrs) or self._opened(tag))):
             return
         self.flush()
+        if tag in _INLINE and tag != "button":
+            self.open.append((tag, *self._inherit(tag, attrs)))
+            return
         self.heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+        if tag in _ENDS_P:
+            self._close({"p"}, _P_SCOPE)
         if tag in _VOID:
             return
-        if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") or self.heading:
-            # Often left open; they hold no state beyond their attributes.
-            self._close_same(tag)
-        self.open.append((tag, *self._inherit(tag, dict(attrs))))
-
-    def _close_same(self, tag):
-        if self.open and self.open[-1][0] == tag:
+        if tag in _CLOSES:
+            self._close(*_CLOSES[tag])
+        if self.heading and self.open and self.open[-1][0] == tag:
             self.open.pop()
+        self.open.append((tag, *self._inherit(tag, attrs)))
+
+    def _close(self, tags, scope):
+        """End the innermost open element of ``tags``, if none of ``scope`` is between."""
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] in tags:
+                del self.open[i:]
+                return
+            if self.open[i][0] in scope:
+                return
+
+    def _opened(self, tag):
+        """Whether an element of that inline name carries a mark, so that its like must be counted."""
+        return any(o[0] == tag for o in self.open)
+
+    @staticmethod
+    def _marked(attrs):
+        """Whether an inline element is no text of its paragraph: an advert, a comment or hidden."""
+        given = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split()
+        return _hidden(attrs) or not _STRONG_NAMES.isdisjoint(given) or _for_comments(given)
 
     def _inherit(self, tag, attrs):
         """State inside an element.
 
         An article or main element resets the marks of layout names and forms around it, and of class
-        names as long as no text of an article was found: a page's wrapper, not a list of comments or
-        of related articles after the text. Marks set inside an article stay.
+        names as long as no text of an article was found: a page's wrapper, not a list of related articles
+        after the text. Marks set inside an article stay, and so do those of comments.
         """
         boiler, inside, silent, label = self._state()
         given = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
         names, whole = set(_NAME.findall(given)), set(given.split())
         role = _ROLES.get((attrs.get("role") or "").lower())
-        hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "")
+        hidden = _hidden(attrs) or tag != "body" and _for_comments(whole)
         strong = whole & _STRONG_NAMES
         if tag in _TEXT_TAGS or role is False:
             level = _MAIN if "main" in (tag, (attrs.get("role") or "").lower()) else _ARTICLE
@@ -173,10 +222,11 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "a":
             self.links = max(0, self.links - 1)
-        if tag in _INLINE and tag != "button":
+        inline = tag in _INLINE and tag != "button"
+        if inline and not self._opened(tag):
             return
         self.flush()
-        self.heading = False
+        self.heading = self.heading and inline
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
                 del self.open[i:]
@@ -202,7 +252,7 @@ def blocks_of(html) -> list[Block]:
     return parser.blocks
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "boiler", "inside", "heading")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "heading")
 
 
 def features(blocks: list[Block]) -> np.ndarray:
@@ -212,7 +262,7 @@ def features(blocks: list[Block]) -> np.ndarray:
         after = blocks[i + 1] if i + 1 < len(blocks) else None
         rows.append((
             b.words, b.density, before.words if before else 0, before.density if before else 0.0,
-            after.words if after else 0, after.density if after else 0.0, b.boiler, b.inside, b.heading,
+            after.words if after else 0, after.density if after else 0.0, b.heading,
         ))
     return np.array(rows, float).reshape(-1, len(FEATURES))
 
@@ -253,12 +303,12 @@ def keeps(tree, row) -> bool:
 
 
 def labelled_blocks(pages) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the blocks of pages whose elements carry ``data-keep``."""
+    """Features and labels of the unmarked blocks of pages whose elements carry ``data-keep``."""
     xs, ys = [], []
     for page in pages:
         blocks = blocks_of(page)
         for row, b in zip(features(blocks), blocks):
-            if b.label is not None:
+            if b.label is not None and not (b.boiler or b.inside):
                 xs.append(row)
                 ys.append(b.label)
     return np.array(xs), np.array(ys, float)
@@ -273,7 +323,7 @@ def default_tree():
 
 def main_text(html, tree) -> str:
     blocks = blocks_of(html)
-    return " ".join(b.text for b, row in zip(blocks, features(blocks)) if keeps(tree, row))
+    return " ".join(b.text for b, row in zip(blocks, features(blocks)) if not b.boiler and (b.inside or keeps(tree, row)))
 
 
 def extract_text(pages: DataFrame, ident="page_id", url="url", html="html", tree=None) -> DataFrame:

@@ -111,3 +111,40 @@ def test_a_form_around_a_page_without_article_tags():
 def test_several_articles_in_one_wrapper():
     articles = "".join(f"<article><p>Paragraph {n} is long enough to be text of an article.</p></article>" for n in ("one", "two"))
     assert text(f"<body><div class='page ads'>{articles}</div></body>") == "Paragraph one is long enough to be text of an article. Paragraph two is long enough to be text of an article."
+
+
+LONG = "The council met on Tuesday to hear about the new bridge and decided after a long debate that the work should start in spring, before the river rises again."
+MID = "Nobody in the room spoke against it, not even the two members who had done so last year."
+MENU = "<ul><li><a href=x>Home</a></li><li><a href=y>News</a></li><li><a href=z>Sport</a></li></ul>"
+READ = {
+    "a notice left open": (f'<body><p class="notice">We use things<div id="content"><p>{LONG}<p>{MID}<div>{LONG}</div></div></body>', f"{LONG} {MID} {LONG}"),
+    "an advert left open in the text": (f'<body><article><p>{LONG}<p class="ad">Buy flour<div>{MID}</div><p class="ad">Buy<ul><li>one<li>two</ul></article>', f"{LONG} {MID} one two"),
+    "a cell left open": (f'<article><table><tr><td class="ad">x<td>{MID}<tr><td>{LONG}</table></article>', f"{MID} {LONG}"),
+    "comments as articles": (f'<body>{MENU}<div id="content"><h1>T</h1><p>{LONG}</p></div><section id="comments"><article><p>I like {MID}</p></article><article>No.</article></section></body>', f"T {LONG}"),
+    "comments by a longer name": (f'<body><div class="post"><p>{LONG}</p></div><div class="user-comments"><article>{MID}</article></div></body>', LONG),
+    "a wrapper that has comments": (f'<body><div class="has-comments comments-open"><article><p>{LONG}</p></article></div></body>', LONG),
+    "an advert inside a line": (f'<article><p>In <span class="ad">Buy <span>now</span></span> the end.</p><p>{LONG}</p></article>', f"In the end. {LONG}"),
+    "neutral names": (f"<body>{MENU}<div><h1>A bridge</h1><p>{LONG}</p><p>Good.</p><p>{MID}</p></div><p>Share this</p>{MENU}</body>", f"A bridge {LONG} Good. {MID}"),
+    "a line at the end": (f"<body><div><p>{MID}</p><p>{LONG}</p></div><p>Share this</p></body>", f"{MID} {LONG}"),
+    "a link between paragraphs": (f"<body>{MENU}<div><p>{LONG}</p><p><a href=x>The plan of 1911</a></p><p>{LONG} {MID}</p></div></body>", f"{LONG} The plan of 1911 {LONG} {MID}"),
+    "little text": ("<h1>x</h1><p>Short one.</p><p>Short two.</p>", "x Short one. Short two."),
+}
+
+
+@pytest.mark.parametrize("name", READ)
+def test_pages_read(name):
+    html, text = READ[name]
+    assert main_text(html, default_tree()) == text
+
+
+def test_the_tree_asks_for_words_and_neighbours():
+    asked = set()
+
+    def walk(tree):
+        if not isinstance(tree, float):
+            asked.add(html_text.FEATURES[tree[0]])
+            walk(tree[2])
+            walk(tree[3])
+
+    walk(default_tree())
+    assert {"words", "density"} <= asked and asked & {"words_before", "words_after", "density_before", "density_after"}
