@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from quadweave.functions import dates as D, iri as I, text as T
 from quadweave.operators import clusters as C, closures, compare, links as L, ontology as X, patterns as Pt, profiles as Pr
-from quadweave.operators import search as Q, stats as A, updates as U
+from quadweave.operators import search as Q, stats as A, tabular, updates as U
 from quadweave.plans import matching as M
 from quadweave.plans.config import load_config
 from quadweave.plans.datasets import ONTOLOGY, P, quads_of, quads_sql
 from quadweave.plans.queries import (
-    EDGES, LABELS, LINKS_SQL, NAME, PART_CONFIG, SQ, TOKENS, _copy_links, _no_identical, _no_links, docs, onto, query, star,
+    EDGES, HIST, LABELS, LINKS_SQL, NAME, PART_CONFIG, SQ, TOKENS, _copy_links, _history, _no_identical, _no_links, docs, onto, query, star,
 )
 from quadweave.runtime import cut_lineage, shared_folder
 from quadweave.sources import tables as S
@@ -492,3 +492,80 @@ def merged_proposals(spark, d):
     ran = lk.where("source_b < 'src2'").select("source_a", "source_b").distinct()
     new = lk.where("source_b < 'src2'").withColumn("iri_a", F.lit("urn:new")).withColumn("id", I.link_id("source_a", "iri_a", "source_b", "iri_b"))
     return M.merge_proposals(lk, new, ran).select("source_a", "iri_a", "source_b", "iri_b", "status")
+
+
+# --- term search, examples, vocabularies, decisions of earlier runs ------------------------------
+
+
+TERM_WORDS = ("w AS (SELECT p_partkey, word, max(wt) AS wt FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, 3.0::DOUBLE AS wt FROM part "
+              "UNION ALL SELECT p_partkey, lower(p_type), 1.0::DOUBLE FROM part) GROUP BY ALL)")
+
+
+@query("WITH " + TERM_WORDS + ", qs AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS a, r_name FROM part JOIN region ON r_regionkey = p_size % 5), "
+       "qw AS (SELECT DISTINCT a || ' ' || r_name AS query_id, unnest(list_concat([a], string_split(lower(r_name), ' '))) AS word FROM qs), "
+       "cw AS (SELECT r_regionkey, unnest(string_split(lower(r_name), ' ')) AS word FROM region), "
+       "cs AS (SELECT query_id, r_regionkey, 3.0::DOUBLE * count(*) AS score FROM qw JOIN cw USING (word) GROUP BY ALL), "
+       "hit AS (SELECT query_id, p_partkey, sum(wt) AS score FROM qw JOIN w USING (word) GROUP BY ALL UNION ALL SELECT query_id, p_partkey, score * 0.9 FROM cs JOIN part ON p_size % 5 = r_regionkey) "
+       "SELECT query_id, 'urn:k:p' || p_partkey AS property, round(max(score), 6) AS score FROM hit GROUP BY ALL")
+def properties_for(spark, d):
+    """Properties named by a word of their label, or through their range class."""
+    region = read(spark, d, "region").select("r_regionkey", "r_name")
+    asked = read(spark, d, "part").select(F.substring_index("p_name", " ", 1).alias("a"), (F.col("p_size") % 5).alias("r_regionkey")).distinct().join(F.broadcast(region), "r_regionkey")
+    text = F.concat_ws(" ", "a", "r_name")
+    q, o = asked.select(text.alias("query_id"), text.alias("text")).distinct(), onto(spark, d)
+    return Q.properties_for(Q.term_index(o), o, q).select("query_id", "property", F.round("score", 6).alias("score"))
+
+
+@query(HIST + ", b AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM sm QUALIFY r <= 3), "
+       "f AS (SELECT qs.query_id, n.id, n.ts FROM qs, (SELECT id, ts FROM h ORDER BY ts DESC, id LIMIT 6) n WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.query_id = qs.query_id AND b.id = n.id)) "
+       "SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY late, r, ts DESC, id) AS rank "
+       "FROM (SELECT query_id, id, 0 AS late, r, 0 AS ts FROM b UNION ALL SELECT query_id, id, 1, 0, ts FROM f) QUALIFY rank <= 3")
+def question_examples(spark, d):
+    """Three examples a question: the most similar past ones, then the most recent."""
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return Q.examples(_history(spark, d), q, 3)
+
+
+@query(f"SELECT '{RICO}Type' AS type UNION SELECT 'http://www.w3.org/2004/02/skos/core#Concept' UNION SELECT 'urn:t:extra' UNION SELECT 'urn:k:r' || r_regionkey FROM region WHERE r_regionkey % 2 = 1 "
+       "UNION SELECT 'urn:k:n' || n_nationkey FROM nation WHERE n_regionkey % 2 = 1 UNION SELECT 'urn:k:c' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey % 2 = 1")
+def vocabulary_types(spark, d):
+    """Types below the schema's type of types: two of the regions with all that is below them."""
+    edges = X.extract_hierarchy(onto(spark, d))
+    odd = F.col("sub").rlike("^urn:k:r[0-9]*[13579]$")
+    edges = edges.withColumn("super", F.when(odd, RICO + "Type").otherwise(F.col("super")))
+    return A.vocabulary_types(edges, ["urn:t:extra"]).select("type")
+
+
+DECIDED = "CASE o_orderkey % 40 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'manual' WHEN 2 THEN 'rejected' ELSE 'open' END"
+
+
+@query("WITH x AS (SELECT 'c' || o_custkey AS entity, CASE WHEN o_orderkey % 3 <> 0 THEN 's' || (o_orderkey % 97) END AS matched_with, " + DECIDED + " AS status FROM orders), "
+       "done AS (SELECT * FROM x WHERE status IN ('confirmed', 'manual')) "
+       "SELECT 'a' AS side, 'c' || c_custkey AS entity, NULL AS other FROM customer WHERE 'c' || c_custkey NOT IN (SELECT entity FROM done) "
+       "UNION ALL SELECT 'b', 's' || s_suppkey, NULL FROM supplier WHERE 's' || s_suppkey NOT IN (SELECT matched_with FROM done WHERE matched_with IS NOT NULL) "
+       "UNION ALL SELECT DISTINCT 'rejected', entity, matched_with FROM x WHERE status = 'rejected' AND matched_with IS NOT NULL")
+def prior_decisions(spark, d):
+    """Entities that earlier decisions leave to match on both sides, and the pairs that they rule out."""
+    a = read(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("entity"))
+    b = read(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("entity"))
+    decisions = read(spark, d, "orders").select(
+        F.concat(F.lit("c"), "o_custkey").alias("entity"), F.expr("CASE WHEN o_orderkey % 3 <> 0 THEN concat('s', o_orderkey % 97) END").alias("matched_with"), F.expr(DECIDED).alias("status"))
+    left, right, rejected = tabular.apply_prior_decisions(a, b, decisions)
+    none = F.lit(None).cast("string").alias("other")
+    return left.select(F.lit("a").alias("side"), "entity", none).unionByName(right.select(F.lit("b").alias("side"), "entity", none)).unionByName(
+        rejected.select(F.lit("rejected").alias("side"), "entity", F.col("matched_with").alias("other")))
+
+
+@query("WITH " + LINKS_SQL + ", held AS (SELECT c FROM n WHERE source = (SELECT min(source) FROM documents)), "
+       "x AS (SELECT d.source, 'urn:d:' || doc_id AS iri, CASE WHEN doc_id % 7 = 0 THEN 'untyped' WHEN lang = 'de' THEN 'not_in_any_group' "
+       "WHEN EXISTS (SELECT 1 FROM n JOIN held USING (c) WHERE n.source = d.source AND n.iri = 'urn:d:' || doc_id) THEN 'already_matched' ELSE 'eligible' END AS reason FROM documents d) "
+       "SELECT source, iri, reason, 1 AS entities FROM x WHERE reason = 'eligible' UNION ALL SELECT source, NULL, reason, count(*) FROM x GROUP BY ALL")
+def eligible_entities(spark, d):
+    """Documents that a run against the first source considers, and how many are left out for what reason."""
+    t = read(spark, d, "documents")
+    e = t.select("source", F.concat(F.lit("urn:d:"), "doc_id").alias("iri"), (F.col("doc_id") % 7 == 0).alias("untyped"),
+                 F.when(F.coalesce(F.col("lang") == "de", F.lit(False)), F.array().cast("array<string>")).otherwise(F.array(F.lit("texts"))).alias("groups"))
+    clusters = C.build_clusters(_copy_links(spark, d), _no_identical(spark))
+    eligible, counts = L.eligible_entities(e, clusters, t.agg(F.min("source")).first()[0])
+    return eligible.select("source", "iri", F.lit("eligible").alias("reason"), F.lit(1).cast("long").alias("entities")).unionByName(
+        counts.select("source", F.lit(None).cast("string").alias("iri"), "reason", "entities"))
