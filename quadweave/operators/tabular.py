@@ -4,11 +4,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from quadweave.functions.dates import interval, interval_overlaps
 from quadweave.functions.lcs import indel_ratio_lists
-from quadweave.runtime import broadcast_if_small, skew_safe_join
+from quadweave.operators.similarity import equal_values, overlapping_dates, similar_strings
+from quadweave.runtime import cut_lineage, skew_safe_join
 from quadweave.vocab import RDF_TYPE
 
 TYPE_PROPERTIES = ("rdf:type", RDF_TYPE)
 RESOLVED = ("confirmed", "manual")
+# Level of a property, of 100, from which its values alone tell pairs apart well.
+USEFUL_LEVEL = 70.0
 
 
 def pivot_multivalue(df, properties=None) -> DataFrame:
@@ -47,27 +50,106 @@ def _groups(df, groups, side):
     return n.select("entity").join(first, "entity", "left").select(F.col("entity").alias(f"entity_{side}"), F.col("g").alias(f"g_{side}"), F.lit(True).alias(f"typed_{side}"))
 
 
+def _near_groups(spark, groups):
+    """(g_a, g_b, near): configured groups with a common type, every two of them looked at once."""
+    common = [(i, j) for i, x in enumerate(groups) for j, y in enumerate(groups) if set(x) & set(y)]
+    return F.broadcast(spark.createDataFrame(common, "g_a int, g_b int").withColumn("near", F.lit(True)))
+
+
+def _may_meet():
+    return F.col("typed_a").isNull() | F.col("typed_b").isNull() | F.col("near")
+
+
+def _comparable(cells, side, groups, table):
+    """(entity, sig, slot, v, t, start, end): comparable values; a slot is a kind and a property.
+
+    ``cells``: (entity, property, kind, values). ``sig`` is shared by entities with the same slots and
+    the same configured group: whatever decides, apart from values, with whom they are compared.
+    """
+    each = cells.select("entity", F.concat("kind", F.lit(":"), "property").alias("slot"), "kind", F.explode("values").alias("raw"))
+    x, d = F.col("raw").try_cast("double"), F.col("d")
+    each = each.withColumn("d", F.when(F.col("kind") == "date", _strict_date(F.col("raw"))))
+    t = F.when(F.col("kind") == "string", F.lower("raw"))
+    v = (F.when(F.col("kind") == "string", F.sha2(t, 256)).when(F.col("kind") == "number", (x + F.lit(0.0)).cast("string"))
+         .otherwise(F.concat_ws("/", d["start"].cast("string"), d["end"].cast("string"))))
+    known = F.when(F.col("kind") == "number", x.isNotNull()).when(F.col("kind") == "date", d["start"].isNotNull()).otherwise(True)
+    each = cut_lineage(each.where(known).select("entity", "slot", v.alias("v"), t.alias("t"), d["start"].alias("start"), d["end"].alias("end")).distinct())
+    inside = _groups(table, groups, side).withColumnRenamed(f"entity_{side}", "entity")
+    own = each.groupBy("entity").agg(F.array_sort(F.collect_set("slot")).alias("slots")).join(inside, "entity", "left")
+    sig = F.sha2(F.to_json(F.struct("slots", f"g_{side}", f"typed_{side}"), {"ignoreNullFields": "false"}), 256)
+    own = cut_lineage(own.withColumn("sig", sig))
+    kinds = own.select(F.col("sig").alias(f"sig_{side}"), f"g_{side}", f"typed_{side}", "slots").distinct()
+    return cut_lineage(each.join(own.select("entity", "sig"), "entity")), kinds
+
+
+def _wanted_levels(kinds_a, kinds_b, held, groups, threshold):
+    """(sig_a, sig_b, slot, level): slots through which entities of two signatures have to meet.
+
+    k compared slots with a mean of ``threshold`` miss k (100 - threshold) in all, hence the best of
+    any m of them reaches 100 - k (100 - threshold) / m. The m most selective slots are taken, as few
+    as keep that level useful; all k of them give the threshold itself.
+    """
+    repeats = held.groupBy("slot").agg((F.count(F.lit(1)) / F.count_distinct("v")).alias("repeats"))
+    a, b = (k.withColumn("slot", F.explode("slots")).drop("slots") for k in (kinds_a, kinds_b))
+    own = ["sig_a", "g_a", "typed_a", "sig_b", "g_b", "typed_b"]
+    both = skew_safe_join(a, b, ["slot"], ["sig_a"], ["sig_b"]).join(repeats, "slot")
+    both = both.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("repeats", "slot"))).alias("shared"))
+    both = both.join(_near_groups(held.sparkSession, groups), ["g_a", "g_b"], "left").where(_may_meet())
+    missing = F.size("shared") * F.lit(100.0 - threshold)
+    m = F.least(F.size("shared"), F.greatest(F.lit(1), F.ceil(missing / (100.0 - min(threshold, USEFUL_LEVEL)) - 1e-9).cast("int")))
+    return both.select("sig_a", "sig_b", F.explode(F.transform(F.slice("shared", 1, m), lambda x: x["slot"])).alias("slot"), (100.0 - missing / m - 1e-6).alias("level"))
+
+
+def _candidates(left, other, a, b, groups, threshold):
+    """(entity_a, entity_b): every pair that may reach ``threshold``, which is above 0, and few others."""
+    held_a, kinds_a = _comparable(left.withColumnRenamed("va", "values"), "a", groups, a)
+    forms = F.explode(F.array(F.lit("string"), F.lit("number"), F.lit("date")))
+    held_b, kinds_b = _comparable(other.select("entity", "property", forms.alias("kind"), F.col("vb").alias("values")), "b", groups, b)
+    wanted = cut_lineage(_wanted_levels(kinds_a, kinds_b, held_b, groups, threshold))
+    levels = cut_lineage(wanted.groupBy("slot").agg(F.min("level").alias("level")))
+
+    def of_kind(held, kind, *cols):
+        return held.where(F.col("slot").startswith(kind + ":")).join(levels.select("slot"), "slot", "left_semi").select("slot", "v", *cols).distinct()
+
+    close = similar_strings(of_kind(held_a, "string", "t"), of_kind(held_b, "string", "t"), levels)
+    close = close.unionByName(overlapping_dates(of_kind(held_a, "date", "start", "end"), of_kind(held_b, "date", "start", "end")))
+    close = close.unionByName(equal_values(of_kind(held_a, "number"), of_kind(held_b, "number")))
+    a_side, b_side = (h.select("slot", F.col("v").alias(f"v_{s}"), F.col("sig").alias(f"sig_{s}"), F.col("entity").alias(f"entity_{s}"))
+                      for h, s in ((held_a, "a"), (held_b, "b")))
+    # Values meet per signature first: entities are listed only where their signatures ask for it.
+    met = close.join(a_side.drop("entity_a").distinct(), ["slot", "v_a"]).join(b_side.drop("entity_b").distinct(), ["slot", "v_b"])
+    met = cut_lineage(met.join(wanted, ["sig_a", "sig_b", "slot"]).where("best >= level").drop("best", "level"))
+    met = skew_safe_join(met, a_side, ["slot", "v_a", "sig_a"], ["v_b", "sig_b"], ["entity_a"])
+    met = skew_safe_join(met, b_side, ["slot", "v_b", "sig_b"], ["entity_a"], ["entity_b"])
+    return met.select("entity_a", "entity_b").distinct()
+
+
 def match_tables(a, b, groups, threshold=75, rejected=None) -> DataFrame:
     """(source_entity, target_entity, score): pairs scoring at least ``threshold`` of 100.
 
     Each property of the first table counts the same: strings by rounded indel ratio of lower-case
     text, numbers by equality, dates 100 for one day, 85 for an overlap. Typed entities must belong
     to groups with a common type; untyped ones are compared with all. Pairs are formed through
-    common properties (a pair without any has nothing to compare).
+    values similar enough for the threshold, and compared in all common properties then; at a
+    threshold of 0 or less every pair with a common property qualifies and is formed. Rows without
+    entity or property, and properties without a value that can be compared, count nowhere.
     """
-    keep = ~F.col("property").isin(*TYPE_PROPERTIES)
+    keep = ~F.col("property").isin(*TYPE_PROPERTIES) & F.col("entity").isNotNull()
     kinds = a.where(keep).groupBy("entity", "property").agg(F.min("typevalue").alias("kind"), F.array_sort(F.collect_set("value")).alias("va"))
-    other = b.where(keep).groupBy("entity", "property").agg(F.array_sort(F.collect_set("value")).alias("vb"))
-    left = kinds.where(F.col("kind").isin("string", "date", "number")).withColumnRenamed("entity", "entity_a")
-    met = skew_safe_join(left, other.withColumnRenamed("entity", "entity_b"), ["property"], ["entity_a"], ["entity_b"])
-    # Overlap of the groups' type lists, for every two configured groups.
-    spark = a.sparkSession
-    common = [(i, j) for i, x in enumerate(groups) for j, y in enumerate(groups) if set(x) & set(y)]
-    near = F.broadcast(spark.createDataFrame(common, "g_a int, g_b int").withColumn("near", F.lit(True)))
-    met = met.join(broadcast_if_small(_groups(a, groups, "a")), "entity_a", "left").join(broadcast_if_small(_groups(b, groups, "b")), "entity_b", "left")
-    met = met.join(near, ["g_a", "g_b"], "left").where(F.col("typed_a").isNull() | F.col("typed_b").isNull() | F.col("near"))
-    if rejected is not None:
-        met = met.join(broadcast_if_small(rejected.select(F.col("entity").alias("entity_a"), F.col("matched_with").alias("entity_b"))), ["entity_a", "entity_b"], "left_anti")
+    left = cut_lineage(kinds.where(F.col("kind").isin("string", "date", "number")))
+    other = cut_lineage(b.where(keep).groupBy("entity", "property").agg(F.array_sort(F.collect_set("value")).alias("vb")))
+    own, theirs = left.withColumnRenamed("entity", "entity_a"), other.withColumnRenamed("entity", "entity_b")
+    if threshold > 0:
+        pairs = _candidates(left, other, a, b, groups, threshold)
+        if rejected is not None:
+            pairs = pairs.join(rejected.select(F.col("entity").alias("entity_a"), F.col("matched_with").alias("entity_b")), ["entity_a", "entity_b"], "left_anti")
+        met = cut_lineage(pairs).join(own, "entity_a").join(theirs, ["entity_b", "property"])
+    else:
+        met = skew_safe_join(own, theirs, ["property"], ["entity_a"], ["entity_b"])
+        met = met.join(_groups(a, groups, "a"), "entity_a", "left").join(_groups(b, groups, "b"), "entity_b", "left")
+        met = met.join(_near_groups(a.sparkSession, groups), ["g_a", "g_b"], "left").where(_may_meet())
+        if rejected is not None:
+            met = met.join(rejected.select(F.col("entity").alias("entity_a"), F.col("matched_with").alias("entity_b")), ["entity_a", "entity_b"], "left_anti")
     combos = F.flatten(F.transform("va", lambda x: F.transform("vb", lambda y: F.struct(x.alias("x"), y.alias("y")))))
     met = met.withColumn("z", combos)
     text = F.col("kind") == "string"
