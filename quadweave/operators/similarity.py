@@ -33,14 +33,18 @@ def _least_common(n, r):
 
 
 def _grams(texts) -> DataFrame:
-    """(slot, v, n, r, gram): every gram of each text, its repeats numbered."""
+    """(id, n, r, gram): every gram of each text, its repeats numbered, as a hash with its slot.
+
+    Two grams under one hash only bring texts together that have no need to.
+    """
     letters = F.split("t", "")
     ends = F.concat(F.array(F.lit(START)), F.when(F.col("n") > 0, letters).otherwise(F.array().cast("array<string>")), F.array(F.lit(END)))
     pairs = F.transform(F.sequence(F.lit(1), F.col("n") + 1), lambda i: F.concat(F.element_at("e", i), F.element_at("e", i + 1)))
     single = F.when(F.col("n") > 0, letters).otherwise(F.array(F.lit("")))
-    each = texts.withColumn("e", ends).select("slot", "v", "n", "r", F.explode(F.when(F.col("r") >= PAIRS_FROM, pairs).otherwise(single)).alias("g"))
-    held = each.groupBy("slot", "v", "n", "r", "g").agg(F.count(F.lit(1)).cast("int").alias("c"))
-    return held.select("slot", "v", "n", "r", F.explode(F.transform(F.sequence(F.lit(1), F.col("c")), lambda i: F.struct("g", i.alias("i")))).alias("gram"))
+    each = texts.withColumn("e", ends).select("slot", "id", "n", "r", F.explode(F.when(F.col("r") >= PAIRS_FROM, pairs).otherwise(single)).alias("g"))
+    held = each.groupBy("slot", "id", "n", "r", "g").agg(F.count(F.lit(1)).cast("int").alias("c"))
+    numbered = F.explode(F.transform(F.sequence(F.lit(1), F.col("c")), lambda i: F.xxhash64("slot", "g", i)))
+    return held.select("id", "n", "r", numbered.alias("gram"))
 
 
 def similar_strings(left, right, levels) -> DataFrame:
@@ -51,24 +55,27 @@ def similar_strings(left, right, levels) -> DataFrame:
     as leave out fewer than it must share; grams held by many texts are compared in a grid of tasks.
     """
     level = levels.select("slot", _least_ratio(F.col("level")).alias("r"))
-    left, right = (cut_lineage(t.join(level, "slot").select("slot", "v", "t", F.char_length("t").alias("n"), "r")) for t in (left, right))
+    # Numbered as they are written: the numbers stay what they are, whatever reads them.
+    left, right = (cut_lineage(t.join(level, "slot").select(F.monotonically_increasing_id().alias("id"), "slot", "v", "t", F.char_length("t").alias("n"), "r"))
+                   for t in (left, right))
     grams = [cut_lineage(_grams(t)) for t in (left, right)]
-    often = grams[0].select("slot", "gram").unionByName(grams[1].select("slot", "gram")).groupBy("slot", "gram").agg(F.count(F.lit(1)).alias("often"))
-    rare = Window.partitionBy("slot", "v").orderBy("often", "gram")
+    often = grams[0].select("gram").unionByName(grams[1].select("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    rare = Window.partitionBy("id").orderBy("often", "gram")
     total = F.when(F.col("r") >= PAIRS_FROM, F.col("n") + 1).otherwise(F.greatest("n", F.lit(1)))
 
     def under(held, side):
-        ranked = held.join(often, ["slot", "gram"]).withColumn("place", F.row_number().over(rare))
+        ranked = held.join(often, "gram").withColumn("place", F.row_number().over(rare))
         first = ranked.where(F.col("place") <= total - _least_common(F.col("n"), F.col("r")) + 1)
-        return first.select("slot", "gram", F.col("v").alias(f"v_{side}"), F.col("n").alias(f"n_{side}"), *(["r"] if side == "a" else []))
+        return first.select("gram", F.col("id").alias(f"id_{side}"), F.col("n").alias(f"n_{side}"), *(["r"] if side == "a" else []))
 
-    met = skew_safe_join(under(grams[0], "a"), under(grams[1], "b"), ["slot", "gram"], ["v_a"], ["v_b"])
+    met = skew_safe_join(under(grams[0], "a"), under(grams[1], "b"), ["gram"], ["id_a"], ["id_b"])
     near = 2 * F.least("n_a", "n_b") >= F.col("r") * (F.col("n_a") + F.col("n_b")) - 1e-9
-    met = met.where(near).select("slot", "v_a", "v_b", "r").distinct()
-    for side, texts in (("a", left), ("b", right)):
-        met = met.join(texts.select("slot", F.col("v").alias(f"v_{side}"), F.col("t").alias(f"t_{side}")), ["slot", f"v_{side}"])
+    met = met.where(near).select("id_a", "id_b").distinct()
+    met = met.join(left.select(F.col("id").alias("id_a"), "slot", "r", F.col("v").alias("v_a"), F.col("t").alias("t_a")), "id_a")
+    met = met.join(right.select(F.col("id").alias("id_b"), F.col("slot").alias("slot_b"), F.col("v").alias("v_b"), F.col("t").alias("t_b")), "id_b")
     best = F.round(indel_ratio(F.col("t_a"), F.col("t_b")) * 100).cast("double")
-    return met.select("slot", "v_a", "v_b", "r", best.alias("best")).where(F.col("best") >= F.col("r") * 100).select("slot", "v_a", "v_b", "best")
+    scored = met.where("slot = slot_b").select("slot", "v_a", "v_b", "r", best.alias("best"))
+    return scored.where(F.col("best") >= F.col("r") * 100).select("slot", "v_a", "v_b", "best")
 
 
 def overlapping_dates(left, right) -> DataFrame:

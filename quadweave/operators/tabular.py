@@ -106,7 +106,7 @@ def _candidates(left, other, a, b, groups, threshold):
     forms = F.explode(F.array(F.lit("string"), F.lit("number"), F.lit("date")))
     held_b, kinds_b = _comparable(other.select("entity", "property", forms.alias("kind"), F.col("vb").alias("values")), "b", groups, b)
     wanted = cut_lineage(_wanted_levels(kinds_a, kinds_b, held_b, groups, threshold))
-    levels = cut_lineage(wanted.groupBy("slot").agg(F.min("level").alias("level")))
+    levels = wanted.groupBy("slot").agg(F.min("level").alias("level"))
 
     def of_kind(held, kind, *cols):
         return held.where(F.col("slot").startswith(kind + ":")).join(levels.select("slot"), "slot", "left_semi").select("slot", "v", *cols).distinct()

@@ -11,7 +11,7 @@ from quadweave.plans import matching as M
 from quadweave.plans.config import load_config
 from quadweave.plans.datasets import ONTOLOGY, P, quads_of, quads_sql
 from quadweave.plans.queries import (
-    EDGES, HIST, LABELS, LINKS_SQL, NAME, PART_CONFIG, SQ, TOKENS, _copy_links, _history, _no_identical, _no_links, docs, onto, query, star,
+    EDGES, HIST, LABELS, LINKS_SQL, NAME, ORACLES, PART_CONFIG, SQ, TOKENS, _copy_links, _history, _no_identical, _no_links, docs, onto, query, star,
 )
 from quadweave.runtime import cut_lineage, shared_folder
 from quadweave.sources import tables as S
@@ -107,6 +107,12 @@ def date_scores(spark, d):
 LCS = ("list_reduce(list_prepend([0 for _ in range(len({b}) + 1)], list_transform(string_split({a}, ''), lambda x: [ascii(x)])), lambda row, x: "
        "list_transform(list_reduce(list_prepend([0, 0], list_transform(range(1, len({b}) + 1), lambda j: [j, x[1]])), lambda acc, t: "
        "list_append(acc, CASE WHEN ascii({b}[t[1]]) = t[2] THEN row[t[1]] + 1 ELSE greatest(row[t[1] + 1], acc[len(acc)]) END))[2:], lambda v: v))[len({b}) + 1]")
+# Names at a rounded ratio of 100, nations by equality, both counting the same.
+ORACLES["match_tables"] = (
+    "WITH s AS (SELECT 's' || s_suppkey AS e, lower(s_name) AS n, s_nationkey AS k FROM supplier), d AS (SELECT DISTINCT n FROM s), "
+    "m AS (SELECT a.n AS x, b.n AS y, len(a.n) + len(b.n) AS t, " + LCS.format(a="a.n", b="b.n") + " AS c FROM d a, d b), "
+    "r AS (SELECT p.e AS source_entity, q.e AS target_entity, (round((1.0::DOUBLE - (t - 2 * c)::DOUBLE / t) * 100) + CASE WHEN p.k = q.k THEN 100.0 ELSE 0.0 END)::DOUBLE / 2 AS score "
+    "FROM s p JOIN m ON p.n = x JOIN s q ON q.n = y) SELECT * FROM r WHERE score >= 95")
 SORTED = "array_to_string(list_sort(" + TOKENS + "), ' ')"
 PLAIN = "array_to_string(" + TOKENS + ", ' ')"
 

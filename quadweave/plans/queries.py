@@ -383,7 +383,7 @@ def shared_values(spark, d):
 
 @query()
 def match_tables(spark, d):
-    """Nation and region names as long tables, matched with equal weights."""
+    """Suppliers as a long table matched with itself: names and nations with equal weights; the SQL twin stands with the letters."""
     n = spark.read.parquet(f"{d}/supplier.parquet").selectExpr("concat('s', s_suppkey) as entity", "stack(2, 'name', s_name, 'nation', cast(s_nationkey as string)) as (property, value)").withColumn(
         "typevalue", F.when(F.col("property") == "name", "string").otherwise("number"))
     return tabular.match_tables(n, n, [["urn:t:Supplier"]], 95)

@@ -117,7 +117,7 @@ def random_table(rng, mark, n):
     return rows + rows[:3]
 
 
-@pytest.mark.parametrize("threshold", [30, 60, 75, 92.5, 100])
+@pytest.mark.parametrize("threshold", [60, 92.5])
 def test_equal_to_every_pair_compared(spark, threshold):
     rng = random.Random(int(threshold))
     a, b = random_table(rng, "a", 40), random_table(rng, "b", 40)
@@ -139,7 +139,7 @@ def test_empty_tables_and_all_pairs(spark):
     assert tabular.match_tables(a, other, [["T"]], 1).count() == 0
 
 
-@pytest.mark.parametrize("level", [0.2, 25, 68, 69, 80, 97, 100])
+@pytest.mark.parametrize("level", [0.2, 69, 97])
 def test_no_similar_string_is_lost(spark, level):
     rng = random.Random(int(level))
     texts = {"".join(rng.choice("ab") for _ in range(rng.choice([0, 1, 2, 5, 9, 30]))) for _ in range(40)}
