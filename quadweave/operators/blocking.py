@@ -95,64 +95,63 @@ def group_sizes(classes, cfg) -> DataFrame:
 
 
 def _sided(classes, side):
-    keep = ["class_id", "source", "groups", "primary", "untyped", "sources_in_cluster", "cluster", "concepts", "n", "rep"]
-    return classes.select(*[F.col(c).alias(f"{c}_{side}") for c in keep])
+    """Classes with every column of theirs under the side's suffix; ``rank`` and ``key`` keep their names."""
+    name = lambda c: c if c in ("rank", "key") else f"class_{side}" if c == "class_id" else f"{c}_{side}"
+    return classes.select(*[F.col(c).alias(name(c)) for c in classes.columns])
 
 
-def class_pairs(classes, keys, modes, cfg) -> DataFrame:
-    """Candidate class pairs (class_a, class_b, rank), source_a < source_b, before exclusions.
+def _source_pairs(modes, cond):
+    """(source_a, source_b, rank) of the modes that meet ``cond``, as a table that is broadcast if small."""
+    return broadcast_if_small(cut_lineage(modes.where(cond).select("source_a", "source_b", "rank")))
 
-    ``classes`` carry groups as ranks, ``keys`` is (class_id, source, rank, key), ``modes`` is the
-    result of :func:`group_sizes` with ``blocked``.
-    """
-    member = classes.where(F.size("groups") > 0).select("class_id", "source", F.explode("groups").alias("rank"))
-    a = lambda df: df.withColumnRenamed("class_id", "class_a").withColumnRenamed("source", "source_a")
-    b = lambda df: df.withColumnRenamed("class_id", "class_b").withColumnRenamed("source", "source_b")
-    cols = ["class_a", "source_a", "class_b", "source_b", "rank"]
 
+def _keys_in(keys, rank):
+    return F.filter(keys, lambda k: k["rank"] == rank)
+
+
+def class_pairs(classes, modes, cfg) -> DataFrame:
+    """Candidate class pairs, source_a < source_b, before exclusions: ``rank`` and both classes' columns.
+
+    ``classes`` carry groups as ranks, ``keys`` as (rank, key) and whatever their pairs are examined
+    and scored by; ``modes`` is the result of :func:`group_sizes` with ``blocked``. A class moves once
+    per key and cell of the grid; its pairs are formed there and may be scored in the same task.
+    """
+    a, b = (lambda df: _sided(df, "a")), (lambda df: _sided(df, "b"))
+    rank, has_group = F.col("rank"), F.size("groups") > 0
+    member = classes.where(has_group).withColumn("rank", F.explode("groups"))
+    cols = ["rank", *a(classes).columns, *b(classes).columns]
     parts = []
     # 1. Groups to be compared whole, or without blocking concepts: every pair of the group.
-    whole = modes.where("not blocked").select("source_a", "source_b", "rank")
-    if _any(whole):
-        left = a(member).join(broadcast_if_small(whole), ["source_a", "rank"])
+    if _any(modes.where("not blocked")):
+        left = a(member).join(_source_pairs(modes, "not blocked"), ["source_a", "rank"])
         parts.append(skew_safe_join(left, b(member), ["source_b", "rank"], ["class_a"], ["class_b"]).select(*cols))
 
-    # 2. Groups with keys: pairs sharing one.
-    cut = modes.where("blocked").select("source_a", "source_b", "rank")
-    if _any(cut):
-        cut = broadcast_if_small(cut)
-        blocked_sources = modes.where("blocked").select(F.explode(F.array("source_a", "source_b")).alias("source"), "rank").distinct()
-        blocked_keys = keys.join(broadcast_if_small(blocked_sources), ["source", "rank"], "left_semi")
-        parts.append(
-            skew_safe_join(a(blocked_keys), b(blocked_keys), ["rank", "key"], ["class_a"], ["class_b"])
-            .where("source_a < source_b")
-            .select(*cols)
-            .join(cut, ["source_a", "source_b", "rank"], "left_semi")
-            .distinct()
-        )
+    # 2. Groups with keys: pairs sharing one, each formed under the first key that both hold.
+    if _any(modes.where("blocked")):
+        cut = _source_pairs(modes, "blocked")
+        keyed = member.where(F.size(_keys_in("keys", rank)) > 0)
+        held = keyed.withColumn("key", F.explode(F.transform(_keys_in("keys", rank), lambda k: k["key"])))
+        held_a, held_b = (held.join(cut.select(F.col(f"source_{s}").alias("source"), "rank").distinct(), ["source", "rank"], "left_semi") for s in "ab")
+        shared = _keys_in(F.array_intersect("keys_a", "keys_b"), rank)
+        met = skew_safe_join(a(held_a), b(held_b), ["rank", "key"], ["class_a"], ["class_b"]).where("source_a < source_b")
+        parts.append(met.where(F.col("key") == F.array_min(shared)["key"]).join(cut, ["source_a", "source_b", "rank"], "left_semi").select(*cols))
         # 3. An entity without any key meets everyone of a blocked group.
-        keyed = keys.select("class_id", "rank").distinct()
-        keyless = cut_lineage(member.join(keyed, ["class_id", "rank"], "left_anti"))
+        keyless = member.where(F.size(_keys_in("keys", rank)) == 0)
         if _any(keyless):
             kl = a(keyless).join(cut, ["source_a", "rank"])
             parts.append(skew_safe_join(kl, b(member), ["source_b", "rank"], ["class_a"], ["class_b"]).select(*cols))
             kr = b(keyless).join(cut, ["source_b", "rank"])
-            keyed_a = a(member.join(keyed, ["class_id", "rank"], "left_semi"))
-            parts.append(skew_safe_join(keyed_a, kr, ["source_a", "rank"], ["class_a"], ["class_b"]).select(*cols))
+            parts.append(skew_safe_join(a(keyed), kr, ["source_a", "rank"], ["class_a"], ["class_b"]).select(*cols))
 
     # 4. Option: untyped entities against the typed ones, under the typed side's own group.
     if cfg.compare_untyped:
-        ranks = F.explode(F.sequence(F.lit(1), F.lit(len(cfg.groups)))).alias("rank")
-        free = classes.where("untyped").select("class_id", "source", ranks)
-        typed = classes.where(~F.col("untyped") & (F.size("groups") > 0)).select(
-            "class_id", "source", F.array_min("primary").alias("rank")
-        )
+        free = classes.where("untyped").withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(len(cfg.groups)))))
+        typed = classes.where(~F.col("untyped") & has_group).withColumn("rank", F.array_min("primary"))
         for x, y in ((a(free), b(typed)), (a(typed), b(free))):
             met = skew_safe_join(x, y, ["rank"], ["class_a"], ["class_b"]).where("source_a < source_b")
             parts.append(met.select(*cols))
     if not parts:
-        none = a(member).where(F.lit(False))
-        return none.withColumn("class_b", F.col("class_a")).withColumn("source_b", F.col("source_a")).select(*cols)
+        return a(member).where(F.lit(False)).join(b(member), "rank").select(*cols)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -164,18 +163,15 @@ def _any(df):
     return df.limit(1).count() > 0
 
 
-def examine_pairs(pairs, classes, rejected, cfg, order_of_rank) -> DataFrame:
-    """Keep pairs emitted under their own shared group and give each its exclusion reason.
+def examine_pairs(pairs, rejected, cfg, order_of_rank) -> DataFrame:
+    """Keep pairs of :func:`class_pairs` emitted under their own shared group and give each its exclusion reason.
 
     ``reason`` is null, REJECTED or INVARIANT; pairs of entities already matched in the other
     source are dropped, as are the entities of such pairs. ``feasible`` tells whether the concepts
     both sides have values for could ever satisfy the group's evidence rules.
     """
-    side_a, side_b = _sided(classes, "a"), _sided(classes, "b")
     p = (
-        pairs.select("class_a", "class_b", "rank")
-        .join(side_a.withColumnRenamed("class_id_a", "class_a"), "class_a")
-        .join(side_b.withColumnRenamed("class_id_b", "class_b"), "class_b")
+        pairs
         .where(
             shared_group(F.col("groups_a"), F.col("primary_a"), F.col("groups_b"), F.col("primary_b"),
                          F.col("untyped_a"), F.col("untyped_b")) == F.col("rank")
@@ -186,7 +182,7 @@ def examine_pairs(pairs, classes, rejected, cfg, order_of_rank) -> DataFrame:
     )
     crossing = F.arrays_overlap("sources_in_cluster_a", "sources_in_cluster_b")
     if rejected is not None:
-        refused = broadcast_if_small(rejected.groupBy("cluster_a", "cluster_b").agg(F.collect_set("pair").alias("refused")))
+        refused = broadcast_if_small(cut_lineage(rejected.groupBy("cluster_a", "cluster_b").agg(F.collect_set("pair").alias("refused"))))
         p = p.join(refused, ["cluster_a", "cluster_b"], "left")
         exact = F.array_contains("refused", F.struct(
             F.col("source_a").alias("source_a"), F.col("rep_a").alias("iri_a"),
@@ -198,7 +194,7 @@ def examine_pairs(pairs, classes, rejected, cfg, order_of_rank) -> DataFrame:
     else:
         reason = F.when(crossing, F.lit("INVARIANT"))
     return p.withColumn("reason", reason).withColumn("feasible", _feasible(cfg)).select(
-        "class_a", "source_a", "n_a", "class_b", "source_b", "n_b", "rank", "group_order", "reason", "feasible"
+        "class_a", "source_a", "n_a", "features_a", "class_b", "source_b", "n_b", "features_b", "rank", "group_order", "reason", "feasible"
     )
 
 

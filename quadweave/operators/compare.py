@@ -15,6 +15,8 @@ from quadweave.functions.text import (
 )
 from quadweave.plans.config import concepts_of_group, per_group
 
+# Comparators that may look at the letters of a text.
+LETTERED = ("auto", "string", "name", "linkedEntity")
 
 # --- single comparators, as columns over two values ----------------------------------------
 
@@ -190,13 +192,16 @@ def score_pairs(pairs, cfg) -> DataFrame:
 
         return F.transform("_z", pick)
 
+    # Arrow batches only where some concept compares letters.
+    lettered = any(c.comparator in LETTERED for g in cfg.groups for c in g.concepts)
+    ratios = indel_ratio_lists if lettered else lambda a, b: F.transform(a, lambda _: F.lit(None).cast("double"))
     df = (
         df.withColumn("_a1", texts("a", "norm", False))
         .withColumn("_b1", texts("b", "norm", False))
         .withColumn("_a2", texts("a", "sorted", True))
         .withColumn("_b2", texts("b", "sorted", True))
-        .withColumn("_s1", indel_ratio_lists(F.col("_a1"), F.col("_b1")))
-        .withColumn("_s2", indel_ratio_lists(F.col("_a2"), F.col("_b2")))
+        .withColumn("_s1", ratios(F.col("_a1"), F.col("_b1")))
+        .withColumn("_s2", ratios(F.col("_a2"), F.col("_b2")))
         .withColumn("_concepts", concepts_of_group(cfg))
     )
     scored = F.transform(

@@ -17,7 +17,7 @@ from quadweave.operators.profiles import (
     concept_values, has_linked_values, numbered_values, profiles, resolve_values,
 )
 from quadweave.plans.config import config_hash, is_keyed_group, per_group
-from quadweave.runtime import broadcast_if_small, cut_lineage
+from quadweave.runtime import broadcast_if_small, cut_lineage, release
 from quadweave.vocab import CONFIRMED, EVIDENCE_TYPE
 
 
@@ -26,8 +26,10 @@ class MatchingRun:
     """Frames of a run; each is computed when used."""
 
     proposals: DataFrame
-    class_scores: DataFrame
+    # Per pair of sources, reason, outcome and score: how many pairs of entities (see score_classes).
     examined: DataFrame
+    # Pairs of classes with their features that were counted without a score.
+    hopeless: DataFrame
     entities: DataFrame
     modes: DataFrame
     identical: DataFrame
@@ -76,7 +78,7 @@ def ranked_values(quads, cfg, expanded, sources=None) -> DataFrame:
 
 
 def entity_classes(entities, values, clusters, rejected, cfg):
-    """Fold interchangeable entities: (classes, members, keys).
+    """Fold interchangeable entities: (classes, members); a class carries its blocking keys.
 
     Everything that decides candidates and scores is part of the class digest: groups, the compared
     values in order, the sources of the entity's cluster, and the entity itself when it takes part
@@ -105,8 +107,10 @@ def entity_classes(entities, values, clusters, rejected, cfg):
     feats = (
         with_features(numbered_values(values), by_iri, cfg.long_text)
         .withColumn("digest", F.sha2(F.to_json(F.struct("o", "o_kind", "o_datatype", "o_lang", linked_cv, "feature.cluster")), 256))
+        .withColumn("keys", F.when(F.col("keyed"), blocking.value_keys(F.col("comparator"), F.col("cv"), cfg.prefix_key)))
         .groupBy("source", "iri")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "concept_no", "pos", "digest", "feature"))).alias("vals"))
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "concept_no", "pos", "digest", "feature"))).alias("vals"),
+             F.collect_set(F.when(F.size("keys") > 0, F.struct("rank", "keys"))).alias("keys"))
     )
     e = e.join(feats, ["source", "iri"], "left")
     usable = F.filter(F.coalesce("vals", F.array()), lambda v: F.col("untyped") | F.array_contains("groups", v["rank"]))
@@ -128,34 +132,42 @@ def entity_classes(entities, values, clusters, rejected, cfg):
             F.when(F.col("special"), F.col("cluster")).alias("cluster"),
             digest.alias("class_id"),
             F.transform("vals", lambda v: v["feature"]).alias("features"),
+            F.array_sort(F.array_distinct(F.flatten(F.transform(
+                F.coalesce("keys", F.array().cast("array<struct<rank:int,keys:array<string>>>")),
+                lambda v: F.transform(v["keys"], lambda k: F.struct(v["rank"].alias("rank"), k.alias("key"))))))).alias("keys"),
         )
     )
-    members = e.select("class_id", "source", "iri")
+    members = cut_lineage(e.select("class_id", "source", "iri"))
     sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.min("iri").alias("rep"))
     # The representative's row stands for the class: a join, so that features are never aggregated.
     classes = cut_lineage(
         e.join(sizes, "class_id").where("iri = rep").select(
             "class_id", "source", "groups", "primary", "untyped", "sources_in_cluster", "cluster", "n", "rep",
             F.array_distinct(F.transform("features", lambda f: F.struct(f["g"].alias("g"), f["c"].alias("c")))).alias("concepts"),
-            "features",
+            "features", "keys",
         )
     )
-    reps = classes.select("source", F.col("rep").alias("iri"), "class_id", "groups", "untyped")
-    keys = (
-        blocking.blocking_keys(values, cfg.prefix_key)
-        .join(reps, ["source", "iri"])
-        .where(F.col("untyped") | F.array_contains("groups", F.col("rank")))
-        .select("class_id", "source", "rank", "key")
-    )
-    return classes, members, keys
+    release(e)
+    return classes, members
+
 
+def score_classes(pairs, cfg) -> DataFrame:
+    """What became of examined pairs: (source_a, source_b, rank, group_order, reason, feasible, score, outcome, pairs, ...).
 
-def score_classes(examined, classes, cfg) -> DataFrame:
-    """Scores of the class pairs worth scoring (not excluded, evidence rules within reach)."""
-    todo = examined.where("reason is null and feasible")
-    fa = classes.select(F.col("class_id").alias("class_a"), F.col("features").alias("f_a"))
-    fb = classes.select(F.col("class_id").alias("class_b"), F.col("features").alias("f_b"))
-    return score_pairs(todo.join(fa, "class_a").join(fb, "class_b"), cfg)
+    Each pair is scored where it was formed, unless it is excluded or its evidence cannot suffice. One
+    row stands for all pairs of two sources that ended alike, ``pairs`` of entities; proposable pairs
+    of classes have a row each, with ``class_a``, ``class_b``, ``compared_weight`` and ``evidence``.
+    """
+    todo = F.col("reason").isNull() & F.col("feasible")
+    none = F.array().cast(dict(pairs.dtypes)["features_a"])
+    p = pairs.select("*", *[F.when(todo, F.col(f"features_{s}")).otherwise(none).alias(f"f_{s}") for s in "ab"]).drop("features_a", "features_b")
+    p = score_pairs(p, cfg)
+    good = todo & (F.col("outcome") == "PROPOSABLE")
+    own = [F.when(good, F.col(c)).alias(c) for c in ("class_a", "class_b", "compared_weight", "evidence")]
+    ended = p.select(
+        "source_a", "source_b", "rank", "group_order", "reason", "feasible",
+        *[F.when(todo, F.col(c)).alias(c) for c in ("score", "outcome")], *own, (F.col("n_a") * F.col("n_b")).alias("pairs"))
+    return ended.groupBy(*[c for c in ended.columns if c != "pairs"]).agg(F.sum("pairs").alias("pairs"))
 
 
 def keep_best_proposals(scored, members, k) -> DataFrame:
@@ -232,19 +244,18 @@ def run_all_pairs(quads, links, cfg, edges=None, sources=None) -> MatchingRun:
     order_of_rank = expanded.select("rank", "group_order").distinct()
     entities = entity_frame(data, cfg, expanded, sources)
     values = cut_lineage(ranked_values(data, cfg, expanded, sources))
-    classes, members, keys = entity_classes(entities, values, clusters, rejected, cfg)
+    classes, members = entity_classes(entities, values, clusters, rejected, cfg)
     modes = blocking.group_sizes(classes, cfg).join(F.broadcast(order_of_rank), "rank").withColumn(
         "blocked",
         per_group(cfg, is_keyed_group),
     )
     modes = cut_lineage(modes)
-    keys = cut_lineage(keys)
-    pairs = blocking.class_pairs(classes, keys, modes, cfg)
-    examined = cut_lineage(blocking.examine_pairs(pairs, classes, rejected, cfg, order_of_rank))
-    scored = cut_lineage(score_classes(examined, classes, cfg))
-    best = keep_best_proposals(scored.where("outcome = 'PROPOSABLE'"), members, cfg.max_proposals)
+    met = blocking.examine_pairs(blocking.class_pairs(classes, modes, cfg), rejected, cfg, order_of_rank)
+    examined = cut_lineage(score_classes(met, cfg))
+    best = keep_best_proposals(examined.where("outcome = 'PROPOSABLE'"), members, cfg.max_proposals)
     proposals = with_displays(best, values).withColumn("group_id", per_group(cfg, lambda g: g.id)).drop("group_order", "rank")
-    return MatchingRun(proposals, scored, examined, entities, modes, identical, classes, cfg)
+    hopeless = met.where("reason is null and not feasible")
+    return MatchingRun(proposals, examined, hopeless, entities, modes, identical, classes, cfg)
 
 
 def run_matching(quads, links, cfg, source_a, source_b, edges=None) -> MatchingRun:
@@ -288,19 +299,17 @@ def run_summary(run: MatchingRun) -> DataFrame:
         v = lambda c, s: F.col(f"{c}_{s}") - F.coalesce(F.col(f"g{c}_{s}"), F.lit(0))
         extra = m.select(*keys, (v("u", "a") * v("t", "b") + v("u", "b") * v("t", "a")).alias("extra"))
         possible = extra.join(possible, keys, "left").select(*keys, (F.coalesce("possible_pairs", F.lit(0)) + F.col("extra")).alias("possible_pairs"))
-    weight = F.col("n_a") * F.col("n_b")
+    of = lambda cond: F.sum(F.when(cond, F.col("pairs")))
     ex = run.examined.groupBy(*keys).agg(
-        F.sum(F.when(F.col("reason") == "REJECTED", weight)).alias("excluded_rejected"),
-        F.sum(F.when(F.col("reason") == "INVARIANT", weight)).alias("excluded_invariant"),
-        F.sum(F.when(F.col("reason").isNull(), weight)).alias("compared_pairs"),
-        F.sum(F.when(F.col("reason").isNull() & ~F.col("feasible"), weight)).alias("infeasible"),
-    )
-    sc = run.class_scores.groupBy(*keys).agg(
-        F.sum(F.when(F.col("outcome") == "BELOW_THRESHOLD", weight)).alias("below_threshold"),
-        F.sum(F.when(F.col("outcome") == "INSUFFICIENT_EVIDENCE", weight)).alias("weak"),
+        of(F.col("reason") == "REJECTED").alias("excluded_rejected"),
+        of(F.col("reason") == "INVARIANT").alias("excluded_invariant"),
+        of(F.col("reason").isNull()).alias("compared_pairs"),
+        of(F.col("reason").isNull() & ~F.col("feasible")).alias("infeasible"),
+        of(F.col("outcome") == "BELOW_THRESHOLD").alias("below_threshold"),
+        of(F.col("outcome") == "INSUFFICIENT_EVIDENCE").alias("weak"),
     )
     kept = run.proposals.groupBy(*keys).agg(F.count(F.lit(1)).alias("proposals"))
-    for f in (same, possible, ex, sc, kept):
+    for f in (same, possible, ex, kept):
         pairs = pairs.join(f, keys, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return pairs.select(
@@ -377,9 +386,9 @@ def merge_proposals(links, proposals, source_pairs, entities=None) -> DataFrame:
 def score_histogram(scores, bins=20) -> DataFrame:
     """(bin, pairs) over every compared pair, empty bins included.
 
-    ``scores`` has ``score`` and optionally the class sizes ``n_a``, ``n_b``.
+    ``scores`` has ``score`` and optionally ``pairs``, the number of pairs of a row.
     """
-    weight = F.col("n_a") * F.col("n_b") if "n_a" in scores.columns else F.lit(1)
+    weight = F.col("pairs") if "pairs" in scores.columns else F.lit(1)
     n = scores.groupBy(F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(
         F.sum(weight).alias("pairs")
     )
@@ -473,11 +482,8 @@ def preview(quads, links, cfg, source_a, source_b, edges=None) -> dict:
 
 def preview_histogram(run: MatchingRun) -> DataFrame:
     """Histogram of a run. Pairs skipped because their evidence cannot suffice are scored here."""
-    todo = run.examined.where("reason is null and not feasible")
-    c = run.classes
-    rest = score_pairs(
-        todo.join(c.select(F.col("class_id").alias("class_a"), F.col("features").alias("f_a")), "class_a")
-        .join(c.select(F.col("class_id").alias("class_b"), F.col("features").alias("f_b")), "class_b"),
-        run.cfg,
-    )
-    return score_histogram(run.class_scores.select("score", "n_a", "n_b").unionByName(rest.select("score", "n_a", "n_b")))
+    scores = run.examined.where("reason is null and feasible").select("score", "pairs")
+    if run.examined.where("reason is null and not feasible").limit(1).count() > 0:
+        rest = score_pairs(run.hopeless.withColumnsRenamed({"features_a": "f_a", "features_b": "f_b"}), run.cfg)
+        scores = scores.unionByName(rest.select("score", (F.col("n_a") * F.col("n_b")).alias("pairs")))
+    return score_histogram(scores)

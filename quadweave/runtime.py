@@ -118,11 +118,13 @@ def skew_safe_join(left, right, keys, left_id, right_id, target=PAIRS_PER_TASK):
 
     A key with ``cl`` x ``cr`` matching rows is split into ``n`` x ``n`` cells so that a cell
     yields about ``target`` rows; other keys are joined as they are. The result equals the plain
-    join. ``left_id`` / ``right_id`` are columns that spread the rows of one key.
+    join. ``left_id`` / ``right_id`` are columns that spread the rows of one key. The list of hot
+    keys is broadcast, as each stands for more than ``target`` rows of the result: the rows
+    themselves move once, to their cells.
     """
     counts_l = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cl"))
     counts_r = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cr"))
-    hot = (
+    hot = F.broadcast(
         counts_l.join(counts_r, keys)
         .where(F.col("_cl").cast("double") * F.col("_cr") > target)
         .select(

@@ -118,3 +118,25 @@ def test_types_with_their_subclasses(spark):
     q = spark.createDataFrame([("q", "ada verse")], "query_id string, text string")
     found = resolve_names(quads, q, ["urn:Human"], edges).first()
     assert (found.status, found.iri) == ("resolved", "urn:1")
+
+
+def test_pairs_that_end_alike_are_one_row(spark):
+    """40 x 40 different texts of one key: 1,600 scored pairs, and no row or moved list of words for each."""
+    doc = lambda s, i, text: [W.typed(s, f"urn:{s}{i}", "urn:D"), W.quad(s, f"urn:{s}{i}", "urn:text", text), W.quad(s, f"urn:{s}{i}", "urn:k", "1")]
+    rows = [q for s in "ab" for i in range(40) for q in doc(s, i, f"common words {s}{i if i else ''}")]
+    cfg = {"defaults": {"threshold": 0.9, "minimumComparedWeight": 1.0}, "equivalentGroups": [{"id": "d", "groupLabel": "D", "equivalentTypes": ["urn:D"], "properties": {
+        "t": {"predicates": ["urn:text"], "comparator": "text", "weight": 1}, "k": {"predicates": ["urn:k"], "comparator": "exact", "weight": 1, "blocking": True}}}]}
+    run = M.run_all_pairs(W.quads(spark, rows), W.links(spark, []), load_config(cfg))
+    ended = run.examined.collect()
+    assert sum(r.pairs for r in ended) == M.run_summary(run).first().below_threshold == 1600 and len(ended) < 10
+    assert sum(r.pairs for r in M.preview_histogram(run).collect()) == 1600
+
+
+def test_a_pair_under_several_keys_counts_once(spark):
+    """Typed and untyped entities with two words in common: one pair each, however many keys they share."""
+    rows = [W.typed("a", "urn:a", "urn:T"), W.quad("a", "urn:a", "urn:n", "red blue"), W.typed("b", "urn:b", "urn:T"), W.quad("b", "urn:b", "urn:n", "blue red")]
+    rows += [W.quad("b", "urn:u", "urn:n", "blue red one")]
+    cfg = {"compareUntypedEntities": True, "defaults": {"minimumComparedWeight": 1.0}, "equivalentGroups": [{"id": "t", "groupLabel": "T", "equivalentTypes": ["urn:T"], "properties": {
+        "n": {"predicates": ["urn:n"], "comparator": "name", "weight": 1, "blocking": True}}}]}
+    loaded = load_config(cfg)
+    assert M.run_summary(M.run_all_pairs(W.quads(spark, rows), W.links(spark, []), loaded)).first().compared_pairs == (2 if loaded.compare_untyped else 1)
