@@ -3,6 +3,7 @@
 Each set is described once by SQL expressions over a table and read with one scan per table.
 """
 
+import re
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from quadweave.vocab import FOAF, OWL, QUAD_COLUMNS, RDF_TYPE, RDFS, RDFS_LABEL, RICO, SUBCLASS_OF, XSD
 
 P = "urn:p:"
+# Rows of a table that one task turns into quads: each gives several rows of long strings.
+ROWS_PER_TASK = 100_000
 
 # table, graph kind, source expression, subject expression, [(predicate, object expression, kind, datatype)]
 STAR = [
@@ -55,11 +58,25 @@ ONTOLOGY = [
 ]
 
 
+def dealt(t, used, rows):
+    """The columns of a table that the expressions ``used`` name, its rows dealt out to tasks of about ``rows``.
+
+    Scans are cut by compressed bytes, so that one task may read millions of short rows; rows of long
+    texts are few in every cut and stay where they are. The number of rows comes from the files' footers.
+    """
+    words = set(re.findall(r"\w+", " ".join(used).lower()))
+    t = t.select(*[c for c in t.columns if c.lower() in words])
+    n = t.count()
+    if n <= rows * t.rdd.getNumPartitions():
+        return t
+    return t.repartition(-(-n // rows), *t.columns)
+
+
 def quads_of(spark, sf_dir, spec):
     """Quads of a set, one scan per table."""
     out = []
     for table, kind, source, subject, facts in spec:
-        t = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        t = dealt(spark.read.parquet(f"{sf_dir}/{table}.parquet"), [source, subject, *(o for _, o, _, _ in facts)], ROWS_PER_TASK)
         facts_of = F.explode(F.array(*[
             F.struct(F.lit(p).alias("p"), F.expr(o).alias("o"), F.lit(k).alias("o_kind"),
                      F.lit(None if dt is None else XSD + dt).cast("string").alias("o_datatype"))

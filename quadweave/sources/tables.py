@@ -266,5 +266,6 @@ def record_import(sources, source, at) -> DataFrame:
 
 def load_ontology_once(quads, new) -> DataFrame:
     """Add ontology graphs that are not there yet."""
-    there = quads.select("graph").distinct()
+    # One row per graph, as many as there are sources: rows of ``new`` stay in their tasks.
+    there = F.broadcast(quads.select("graph").distinct())
     return quads.unionByName(new.join(there, "graph", "left_anti").select(*QUAD_COLUMNS).distinct())

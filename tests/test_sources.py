@@ -144,3 +144,18 @@ def test_query_equals_sql(spark, name):
     want = sorted(tuple(show(v) for v in r) for r in cur.fetchall())
     got = sorted(tuple(show(r[c]) for c in cols) for r in QUERIES[name](spark, SMALL).collect())
     assert got == want
+
+
+def test_rows_are_dealt_out_before_they_become_quads(spark, tmp_path, monkeypatch):
+    """One file of 95 short rows, at most 10 a task: many tasks, the same quads; few rows stay where they are."""
+    from quadweave.plans import datasets
+
+    spark.range(95).selectExpr("nullif(id % 90, 7) AS k", "concat('n', id) AS name", "'unused' AS other").coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    spec = [("t", "data", "'a'", "concat('urn:', k)", [("urn:p", "NAME", "literal", "string"), ("urn:q", "cast(k as string)", "literal", "string")])]
+    rows = lambda q: sorted(map(str, q.collect()))
+    one = datasets.quads_of(spark, str(tmp_path), spec)
+    assert one.rdd.getNumPartitions() == 1 and one.count() == 190
+    monkeypatch.setattr(datasets, "ROWS_PER_TASK", 10)
+    many = datasets.quads_of(spark, str(tmp_path), spec)
+    assert rows(many) == rows(one)
+    assert many.rdd.getNumPartitions() == 10 and max(map(len, many.rdd.glom().collect())) < 100
