@@ -8,11 +8,13 @@ from pyspark.sql.window import Window
 
 from quadweave.functions.dates import interval_overlaps
 from quadweave.functions.lcs import indel_ratio
-from quadweave.runtime import cut_lineage, skew_safe_join
+from quadweave.runtime import cut_lineage, dealt_join, skew_safe_join
 
 # Ratio from which pairs of letters are counted; below it their bound proves nothing and letters are.
 PAIRS_FROM = 0.68
 START, END = "\u0002", "\u0003"
+# Ways of leaving letters out of a text up to which all are listed.
+MOST_WAYS = 300
 
 
 def _least_ratio(level):
@@ -47,18 +49,54 @@ def _grams(texts) -> DataFrame:
     return held.select("id", "n", "r", numbered.alias("gram"))
 
 
-def similar_strings(left, right, levels) -> DataFrame:
-    """(slot, v_a, v_b, best): strings of one slot whose rounded indel ratio of 100 reaches the slot's level.
+def _left_out(n, other, r):
+    """Letters that a text of ``n`` may lack in the subsequence it must share with one of ``other`` letters."""
+    return n - F.ceil(r * (n + other) / 2 - 1e-9).cast("int")
 
-    ``left`` and ``right``: (slot, v, t), one row per distinct text ``t`` and its identifier ``v``;
-    ``levels``: (slot, level), levels above 0. A text is looked up under its rarest grams only, as many
-    as leave out fewer than it must share; grams held by many texts are compared in a grid of tasks.
-    """
-    level = levels.select("slot", _least_ratio(F.col("level")).alias("r"))
-    # Numbered as they are written: the numbers stay what they are, whatever reads them.
-    left, right = (cut_lineage(t.join(level, "slot").select(F.monotonically_increasing_id().alias("id"), "slot", "v", "t", F.char_length("t").alias("n"), "r"))
-                   for t in (left, right))
-    grams = [cut_lineage(_grams(t)) for t in (left, right)]
+
+def _ways(n, out):
+    """Number of ways to leave ``out`` of ``n`` letters out: none, one or two; more are too many."""
+    return F.when(out <= 1, F.when(out == 1, n).otherwise(1)).when(out == 2, n * (n - 1) / 2).otherwise(MOST_WAYS + 1)
+
+
+def _listed(n_a, n_b, r):
+    """Whether the common subsequences of texts of these lengths are few enough to list them all."""
+    return (_ways(n_a, _left_out(n_a, n_b, r)) <= MOST_WAYS) & (_ways(n_b, _left_out(n_b, n_a, r)) <= MOST_WAYS)
+
+
+def _near_lengths(n_a, n_b, r):
+    return 2 * F.least(n_a, n_b) >= r * (n_a + n_b) - 1e-9
+
+
+def _without(t, out):
+    """The texts that are left of ``t`` without any ``out`` letters, none, one or two."""
+    n = F.char_length(t)
+
+    def but(text, i):
+        return F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.char_length(text)))
+
+    one = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: but(t, i)))
+    two = F.when(n > 1, F.flatten(F.transform(F.sequence(F.lit(2), n), lambda j: F.transform(F.sequence(F.lit(1), j - 1), lambda i: but(but(t, j), i)))))
+    return F.array_distinct(F.when(out == 0, F.array(t)).when(out == 1, one).otherwise(two))
+
+
+def _subsequences(texts, lengths, side) -> DataFrame:
+    """(key, id_, n_): texts under what they may share with a text of each length that the other side has."""
+    own, other = (F.col("n"), F.col("m")) if side == "a" else (F.col("m"), F.col("n"))
+    met = texts.join(lengths, "slot").where(_near_lengths(own, other, F.col("r")) & _listed(own, other, F.col("r")))
+    each = met.withColumn("sub", F.explode(_without(F.col("t"), _left_out(F.col("n"), F.col("m"), F.col("r")))))
+    return each.select(F.xxhash64("slot", own, other, "sub").alias("key"), F.col("id").alias(f"id_{side}"))
+
+
+def _by_grams(left, right, lengths) -> DataFrame:
+    """(id_a, id_b): texts that share a rare gram, of lengths whose common subsequences are not listed."""
+    def unlisted(texts, others, side):
+        own, other = (F.col("n"), F.col("m")) if side == "a" else (F.col("m"), F.col("n"))
+        some = texts.select("slot", "n", "r").distinct().join(others, "slot").where(
+            _near_lengths(own, other, F.col("r")) & ~_listed(own, other, F.col("r"))).select("slot", "n").distinct()
+        return texts.join(some, ["slot", "n"], "left_semi")
+
+    grams = [cut_lineage(_grams(unlisted(t, lengths[1 - k], "ab"[k]))) for k, t in enumerate((left, right))]
     often = grams[0].select("gram").unionByName(grams[1].select("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
     rare = Window.partitionBy("id").orderBy("often", "gram")
     total = F.when(F.col("r") >= PAIRS_FROM, F.col("n") + 1).otherwise(F.greatest("n", F.lit(1)))
@@ -69,8 +107,26 @@ def similar_strings(left, right, levels) -> DataFrame:
         return first.select("gram", F.col("id").alias(f"id_{side}"), F.col("n").alias(f"n_{side}"), *(["r"] if side == "a" else []))
 
     met = skew_safe_join(under(grams[0], "a"), under(grams[1], "b"), ["gram"], ["id_a"], ["id_b"])
-    near = 2 * F.least("n_a", "n_b") >= F.col("r") * (F.col("n_a") + F.col("n_b")) - 1e-9
-    met = met.where(near).select("id_a", "id_b").distinct()
+    n_a, n_b, r = F.col("n_a"), F.col("n_b"), F.col("r")
+    return met.where(_near_lengths(n_a, n_b, r) & ~_listed(n_a, n_b, r)).select("id_a", "id_b")
+
+
+def similar_strings(left, right, levels) -> DataFrame:
+    """(slot, v_a, v_b, best): strings of one slot whose rounded indel ratio of 100 reaches the slot's level.
+
+    ``left`` and ``right``: (slot, v, t), one row per distinct text ``t`` and its identifier ``v``;
+    ``levels``: (slot, level), levels above 0. Where a level lets texts of two lengths differ in few
+    letters only, they meet under the subsequences that they may have in common, which brings hardly
+    any others together. Of other lengths, a text is looked up under its rarest grams only, as many as
+    leave out fewer than it must share; grams held by many texts are compared in a grid of tasks.
+    """
+    level = levels.select("slot", _least_ratio(F.col("level")).alias("r"))
+    # Numbered as they are written: the numbers stay what they are, whatever reads them.
+    left, right = (cut_lineage(t.join(level, "slot").select(F.monotonically_increasing_id().alias("id"), "slot", "v", "t", F.char_length("t").alias("n"), "r"))
+                   for t in (left, right))
+    lengths = [t.select("slot", F.col("n").alias("m")).distinct() for t in (left, right)]
+    few, _ = dealt_join(_subsequences(left, lengths[1], "a"), _subsequences(right, lengths[0], "b"), ["key"], ["id_a"], ["id_b"])
+    met = few.select("id_a", "id_b").unionByName(_by_grams(left, right, lengths)).distinct()
     met = met.join(left.select(F.col("id").alias("id_a"), "slot", "r", F.col("v").alias("v_a"), F.col("t").alias("t_a")), "id_a")
     met = met.join(right.select(F.col("id").alias("id_b"), F.col("slot").alias("slot_b"), F.col("v").alias("v_b"), F.col("t").alias("t_b")), "id_b")
     best = F.round(indel_ratio(F.col("t_a"), F.col("t_b")) * 100).cast("double")

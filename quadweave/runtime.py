@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 # Rows one join task may produce for a single key before the key is spread over a grid.
 PAIRS_PER_TASK = 4_000_000
+# Rows of a large result that one task makes or brings together, where their number is known.
+ROWS_PER_TASK = 500_000
 # Bytes of a written table up to which it is broadcast.
 BROADCAST_BYTES = 8_000_000
 
@@ -100,7 +102,8 @@ def placed(rows: DataFrame, tag: str, name: str, weight: str | None = None) -> D
     rows = rows.withColumn(tag, F.struct(part.alias("p"), inside.alias("i")))
     # One row per range, as many as the session's setting says: bounded, whatever the input.
     joined = rows.join(F.broadcast(offsets), F.col(f"`{tag}`.p") == F.col("_part"))
-    own = [F.col(f"`{c}`") for c in rows.columns if c != tag]
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    own = [F.col(quoted(c)) for c in rows.columns if c != tag]
     return joined.select(*own, (F.col("_before") + F.col(f"`{tag}`.i")).alias(name))
 
 
@@ -113,38 +116,61 @@ def with_positions(df: DataFrame, order, name="position", weight=None, partition
     return placed(cut_lineage(in_order(df, order, tag, partitions)), tag, name, weight)
 
 
-def skew_safe_join(left, right, keys, left_id, right_id, target=PAIRS_PER_TASK):
-    """Inner many-to-many join on ``keys`` whose hot keys are cut into a grid of tasks.
-
-    A key with ``cl`` x ``cr`` matching rows is split into ``n`` x ``n`` cells so that a cell
-    yields about ``target`` rows; other keys are joined as they are. The result equals the plain
-    join. ``left_id`` / ``right_id`` are columns that spread the rows of one key. The list of hot
-    keys is broadcast, as each stands for more than ``target`` rows of the result: the rows
-    themselves move once, to their cells.
-    """
+def _pairs_by_key(left, right, keys):
+    """``keys`` with the number of matching rows on both sides, ``_cl`` and ``_cr``."""
     counts_l = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cl"))
     counts_r = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cr"))
-    hot = F.broadcast(
-        counts_l.join(counts_r, keys)
-        .where(F.col("_cl").cast("double") * F.col("_cr") > target)
-        .select(
-            *keys,
-            F.ceil(F.sqrt(F.col("_cl").cast("double") * F.col("_cr") / target))
-            .cast("int").alias("_n"),
-        )
-    )
+    return counts_l.join(counts_r, keys)
+
+
+def _grid_join(left, right, keys, left_id, right_id, counts, target, tasks=None):
+    """Inner join on ``keys``, each key of more than ``target`` pairs cut into a grid of cells.
+
+    The side with more rows is cut into more parts, so that few rows are copied. ``tasks``: how many
+    tasks the cells are dealt out to; adaptive execution joins none of them.
+    """
+    pairs = F.col("_cl").cast("double") * F.col("_cr")
+    cells = F.ceil(pairs / target)
+    parts_l = F.greatest(F.floor(F.sqrt(cells * F.col("_cl") / F.col("_cr"))), F.lit(1))
+    hot = F.broadcast(counts.where(pairs > target).select(
+        *keys, parts_l.cast("int").alias("_ni"), F.ceil(cells / parts_l).cast("int").alias("_nj")))
 
     def spread(df, own, other, ident):
-        n = F.coalesce(F.col("_n"), F.lit(1))
-        return (
+        size = {c: F.coalesce(F.col(f"_n{c[1]}"), F.lit(1)) for c in (own, other)}
+        out = (
             df.join(hot, keys, "left")
-            .withColumn(own, F.pmod(F.xxhash64(*[F.col(c) for c in ident]), n).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), n - 1)))
-            .drop("_n")
+            .withColumn(own, F.pmod(F.xxhash64(*[F.col(c) for c in ident]), size[own]).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), size[other] - 1)))
+            .drop("_ni", "_nj")
         )
+        return out if tasks is None else out.repartition(tasks, *keys, "_i", "_j")
+
+    return spread(left, "_i", "_j", left_id).join(spread(right, "_j", "_i", right_id), [*keys, "_i", "_j"]).drop("_i", "_j")
+
+
+def skew_safe_join(left, right, keys, left_id, right_id, target=PAIRS_PER_TASK):
+    """Inner many-to-many join on ``keys`` whose hot keys are cut into a grid of tasks.
+
+    A key of more than ``target`` matching pairs is split into cells that yield about ``target``
+    rows each; other keys are joined as they are. The result equals the plain join. ``left_id`` /
+    ``right_id`` are columns that spread the rows of one key. The list of hot keys is broadcast, as
+    each stands for more than ``target`` rows of the result: the rows themselves move once per cell.
+    """
+    return _grid_join(left, right, keys, left_id, right_id, _pairs_by_key(left, right, keys), target)
+
+
+def dealt_join(left, right, keys, left_id, right_id, target=ROWS_PER_TASK):
+    """(the join of :func:`skew_safe_join`, its number of rows), made by tasks of about ``target`` rows each.
+
+    For results much larger than what is read: adaptive execution sizes tasks by the bytes they read,
+    so that the few tasks that it leaves hold more of the result the larger it is. Both sides are read
+    twice, once to count.
+    """
+    counts = cut_lineage(_pairs_by_key(left, right, keys))
+    total = int(counts.agg(F.sum(F.col("_cl").cast("decimal(38,0)") * F.col("_cr"))).first()[0] or 0)
+    return _grid_join(left, right, keys, left_id, right_id, counts, target, tasks_for(total, target)), total
+
 
-    return (
-        spread(left, "_i", "_j", left_id)
-        .join(spread(right, "_j", "_i", right_id), [*keys, "_i", "_j"])
-        .drop("_i", "_j")
-    )
+def tasks_for(rows, target=ROWS_PER_TASK):
+    """Number of tasks that leaves each about ``target`` of so many rows."""
+    return max(-(-rows // target), 1)

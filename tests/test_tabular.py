@@ -4,6 +4,7 @@ import random
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from quadweave.operators import tabular
 from quadweave.operators.similarity import similar_strings
@@ -148,3 +149,25 @@ def test_no_similar_string_is_lost(spark, level):
     got = similar_strings(*frames, spark.createDataFrame([("s", float(level))], "slot string, level double"))
     want = {(x, y): percent(x, y) for x in texts for y in near if percent(x, y) >= level}
     assert {(r.v_a, r.v_b): r.best for r in got.collect()} == want
+
+
+def test_entities_meet_only_where_numbers_are_equal_that_have_to_be(spark):
+    """Names one letter apart at 90 and a number: 10 entities of 5 numbers, each twice, and every pair of the same number."""
+    rows = [r for i in range(10) for r in ((f"e{i}", "name", f"Supplier {i}", "string"), (f"e{i}", "size", str(i % 5), "number"))]
+    t = spark.createDataFrame(rows, COLS)
+    left = t.groupBy("entity", "property").agg(F.min("typevalue").alias("kind"), F.array_sort(F.collect_set("value")).alias("va"))
+    right = t.groupBy("entity", "property").agg(F.array_sort(F.collect_set("value")).alias("vb"))
+    want = {(f"e{i}", f"e{j}") for i in range(10) for j in range(10) if i % 5 == j % 5}
+    assert {tuple(r) for r in tabular._candidates(left, right, t, t, [["T"]], 95).collect()} == want
+
+
+def test_equal_entities_are_compared_once(spark, monkeypatch):
+    rows = [(f"e{i}", "name", f"name {i % 2}", "string") for i in range(12)]
+    met, inner = [], tabular._candidates
+    monkeypatch.setattr(tabular, "_candidates", lambda *x: met.append(inner(*x)) or met[-1])
+    t = spark.createDataFrame(rows, COLS)
+    rejected = spark.createDataFrame([("e0", "e2")], "entity string, matched_with string")
+    got = tabular.match_tables(t, t, [["T"]], 100, rejected).collect()
+    assert met[0].count() == 2
+    assert sorted((r.source_entity, r.target_entity) for r in got) == sorted(
+        (f"e{i}", f"e{j}") for i in range(12) for j in range(12) if i % 2 == j % 2 and (i, j) != (0, 2))
