@@ -6,7 +6,7 @@ from quadweave.functions.iri import local_name
 from quadweave.functions.text import collapse_ws, content_words, label_score, normalize, split_local_name, tokens
 from quadweave.operators.closures import with_subclasses
 from quadweave.operators.patterns import best_label, data_quads, iri_subjects, top_k_per_group
-from quadweave.runtime import PAIRS_PER_TASK, broadcast_if_small, cut_lineage, skew_safe_join
+from quadweave.runtime import ROWS_PER_TASK, broadcast_if_small, cut_lineage, dealt_join, skew_safe_join, tasks_for
 from quadweave.vocab import LABEL_PREDICATES, OWL, RDF_TYPE, RDFS, RDFS_LABEL, SKOS
 
 MIN_SCORE = 0.75
@@ -184,29 +184,43 @@ def term_details(onto, namespace=None) -> DataFrame:
         "term", "kind", "domains", "ranges", "inverse", F.coalesce("f", F.lit(False)).alias("functional"))
 
 
-def search_terms(index, queries, k=None, target=PAIRS_PER_TASK) -> DataFrame:
+def _best(rows, keys, value, how, n, target):
+    """``rows`` by ``keys`` with one value each, ``n`` rows dealt out to tasks of about ``target``."""
+    return rows.repartition(tasks_for(n, target), *keys).groupBy(*keys).agg(how(value).alias(value))
+
+
+def _scored_terms(index, queries, target):
+    """(query_id, term, kind, score) for every term that holds a word of the query, and how many pairs of word and term made it."""
+    words = cut_lineage(queries.select("query_id", F.explode(content_words("text")).alias("word")))
+    met, n = dealt_join(index, words, ["word"], ["term", "kind"], ["query_id"], target)
+    return _best(met.select("query_id", "term", "kind", F.col("weight").alias("score")), ["query_id", "term", "kind"], "score", F.sum, n, target), n
+
+
+def search_terms(index, queries, k=None, target=ROWS_PER_TASK) -> DataFrame:
     """(query_id, term, kind, score): sum over the query's words of their best field weight.
 
-    The list of a word that meets more than ``target`` pairs is cut over tasks, each of which sums its
-    part before the shuffle; words that repeat in a query count once.
+    Terms that hold a word of a query are found and summed by tasks of about ``target`` pairs, a
+    frequent word by several; words that repeat in a query count once.
     """
-    words = queries.select("query_id", F.explode(content_words("text")).alias("word"))
-    out = skew_safe_join(index, words, ["word"], ["term", "kind"], ["query_id"], target).groupBy("query_id", "term", "kind").agg(F.sum("weight").alias("score"))
+    out, _ = _scored_terms(cut_lineage(index), queries, target)
     return out if k is None else top_k_per_group(out, ["query_id"], [F.desc("score"), "term"], k).drop("rank")
 
 
-def properties_for(index, onto, queries, k=None, target=PAIRS_PER_TASK) -> DataFrame:
+def properties_for(index, onto, queries, k=None, target=ROWS_PER_TASK) -> DataFrame:
     """(query_id, property, score): property hits, and 0.9 x the score of a range class."""
     from quadweave.operators.ontology import range_members
 
-    s = search_terms(index, queries, target=target)
+    index = cut_lineage(index)
+    s, n = _scored_terms(index, queries, target)
+    s = cut_lineage(s)
     direct = s.where("kind <> 'CLASS'").select("query_id", F.col("term").alias("property"), "score")
     objects = index.where("kind = 'OBJECT_PROPERTY'").select(F.col("term").alias("property")).distinct()
-    ranges = range_members(onto, RDFS + "range").join(objects, "property", "left_semi").select("property", F.col("member").alias("term"))
+    ranges = cut_lineage(range_members(onto, RDFS + "range").join(objects, "property", "left_semi").select("property", F.col("member").alias("term")))
     # A class may be the range of a third of all properties, and hit by as many queries.
     hits = s.where("kind = 'CLASS'").select("query_id", "term", "score")
-    via = skew_safe_join(hits, ranges, ["term"], ["query_id"], ["property"], target).select("query_id", "property", (F.col("score") * 0.9).alias("score"))
-    out = direct.unionByName(via).groupBy("query_id", "property").agg(F.max("score").alias("score"))
+    via, more = dealt_join(hits, ranges, ["term"], ["query_id"], ["property"], target)
+    rows = direct.unionByName(via.select("query_id", "property", (F.col("score") * 0.9).alias("score")))
+    out = _best(rows, ["query_id", "property"], "score", F.max, n + more, target)
     return out if k is None else top_k_per_group(out, ["query_id"], [F.desc("score"), "property"], k).drop("rank")
 
 

@@ -53,3 +53,11 @@ def test_properties_through_a_frequent_range(spark):
         assert all(abs(r["score"] - want[r["property"]]) < 1e-9 for r in got)
     assert len(Q.properties_for(index, onto, asked, k=2, target=7).collect()) == 10
     assert Q.properties_for(index.limit(0), onto, asked).count() == 0
+
+
+def test_hits_are_dealt_out_by_their_number(spark):
+    """One word in 1,000 labels: tasks of about 50 hits, whatever adaptive execution would join."""
+    index = spark.range(1000).selectExpr("'ring' AS word", "concat('urn:', id) AS term", "'CLASS' AS kind", "3.0D AS weight")
+    asked = spark.createDataFrame([("q", "ring")], "query_id string, text string")
+    got = Q.search_terms(index, asked, target=50)
+    assert got.count() == 1000 and max(map(len, got.rdd.glom().collect())) < 150
