@@ -36,25 +36,40 @@ def extract_hierarchy(quads, namespace=None) -> DataFrame:
     return _within(h.select(F.col("s").alias("sub"), F.col("o").alias("super")).distinct(), "sub", namespace)
 
 
+def _jumps(rest) -> list:
+    """(cell, next) for the cells 1, 2, 4, ... further on: the last table is empty, unless some list runs into itself."""
+    cells, reach = rest.count(), 1
+    jumps = [rest]
+    while jumps[-1].limit(1).count() and reach <= cells:
+        ahead = jumps[-1].select(F.col("cell").alias("next"), F.col("next").alias("then"))
+        jumps.append(cut_lineage(jumps[-1].join(ahead, "next").select("cell", F.col("then").alias("next"))))
+        reach *= 2
+    return jumps
+
+
 def _list_cells(heads, rest) -> DataFrame:
-    """(node, cell, at): every cell of the list that starts at ``cell`` of ``heads`` (node, cell).
+    """(node, cell, at): every cell of the list that starts at ``cell`` of ``heads`` (node, cell), one row per node.
 
     Pointer doubling: each round knows the cell 2^k further on and adds to the cells found so far
-    those 2^k behind them, so a list of n cells takes log n rounds. A cell that comes up again, in a
-    list that runs into itself, counts at its first place.
+    those 2^k behind them, so a list of n cells takes log n rounds. No cell comes up twice in a list
+    that ends, so each round writes what is new; in a list that runs into itself, a cell counts at its
+    first place.
     """
-    jump = cut_lineage(rest.select("cell", "next"))
+    jumps = _jumps(cut_lineage(rest.select("cell", "next")))
     cells = cut_lineage(heads.select("node", "cell", F.lit(0).cast("long").alias("at")))
-    size, reach = cells.count(), 1
-    while True:
-        further = cells.join(jump, "cell").select("node", F.col("next").alias("cell"), (F.col("at") + reach).alias("at"))
+    if jumps[-1].limit(1).count() == 0:
+        for k, jump in enumerate(jumps[:-1]):
+            cells = cells.unionByName(cut_lineage(cells.join(jump, "cell").select("node", F.col("next").alias("cell"), (F.col("at") + 2**k).alias("at"))))
+        return cells
+    size = cells.count()
+    for k, jump in enumerate(jumps):
+        further = cells.join(jump, "cell").select("node", F.col("next").alias("cell"), (F.col("at") + 2**k).alias("at"))
         cells = cut_lineage(cells.unionByName(further).groupBy("node", "cell").agg(F.min("at").alias("at")), replaces=cells)
         grown = cells.count()
         if grown == size:
-            return cells
-        size, reach = grown, 2 * reach
-        ahead = jump.select(F.col("cell").alias("next"), F.col("next").alias("then"))
-        jump = cut_lineage(jump.join(ahead, "next").select("cell", F.col("then").alias("next")), replaces=jump)
+            break
+        size = grown
+    return cells
 
 
 def flatten_lists(quads) -> DataFrame:
@@ -72,6 +87,10 @@ def flatten_lists(quads) -> DataFrame:
     items = cut_lineage(cells.join(first, "cell").select(
         "node", F.array(F.col("at").cast("int")).alias("pos"), F.col("o").alias("member"), F.col("o_kind").alias("kind")))
     known = items.select(F.col("node").alias("inner"), F.col("pos").alias("ipos"), F.col("member").alias("imember"), F.col("kind").alias("ikind"))
+    inner = unions.select(F.col("s").alias("inner"))
+    # The cells themselves are far fewer than their places in lists that share them.
+    if first.join(inner, first["o"] == F.col("inner"), "left_semi").limit(1).count() == 0:
+        return items.where("kind = 'iri'").select("node", "pos", "member")
     inner = known.select("inner").distinct()
     depth, deepest = 0, inner.count()
     out = items

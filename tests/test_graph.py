@@ -111,3 +111,19 @@ def test_configuration():
 def test_identical_iris(spark):
     world = W.World(2, sources=4, shared=5)
     assert {r.iri: sorted(r.sources) for r in identical_iris(world.quads(spark)).collect()} == world.identical()
+
+
+def test_lists_that_share_cells_and_lists_that_run_into_themselves(spark, monkeypatch):
+    """Every cell of 40 as the head of a list: what a round finds is written once. Then the last cell leads back to cell 30."""
+    from quadweave.operators import ontology
+
+    written, inner = [], ontology.cut_lineage
+    monkeypatch.setattr(ontology, "cut_lineage", lambda df, replaces=None: written.append(out := inner(df, replaces)) or out)
+    heads = spark.range(40).selectExpr("concat('n', id) AS node", "concat('c', id) AS cell")
+    rest = spark.range(39).selectExpr("concat('c', id) AS cell", "concat('c', id + 1) AS next")
+    got = {tuple(r) for r in ontology._list_cells(heads, rest).select("node", "cell", "at").collect()}
+    assert got == {(f"n{i}", f"c{j}", j - i) for i in range(40) for j in range(i, 40)}
+    assert sum(w.count() for w in written) < 1.5 * len(got)
+    back = rest.unionByName(spark.sql("SELECT 'c39' AS cell, 'c30' AS next"))
+    got = {tuple(r) for r in ontology._list_cells(heads.where("node in ('n0', 'n35')"), back).select("node", "cell", "at").collect()}
+    assert got == {("n0", f"c{j}", j) for j in range(40)} | {("n35", f"c{j}", (j - 35) % 10) for j in range(30, 40)}
