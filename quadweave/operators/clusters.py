@@ -7,10 +7,12 @@ pairs within clusters are bounded by (number of sources)^2 per cluster.
 from pyspark.sql import DataFrame, functions as F
 
 from quadweave.functions.iri import link_id, node_key
-from quadweave.runtime import cut_lineage
+from quadweave.runtime import cut_lineage, dealt_join, skew_safe_join, tasks_for
 from quadweave.vocab import CONFIRMED, MATCHING_GRAPH, SAME_AS
 
 IDENTICAL = "identical:"
+# Paths that one task makes or chooses from: their rows carry the ids of all their links and nodes.
+PATHS_PER_TASK = 200_000
 
 
 def cluster_edges(links, identical) -> DataFrame:
@@ -199,7 +201,8 @@ def cluster_pairs(clusters) -> DataFrame:
     """(cluster_id, source_a, iri_a, source_b, iri_b): cross-source pairs of different IRIs."""
     a = clusters.select("cluster_id", F.col("source").alias("source_a"), F.col("iri").alias("iri_a"))
     b = clusters.select("cluster_id", F.col("source").alias("source_b"), F.col("iri").alias("iri_b"))
-    return a.join(b, "cluster_id").where("source_a < source_b and iri_a <> iri_b")
+    met = skew_safe_join(a, b, ["cluster_id"], ["source_a", "iri_a"], ["source_b", "iri_b"])
+    return met.where("source_a < source_b and iri_a <> iri_b")
 
 
 def same_as(clusters) -> DataFrame:
@@ -222,11 +225,12 @@ def same_as_quads(clusters, graph=MATCHING_GRAPH) -> DataFrame:
     )
 
 
-def shortest_paths(edges, pairs) -> DataFrame:
+def shortest_paths(edges, pairs, target=PATHS_PER_TASK) -> DataFrame:
     """(source_a, iri_a, source_b, iri_b, path, nodes): shortest path of each pair.
 
     ``edges`` as from :func:`cluster_edges`; among equally short paths the smallest edge-id array
-    wins. Frontiers start at the asked nodes only and keep one path per (start, reached node).
+    wins. Frontiers start at the asked nodes only and keep one path per (start, reached node). The
+    steps of a round are dealt out to tasks of about ``target`` paths, those through one node as well.
     """
     u, v = node_key("source_a", "iri_a"), node_key("source_b", "iri_b")
     asked = cut_lineage(pairs.select("source_a", "iri_a", "source_b", "iri_b", u.alias("start"), v.alias("goal")).distinct())
@@ -238,10 +242,11 @@ def shortest_paths(edges, pairs) -> DataFrame:
     )
     front = known
     while True:
+        met, n = dealt_join(front.withColumnRenamed("at", "x"), step, ["x"], ["start"], ["y", "edge_id"], target)
         hop = (
-            front.join(step, front["at"] == step["x"])
-            .select("start", F.col("y").alias("at"),
-                    F.concat("path", F.array("edge_id")).alias("path"), F.concat("nodes", F.array("y")).alias("nodes"))
+            met.select("start", F.col("y").alias("at"),
+                       F.concat("path", F.array("edge_id")).alias("path"), F.concat("nodes", F.array("y")).alias("nodes"))
+            .repartition(tasks_for(n, target), "start", "at")
             .groupBy("start", "at").agg(F.min(F.struct("path", "nodes")).alias("m"))
             .select("start", "at", "m.path", "m.nodes")
             .join(known.select("start", "at"), ["start", "at"], "left_anti")

@@ -127,3 +127,14 @@ def test_lists_that_share_cells_and_lists_that_run_into_themselves(spark, monkey
     back = rest.unionByName(spark.sql("SELECT 'c39' AS cell, 'c30' AS next"))
     got = {tuple(r) for r in ontology._list_cells(heads.where("node in ('n0', 'n35')"), back).select("node", "cell", "at").collect()}
     assert got == {("n0", f"c{j}", j) for j in range(40)} | {("n35", f"c{j}", (j - 35) % 10) for j in range(30, 40)}
+
+
+def test_paths_through_one_node_are_dealt_out(spark, monkeypatch):
+    written, inner = [], C.cut_lineage
+    monkeypatch.setattr(C, "cut_lineage", lambda df, replaces=None: written.append(max(map(len, df.rdd.glom().collect()))) or inner(df, replaces))
+    edges = spark.range(30).selectExpr("concat('x', id) AS edge_id", "'a' AS source_a", "'hub' AS iri_a", "'b' AS source_b", "concat('i', id) AS iri_b")
+    ends = spark.range(30).selectExpr("'b' AS source_a", "concat('i', id) AS iri_a", "id AS k")
+    pairs = ends.join(ends.selectExpr("'b' AS source_b", "iri_a AS iri_b", "k AS l"), F.expr("k < l")).drop("k", "l")
+    got = {(r.iri_a, r.iri_b): r.path for r in C.shortest_paths(edges, pairs, target=50).collect()}
+    assert got == {(f"i{i}", f"i{j}"): [f"x{i}", f"x{j}"] for i in range(30) for j in range(i + 1, 30)}
+    assert max(written[3:]) < 250
