@@ -431,6 +431,15 @@ def resolve_names(spark, d):
     return Q.resolve_names(star(spark, d), q).select("query_id", "status", "iri", F.array_join("candidates", "|").alias("candidates"))
 
 
+def _by_kind(q):
+    """Quads whose source is the kind of their subject.
+
+    A kind has a row per part: its files are small, what a broadcast makes of them is not.
+    """
+    kind = q.where(F.col("p") == P + "kind").select("s", F.col("o").alias("k"))
+    return q.join(kind.hint("merge"), "s").withColumn("source", F.col("k")).drop("k")
+
+
 @query("WITH " + NAMES_SQL + "c AS (SELECT a.p_name AS x, b.p_name AS y FROM n a JOIN n b ON len(list_intersect(list_concat(a.w, list_transform(list_filter(a.w, lambda t: len(t) >= 4), lambda t: 'p:' || t[1:4])), list_concat(b.w, list_transform(list_filter(b.w, lambda t: len(t) >= 4), lambda t: 'p:' || t[1:4])))) > 0), "
        "w AS (SELECT x, y, " + PLAIN.format("x") + " AS nx, " + PLAIN.format("y") + " AS ny, " + SORTED.format("x") + " AS sx, " + SORTED.format("y") + " AS sy FROM c), "
        "sc AS (SELECT x, y, floor(greatest(2.0 * " + LCS.format(a="nx", b="ny") + " / (len(nx) + len(ny)), 2.0 * " + LCS.format(a="sx", b="sy") + " / (len(sx) + len(sy)))::DOUBLE * 10000 + 0.5) / 10000.0 AS score FROM w), "
@@ -441,9 +450,7 @@ def resolve_names(spark, d):
 def match_names(spark, d):
     """Parts of each kind, as one source per kind, matched by name."""
     q = star(spark, d).where("source = 'catalog'")
-    kind = q.where(F.col("p") == P + "kind").select("s", F.col("o").alias("k"))
-    q = q.join(kind, "s").withColumn("source", F.col("k")).drop("k")
-    run = M.run_all_pairs(q, _no_links(spark), load_config(PART_CONFIG))
+    run = M.run_all_pairs(_by_kind(q), _no_links(spark), load_config(PART_CONFIG))
     return run.proposals.select("source_a", "iri_a", "source_b", "iri_b", "score")
 
 

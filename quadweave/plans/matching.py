@@ -5,6 +5,7 @@ keeps a run restartable when executors are lost.
 """
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -17,7 +18,7 @@ from quadweave.operators.profiles import (
     concept_values, has_linked_values, numbered_values, profiles, resolve_values,
 )
 from quadweave.plans.config import config_hash, is_keyed_group, per_group
-from quadweave.runtime import broadcast_if_small, cut_lineage, release
+from quadweave.runtime import ROWS_PER_TASK, broadcast_if_small, cut_lineage, dealt_join, release
 from quadweave.vocab import CONFIRMED, EVIDENCE_TYPE
 
 
@@ -25,7 +26,6 @@ from quadweave.vocab import CONFIRMED, EVIDENCE_TYPE
 class MatchingRun:
     """Frames of a run; each is computed when used."""
 
-    proposals: DataFrame
     # Per pair of sources, reason, outcome and score: how many pairs of entities (see score_classes).
     examined: DataFrame
     # Pairs of classes with their features that were counted without a score.
@@ -34,8 +34,16 @@ class MatchingRun:
     modes: DataFrame
     identical: DataFrame
     classes: DataFrame
+    members: DataFrame
+    values: DataFrame
     cfg: object
 
+    @cached_property
+    def proposals(self) -> DataFrame:
+        """Pairs with score and evidence; the best partners of each class are written when they are first asked for."""
+        best = keep_best_proposals(self.examined.where("outcome = 'PROPOSABLE'"), self.members, self.cfg.max_proposals)
+        return with_displays(best, self.values).withColumn("group_id", per_group(self.cfg, lambda g: g.id)).drop("group_order", "rank")
+
 
 def rejected_clusters(links, clusters) -> DataFrame:
     """(cluster_a, cluster_b, pair): clusters holding the ends of a rejected link, both ways."""
@@ -170,18 +178,19 @@ def score_classes(pairs, cfg) -> DataFrame:
     return ended.groupBy(*[c for c in ended.columns if c != "pairs"]).agg(F.sum("pairs").alias("pairs"))
 
 
-def keep_best_proposals(scored, members, k) -> DataFrame:
+def keep_best_proposals(scored, members, k, target=ROWS_PER_TASK) -> DataFrame:
     """Pairs among the ``k`` best of either entity, from class scores.
 
     Order: score descending, IRI of a, IRI of b. All members of a class share one ranking of
     partners, and of a partner class only its ``k`` smallest IRIs can be among the best, so ranking
-    is done per class and the result is expanded to members afterwards.
+    is done per class and the result is expanded to members afterwards, by tasks of about
+    ``target`` proposals.
     """
     w = Window.partitionBy("class_id").orderBy("iri")
     heads = members.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("class_id", "iri")
 
-    def one_side(own, other):
-        best = (
+    def best_of(own, other):
+        return cut_lineage(
             scored.join(heads.select(F.col("class_id").alias(f"class_{other}"), F.col("iri").alias(f"iri_{other}")), f"class_{other}")
             .withColumn(
                 "r",
@@ -192,12 +201,20 @@ def keep_best_proposals(scored, members, k) -> DataFrame:
             .where(F.col("r") <= k)
             .drop("r")
         )
+
+    def expanded(best, own, other):
         mine = members.select(F.col("class_id").alias(f"class_{own}"), F.col("iri").alias(f"iri_{own}"))
-        return best.join(mine, f"class_{own}")
+        return dealt_join(best, mine, [f"class_{own}"], [f"class_{other}", f"iri_{other}"], [f"iri_{own}"], target)[0]
 
     cols = ["source_a", "iri_a", "source_b", "iri_b", "rank", "group_order", "score", "compared_weight", "evidence"]
-    both = one_side("a", "b").select(*cols).unionByName(one_side("b", "a").select(*cols))
-    return both.dropDuplicates(["source_a", "iri_a", "source_b", "iri_b"])
+    best_a, best_b = best_of("a", "b"), best_of("b", "a")
+    # A pair is found from both sides where each entity is among the other's best: the first side knows
+    # at most ``k`` entities of a class, so the second leaves them out before proposals are made.
+    found = best_a.groupBy("class_a", "class_b").agg(F.collect_list(F.struct("iri_b")).alias("found"))
+    again = F.exists("found", lambda x: x["iri_b"].eqNullSafe(F.col("iri_b")))
+    from_a = expanded(best_a, "a", "b")
+    from_b = expanded(best_b.join(found, ["class_a", "class_b"], "left"), "b", "a").where(~F.coalesce(again, F.lit(False)))
+    return from_a.select(*cols).unionByName(from_b.select(*cols))
 
 
 def with_displays(proposals, values) -> DataFrame:
@@ -252,10 +269,8 @@ def run_all_pairs(quads, links, cfg, edges=None, sources=None) -> MatchingRun:
     modes = cut_lineage(modes)
     met = blocking.examine_pairs(blocking.class_pairs(classes, modes, cfg), rejected, cfg, order_of_rank)
     examined = cut_lineage(score_classes(met, cfg))
-    best = keep_best_proposals(examined.where("outcome = 'PROPOSABLE'"), members, cfg.max_proposals)
-    proposals = with_displays(best, values).withColumn("group_id", per_group(cfg, lambda g: g.id)).drop("group_order", "rank")
     hopeless = met.where("reason is null and not feasible")
-    return MatchingRun(proposals, examined, hopeless, entities, modes, identical, classes, cfg)
+    return MatchingRun(examined, hopeless, entities, modes, identical, classes, members, values, cfg)
 
 
 def run_matching(quads, links, cfg, source_a, source_b, edges=None) -> MatchingRun:

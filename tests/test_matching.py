@@ -1,13 +1,17 @@
 """Matching runs over random worlds, against scores and rankings worked out from their definitions."""
 
+from collections import Counter
+
 import pytest
 import worlds as W
+from pyspark.sql import functions as F
 
 from quadweave.operators import links as L
 from quadweave.operators.clusters import build_clusters
 from quadweave.operators.patterns import identical_iris, list_by_types
 from quadweave.operators.search import resolve_names
 from quadweave.plans import matching as M
+from quadweave.plans.branch_queries import _by_kind
 from quadweave.plans.config import config_hash, load_config
 from quadweave.runtime import cut_lineage
 from quadweave.sources.tables import record_import
@@ -140,3 +144,32 @@ def test_a_pair_under_several_keys_counts_once(spark):
         "n": {"predicates": ["urn:n"], "comparator": "name", "weight": 1, "blocking": True}}}]}
     loaded = load_config(cfg)
     assert M.run_summary(M.run_all_pairs(W.quads(spark, rows), W.links(spark, []), loaded)).first().compared_pairs == (2 if loaded.compare_untyped else 1)
+
+
+def test_proposals_are_dealt_out_by_their_number(spark):
+    """A few classes of many entities: no task makes more than its share of proposals, and none is made twice."""
+    names = ["alma", "alma b", "alma", "alba"]
+    rows = [q for n, s in enumerate("abc") for i in range(60) for q in (W.typed(s, f"urn:{s}{i:02}", "urn:T"), W.quad(s, f"urn:{s}{i:02}", "urn:n", names[(i + n) % 4]))]
+    cfg = {"defaults": {"threshold": 0.6, "minimumComparedWeight": 1.0, "maxProposalsPerEntity": 2}, "equivalentGroups": [{"id": "t", "groupLabel": "T", "equivalentTypes": ["urn:T"], "candidates": "all", "properties": {
+        "n": {"predicates": ["urn:n"], "comparator": "name", "weight": 1, "blocking": True}}}]}
+    run = M.run_all_pairs(W.quads(spark, rows), W.links(spark, []), load_config(cfg))
+    made = M.keep_best_proposals(run.examined.where("outcome = 'PROPOSABLE'"), run.members, 2, target=20)
+    got = made.withColumn("task", F.spark_partition_id()).collect()
+    name = {f"urn:{s}{i:02}": names[(i + n) % 4] for n, s in enumerate("abc") for i in range(60)}
+    want = set()
+    for s, t in ("ab", "ac", "bc"):
+        pairs = [(x, y, W.name_score(name[x], name[y])) for x in name if x[4] == s for y in name if y[4] == t]
+        pairs = [p for p in pairs if p[2] >= 0.6]
+        for side in (0, 1):
+            for e in {p[side] for p in pairs}:
+                want |= {(s, x, t, y) for x, y, _ in sorted((p for p in pairs if p[side] == e), key=lambda p: (-p[2], p[1 - side]))[:2]}
+    assert len(got) == len(want) and {(r.source_a, r.iri_a, r.source_b, r.iri_b) for r in got} == want
+    assert max(Counter(r.task for r in got).values()) <= len(want) / 4
+
+
+def test_kinds_are_not_broadcast(spark):
+    """A table with a row per part is small as a file only."""
+    rows = [W.quad("catalog", f"urn:part:{i}", p, o) for i in range(3) for p, o in (("urn:p:kind", f"K{i % 2}"), ("urn:n", "x"))]
+    got = _by_kind(W.quads(spark, rows))
+    assert {(r.s, r.p, r.source) for r in got.collect()} == {(f"urn:part:{i}", p, f"K{i % 2}") for i in range(3) for p in ("urn:p:kind", "urn:n")}
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
