@@ -65,8 +65,9 @@ def fold(col) -> Column:
     s = F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
     src, dst = _base_letters()
     bare = F.regexp_replace(F.translate(s, src, dst), r"\p{M}+", "")
+    # Asked of the text itself, as no other character becomes a syllable: ``bare`` is worked out once.
     jamo = F.when(
-        bare.rlike("[가-힣]"),
+        s.rlike("[가-힣]"),
         F.array_join(
             F.transform(
                 F.split(bare, ""),

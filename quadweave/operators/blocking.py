@@ -10,7 +10,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quadweave.functions.text import fold, normalize_folded, tokens_of_normalized
 from quadweave.operators.closures import shared_group
-from quadweave.runtime import broadcast_if_small, cut_lineage, skew_safe_join
+from quadweave.runtime import broadcast_if_small, cut_lineage, skew_safe_join, tasks_for
+
+# Values of a concept that meet in a cell, and of each of two parts of a key cut into cells.
+CELL_VALUES = 1024
+# Pairs that a task looks at in cells, and rows that it reads.
+CELL_PAIRS, CELL_ROWS = 2_000_000, 10_000
 
 
 def value_keys(comparator, cv, prefix=4) -> Column:
@@ -109,10 +114,62 @@ def _keys_in(keys, rank):
     return F.filter(keys, lambda k: k["rank"] == rank)
 
 
-def class_pairs(classes, modes, cfg) -> DataFrame:
+def cell_rows(classes, modes, cfg, rank_of, size=CELL_VALUES) -> DataFrame:
+    """Rows of groups with keys, sorted by cell: each class under each of its keys, with the values of its group.
+
+    ``rank_of`` gives the rank of each group's number in the configuration. A key of more than ``size`` values is cut into parts, and every two parts meet in a cell of their
+    own; the pairs of a cell are formed by ``functions.cells``, under the first key that both hold.
+    """
+    cut = _source_pairs(modes, "blocked")
+    met = cut.select(F.col("source_a").alias("source"), "rank").unionByName(cut.select(F.col("source_b").alias("source"), "rank")).distinct()
+    rank = F.col("rank")
+    member = classes.where(F.size("groups") > 0).withColumn("rank", F.explode("groups")).join(met, ["source", "rank"], "left_semi")
+    keys = F.transform(_keys_in("keys", rank), lambda k: k["key"])
+    concepts = max(len(g.concepts) for g in cfg.groups)
+    held = (
+        member.withColumn("own", keys)
+        .select("*", F.explode("own").alias("key"))
+        .withColumn("weight", F.greatest(F.lit(1), F.ceil(F.col("n_values") / concepts)))
+    )
+    # One row per key; hot keys, which are listed for all tasks, stand for more than ``size`` values each.
+    counts = cut_lineage(held.groupBy("rank", "key").agg(F.sum("weight").alias("size"), F.count(F.lit(1)).alias("rows")))
+    parts = F.when(F.col("size") > size, F.ceil(F.col("size") / (size // 2))).otherwise(F.lit(1))
+    hot = F.broadcast(counts.where(F.col("size") > size).select("rank", "key", parts.cast("int").alias("parts")))
+    sums = counts.agg(F.sum(F.col("rows").cast("double") * F.col("rows") / 2).alias("pairs"), F.sum(F.col("rows") * parts).alias("rows")).first()
+    tasks = max(tasks_for(int(sums["pairs"] or 0), CELL_PAIRS), tasks_for(int(sums["rows"] or 0), CELL_ROWS))
+    values = F.transform(
+        F.filter("features", lambda f: f["g"] == rank),
+        lambda f: F.struct(
+            f["c"].alias("c"), f["pos"].alias("pos"), F.when(_case_sensitive(cfg, rank_of, f), f["raw"]).otherwise(f["norm"]).alias("word"),
+            F.array_join(f["words"], " ").alias("words"), F.unix_date(f["date"]["start"]).alias("start"), F.unix_date(f["date"]["end"]).alias("end"),
+            f["date"]["day_precise"].alias("precise"), f["number"].alias("number")))
+    situation = F.to_json(F.struct("source", "groups", "primary", "untyped", "sources_in_cluster"))
+    cells = F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), lambda x: F.struct(F.least("part", x).alias("i"), F.greatest("part", x).alias("j")))
+    rows = (
+        held.join(hot, ["rank", "key"], "left")
+        .withColumn("part", F.pmod(F.xxhash64("class_id"), F.coalesce("parts", F.lit(1))).cast("int"))
+        .select("rank", "key", "part", "class_id", "source", situation.alias("situation"), "n",
+                F.filter("own", lambda k: k < F.col("key")).alias("earlier"), values.alias("values"), F.explode(cells).alias("cell"))
+        .select("rank", "key", F.col("cell.i").alias("cell_i"), F.col("cell.j").alias("cell_j"), "part", "class_id", "source", "situation", "n", "earlier", "values")
+    )
+    cell = ["rank", "key", "cell_i", "cell_j"]
+    return rows.repartition(tasks, *cell).sortWithinPartitions(*cell)
+
+
+def _case_sensitive(cfg, rank_of, feature) -> Column:
+    """Whether a feature's concept compares its text as it is written."""
+    out = F.lit(False)
+    for i, g in enumerate(cfg.groups):
+        for n, c in enumerate(g.concepts):
+            if c.options.get("caseSensitive"):
+                out = out | ((feature["g"] == rank_of[i]) & (feature["c"] == n))
+    return out
+
+
+def class_pairs(classes, modes, cfg, in_cells=False) -> DataFrame:
     """Candidate class pairs, source_a < source_b, before exclusions: ``rank`` and both classes' columns.
 
-    ``classes`` carry groups as ranks, ``keys`` as (rank, key) and whatever their pairs are examined
+    With ``in_cells``, pairs that share a key are left to :func:`cell_rows`. ``classes`` carry groups as ranks, ``keys`` as (rank, key) and whatever their pairs are examined
     and scored by; ``modes`` is the result of :func:`group_sizes` with ``blocked``. A class moves once
     per key and cell of the grid; its pairs are formed there and may be scored in the same task.
     """
@@ -130,11 +187,12 @@ def class_pairs(classes, modes, cfg) -> DataFrame:
     if _any(modes.where("blocked")):
         cut = _source_pairs(modes, "blocked")
         keyed = member.where(F.size(_keys_in("keys", rank)) > 0)
-        held = keyed.withColumn("key", F.explode(F.transform(_keys_in("keys", rank), lambda k: k["key"])))
-        held_a, held_b = (held.join(cut.select(F.col(f"source_{s}").alias("source"), "rank").distinct(), ["source", "rank"], "left_semi") for s in "ab")
-        shared = _keys_in(F.array_intersect("keys_a", "keys_b"), rank)
-        met = skew_safe_join(a(held_a), b(held_b), ["rank", "key"], ["class_a"], ["class_b"]).where("source_a < source_b")
-        parts.append(met.where(F.col("key") == F.array_min(shared)["key"]).join(cut, ["source_a", "source_b", "rank"], "left_semi").select(*cols))
+        if not in_cells:
+            held = keyed.withColumn("key", F.explode(F.transform(_keys_in("keys", rank), lambda k: k["key"])))
+            held_a, held_b = (held.join(cut.select(F.col(f"source_{s}").alias("source"), "rank").distinct(), ["source", "rank"], "left_semi") for s in "ab")
+            shared = _keys_in(F.array_intersect("keys_a", "keys_b"), rank)
+            met = skew_safe_join(a(held_a), b(held_b), ["rank", "key"], ["class_a"], ["class_b"]).where("source_a < source_b")
+            parts.append(met.where(F.col("key") == F.array_min(shared)["key"]).join(cut, ["source_a", "source_b", "rank"], "left_semi").select(*cols))
         # 3. An entity without any key meets everyone of a blocked group.
         keyless = member.where(F.size(_keys_in("keys", rank)) == 0)
         if _any(keyless):

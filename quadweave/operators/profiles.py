@@ -64,8 +64,8 @@ def linked_date(quads) -> DataFrame:
     )
 
 
-def concept_values(quads, cfg) -> DataFrame:
-    """Values of every concept of every group, once per entity and concept.
+def concept_values(quads, cfg, dealt=False) -> DataFrame:
+    """Values of every concept of every group, once per entity and concept; ``dealt`` out by entity if asked.
 
     (source, iri, group_order, concept_no, concept, comparator, keyed, predicate_pos, o, o_kind,
     o_datatype, o_lang); a value found through several predicates keeps its first position.
@@ -76,8 +76,11 @@ def concept_values(quads, cfg) -> DataFrame:
     facts = iri_subjects(data_quads(quads)).where(F.col("p").isin(cfg.predicates()))
     keys = ["source", "s", "group_order", "concept_no", "concept", "comparator", "keyed",
             "o", "o_kind", "o_datatype", "o_lang"]
+    found = facts.join(preds, "p")
+    if dealt:
+        found = found.select(*keys, "predicate_pos").repartition("source", "s")
     return (
-        facts.join(preds, "p")
+        found
         .groupBy(*keys)
         .agg(F.min("predicate_pos").alias("predicate_pos"))
         .withColumnRenamed("s", "iri")
@@ -161,6 +164,23 @@ def resolve_values(values, quads, linked=True) -> DataFrame:
     )
 
 
+def slim_values(resolved) -> DataFrame:
+    """Resolved values without the text and display of literals, which :func:`full_values` takes from ``o`` again.
+
+    A long text is then written, moved and sorted once instead of three times.
+    """
+    other = ~F.col("o_kind").eqNullSafe("literal")
+    cv = F.col("cv")
+    return resolved.withColumn("cv", cv.withField("text", F.when(other, cv["text"])).withField("display", F.when(other, cv["display"])))
+
+
+def full_values(resolved) -> DataFrame:
+    """Resolved values with the text and display of literals, whether they were left out or not."""
+    literal, cv = F.col("o_kind").eqNullSafe("literal"), F.col("cv")
+    text = F.when(literal & cv["kind"].isin("TEXT", "ENTITY"), F.col("o")).otherwise(cv["text"])
+    return resolved.withColumn("cv", cv.withField("text", text).withField("display", F.when(literal, F.col("o")).otherwise(cv["display"])))
+
+
 def numbered_values(resolved) -> DataFrame:
     """Every value with its position ``pos`` among those of its entity and concept."""
     w = Window.partitionBy("source", "iri", "group_order", "concept_no").orderBy(

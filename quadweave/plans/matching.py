@@ -8,14 +8,16 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
+from quadweave.functions import cells
 from quadweave.functions.iri import link_id, node_key, node_pair_key
 from quadweave.operators import blocking, closures
 from quadweave.operators.clusters import build_clusters
 from quadweave.operators.compare import score_pairs, with_features
 from quadweave.operators.patterns import identical_iris
 from quadweave.operators.profiles import (
-    concept_values, has_linked_values, numbered_values, profiles, resolve_values,
+    concept_values, full_values, has_linked_values, numbered_values, profiles, resolve_values, slim_values,
 )
 from quadweave.plans.config import config_hash, is_keyed_group, per_group
 from quadweave.runtime import ROWS_PER_TASK, broadcast_if_small, cut_lineage, dealt_join, release
@@ -26,8 +28,9 @@ from quadweave.vocab import CONFIRMED, EVIDENCE_TYPE
 class MatchingRun:
     """Frames of a run; each is computed when used."""
 
-    # Per pair of sources, reason, outcome and score: how many pairs of entities (see score_classes).
-    examined: DataFrame
+    # Per pair of sources, reason, outcome and score: how many pairs of entities (see score_classes). What
+    # cells scored of pairs whose evidence cannot suffice is told, ``examined`` is without it.
+    scored: DataFrame
     # Pairs of classes with their features that were counted without a score.
     hopeless: DataFrame
     entities: DataFrame
@@ -38,6 +41,10 @@ class MatchingRun:
     values: DataFrame
     cfg: object
 
+    @cached_property
+    def examined(self) -> DataFrame:
+        return self.scored.withColumn("score", F.when(F.col("reason").isNull() & F.col("feasible"), F.col("score")))
+
     @cached_property
     def proposals(self) -> DataFrame:
         """Pairs with score and evidence; the best partners of each class are written when they are first asked for."""
@@ -77,12 +84,18 @@ def entity_frame(quads, cfg, expanded, sources=None) -> DataFrame:
 
 
 def ranked_values(quads, cfg, expanded, sources=None) -> DataFrame:
-    """Resolved concept values with the rank of their group."""
+    """Resolved concept values with the rank of their group, dealt out by entity.
+
+    An entity's values are then numbered and brought together where they are, and move once.
+    """
     own = quads if sources is None else quads.where(F.col("source").isin(sources))
     ranks = expanded.select("group_order", "rank").distinct()
+    linked = has_linked_values(own, cfg)
+    values = slim_values(resolve_values(concept_values(own, cfg, dealt=not linked), quads, linked))
+    if linked:
+        values = values.repartition("source", "iri")
     # One row per configured group.
-    values = resolve_values(concept_values(own, cfg), quads, has_linked_values(own, cfg))
-    return values.join(F.broadcast(ranks), "group_order")
+    return full_values(values.join(F.broadcast(ranks), "group_order"))
 
 
 def entity_classes(entities, values, clusters, rejected, cfg):
@@ -112,8 +125,9 @@ def entity_classes(entities, values, clusters, rejected, cfg):
     by_iri = clusters.groupBy("iri").agg(F.min("cluster_id").alias("cluster_id")) if linked else None
     # A literal decides its resolved value; what a linked entity stands for is added.
     linked_cv = F.when(F.col("o_kind") == "iri", F.col("cv")).alias("cv")
+    numbered = full_values(numbered_values(slim_values(values)))
     feats = (
-        with_features(numbered_values(values), by_iri, cfg.long_text)
+        with_features(numbered, by_iri, cfg.long_text)
         .withColumn("digest", F.sha2(F.to_json(F.struct("o", "o_kind", "o_datatype", "o_lang", linked_cv, "feature.cluster")), 256))
         .withColumn("keys", F.when(F.col("keyed"), blocking.value_keys(F.col("comparator"), F.col("cv"), cfg.prefix_key)))
         .groupBy("source", "iri")
@@ -152,7 +166,7 @@ def entity_classes(entities, values, clusters, rejected, cfg):
         e.join(sizes, "class_id").where("iri = rep").select(
             "class_id", "source", "groups", "primary", "untyped", "sources_in_cluster", "cluster", "n", "rep",
             F.array_distinct(F.transform("features", lambda f: F.struct(f["g"].alias("g"), f["c"].alias("c")))).alias("concepts"),
-            "features", "keys",
+            F.size("features").alias("n_values"), "features", "keys",
         )
     )
     release(e)
@@ -175,9 +189,33 @@ def score_classes(pairs, cfg) -> DataFrame:
     ended = p.select(
         "source_a", "source_b", "rank", "group_order", "reason", "feasible",
         *[F.when(todo, F.col(c)).alias(c) for c in ("score", "outcome")], *own, (F.col("n_a") * F.col("n_b")).alias("pairs"))
+    return added_up(ended)
+
+
+def added_up(ended) -> DataFrame:
     return ended.groupBy(*[c for c in ended.columns if c != "pairs"]).agg(F.sum("pairs").alias("pairs"))
 
 
+def scored_in_cells(cfg, rejected) -> bool:
+    """Whether pairs under keys can be scored without a row for each: no letters to compare, no rejected link to look up."""
+    return rejected is None and all(c.comparator in cells.COMPARATORS for g in cfg.groups for c in g.concepts)
+
+
+def score_cells(classes, modes, cfg, order_of_rank) -> DataFrame:
+    """The result of :func:`score_classes` for pairs that share a key; hopeless pairs keep their score."""
+    # One row per configured group.
+    rank_of = {r["group_order"]: r["rank"] for r in order_of_rank.collect()}
+    rules = {}
+    for i, g in enumerate(cfg.groups):
+        if i in rank_of:
+            of = [(c.key, c.comparator, c.weight, bool(c.options.get("caseSensitive", False)), float(c.options.get("partialOverlapScore", 0.85)),
+                   float(c.options.get("tolerance", 0))) for c in g.concepts]
+            rules[rank_of[i]] = cells.Rules(i, of, list(g.required), g.minimum_weight, g.threshold)
+    rows = blocking.cell_rows(classes, modes, cfg, rank_of)
+    found = rows.mapInArrow(cells.scorer(rules), from_arrow_schema(cells.SCHEMA))
+    return added_up(found)
+
+
 def keep_best_proposals(scored, members, k, target=ROWS_PER_TASK) -> DataFrame:
     """Pairs among the ``k`` best of either entity, from class scores.
 
@@ -220,7 +258,7 @@ def keep_best_proposals(scored, members, k, target=ROWS_PER_TASK) -> DataFrame:
 def with_displays(proposals, values) -> DataFrame:
     """Replace value positions in the evidence by the values shown to a reader."""
     shown = (
-        numbered_values(values)
+        full_values(numbered_values(slim_values(values)))
         .select("source", "iri", "rank", "concept_no", "pos", F.col("cv")["display"].alias("display"))
         .groupBy("source", "iri")
         .agg(F.collect_list(F.struct("rank", "concept_no", "pos", "display")).alias("shown"))
@@ -260,17 +298,22 @@ def run_all_pairs(quads, links, cfg, edges=None, sources=None) -> MatchingRun:
     expanded = cut_lineage(closures.expanded_groups(spark, cfg, edges))
     order_of_rank = expanded.select("rank", "group_order").distinct()
     entities = entity_frame(data, cfg, expanded, sources)
-    values = cut_lineage(ranked_values(data, cfg, expanded, sources))
+    # Not written: read here once, and again only where evidence is shown.
+    values = ranked_values(data, cfg, expanded, sources)
     classes, members = entity_classes(entities, values, clusters, rejected, cfg)
     modes = blocking.group_sizes(classes, cfg).join(F.broadcast(order_of_rank), "rank").withColumn(
         "blocked",
         per_group(cfg, is_keyed_group),
     )
     modes = cut_lineage(modes)
-    met = blocking.examine_pairs(blocking.class_pairs(classes, modes, cfg), rejected, cfg, order_of_rank)
-    examined = cut_lineage(score_classes(met, cfg))
+    in_cells = scored_in_cells(cfg, rejected)
+    met = blocking.examine_pairs(blocking.class_pairs(classes, modes, cfg, in_cells), rejected, cfg, order_of_rank)
+    scored = score_classes(met, cfg)
+    if in_cells and modes.where("blocked").limit(1).count() > 0:
+        scored = scored.unionByName(score_cells(classes, modes, cfg, order_of_rank))
+    scored = cut_lineage(scored)
     hopeless = met.where("reason is null and not feasible")
-    return MatchingRun(examined, hopeless, entities, modes, identical, classes, members, values, cfg)
+    return MatchingRun(scored, hopeless, entities, modes, identical, classes, members, values, cfg)
 
 
 def run_matching(quads, links, cfg, source_a, source_b, edges=None) -> MatchingRun:
@@ -497,8 +540,8 @@ def preview(quads, links, cfg, source_a, source_b, edges=None) -> dict:
 
 def preview_histogram(run: MatchingRun) -> DataFrame:
     """Histogram of a run. Pairs skipped because their evidence cannot suffice are scored here."""
-    scores = run.examined.where("reason is null and feasible").select("score", "pairs")
-    if run.examined.where("reason is null and not feasible").limit(1).count() > 0:
+    scores = run.scored.where("reason is null and score is not null").select("score", "pairs")
+    if run.scored.where("reason is null and score is null").limit(1).count() > 0:
         rest = score_pairs(run.hopeless.withColumnsRenamed({"features_a": "f_a", "features_b": "f_b"}), run.cfg)
         scores = scores.unionByName(rest.select("score", (F.col("n_a") * F.col("n_b")).alias("pairs")))
     return score_histogram(scores)

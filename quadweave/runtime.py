@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 PAIRS_PER_TASK = 4_000_000
 # Rows of a large result that one task makes or brings together, where their number is known.
 ROWS_PER_TASK = 500_000
+# Whether a query deletes its shuffle files at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # Bytes of a written table up to which it is broadcast.
 BROADCAST_BYTES = 8_000_000
 
@@ -31,11 +33,17 @@ def cut_lineage(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
 
     A written table survives lost executors, prunes columns when read, and has real size
     statistics, which the plans built on it use to choose join strategies. ``replaces`` is an
-    earlier result that nothing reads any more once this one is written; its files are deleted.
+    earlier result that nothing reads any more once this one is written; its files are deleted, and so
+    are the shuffle files of the job, which Spark would keep until the driver collects its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/quadweave/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     if replaces is not None:
