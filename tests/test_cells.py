@@ -8,9 +8,11 @@ import worlds as W
 from pyspark.sql import functions as F
 
 from quadweave.functions import cells
-from quadweave.operators import blocking
+from quadweave.operators import blocking, closures
+from quadweave.operators.profiles import full_values, numbered_values, slim_values
 from quadweave.plans import matching as M
 from quadweave.plans.config import load_config
+from quadweave.runtime import cut_lineage
 
 TEXT, CODE, DAY, SIZE = "urn:text", "urn:code", "urn:day", "urn:size"
 FIELDS = ["source_a", "source_b", "rank", "group_order", "reason", "feasible", "score", "outcome", "class_a", "class_b", "compared_weight", "evidence"]
@@ -96,6 +98,18 @@ def test_hopeless_pairs_are_scored_where_they_meet(spark, monkeypatch):
     assert [r.score for r in run.examined.select("score").distinct().collect()] == [None]
 
 
+def test_values_of_an_entity_move_once(spark):
+    """Values are told apart, numbered and brought together after one exchange, which holds a literal's text once."""
+    rows = [q for i in range(5) for q in (W.typed("a", f"urn:{i}", "urn:D"), W.quad("a", f"urn:{i}", "urn:k", f"no {i}"), W.quad("a", f"urn:{i}", "urn:text", "long"))]
+    cfg = load_config({"equivalentGroups": [{"id": "d", "groupLabel": "D", "equivalentTypes": ["urn:D"], "properties": {"t": {"predicates": ["urn:text", "urn:k"], "comparator": "text"}}}]})
+    expanded = cut_lineage(closures.expanded_groups(spark, cfg))
+    values = numbered_values(slim_values(M.ranked_values(W.quads(spark, rows), cfg, expanded)))
+    got = full_values(values).groupBy("source", "iri").agg(F.array_sort(F.collect_list(F.struct("pos", "cv.text", "cv.display"))).alias("v"))
+    assert {r.iri: [tuple(v) for v in r.v] for r in got.collect()} == {f"urn:{i}": [(1, "long", "long"), (2, f"no {i}", f"no {i}")] for i in range(5)}
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning(source") == 1
+    assert values.where("cv.text is not null or cv.display is not null").count() == 0
+
+
 def batch(rows):
     """Rows of one group: (key, cell, part, id, source, size, text)."""
     empty = dict(word=None, start=None, end=None, precise=None, number=None)
